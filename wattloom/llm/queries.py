@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattloom.llm.answers import defects
+from wattloom.llm.spans import shared_coverage, shared_pairs
 from wattloom.llm.splits import assign_splits, leaks
 from wattloom.llm.tables import split_name, state_key
 from wattloom.sources.tables import table
@@ -35,5 +37,30 @@ def p1_balance(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("new_split", "provenance").agg(F.count("*").alias("n_records"), F.countDistinct("component").alias("n_components"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_balance)}
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers that are no proper answer to their prompt, with the defect."""
+    d = defects(table(spark, sf, "t45_k4_free_candidates"), "candidate_row_id", "prompt", "raw_output")
+    return d.select(F.col("row_id").alias("candidate_row_id"), "defect_type")
+
+
+def p2_defects_per_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers and defects per split and defect type, with how many of the defects the recorded flags miss."""
+    c = table(spark, sf, "t45_k4_free_candidates")
+    d = defects(c, "candidate_row_id", "prompt", "raw_output").withColumnRenamed("row_id", "candidate_row_id")
+    j = c.select("candidate_row_id", split_name(F.col("split")).alias("split"), "eos_completed", "truncated").join(d, "candidate_row_id")
+    said_fine = F.coalesce("eos_completed", F.lit(True)) & ~F.coalesce("truncated", F.lit(False))
+    return j.groupBy("split", "defect_type").agg(F.count("*").alias("n_defects"), F.count_if(said_fine).alias("n_flags_say_fine"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of documents with a common run of 200 characters or more."""
+    return shared_pairs(table(spark, sf, "documents"))
+
+
+def p9_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of each document is shared with others."""
+    return shared_coverage(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_balance, p2_found, p2_defects_per_prompt, p9_found, p9_coverage)}
 SQL: dict[str, str] = {}
