@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.llm.answers import defects
+from wattloom.llm.mixing import mix, mix_report
+from wattloom.llm.packing import pack
 from wattloom.llm.spans import shared_coverage, shared_pairs
 from wattloom.llm.splits import assign_splits, leaks
-from wattloom.llm.tables import split_name, state_key
+from wattloom.llm.tables import cut_table, split_name, state_key
+from wattloom.llm.tokens import token_counts
 from wattloom.sources.tables import table
 
 
@@ -52,6 +55,39 @@ def p2_defects_per_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return j.groupBy("split", "defect_type").agg(F.count("*").alias("n_defects"), F.count_if(said_fine).alias("n_flags_say_fine"))
 
 
+def _placements(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    items = token_counts(docs, "text", [F.col("doc_id")])
+    return pack(items, table(spark, sf, "container_specs"), docs.count())
+
+
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's pieces and their containers, for each container kind."""
+    return _placements(spark, sf)
+
+
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers, tokens and filled share per container kind."""
+    per = _placements(spark, sf).groupBy("container_kind", "shard", "container_no").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("n_pieces"))
+    d = per.join(table(spark, sf, "container_specs"), "container_kind")
+    return d.groupBy("container_kind").agg(F.count("*").alias("n_containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), (F.sum("used") / F.sum("capacity_tokens")).alias("filled_share"))
+
+
+def _sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return cut_table(token_counts(table(spark, sf, "documents"), "text", [F.col("doc_id"), F.col("source")]))
+
+
+def p8_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """The records chosen to mix the sources to their targets, and how often each is used."""
+    return mix(_sizes(spark, sf), table(spark, sf, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Reached shares per source."""
+    targets = table(spark, sf, "mix_targets")
+    return mix_report(mix(_sizes(spark, sf), targets), targets)
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of documents with a common run of 200 characters or more."""
     return shared_pairs(table(spark, sf, "documents"))
@@ -62,5 +98,5 @@ def p9_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return shared_coverage(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_balance, p2_found, p2_defects_per_prompt, p9_found, p9_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_balance, p2_found, p2_defects_per_prompt, p7_containers, p7_fill, p8_selection, p8_shares, p9_found, p9_coverage)}
 SQL: dict[str, str] = {}
