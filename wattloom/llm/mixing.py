@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+PASSES = 4
+
+
 def sainte_lague(seats: int, votes: list[float], most: list[int]) -> list[int]:
     """Seats by the highest quotients votes / (2 seats + 1), no party above ``most``; ties go to the earlier party."""
     got = [0] * len(votes)
@@ -53,13 +56,14 @@ def mix(records: DataFrame, targets: DataFrame, block_tokens: int = 256, shard_t
     known = records.where((F.col("n_tokens") > 0) & F.col("source").isin(list(want)))
     fine = known.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(max_shards)).cast("int"))
     held = fine.groupBy("source", "_shard").agg(F.sum("n_tokens").alias("tokens")).collect()  # at most sources x max_shards rows
-    total = sum(r["tokens"] for r in held)
-    shards = min(max_shards, max(1, math.ceil(total / shard_tokens)))
+    supply = dict.fromkeys(want, 0)
+    for r in held:
+        supply[r["source"]] += r["tokens"]
+    shards = {s: min(max_shards, max(1, math.ceil(n / shard_tokens))) for s, n in supply.items()}
     sums: dict[tuple[str, int], int] = {}
     for r in held:
-        k = (r["source"], r["_shard"] % shards)
+        k = (r["source"], r["_shard"] % shards[r["source"]])
         sums[k] = sums.get(k, 0) + r["tokens"]
-    supply = {s: sum(v for (a, _), v in sums.items() if a == s) for s in want}
     names = sorted(s for s in want if supply[s])
     share = sum(want[s][0] for s in names)
     goal = min((supply[s] * want[s][1] * share / want[s][0] for s in names), default=0)
@@ -71,14 +75,19 @@ def mix(records: DataFrame, targets: DataFrame, block_tokens: int = 256, shard_t
         for k, b in zip(parts, sainte_lague(blocks, [float(sums[s, k]) for k in parts], [sums[s, k] * want[s][1] // block_tokens for k in parts])):
             rows.append((s, k, b * block_tokens // sums[s, k], b * block_tokens % sums[s, k], want[s][1]))
     plan = records.sparkSession.createDataFrame(rows, "source string, _shard int, _full long, _rest long, _most int")
-    d = known.withColumn("_shard", F.pmod(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(max_shards)), F.lit(shards)).cast("int"))
+    of_source = F.create_map(*[F.lit(x) for s in names for x in (s, shards[s])]) if names else F.create_map().cast("map<string,int>")
+    d = fine.withColumn("_shard", F.pmod("_shard", F.try_element_at(of_source, "source")))
     group = Window.partitionBy("source", "_shard")
     order = F.struct(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
     d = d.join(plan, ["source", "_shard"]).withColumn("_order", order)
-    d = d.withColumn("_upto", F.sum("n_tokens").over(group.orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.withColumn("_taken", F.col("_upto") <= F.col("_rest"))
-    # what the records in order leave of the quota goes to the one record whose size comes closest to it
-    d = d.withColumn("_gap", F.col("_rest") - F.coalesce(F.max(F.when(F.col("_taken"), F.col("_upto"))).over(group), F.lit(0)))
+    upto = group.orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({"_taken": F.lit(False), "_gap": F.col("_rest")})
+    for _ in range(PASSES):  # what fits the open rest of the quota, in order; a record too long for it doesn't stop the next
+        d = d.withColumn("_fits", ~F.col("_taken") & (F.col("n_tokens") <= F.col("_gap")))
+        d = d.withColumn("_upto", F.sum(F.when(F.col("_fits"), F.col("n_tokens")).otherwise(0)).over(upto))
+        d = d.withColumn("_now", F.col("_fits") & (F.col("_upto") <= F.col("_gap")))
+        d = d.withColumns({"_taken": F.col("_taken") | F.col("_now"), "_gap": F.col("_gap") - F.coalesce(F.max(F.when(F.col("_now"), F.col("_upto"))).over(group), F.lit(0))})
+    # and what is still open goes to the one record whose size comes closest to it
     off = F.abs(F.col("n_tokens") - F.col("_gap"))
     d = d.withColumn("_last", F.when(~F.col("_taken") & (off < F.col("_gap")), F.struct(off, "_order")))
     last = F.col("_last").isNotNull() & (F.col("_last") == F.min("_last").over(group))
