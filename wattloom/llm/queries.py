@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wattloom.llm.answers import defects
 from wattloom.llm.mixing import mix, mix_report
+from wattloom.llm.overlap import coverage, pairs, texts
 from wattloom.llm.packing import pack
 from wattloom.llm.spans import shared_coverage, shared_pairs
 from wattloom.llm.splits import assign_splits, leaks
@@ -55,6 +56,32 @@ def p2_defects_per_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return j.groupBy("split", "defect_type").agg(F.count("*").alias("n_defects"), F.count_if(said_fine).alias("n_flags_say_fine"))
 
 
+def _sides(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "public_state_v1_sft")
+    split = split_name(F.col("split"))
+    side = F.when(split == "TRAIN", "T").when(split.isin("DEV", "HOLDOUT"), "E")
+    return texts(d, "sft_row_id", "prompt", "target_json", side, [split.alias("split"), F.col("provenance")])
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of a TRAIN record and a DEV or HOLDOUT record that are the same or nearly so."""
+    d = pairs(_sides(spark, sf))
+    return d.select(F.least("train_id", "eval_id").alias("sft_row_id_a"), F.greatest("train_id", "eval_id").alias("sft_row_id_b")).distinct()
+
+
+def p6_overlap_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation records with a counterpart in TRAIN, and pairs, per split and provenance."""
+    sides = _sides(spark, sf)
+    d = pairs(sides).join(sides.select(F.col("id").alias("eval_id"), "split", "provenance"), "eval_id")
+    return d.groupBy("split", "provenance").agg(F.countDistinct("eval_id").alias("n_records"), F.count("*").alias("n_pairs"))
+
+
+def p6_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of the characters of each split and provenance that the other side has too."""
+    d = coverage(_sides(spark, sf))
+    return d.groupBy("split", "provenance").agg(F.sum("covered_chars").alias("covered_chars"), F.sum("n_chars").alias("n_chars"), F.count_if(F.col("covered_chars") > 0).alias("n_records"))
+
+
 def _placements(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     items = token_counts(docs, "text", [F.col("doc_id")])
@@ -98,5 +125,5 @@ def p9_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return shared_coverage(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_balance, p2_found, p2_defects_per_prompt, p7_containers, p7_fill, p8_selection, p8_shares, p9_found, p9_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_balance, p2_found, p2_defects_per_prompt, p6_found, p6_overlap_counts, p6_coverage, p7_containers, p7_fill, p8_selection, p8_shares, p9_found, p9_coverage)}
 SQL: dict[str, str] = {}
