@@ -1,0 +1,155 @@
+"""Least-cost DC dispatch of a small fixed network.
+
+With the angles eliminated by the network's transfer factors, three generators and one balance remain. A vertex of
+that program is the balance and two more tight limits, and for each such pair the map from bus loads to outputs is
+affine and fixed. The table of these maps is computed from the network's constants (240 rows, whatever the data); an
+Arrow batch of hours is evaluated against it at once and each hour takes its cheapest feasible row. Hours are
+independent: nothing is shuffled.
+
+Prices are the cost's derivatives by each bus's load on the chosen row. Ties between equal costs go to the row that
+stands first; only the cost is defined there. A load below the generators' minima, above what the lines carry, or
+null or not finite has no feasible row: the result's fields are null.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+# The 9-bus, 3-generator network.
+BASE_LOAD = {5: 90.0, 7: 100.0, 9: 125.0}
+GENERATORS = (("G1", 1, 10.0, 500.0, 20.0), ("G2", 2, 10.0, 400.0, 10.0), ("G3", 3, 10.0, 700.0, 30.0))
+BRANCHES = (
+    (1, 4, 0.0576, 250.0), (4, 5, 0.092, 250.0), (5, 6, 0.17, 150.0), (3, 6, 0.0586, 300.0), (6, 7, 0.1008, 150.0),
+    (7, 8, 0.072, 250.0), (8, 2, 0.0625, 250.0), (8, 9, 0.161, 250.0), (9, 4, 0.085, 250.0),
+)
+LOAD_BUSES = (5, 7, 9)
+TOLERANCE = 1e-7
+
+
+@dataclass(frozen=True)
+class Network:
+    """Transfer factors of generators and loads on branches, and the limits g @ P + l @ D <= r of all inequalities."""
+
+    gen: np.ndarray  # branches x generators
+    load: np.ndarray  # branches x load buses
+    names: tuple[str, ...]
+    on_gen: np.ndarray
+    on_load: np.ndarray
+    on_bus: np.ndarray
+    bound: np.ndarray
+
+
+def network() -> Network:
+    """The fixed network, bus 1 as reference."""
+    n = 9
+    b = np.zeros((n, n))
+    flow = np.zeros((len(BRANCHES), n))
+    for k, (i, j, x, _) in enumerate(BRANCHES):
+        y = 1 / x
+        b[i - 1, i - 1] += y
+        b[j - 1, j - 1] += y
+        b[i - 1, j - 1] -= y
+        b[j - 1, i - 1] -= y
+        flow[k, i - 1], flow[k, j - 1] = y, -y
+    x = np.zeros((n, n))
+    x[1:, 1:] = np.linalg.inv(b[1:, 1:])
+    ptdf = flow @ x
+    gen = ptdf[:, [g[1] - 1 for g in GENERATORS]]
+    load = ptdf[:, [k - 1 for k in LOAD_BUSES]]
+    names, on_gen, on_bus, bound = [], [], [], []
+    for k, (name, _, low, high, _) in enumerate(GENERATORS):
+        e = np.eye(3)[k]
+        names += [f"{name}min", f"{name}max"]
+        on_gen += [-e, e]
+        on_bus += [np.zeros(n)] * 2
+        bound += [-low, high]
+    for k, (_, _, _, rate) in enumerate(BRANCHES):
+        names += [f"L{k + 1}up", f"L{k + 1}down"]
+        on_gen += [gen[k], -gen[k]]
+        on_bus += [-ptdf[k], ptdf[k]]
+        bound += [rate, rate]
+    on_bus = np.array(on_bus)
+    return Network(gen, load, tuple(names), np.array(on_gen), on_bus[:, [k - 1 for k in LOAD_BUSES]], on_bus, np.array(bound))
+
+
+def basis_table() -> list[tuple[str, list[float], list[float]]]:
+    """(name of the tight pair, three rows of [constant, per load bus 5, 7, 9] giving the outputs, three rows of derivatives by the load at each of 9 buses)."""
+    net, out = network(), []
+    for i, j in combinations(range(len(net.bound)), 2):
+        a = np.array([np.ones(3), net.on_gen[i], net.on_gen[j]])
+        if abs(np.linalg.det(a)) < 1e-9:
+            continue
+        inv = np.linalg.inv(a)
+        const = inv @ np.array([0.0, net.bound[i], net.bound[j]])
+        per = inv @ np.array([np.ones(9), -net.on_bus[i], -net.on_bus[j]])
+        out.append((f"{net.names[i]}+{net.names[j]}", [float(x) for r in range(3) for x in (const[r], *per[r][[k - 1 for k in LOAD_BUSES]])], per.ravel().tolist()))
+    return out
+
+
+RESULT = StructType([*[StructField(c, DoubleType()) for c in ("cost", "g1", "g2", "g3", "price_g1", "profit_g1", "mean_price")], StructField("basis", StringType())])
+
+
+@lru_cache(maxsize=1)
+def _tables():
+    t, net = basis_table(), network()
+    m = np.array([x[1] for x in t]).reshape(len(t), 3, 4)
+    return np.array([x[0] for x in t], object), m[:, :, 0], m[:, :, 1:], np.array([x[2] for x in t]).reshape(len(t), 3, 9), net
+
+
+@F.pandas_udf(RESULT)
+def dispatch(d5: pd.Series, d7: pd.Series, d9: pd.Series, k1: pd.Series, k3: pd.Series) -> pd.DataFrame:
+    """The cheapest dispatch at bus loads in MW and bid multipliers of G1 and G3, its prices and G1's profit at true cost."""
+    names, const, per, slope, net = _tables()
+    x = np.stack([c.to_numpy(dtype=float, na_value=np.nan) for c in (d5, d7, d9, k1, k3)], 1)
+    n, out = len(x), {c: [] for c in RESULT.names}
+    for lo in range(0, n, 2000):  # the table times so many hours is what is held at a time
+        load, bid = x[lo : lo + 2000, :3], x[lo : lo + 2000, 3:]
+        price = np.stack([GENERATORS[0][4] * bid[:, 0], np.full(len(bid), GENERATORS[1][4]), GENERATORS[2][4] * bid[:, 1]], 1)
+        p = const[None] + np.einsum("brd,nd->nbr", per, load)
+        room = net.bound - load @ net.on_load.T
+        ok = (np.einsum("kr,nbr->nbk", net.on_gen, p) <= room[:, None, :] + TOLERANCE).all(2)
+        cost = np.where(ok, np.einsum("nbr,nr->nb", p, price), np.inf)
+        best = cost.argmin(1)
+        rows = np.arange(len(best))
+        has = np.isfinite(cost[rows, best])
+        q = np.where(has[:, None], p[rows, best], np.nan)
+        lmp = np.einsum("nrb,nr->nb", slope[best], price)
+        at1 = np.where(has, lmp[:, 0], np.nan)
+        cols = (np.where(has, cost[rows, best], np.nan), q[:, 0], q[:, 1], q[:, 2], at1, (at1 - GENERATORS[0][4]) * q[:, 0], np.where(has, lmp.mean(1), np.nan))
+        for c, v in zip(out, cols):
+            out[c] += [None if np.isnan(y) else float(y) for y in v]
+        out["basis"] += [names[b] if h else None for b, h in zip(best, has)]
+    return pd.DataFrame(out)
+
+
+def residual_loads(total: Column, renewable: Column) -> Column:
+    """array of (case_id, total residual MW, surplus MW): C0 none, C1 half, C2 all of the renewable output taken off.
+
+    What would press the residual below the generators' minima is surplus; the residual stays at that floor.
+    """
+    floor = sum(g[2] for g in GENERATORS)
+    cases = []
+    for name, share in (("C0", 0.0), ("C1", 0.5), ("C2", 1.0)):
+        raw = total - renewable * share
+        cases.append(F.struct(F.lit(name).alias("case_id"), F.greatest(raw, F.lit(floor)).alias("residual_mw"), F.greatest(F.lit(floor) - raw, F.lit(0.0)).alias("surplus_mw")))
+    return F.array(*cases)
+
+
+def bus_shares() -> dict[int, float]:
+    """Share of each load bus in the base load."""
+    total = sum(BASE_LOAD.values())
+    return {b: v / total for b, v in BASE_LOAD.items()}
+
+
+def dispatch_rows(rows: DataFrame, total: str, k1: Column | None = None, k3: Column | None = None) -> DataFrame:
+    """Adds ``d``, the dispatch of a system load spread over the buses by their base shares."""
+    s = bus_shares()
+    return rows.withColumn("d", dispatch(*[F.col(total) * s[b] for b in LOAD_BUSES], F.lit(1.0) if k1 is None else k1, F.lit(1.0) if k3 is None else k3))

@@ -1,18 +1,593 @@
-"""Queries of the reference's own data operators, each with the SQL that checks it."""
+"""Queries of the reference's own data operators, each with the SQL that checks it where SQL can."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wattloom.functions import cards as K
+from wattloom.functions import numbers as N
+from wattloom.functions import records as R
+from wattloom.functions import vectors as V
+from wattloom.functions.times import decision_cutoff, hour_ending, local_date_text
+from wattloom.operators import dispatch as D
+from wattloom.operators import joins as J
+from wattloom.operators import series as S
+from wattloom.operators import stats as A
 from wattloom.sources.tables import table
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+HOUR = "yyyy-MM-dd HH:mm:ss"
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame under its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _text(ts, name: str):
+    return F.date_format(ts, HOUR).alias(name)
+
+
+# Scans, projections and predicates
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour_utc, event_type, round(avg(value), 6) AS mean_value, count(value) AS n_values FROM events GROUP BY 1, 2")
+def hourly_resample(spark, sf):
+    """Mean and count per hour and kind."""
+    d = S.resample(table(spark, sf, "events"), ["event_type"], "ts", "value")
+    return d.select(_text("ts", "hour_utc"), "event_type", F.round("mean_value", 6).alias("mean_value"), "n_values")
+
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """Hourly resample of the event stream."""
-    ev = table(spark, sf, "events")
-    return ev.groupBy(F.date_trunc("hour", "ts").alias("hour_utc")).agg(F.avg("value").alias("mean_value"), F.count("*").alias("n_readings"))
+    """States with the forecast known at their cutoff, scaled to the network and dispatched at least cost."""
+    return dispatch_of_states(spark, sf)
+
+
+@query("SELECT state_row_id, region, target_he, current_load_mw FROM public_energy_state WHERE split = 'TRAIN' AND target_hour_utc >= TIMESTAMP '2022-11-03 00:00:00' AND target_hour_utc < TIMESTAMP '2022-11-09 00:00:00' AND region IN ('MAINE', 'VERMONT', 'SEMASS')")
+def scan_pruned(spark, sf):
+    """Pushed-down split, half-open range and IN list; four columns are read."""
+    d = table(spark, sf, "public_energy_state")
+    t = F.col("target_hour_utc")
+    inside = (t >= F.lit("2022-11-03 00:00:00").cast("timestamp")) & (t < F.lit("2022-11-09 00:00:00").cast("timestamp"))
+    return d.where((F.col("split") == "TRAIN") & inside & F.col("region").isin("MAINE", "VERMONT", "SEMASS")).select("state_row_id", "region", "target_he", "current_load_mw")
+
+
+@query("SELECT event_type, count(k) AS n_numbers, sum(k) AS total, count(*) - count(k) AS n_bad FROM (SELECT event_type, try_cast(json_extract_string(props, '$.k') AS BIGINT) k FROM events) GROUP BY 1")
+def json_numbers(spark, sf):
+    """A field of a JSON text, coerced; what is no number is null."""
+    d = table(spark, sf, "events").select("event_type", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+    return d.groupBy("event_type").agg(F.count("k").alias("n_numbers"), F.sum("k").alias("total"), F.count_if(F.col("k").isNull()).alias("n_bad"))
+
+
+@query("SELECT control_area, count(*) AS n_rows, count_if(strftime(l, '%Y-%m-%d') = target_local_date) AS same_date, count_if(hour(l) + 1 = target_he) AS same_hour FROM (SELECT *, timezone('America/New_York', timezone('UTC', target_hour_utc)) l FROM public_energy_state) GROUP BY 1")
+def local_hour_audit(spark, sf):
+    """Recorded local date and hour ending against those of the instant."""
+    d, t = table(spark, sf, "public_energy_state"), F.col("target_hour_utc")
+    return d.groupBy("control_area").agg(F.count("*").alias("n_rows"), F.count_if(local_date_text(t) == F.col("target_local_date")).alias("same_date"), F.count_if(hour_ending(t) == F.col("target_he")).alias("same_hour"))
+
+
+@query("SELECT control_area, count(*) AS n_rows, count_if(dispatch_mw IS NOT NULL AND isfinite(dispatch_mw) AND utilization IS NOT NULL AND isfinite(utilization) AND headroom_mw IS NOT NULL AND isfinite(headroom_mw) AND own_lmp IS NOT NULL AND isfinite(own_lmp)) AS n_finite FROM own_generator GROUP BY 1")
+def finite_rows(spark, sf):
+    """Rows whose numbers are all present and finite."""
+    return table(spark, sf, "own_generator").groupBy("control_area").agg(F.count("*").alias("n_rows"), F.count_if(N.all_finite("dispatch_mw", "utilization", "headroom_mw", "own_lmp")).alias("n_finite"))
+
+
+@query("SELECT region, count_if(abs(current_load_mw / peak_load_mw - load_factor) <= 1e-3 + 1e-5 * abs(load_factor)) AS n_close, count(*) AS n_rows FROM public_energy_state WHERE peak_load_mw > 0 GROUP BY 1")
+def ratio_checks(spark, sf):
+    """Recorded ratios against recomputed ones, within a tolerance."""
+    d = table(spark, sf, "public_energy_state").where("peak_load_mw > 0")
+    return d.groupBy("region").agg(F.count_if(N.is_close(F.col("current_load_mw") / F.col("peak_load_mw"), F.col("load_factor"), 1e-5, 1e-3)).alias("n_close"), F.count("*").alias("n_rows"))
+
+
+@query("""SELECT region, label, count(*) AS n_rows FROM (
+ SELECT region, CASE WHEN current_load_mw <= q[1] THEN 'LOW' WHEN current_load_mw >= q[2] THEN 'HIGH' WHEN current_load_mw IS NOT NULL THEN 'MEDIUM' END AS label
+ FROM public_energy_state, (SELECT quantile_cont(current_load_mw, [0.3333333333333333, 0.6666666666666666]) q FROM public_energy_state WHERE split = 'TRAIN' AND isfinite(current_load_mw))) GROUP BY 1, 2""")
+def fitted_levels(spark, sf):
+    """Thirds fitted on TRAIN, applied as labels everywhere."""
+    d = table(spark, sf, "public_energy_state")
+    fit = A.fit_quantiles(d, ["current_load_mw"], [1 / 3, 2 / 3], F.col("split") == "TRAIN").select("quantiles")  # one row
+    label = N.level3(F.col("current_load_mw"), F.try_element_at("quantiles", F.lit(1)), F.try_element_at("quantiles", F.lit(2)))
+    return d.join(F.broadcast(fit)).select("region", label.alias("label")).groupBy("region", "label").agg(F.count("*").alias("n_rows"))
+
+
+@query("""SELECT control_area, count(*) AS n_rows, count_if(r < 0.5) AS clipped_low, count_if(r > 1.5) AS clipped_high, round(avg(least(greatest(r, 0.5), 1.5)), 9) AS mean_alpha, round(min(r), 9) AS min_raw, round(max(r), 9) AS max_raw
+ FROM (SELECT control_area, current_load_mw / (SELECT median(current_load_mw) FROM public_energy_state WHERE split = 'TRAIN' AND isfinite(current_load_mw)) r FROM public_energy_state WHERE isfinite(current_load_mw)) GROUP BY 1""")
+def clipped_scale(spark, sf):
+    """Load over the TRAIN median, clipped, with how often the clip binds."""
+    d = _scaled(spark, sf)
+    r = F.col("raw")
+    return d.groupBy("control_area").agg(
+        F.count("*").alias("n_rows"), F.count_if(r < 0.5).alias("clipped_low"), F.count_if(r > 1.5).alias("clipped_high"),
+        F.round(F.avg("alpha"), 9).alias("mean_alpha"), F.round(F.min(r), 9).alias("min_raw"), F.round(F.max(r), 9).alias("max_raw"),
+    )
+
+
+def _scaled(spark, sf):
+    d = table(spark, sf, "public_energy_state").where(N.is_finite(F.col("current_load_mw")))
+    fit = d.where("split = 'TRAIN'").agg(F.median("current_load_mw").alias("_m"))  # one row
+    raw = F.col("current_load_mw") / F.col("_m")
+    return d.join(F.broadcast(fit)).withColumn("raw", raw).withColumn("alpha", N.clip(F.col("raw"), 0.5, 1.5)).drop("_m")
+
+
+@query("SELECT CASE WHEN utilization < 0.4 THEN 'LOW' WHEN utilization <= 0.8 THEN 'MEDIUM' WHEN utilization IS NOT NULL THEN 'HIGH' END AS level, CASE WHEN utilization < 0.8 THEN 'LOW' WHEN utilization < 0.95 THEN 'ELEVATED' WHEN utilization IS NOT NULL THEN 'HIGH' END AS stress, count(*) AS n_rows FROM own_generator GROUP BY 1, 2")
+def step_labels(spark, sf):
+    """Fixed steps of one number as labels."""
+    u = F.col("utilization")
+    level = F.when(u < 0.4, "LOW").when(u <= 0.8, "MEDIUM").when(u.isNotNull(), "HIGH")
+    return table(spark, sf, "own_generator").select(level.alias("level"), N.step_label(u, [(0.8, "LOW"), (0.95, "ELEVATED")], "HIGH").alias("stress")).groupBy("level", "stress").agg(F.count("*").alias("n_rows"))
+
+
+@query("""SELECT generator_id, t AS trend, count(*) AS n_rows FROM (SELECT generator_id, CASE WHEN x > 1e-9 THEN 'UP' WHEN x < -1e-9 THEN 'DOWN' WHEN x IS NOT NULL THEN 'FLAT' END t
+ FROM (SELECT generator_id, dispatch_mw - lag(dispatch_mw) OVER (PARTITION BY generator_id ORDER BY observation_timestamp, record_id) x FROM own_generator)) GROUP BY 1, 2""")
+def trends(spark, sf):
+    """Change to the record before, as a label with a dead band."""
+    w = Window.partitionBy("generator_id").orderBy(F.asc_nulls_last("observation_timestamp"), "record_id")
+    x = F.col("dispatch_mw") - F.lag("dispatch_mw").over(w)
+    return table(spark, sf, "own_generator").select("generator_id", N.trend_label(x).alias("trend")).groupBy("generator_id", "trend").agg(F.count("*").alias("n_rows"))
+
+
+TERMS = ["deterministic interpretation", "payoff", "network stress", "reward", "future"]
+
+
+@query(f"SELECT CASE {' '.join(f'''WHEN contains(lower(prompt), '{t}') THEN '{t}' ''' for t in TERMS)} END AS term, count(*) AS n_rows FROM public_state_v1_sft GROUP BY 1")
+def forbidden_terms(spark, sf):
+    """The first listed term each prompt contains."""
+    d = table(spark, sf, "public_state_v1_sft").select(R.forbidden_term(F.col("prompt"), TERMS).alias("term"))
+    return d.groupBy("term").agg(F.count("*").alias("n_rows"))
+
+
+@query("SELECT provenance, count_if(sha256(prompt) = prompt_hash) AS n_plain, count_if(sha256(prompt || chr(10)) = prompt_hash) AS n_with_newline, count(prompt_hash) AS n_hashed FROM public_state_v1_sft GROUP BY 1")
+def hash_identity(spark, sf):
+    """Recorded prompt hashes against recomputed ones."""
+    p, h = F.col("prompt"), F.col("prompt_hash")
+    return table(spark, sf, "public_state_v1_sft").groupBy("provenance").agg(F.count_if(R.sha256(p) == h).alias("n_plain"), F.count_if(R.sha256(F.concat(p, F.lit("\n"))) == h).alias("n_with_newline"), F.count(h).alias("n_hashed"))
+
+
+@query("SELECT array_to_string(json_keys(target_json), ',') AS key_order, count(*) AS n_rows FROM public_state_v1_sft GROUP BY 1")
+def key_orders(spark, sf):
+    """Histogram of the order of the record's keys."""
+    return table(spark, sf, "public_state_v1_sft").select(F.array_join(F.json_object_keys("target_json"), ",").alias("key_order")).groupBy("key_order").agg(F.count("*").alias("n_rows"))
+
+
+@query("SELECT json_array_length(target_json, '$.e') AS n_e, json_array_length(target_json, '$.b') AS n_b, json_array_length(target_json, '$.p') AS n_p, count(*) AS n_rows FROM public_state_v1_sft GROUP BY 1, 2, 3")
+def field_lengths(spark, sf):
+    """Histogram of the lengths of the record's lists."""
+    n = lambda k: F.json_array_length(F.get_json_object("target_json", f"$.{k}")).cast("long").alias(f"n_{k}")
+    return table(spark, sf, "public_state_v1_sft").select(n("e"), n("b"), n("p")).groupBy("n_e", "n_b", "n_p").agg(F.count("*").alias("n_rows"))
+
+
+@query()
+def decision_errors(spark, sf):
+    """First broken rule of the decision record inside each answer, and of each training target."""
+    c = table(spark, sf, "t45_k4_free_candidates").select(F.lit("answers").alias("origin"), R.decision_error(R.first_object(F.col("raw_output"))).alias("error"))
+    t = table(spark, sf, "public_state_v1_sft").select(F.lit("targets").alias("origin"), R.decision_error(F.col("target_json")).alias("error"))
+    return c.unionByName(t).groupBy("origin", "error").agg(F.count("*").alias("n_rows"))
+
+
+@query()
+def answer_forms(spark, sf):
+    """Structure of each answer's text: JSON or not, balanced, repeated, decorated."""
+    x = F.col("raw_output")
+    d = table(spark, sf, "t45_k4_free_candidates").select(R.is_json(x).alias("whole_json"), R.brackets(x)["balanced"].alias("balanced"), R.repeats(x).alias("repeats"), (R.undecorated(x) != x).alias("decorated"), R.repeated_root_keys(R.first_object(x)).alias("repeated_keys"))
+    return d.groupBy(*d.columns).agg(F.count("*").alias("n_rows"))
+
+
+@query()
+def canonical_targets(spark, sf):
+    """Rows and distinct spellings per canonical target, by the hash of its canonical JSON."""
+    d = table(spark, sf, "public_state_v1_sft").select(R.sha256(R.canonical_json(F.col("target_json"))).alias("target_hash"), "target_json")
+    return d.groupBy("target_hash").agg(F.count("*").alias("n_rows"), F.countDistinct("target_json").alias("n_spellings"))
+
+
+@query("""SELECT state_row_id, 'STATE' || chr(10) || 'load:' || chr(10) || '  current load mw: ' || current_load_mw::VARCHAR || chr(10) || '  peak load mw: ' || peak_load_mw::VARCHAR || chr(10) || 'place:' || chr(10) || '  region: ' || region || chr(10) || '  hour: ' || target_he::VARCHAR AS card
+ FROM public_energy_state WHERE current_load_mw IS NOT NULL AND peak_load_mw IS NOT NULL AND region IS NOT NULL AND target_he IS NOT NULL""")
+def card_texts(spark, sf):
+    """Nested state cards as text."""
+    c = F.col
+    d = table(spark, sf, "public_energy_state").where("current_load_mw IS NOT NULL AND peak_load_mw IS NOT NULL AND region IS NOT NULL AND target_he IS NOT NULL")
+    text = K.card_text({"load": {"current_load_mw": c("current_load_mw"), "peak_load_mw": c("peak_load_mw")}, "place": {"region": c("region"), "hour": c("target_he")}}, "STATE")
+    return d.select("state_row_id", text.alias("card"))
+
+
+@query()
+def state_cards(spark, sf):
+    """State cards as JSON without absent fields, with the hash of their text."""
+    c = F.col
+    card = K.card({"load": {"current_load_mw": c("current_load_mw"), "load_factor": c("load_factor"), "peak_load_mw": c("peak_load_mw")}, "own": {"generator_id": c("generator_id")}, "target": {"local_date": c("target_local_date"), "he": c("target_he"), "region": c("region")}})
+    d = table(spark, sf, "public_energy_state").select("state_row_id", F.to_json(card).alias("card_json"))
+    return d.withColumn("card_hash", R.sha256(F.col("card_json")))
+
+
+@query("SELECT state_row_id, round_even(current_load_mw, 1) AS load_key, round_even(load_factor, 2) AS factor_key FROM public_energy_state")
+def rounded_keys(spark, sf):
+    """Keys rounded to even."""
+    return table(spark, sf, "public_energy_state").select("state_row_id", N.half_even(F.col("current_load_mw"), 1).alias("load_key"), N.half_even(F.col("load_factor"), 2).alias("factor_key"))
+
+
+# Joins
+
+
+@query("""WITH l AS (SELECT l_orderkey k, count(*) n FROM lineitem GROUP BY 1), r AS (SELECT o_orderkey k, count(*) n FROM orders GROUP BY 1), b AS (SELECT coalesce(l.k, r.k) k, l.n a, r.n b FROM l FULL JOIN r ON l.k = r.k)
+ SELECT coalesce(sum(CASE WHEN k IS NULL THEN a END), 0)::BIGINT AS left_null_rows, coalesce(sum(CASE WHEN k IS NULL THEN b END), 0)::BIGINT AS right_null_rows, count_if(k IS NOT NULL AND a > 1) AS left_repeated_keys, count_if(k IS NOT NULL AND b > 1) AS right_repeated_keys,
+ count_if(k IS NOT NULL AND b IS NULL) AS left_only_keys, count_if(k IS NOT NULL AND a IS NULL) AS right_only_keys, count_if(k IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL) AS common_keys FROM b""")
+def join_preflight(spark, sf):
+    """Whether lines and orders would join one to one, and what stands against it."""
+    left = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"))
+    return J.join_report(left, table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")), ["k"])
+
+
+@query("SELECT r_name, n_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
+def join_chain(spark, sf):
+    """Four tables along their keys; Catalyst broadcasts what is small and pre-aggregates nothing twice."""
+    t = lambda n: table(spark, sf, n)
+    per = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("p"))
+    d = per.join(t("customer"), "c_custkey").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return d.groupBy("r_name", "n_name").agg(F.sum("n").alias("n_orders"), F.round(F.sum("p"), 2).alias("total"))
+
+
+@query("SELECT s_name IS NOT NULL AS found, count(*) AS n_rows FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1")
+def lookup_complete(spark, sf):
+    """Lines that find their supplier."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    return J.lookup(table(spark, sf, "lineitem").select("l_suppkey"), s, ["l_suppkey"]).groupBy("found").agg(F.count("*").alias("n_rows"))
+
+
+@query("""WITH f AS (SELECT control_area a, forecast_date d, forecast_hour h, count(*) n FROM load_forecast GROUP BY 1, 2, 3), s AS (SELECT control_area a, target_local_date d, target_he h, count(*) n FROM public_energy_state GROUP BY 1, 2, 3)
+ SELECT coalesce(f.a, s.a) AS control_area, count_if(f.n IS NOT NULL AND s.n IS NOT NULL) AS n_both, count_if(s.n IS NULL) AS n_forecast_only, count_if(f.n IS NULL) AS n_state_only FROM f FULL JOIN s ON f.a = s.a AND f.d = s.d AND f.h = s.h GROUP BY 1""")
+def hours_on_both_sides(spark, sf):
+    """Full outer join of forecast hours and decision hours."""
+    k = ["control_area", "d", "h"]
+    f = table(spark, sf, "load_forecast").groupBy("control_area", F.col("forecast_date").alias("d"), F.col("forecast_hour").alias("h")).agg(F.count("*").alias("_f"))
+    s = table(spark, sf, "public_energy_state").groupBy("control_area", F.col("target_local_date").alias("d"), F.col("target_he").alias("h")).agg(F.count("*").alias("_s"))
+    d = f.join(s, k, "full_outer")
+    return d.groupBy("control_area").agg(F.count_if(F.col("_f").isNotNull() & F.col("_s").isNotNull()).alias("n_both"), F.count_if(F.col("_s").isNull()).alias("n_forecast_only"), F.count_if(F.col("_f").isNull()).alias("n_state_only"))
+
+
+_HOURLY = "SELECT generator_id, date_trunc('hour', observation_timestamp) h, round(avg(dispatch_mw), 6) v FROM own_generator WHERE observation_timestamp IS NOT NULL AND generator_id IS NOT NULL GROUP BY 1, 2"
+
+
+def _generator_hours(spark, sf):
+    d = table(spark, sf, "own_generator").where("observation_timestamp IS NOT NULL AND generator_id IS NOT NULL")
+    return d.groupBy("generator_id", F.date_trunc("hour", "observation_timestamp").alias("h")).agg(F.round(F.avg("dispatch_mw"), 6).alias("v"))
+
+
+@query(f"""WITH g AS ({_HOURLY}), s AS (SELECT DISTINCT state_row_id, generator_id, date_trunc('hour', decision_cutoff_utc) c FROM public_energy_state),
+ x AS (SELECT state_row_id, count(v) n, array_to_string(list(v::VARCHAR ORDER BY h), ',') a FROM s JOIN g ON s.generator_id = g.generator_id AND g.h <= s.c AND g.h > s.c - INTERVAL 4 HOURS GROUP BY 1)
+ SELECT DISTINCT p.state_row_id, CASE WHEN n = 4 THEN a END AS last_hours FROM public_energy_state p LEFT JOIN x ON p.state_row_id = x.state_row_id""")
+def last_hours(spark, sf):
+    """The last four hourly means of the generator at the cutoff, if all are there."""
+    d = J.tail_as_of(table(spark, sf, "public_energy_state"), "state_row_id", "generator_id", "decision_cutoff_utc", _generator_hours(spark, sf), "h", "v", 4)
+    return d.select("state_row_id", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("last_hours"))
+
+
+@query("""SELECT control_area, forecast_date, forecast_hour, region, forecast_id, vintage FROM (SELECT *, row_number() OVER (PARTITION BY control_area, forecast_date, forecast_hour, region ORDER BY published_datetime_utc DESC, forecast_id DESC) k FROM load_forecast
+ WHERE published_datetime_utc <= timezone('UTC', timezone('America/New_York', forecast_date::DATE - INTERVAL 1 DAY + INTERVAL 10 HOURS))) WHERE k = 1""")
+def newest_vintages(spark, sf):
+    """Per area, date, hour and region the newest forecast published by ten o'clock local time of the day before."""
+    d = table(spark, sf, "load_forecast")
+    return J.newest_before(d, ["control_area", "forecast_date", "forecast_hour", "region"], "published_datetime_utc", decision_cutoff(F.col("forecast_date").cast("date")), [F.col("forecast_id")]).select("control_area", "forecast_date", "forecast_hour", "region", "forecast_id", "vintage")
+
+
+@query("""WITH c AS (SELECT group_index g, row_number() OVER (PARTITION BY group_index ORDER BY candidate_index, generated_tokens) i, generated_tokens v FROM t45_k4_free_candidates)
+ SELECT a.g AS group_index, (max(a.n) * (max(a.n) - 1)) // 2 AS n_pairs, coalesce(max(p.r), 0) AS n_rising FROM (SELECT g, count(*) n FROM c GROUP BY 1) a LEFT JOIN (SELECT x.g, count(*) r FROM c x JOIN c y ON x.g = y.g AND x.i < y.i AND y.v > x.v GROUP BY 1) p ON a.g = p.g GROUP BY 1""")
+def ordered_pairs(spark, sf):
+    """Ordered pairs of a prompt's candidates, and those in which the answer gets longer."""
+    d = J.pair_gaps(table(spark, sf, "t45_k4_free_candidates"), "group_index", "candidate_index", "generated_tokens")
+    return d.select("group_index", F.col("n_pairs").cast("long").alias("n_pairs"), F.col("n_rising").cast("long").alias("n_rising"))
+
+
+@query("SELECT prompt_hash, target_json FROM public_state_v1_sft WHERE upper(trim(split, ' ' || chr(10) || chr(9) || chr(13))) = 'TRAIN' INTERSECT SELECT prompt_hash, target_json FROM public_state_v1_sft WHERE upper(trim(split, ' ' || chr(10) || chr(9) || chr(13))) IN ('DEV', 'HOLDOUT')")
+def exact_overlap(spark, sf):
+    """Hash and target pairs that occur on both sides of the split."""
+    d = table(spark, sf, "public_state_v1_sft").withColumn("s", F.upper(F.trim(F.regexp_replace("split", r"^\s+|\s+$", ""))))
+    return J.present_on_both(d.where("s = 'TRAIN'"), d.where("s IN ('DEV', 'HOLDOUT')"), ["prompt_hash", "target_json"])
+
+
+@query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem")
+def never_sold(spark, sf):
+    """Expected keys that aren't present."""
+    return J.missing_from(table(spark, sf, "part"), table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey")), ["p_partkey"])
+
+
+@query("SELECT kind, nation, count(*) AS n_rows, round(sum(balance), 2) AS balance FROM (SELECT 'customer' kind, c_nationkey nation, c_acctbal balance FROM customer UNION ALL SELECT 'supplier', s_nationkey, s_acctbal FROM supplier) GROUP BY 1, 2")
+def stacked_parties(spark, sf):
+    """Union of two tables by name."""
+    c = table(spark, sf, "customer").select(F.lit("customer").alias("kind"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
+    s = table(spark, sf, "supplier").select(F.col("s_acctbal").alias("balance"), F.lit("supplier").alias("kind"), F.col("s_nationkey").alias("nation"))
+    return c.unionByName(s).groupBy("kind", "nation").agg(F.count("*").alias("n_rows"), F.round(F.sum("balance"), 2).alias("balance"))
+
+
+@query("""SELECT generator_id, strftime(min(observation_timestamp) FILTER (own_lmp IS NOT NULL), '%Y-%m-%d %H:%M:%S') AS first_priced, arg_min(dispatch_mw, record_id) FILTER (dispatch_mw IS NOT NULL) AS first_dispatch, arg_min(own_lmp, record_id) FILTER (own_lmp IS NOT NULL) AS first_lmp FROM own_generator GROUP BY 1""")
+def first_values(spark, sf):
+    """First known value of each column per generator."""
+    d = table(spark, sf, "own_generator")
+    t = d.groupBy("generator_id").agg(_text(F.min(F.when(F.col("own_lmp").isNotNull(), F.col("observation_timestamp"))), "first_priced"))
+    v = J.first_known(d, "generator_id", "record_id", ["dispatch_mw", "own_lmp"]).select("generator_id", F.col("dispatch_mw").alias("first_dispatch"), F.col("own_lmp").alias("first_lmp"))
+    return t.join(v, t["generator_id"].eqNullSafe(v["generator_id"])).select(t["generator_id"], "first_priced", "first_dispatch", "first_lmp")
+
+
+# Series and windows
+
+
+@query("""WITH h AS (SELECT event_type, date_trunc('hour', ts) t, count(value) n FROM events GROUP BY 1, 2), g AS (SELECT event_type, unnest(generate_series(min(t), max(t), INTERVAL 1 HOUR)) t FROM h GROUP BY 1)
+ SELECT g.event_type, strftime(g.t, '%Y-%m-%d %H:%M:%S') AS hour_utc, h.n AS n_values FROM g LEFT JOIN h ON g.event_type = h.event_type AND g.t = h.t""")
+def hours_with_gaps(spark, sf):
+    """Hourly counts with a row for every empty hour."""
+    h = S.resample(table(spark, sf, "events"), ["event_type"], "ts", "value").drop("mean_value")
+    return S.with_empty_hours(h, ["event_type"], "ts").select("event_type", _text("ts", "hour_utc"), "n_values")
+
+
+@query(f"""SELECT generator_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS gap_from, strftime(h, '%Y-%m-%d %H:%M:%S') AS gap_to, (epoch(h) - epoch(a))::BIGINT // 3600 - 1 AS missing_hours FROM (SELECT *, lag(h) OVER (PARTITION BY generator_id ORDER BY h) a FROM ({_HOURLY})) WHERE h > a + INTERVAL 1 HOUR""")
+def generator_gaps(spark, sf):
+    """Stretches without a record of a generator."""
+    d = S.gaps_over(_generator_hours(spark, sf), ["generator_id"], "h")
+    return d.select("generator_id", _text("gap_from", "gap_from"), _text("gap_to", "gap_to"), F.col("missing_hours").cast("long").alias("missing_hours"))
+
+
+@query(f"""WITH h AS ({_HOURLY}), g AS (SELECT generator_id, unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) t FROM h GROUP BY 1), x AS (SELECT g.generator_id, g.t, h.v FROM g LEFT JOIN h ON g.generator_id = h.generator_id AND g.t = h.h),
+ y AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER p ta, last_value(v IGNORE NULLS) OVER p va, first_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER q tb, first_value(v IGNORE NULLS) OVER q vb FROM x
+ WINDOW p AS (PARTITION BY generator_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS (PARTITION BY generator_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+ SELECT generator_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS hour_utc, v IS NULL AND va IS NOT NULL AND vb IS NOT NULL AS imputed, round(coalesce(v, va + (vb - va) * (epoch(t) - epoch(ta)) / (epoch(tb) - epoch(ta))), 5) AS dispatch_mw FROM y""")
+def interpolated(spark, sf):
+    """Hourly generator series with inner gaps filled on straight lines."""
+    d = S.with_empty_hours(_generator_hours(spark, sf), ["generator_id"], "h")
+    return S.interpolate_inside(d, ["generator_id"], "h", "v").select("generator_id", _text("h", "hour_utc"), "imputed", F.round("v", 5).alias("dispatch_mw"))
+
+
+@query("""SELECT generator_id, count(*) AS n_rows, bool_and(coalesce(up, true)) AS rising, count(DISTINCT observation_timestamp) = count(observation_timestamp) AS unique_times FROM (SELECT *, observation_timestamp > lag(observation_timestamp) OVER (PARTITION BY generator_id ORDER BY record_id) up FROM own_generator) GROUP BY 1""")
+def order_checks(spark, sf):
+    """Whether a generator's records come in strictly rising time order."""
+    return S.rising_times(table(spark, sf, "own_generator"), ["generator_id"], "record_id", "observation_timestamp")
+
+
+@query("SELECT record_id, generator_id FROM (SELECT *, row_number() OVER (PARTITION BY generator_id, observation_timestamp ORDER BY availability_timestamp DESC NULLS LAST, record_id DESC) k FROM own_generator) WHERE k = 1")
+def latest_corrections(spark, sf):
+    """One record per generator and observation: the one available last."""
+    return J.keep_one(table(spark, sf, "own_generator"), ["generator_id", "observation_timestamp"], [F.desc_nulls_last("availability_timestamp"), F.desc("record_id")]).select("record_id", "generator_id")
+
+
+_DAY = """SELECT control_area, forecast_date, list(s ORDER BY forecast_hour) v FROM (SELECT control_area, forecast_date, forecast_hour, round(sum(forecast_mw), 3) s FROM load_forecast WHERE vintage = 'day_ahead' AND forecast_hour BETWEEN 1 AND 24 GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING count(*) = 24"""
+
+
+def _days(spark, sf):
+    d = S.dense_day(table(spark, sf, "load_forecast").where("vintage = 'day_ahead'"), ["control_area", "forecast_date"], "forecast_hour", "forecast_mw")
+    return d.withColumn("day", F.transform("day", lambda x: F.round(x, 3)))
+
+
+@query(f"""SELECT control_area, forecast_date, list_max(v) AS peak_mw, list_position(v, list_max(v))::BIGINT AS peak_hour, list_min(v) AS minimum_mw, round(list_sum(v), 3) AS energy_mwh, round(list_sum(v) / 24 / list_max(v), 9) AS load_factor,
+ round((v[24] - v[1]) / 23, 6) AS trend, round(list_max(list_transform(range(1, 24), lambda i: v[i + 1] - v[i])), 6) AS max_up, round(list_min(list_transform(range(1, 24), lambda i: v[i + 1] - v[i])), 6) AS max_down FROM ({_DAY})""")
+def day_vectors(spark, sf):
+    """Statistics of each area's 24-hour forecast vector."""
+    v = F.col("day")
+    r = lambda c, n, name: F.round(c, n).alias(name)
+    return _days(spark, sf).select(
+        "control_area", "forecast_date", F.array_max(v).alias("peak_mw"), V.first_argmax(v).cast("long").alias("peak_hour"), F.array_min(v).alias("minimum_mw"), r(V.total(v), 3, "energy_mwh"),
+        r(V.load_factor(v), 9, "load_factor"), r(V.trend(v), 6, "trend"), r(F.array_max(V.differences(v)), 6, "max_up"), r(F.array_min(V.differences(v)), 6, "max_down"),
+    )
+
+
+@query("""SELECT control_area, forecast_date, forecast_hour, array_to_string(list(region || '=' || s::VARCHAR ORDER BY region), ',') AS by_region FROM (SELECT control_area, forecast_date, forecast_hour, region, round(sum(forecast_mw), 3) s, count(*) OVER (PARTITION BY control_area, forecast_date, forecast_hour) n FROM load_forecast WHERE region IS NOT NULL GROUP BY 1, 2, 3, 4) WHERE n = 8 GROUP BY 1, 2, 3""")
+def complete_zone_maps(spark, sf):
+    """Hours for which every zone has a forecast, as maps zone -> MW."""
+    k = ["control_area", "forecast_date", "forecast_hour"]
+    d = table(spark, sf, "load_forecast")
+    zones = ["CONNECTICUT", "MAINE", "NEMASSBOST", "NEWHAMPSHIRE", "RHODEISLAND", "SEMASS", "VERMONT", "WCMASS"]
+    m = S.as_map(d, k, "region", "forecast_mw").join(S.complete_groups(d.where("region IS NOT NULL"), k, "region", zones), k)
+    text = F.array_join(F.transform(F.map_entries("by_name"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"], 3).cast("string"))), ",")
+    return m.select(*k, text.alias("by_region"))
+
+
+@query("""WITH h AS (SELECT control_area, forecast_date::DATE d, count(DISTINCT forecast_hour) n FROM load_forecast WHERE forecast_date IS NOT NULL GROUP BY 1, 2), g AS (SELECT control_area, unnest(generate_series(min(d), max(d), INTERVAL 1 DAY))::DATE d FROM h GROUP BY 1)
+ SELECT g.control_area, g.d::VARCHAR AS day, coalesce(n, 0)::INT AS n_hours, CASE WHEN n >= 24 THEN 'COMPLETE' WHEN n > 0 THEN 'PARTIAL' ELSE 'MISSING' END AS status FROM g LEFT JOIN h ON g.control_area = h.control_area AND g.d = h.d""")
+def forecast_coverage(spark, sf):
+    """Every day of an area: complete, partial or missing."""
+    return S.day_coverage(table(spark, sf, "load_forecast"), ["control_area"], "forecast_date", "forecast_hour")
+
+
+@query("SELECT control_area, forecast_date, forecast_hour, region, vintage, count(*) AS n_rows, count(DISTINCT forecast_mw) <= 1 AS agree, min(forecast_id) AS kept FROM load_forecast GROUP BY 1, 2, 3, 4, 5")
+def repeated_forecasts(spark, sf):
+    """Repeated forecasts, whether they agree, and which one is kept."""
+    return S.agreed(table(spark, sf, "load_forecast"), ["control_area", "forecast_date", "forecast_hour", "region", "vintage"], "forecast_mw", "forecast_id")
+
+
+# Statistics and audits
+
+
+@query("SELECT location, min(lmp) AS low, round(avg(lmp), 6) AS mean, round(median(lmp), 6) AS median, round(quantile_cont(lmp, 0.1), 6) AS p10, round(quantile_cont(lmp, 0.9), 6) AS p90, max(lmp) AS high FROM lmp_hourly_hub WHERE isfinite(lmp) GROUP BY 1")
+def price_profile(spark, sf):
+    """Six numbers of each location's prices."""
+    d = A.six_numbers(table(spark, sf, "lmp_hourly_hub").where(N.is_finite(F.col("lmp"))), ["location"], "lmp")
+    return d.select("location", "low", "high", *[F.round(c, 6).alias(c) for c in ("mean", "median", "p10", "p90")])
+
+
+_GEN_COLS = ["dispatch_mw", "utilization", "headroom_mw", "own_lmp", "observation_timestamp", "availability_timestamp"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 9) AS null_rate FROM own_generator" for c in _GEN_COLS))
+def null_profile(spark, sf):
+    """Null rate per column in one pass."""
+    return A.null_rates(table(spark, sf, "own_generator"), _GEN_COLS).withColumn("null_rate", F.round("null_rate", 9))
+
+
+@query("SELECT prompt_hash, count(*) AS n_rows, count(DISTINCT target_json) AS n_target, count(DISTINCT json_extract_string(target_json, '$.a')) AS n_action FROM public_state_v1_sft GROUP BY 1 HAVING count(*) > 1")
+def prompt_conflicts(spark, sf):
+    """Prompts with several records, and how many targets and actions they have."""
+    d = table(spark, sf, "public_state_v1_sft")
+    return A.conflicts(d, ["prompt_hash"], {"target": F.col("target_json"), "action": F.get_json_object("target_json", "$.a")}).where("n_rows > 1")
+
+
+@query("SELECT prompt_hash, to_json(list_sort(list(DISTINCT sft_row_id)))::VARCHAR AS members FROM public_state_v1_sft WHERE prompt_hash IS NOT NULL GROUP BY 1 HAVING count(DISTINCT target_json) > 1")
+def collision_members(spark, sf):
+    """Members of the prompts whose targets differ."""
+    d = table(spark, sf, "public_state_v1_sft").where("prompt_hash IS NOT NULL")
+    bad = d.groupBy("prompt_hash").agg(F.countDistinct("target_json").alias("n")).where("n > 1").select("prompt_hash")
+    return d.join(bad, "prompt_hash").groupBy("prompt_hash").agg(F.to_json(F.sort_array(F.collect_set("sft_row_id"))).alias("members"))
+
+
+_LEVELS = {"X0": ["provenance"], "X1": ["provenance", "n"], "X2": ["provenance", "n", "w"]}
+_LADDER = "(SELECT provenance, length(prompt) // 50 n, floor(sample_weight * 4)::BIGINT w, json_extract_string(target_json, '$.a') a FROM public_state_v1_sft)"
+
+
+@query(" UNION ALL ".join(f"""SELECT '{n}' AS level, count(*) AS n_classes, count_if(k > 1) AS n_conflicts, round(sum(m * ln(m) - s) / sum(m), 9) AS entropy FROM (SELECT sum(c) m, count(*) k, sum(c * ln(c)) s FROM (SELECT {', '.join(cols)}, a, count(*) c FROM {_LADDER} GROUP BY ALL) GROUP BY {', '.join(cols)})""" for n, cols in _LEVELS.items()))
+def entropy_ladder(spark, sf):
+    """What growing feature sets leave open about the action: classes, conflicts, conditional entropy."""
+    d = table(spark, sf, "public_state_v1_sft").select("provenance", F.floor(F.length("prompt") / 50).alias("n"), F.floor(F.col("sample_weight") * 4).alias("w"), F.get_json_object("target_json", "$.a").alias("a"))
+    return A.feature_ladder(d, _LEVELS, "a").withColumn("entropy", F.round("entropy", 9))
+
+
+@query("SELECT l_partkey, arg_max(l_suppkey, {'m': m, 's': -l_suppkey}) AS best_choice, round(max(m), 6) AS best_value FROM (SELECT l_partkey, l_suppkey, round(avg(l_extendedprice), 6) m FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def best_choices(spark, sf):
+    """Per part the supplier with the highest mean price; the smaller key wins ties."""
+    means = table(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.round(F.avg("l_extendedprice"), 6).alias("m"))
+    d = A.best_choice(means, ["l_partkey"], "l_suppkey", "m")
+    return d.select("l_partkey", "best_choice", F.round("best_value", 6).alias("best_value"))
+
+
+@query("SELECT candidate_row_id, round(CASE WHEN d <= 1e-8 THEN 0.0 ELSE (generated_tokens - m) / (d + 1e-8) END, 6) AS advantage FROM (SELECT candidate_row_id, generated_tokens, avg(generated_tokens) OVER w m, stddev_pop(generated_tokens) OVER w d FROM t45_k4_free_candidates WINDOW w AS (PARTITION BY group_index))")
+def group_advantages(spark, sf):
+    """Each candidate against its group in population standard deviations."""
+    d = A.group_advantage(table(spark, sf, "t45_k4_free_candidates").select("candidate_row_id", "group_index", "generated_tokens"), "group_index", "generated_tokens")
+    return d.select("candidate_row_id", F.round("advantage", 6).alias("advantage"))
+
+
+@query("""SELECT group_index, count(*) AS n_rows, count(DISTINCT raw_output) AS n_outputs, count(DISTINCT candidate_index) = 4 AS complete, max(generated_tokens) - min(generated_tokens) AS spread, round(stddev_pop(generated_tokens), 6) AS deviation, count_if(eos_completed) AS n_ended FROM t45_k4_free_candidates GROUP BY 1""")
+def candidate_groups(spark, sf):
+    """Variation inside each prompt's group of candidates."""
+    return table(spark, sf, "t45_k4_free_candidates").groupBy("group_index").agg(
+        F.count("*").alias("n_rows"), F.countDistinct("raw_output").alias("n_outputs"), (F.countDistinct("candidate_index") == 4).alias("complete"),
+        (F.max("generated_tokens") - F.min("generated_tokens")).alias("spread"), F.round(F.stddev_pop("generated_tokens"), 6).alias("deviation"), F.count_if("eos_completed").alias("n_ended"),
+    )
+
+
+@query("SELECT temperature, max_new_tokens, round(avg(eos_completed::INT), 9) AS ended_rate, round(avg(truncated::INT), 9) AS truncated_rate, count(*) AS n_rows, round(corr(generated_tokens, candidate_index), 6) AS correlation FROM t45_k4_free_candidates GROUP BY 1, 2")
+def flag_rates(spark, sf):
+    """Rates of the recorded flags per sampling setting."""
+    b = lambda c, n: F.round(F.avg(F.col(c).cast("int")), 9).alias(n)
+    return table(spark, sf, "t45_k4_free_candidates").groupBy("temperature", "max_new_tokens").agg(b("eos_completed", "ended_rate"), b("truncated", "truncated_rate"), F.count("*").alias("n_rows"), F.round(F.corr("generated_tokens", "candidate_index"), 6).alias("correlation"))
+
+
+@query("SELECT source, arg_min(lang, {'n': -n, 'l': lang}) AS top_value, max(n) AS top_count FROM (SELECT source, lang, count(*) n FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
+def usual_language(spark, sf):
+    """Commonest language label per source; the first in order wins ties."""
+    return A.most_frequent(table(spark, sf, "documents"), ["source"], "lang")
+
+
+@query("SELECT split, round(quantile_cont(generated_tokens, 0.9), 6) AS p90, round(quantile_cont(generated_tokens, 0.95), 6) AS p95, round(quantile_cont(generated_tokens, 0.99), 6) AS p99, count(*) AS n_rows FROM t45_k4_free_candidates GROUP BY 1")
+def length_percentiles(spark, sf):
+    """Upper percentiles of answer lengths."""
+    p = lambda q, n: F.round(F.percentile("generated_tokens", q), 6).alias(n)
+    return table(spark, sf, "t45_k4_free_candidates").groupBy("split").agg(p(0.9, "p90"), p(0.95, "p95"), p(0.99, "p99"), F.count("*").alias("n_rows"))
+
+
+@query("""SELECT sft_row_id, round(list_sum(list_transform(b, lambda x: CASE WHEN x > 0 THEN -x * ln(x) ELSE 0.0 END)), 9) AS entropy, round(exp(list_sum(list_transform(b, lambda x: CASE WHEN x > 0 THEN -x * ln(x) ELSE 0.0 END))), 9) AS support,
+ round(1 - list_sum(list_transform(b, lambda x: x * x * x * x)), 9) AS varies, round(list_sum(list_transform(b, lambda x, i: (x - CASE WHEN i - 1 = a THEN 1 ELSE 0 END) * (x - CASE WHEN i - 1 = a THEN 1 ELSE 0 END))), 9) AS brier
+ FROM (SELECT sft_row_id, json_extract(target_json, '$.b')::DOUBLE[] b, json_extract(target_json, '$.a')::INT a FROM public_state_v1_sft)""")
+def belief_measures(spark, sf):
+    """Entropy, effective support, chance that four draws vary, and Brier score of each target's belief."""
+    d = table(spark, sf, "public_state_v1_sft").select("sft_row_id", F.from_json("target_json", R.DECISION).alias("r"))
+    b, r = F.col("r.b"), lambda c, n: F.round(c, 9).alias(n)
+    return d.select("sft_row_id", r(V.entropy(b), "entropy"), r(V.effective_support(b), "support"), r(V.chance_all_vary(b, 4), "varies"), r(V.brier(b, F.col("r.a")), "brier"))
+
+
+@query("""SELECT sft_row_id, array_to_string(list_transform(b, lambda x: round(exp(x - list_max(b)) / list_sum(list_transform(b, lambda y: exp(y - list_max(b)))), 6)::VARCHAR), ',') AS weights FROM (SELECT sft_row_id, json_extract(target_json, '$.b')::DOUBLE[] b FROM public_state_v1_sft)""")
+def belief_softmax(spark, sf):
+    """Softmax of each belief vector."""
+    d = table(spark, sf, "public_state_v1_sft").select("sft_row_id", F.from_json("target_json", R.DECISION)["b"].alias("b"))
+    return d.select("sft_row_id", F.array_join(F.transform(V.softmax(F.col("b")), lambda x: F.round(x, 6).cast("string")), ",").alias("weights"))
+
+
+@query()
+def belief_top_mass(spark, sf):
+    """Each belief cut to its likeliest nine tenths, and how far that moves it."""
+    d = table(spark, sf, "public_state_v1_sft").select("sft_row_id", F.from_json("target_json", R.DECISION)["b"].alias("b"))
+    d = d.withColumn("top", V.top_p(F.col("b"), 0.9))
+    return d.select("sft_row_id", F.size(F.filter("top", lambda x: x > 0)).alias("n_kept"), F.round(V.total_variation(F.col("b"), F.col("top")), 9).alias("distance"))
+
+
+_SPLIT = "upper(trim(split, ' ' || chr(10) || chr(9) || chr(13)))"
+
+
+@query(f"""WITH n AS (SELECT {_SPLIT} = 'TRAIN' t, json_extract_string(target_json, '$.a') a, count(*) c FROM public_state_v1_sft WHERE {_SPLIT} IS NOT NULL GROUP BY 1, 2), p AS (SELECT a, coalesce(sum(c) FILTER (t), 0) / sum(sum(c) FILTER (t)) OVER () x, coalesce(sum(c) FILTER (NOT t), 0) / sum(sum(c) FILTER (NOT t)) OVER () y FROM n GROUP BY 1)
+ SELECT round(sum(abs(x - y)) / 2, 9) AS distance FROM p""")
+def action_shift(spark, sf):
+    """Total variation between the actions of TRAIN and of the rest."""
+    d = table(spark, sf, "public_state_v1_sft").select((F.upper(F.regexp_replace("split", r"^\s+|\s+$", "")) == "TRAIN").alias("t"), F.get_json_object("target_json", "$.a").alias("a")).where("t IS NOT NULL")
+    n = d.groupBy("a").agg(F.count_if("t").alias("x"), F.count_if(~F.col("t")).alias("y"))
+    s = n.agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"))  # one row
+    return n.join(F.broadcast(s)).agg(F.round(F.sum(F.abs(F.col("x") / F.col("sx") - F.col("y") / F.col("sy"))) / 2, 9).alias("distance"))
+
+
+@query("""SELECT c AS check_name, n AS n_failed, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (
+ SELECT 'published_before_cutoff' c, count_if(NOT coalesce(forecast_publish_utc <= decision_cutoff_utc, false)) n FROM public_energy_state UNION ALL SELECT 'cutoff_before_target', count_if(NOT coalesce(decision_cutoff_utc < target_hour_utc, false)) FROM public_energy_state
+ UNION ALL SELECT 'hour_in_day', count_if(NOT coalesce(target_he BETWEEN 1 AND 24, false)) FROM public_energy_state UNION ALL SELECT 'has_generator', count_if(generator_id IS NULL) FROM public_energy_state)""")
+def timestamp_audit(spark, sf):
+    """Time and presence rules of the decisions, counted in one pass."""
+    c = F.col
+    rules = {"published_before_cutoff": c("forecast_publish_utc") <= c("decision_cutoff_utc"), "cutoff_before_target": c("decision_cutoff_utc") < c("target_hour_utc"), "hour_in_day": c("target_he").between(1, 24), "has_generator": c("generator_id").isNotNull()}
+    return A.checks(table(spark, sf, "public_energy_state"), rules)
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 25")
+def ranked_orders(spark, sf):
+    """Top-k report in a lexicographic order."""
+    return A.rank_by(table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), [F.col("o_orderpriority"), F.desc("o_totalprice"), F.col("o_orderkey")], 25)
+
+
+# Dispatch
+
+_BASIS = ", ".join(f"({', '.join(repr(float(x)) for x in m)})" for _, m, _ in D.basis_table())
+_NET = D.network()
+_LIMITS = " AND ".join(
+    f"{g[0]!r} * p1 + {g[1]!r} * p2 + {g[2]!r} * p3 <= {b!r} - ({l[0]!r} * d5 + {l[1]!r} * d7 + {l[2]!r} * d9) + 1e-7" for g, l, b in zip(_NET.on_gen.tolist(), _NET.on_load.tolist(), _NET.bound.tolist())
+)
+_SHARES = D.bus_shares()
+
+
+def _dispatch_sql(states: str, keys: str) -> str:
+    rows = "SELECT *, " + ", ".join(f"c{r} + e{r}5 * d5 + e{r}7 * d7 + e{r}9 * d9 AS p{r}" for r in (1, 2, 3)) + f" FROM (SELECT {keys}, total * {_SHARES[5]!r} AS d5, total * {_SHARES[7]!r} AS d7, total * {_SHARES[9]!r} AS d9 FROM ({states})), (VALUES {_BASIS}) b(c1, e15, e17, e19, c2, e25, e27, e29, c3, e35, e37, e39)"
+    return f"SELECT {keys}, round(min(20.0 * p1 + 10.0 * p2 + 30.0 * p3) FILTER ({_LIMITS}), 4) AS cost FROM ({rows}) GROUP BY {keys}"
+
+
+_SCALED_SQL = "SELECT state_row_id, 315.0 * least(greatest(current_load_mw / (SELECT median(current_load_mw) FROM public_energy_state WHERE split = 'TRAIN' AND isfinite(current_load_mw)), 0.5), 1.5) AS total, coalesce(load_factor, 0.0) AS f FROM public_energy_state WHERE isfinite(current_load_mw)"
+
+
+@query(_dispatch_sql(_SCALED_SQL, "state_row_id"))
+def dispatch_of_states(spark, sf):
+    """Least-cost dispatch of every state's load, scaled to the network."""
+    d = D.dispatch_rows(_scaled(spark, sf).select("state_row_id", (F.col("alpha") * sum(D.BASE_LOAD.values())).alias("total")), "total")
+    return d.select("state_row_id", F.round("d.cost", 4).alias("cost"))
+
+
+_CASES_SQL = f"SELECT state_row_id, case_id, greatest(total - 60.0 * f * share, 30.0) AS total, greatest(30.0 - (total - 60.0 * f * share), 0.0) AS surplus FROM ({_SCALED_SQL}), (VALUES ('C0', 0.0), ('C1', 0.5), ('C2', 1.0)) c(case_id, share)"
+
+
+@query(f"""WITH d AS ({_dispatch_sql(_CASES_SQL, 'state_row_id, case_id')}) SELECT state_row_id, round(max(cost) FILTER (case_id = 'C1') - max(cost) FILTER (case_id = 'C0'), 3) AS delta_half, round(max(cost) FILTER (case_id = 'C2') - max(cost) FILTER (case_id = 'C0'), 3) AS delta_full FROM d GROUP BY 1""")
+def renewable_deltas(spark, sf):
+    """Cost of each hour with none, half and all of a renewable output, as differences to none."""
+    base = _scaled(spark, sf).select("state_row_id", (F.col("alpha") * sum(D.BASE_LOAD.values())).alias("total"), (60.0 * F.coalesce("load_factor", F.lit(0.0))).alias("renewable"))
+    cases = base.select("state_row_id", F.inline(D.residual_loads(F.col("total"), F.col("renewable"))))
+    cost = D.dispatch_rows(cases, "residual_mw").select("state_row_id", "case_id", F.round("d.cost", 4).alias("cost"))
+    wide = A.pivot_deltas(cost, ["state_row_id"], "case_id", ["C0", "C1", "C2"], "cost")
+    return wide.select("state_row_id", F.round("d_C1", 3).alias("delta_half"), F.round("d_C2", 3).alias("delta_full"))
 
 
-QUERIES = {"hourly_resample": flagship}
-SQL = {"hourly_resample": "SELECT date_trunc('hour', ts) AS hour_utc, avg(value) AS mean_value, count(*) AS n_readings FROM events GROUP BY 1"}
+@query()
+def dispatch_audit(spark, sf):
+    """Balance, zero-output and limit checks of the dispatch, with its largest effects."""
+    base = _scaled(spark, sf).select("state_row_id", (F.col("alpha") * sum(D.BASE_LOAD.values())).alias("total"))
+    d = D.dispatch_rows(base, "total").select("total", "d.*")
+    return d.agg(
+        F.count("*").alias("n_hours"), F.count_if(F.col("cost").isNull()).alias("n_infeasible"), F.max(F.abs(F.col("g1") + F.col("g2") + F.col("g3") - F.col("total"))).alias("max_residual_mw"),
+        F.min("price_g1").alias("min_price"), F.max("price_g1").alias("max_price"), F.min("profit_g1").alias("min_profit"), F.countDistinct("basis").alias("n_regimes"),
+    )
