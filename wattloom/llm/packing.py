@@ -83,4 +83,5 @@ def pack(items: DataFrame, kinds: DataFrame, n_items: int, shard_items: int = 40
         return d
 
     dealt = items.select("doc_id", "n_tokens", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("_shard"))
-    return dealt.groupBy("_shard").applyInPandas(fill, _OUT)
+    # by number, so that small but slow shards aren't coalesced into a few tasks
+    return dealt.repartition(shards, "_shard").groupBy("_shard").applyInPandas(fill, _OUT)
