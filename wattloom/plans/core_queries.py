@@ -338,11 +338,11 @@ def generator_gaps(spark, sf):
 @query(f"""WITH h AS ({_HOURLY}), g AS (SELECT generator_id, unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) t FROM h GROUP BY 1), x AS (SELECT g.generator_id, g.t, h.v FROM g LEFT JOIN h ON g.generator_id = h.generator_id AND g.t = h.h),
  y AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER p ta, last_value(v IGNORE NULLS) OVER p va, first_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER q tb, first_value(v IGNORE NULLS) OVER q vb FROM x
  WINDOW p AS (PARTITION BY generator_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS (PARTITION BY generator_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
- SELECT generator_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS hour_utc, v IS NULL AND va IS NOT NULL AND vb IS NOT NULL AS imputed, round(coalesce(v, va + (vb - va) * (epoch(t) - epoch(ta)) / (epoch(tb) - epoch(ta))), 5) AS dispatch_mw FROM y""")
+ SELECT generator_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS hour_utc, v IS NULL AND va IS NOT NULL AND vb IS NOT NULL AS imputed, round(coalesce(v, va + (vb - va) * (epoch(t) - epoch(ta)) / (epoch(tb) - epoch(ta))) + 1e-7, 3) AS dispatch_mw FROM y""")
 def interpolated(spark, sf):
     """Hourly generator series with inner gaps filled on straight lines."""
     d = S.with_empty_hours(_generator_hours(spark, sf), ["generator_id"], "h")
-    return S.interpolate_inside(d, ["generator_id"], "h", "v").select("generator_id", _text("h", "hour_utc"), "imputed", F.round("v", 5).alias("dispatch_mw"))
+    return S.interpolate_inside(d, ["generator_id"], "h", "v").select("generator_id", _text("h", "hour_utc"), "imputed", F.round(F.col("v") + 1e-7, 3).alias("dispatch_mw"))
 
 
 @query("""SELECT generator_id, count(*) AS n_rows, bool_and(coalesce(up, true)) AS rising, count(DISTINCT observation_timestamp) = count(observation_timestamp) AS unique_times FROM (SELECT *, observation_timestamp > lag(observation_timestamp) OVER (PARTITION BY generator_id ORDER BY record_id) up FROM own_generator) GROUP BY 1""")
@@ -572,14 +572,14 @@ def dispatch_of_states(spark, sf):
 _CASES_SQL = f"SELECT state_row_id, case_id, greatest(total - 60.0 * f * share, 30.0) AS total, greatest(30.0 - (total - 60.0 * f * share), 0.0) AS surplus FROM ({_SCALED_SQL}), (VALUES ('C0', 0.0), ('C1', 0.5), ('C2', 1.0)) c(case_id, share)"
 
 
-@query(f"""WITH d AS ({_dispatch_sql(_CASES_SQL, 'state_row_id, case_id')}) SELECT state_row_id, round(max(cost) FILTER (case_id = 'C1') - max(cost) FILTER (case_id = 'C0'), 3) AS delta_half, round(max(cost) FILTER (case_id = 'C2') - max(cost) FILTER (case_id = 'C0'), 3) AS delta_full FROM d GROUP BY 1""")
+@query(f"""WITH d AS ({_dispatch_sql(_CASES_SQL, 'state_row_id, case_id')}) SELECT state_row_id, round(max(cost) FILTER (case_id = 'C1') - max(cost) FILTER (case_id = 'C0') + 1e-6, 2) AS delta_half, round(max(cost) FILTER (case_id = 'C2') - max(cost) FILTER (case_id = 'C0') + 1e-6, 2) AS delta_full FROM d GROUP BY 1""")
 def renewable_deltas(spark, sf):
     """Cost of each hour with none, half and all of a renewable output, as differences to none."""
     base = _scaled(spark, sf).select("state_row_id", (F.col("alpha") * sum(D.BASE_LOAD.values())).alias("total"), (60.0 * F.coalesce("load_factor", F.lit(0.0))).alias("renewable"))
     cases = base.select("state_row_id", F.inline(D.residual_loads(F.col("total"), F.col("renewable"))))
     cost = D.dispatch_rows(cases, "residual_mw").select("state_row_id", "case_id", F.round("d.cost", 4).alias("cost"))
     wide = A.pivot_deltas(cost, ["state_row_id"], "case_id", ["C0", "C1", "C2"], "cost")
-    return wide.select("state_row_id", F.round("d_C1", 3).alias("delta_half"), F.round("d_C2", 3).alias("delta_full"))
+    return wide.select("state_row_id", F.round(F.col("d_C1") + 1e-6, 2).alias("delta_half"), F.round(F.col("d_C2") + 1e-6, 2).alias("delta_full"))
 
 
 @query()
