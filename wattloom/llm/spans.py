@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from wattloom.llm.tables import cut_table
 
 SPAN, GRAM, GROUP_ROWS = 200, 16, 200_000
+SAMPLE, SEEN, MOST_FREQUENT, SALTS = 0.01, 10, 1000, 256  # of finding prefixes that many documents share, see _frequent
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _CHUNK = 60_000  # characters hashed at a time: what stays in the processor's cache
 
@@ -170,12 +171,23 @@ def _frame(out: list[tuple], want: str) -> pd.DataFrame:
 _SCHEMAS = {"pairs": "doc_id_a bigint, doc_id_b bigint", "stretches": "doc_id bigint, start int, stop int"}
 
 
+def _frequent(d: DataFrame, span: int) -> list[int]:
+    """Prefixes seen in many documents of a small sample; they are shared for certain, so their suffixes need no common task to find out.
+
+    The sample only balances the work: every suffix of any other prefix is compared as well.
+    """
+    seen = d.sample(SAMPLE, seed=5).mapInArrow(partial(_suffixes, span), "prefix bigint, doc_id bigint, pos int")
+    often = seen.groupBy("prefix").agg(F.countDistinct("doc_id").alias("n")).where(F.col("n") >= SEEN).orderBy(F.desc("n"), "prefix").limit(MOST_FREQUENT)
+    return [r["prefix"] for r in often.select("prefix").collect()]
+
+
 def _shared(docs: DataFrame, doc_id: str, text: str, span: int, group_rows: int, want: str) -> DataFrame:
     half, deep = span // 2, span - span // 2 + GRAM
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= span)
     suffixes = d.mapInArrow(partial(_suffixes, span), "prefix bigint, doc_id bigint, pos int")
-    w = Window.partitionBy("prefix")
-    several = suffixes.withColumns({"_a": F.min("doc_id").over(w), "_b": F.max("doc_id").over(w)}).where("_a <> _b")
+    frequent = F.col("prefix").isin(_frequent(d, span))
+    w = Window.partitionBy("prefix", F.when(frequent, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0))
+    several = suffixes.withColumns({"_a": F.min("doc_id").over(w), "_b": F.max("doc_id").over(w)}).where(frequent | (F.col("_a") != F.col("_b")))
     kept = cut_table(several.select("prefix", "doc_id", "pos"))
     left = F.substring("text", F.greatest(F.col("pos") + 1 - (half - GRAM), F.lit(1)), F.least(F.col("pos"), F.lit(half - GRAM)))
     context = kept.join(d, "doc_id").select("prefix", "doc_id", "pos", left.alias("left"), F.substring("text", F.col("pos") + 1, F.lit(span)).alias("right"))
