@@ -78,15 +78,15 @@ def brackets(text: Column) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    """The whole text is one JSON value."""
-    return F.try_parse_json(text).isNotNull()
+    """The whole text is one JSON value (parsers stop after a first value; as the only element of a list nothing may follow it)."""
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
 
 
 def repeats(text: Column) -> Column:
     """The text repeats itself: a stretch of 24 characters or more three times in a row, or three equal lines; valid JSON doesn't count."""
     lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     triple = F.exists(lines, lambda x: F.size(F.filter(lines, lambda y: y == x)) >= 3)
-    return ~F.coalesce(is_json(text), F.lit(False)) & (text.rlike(r"(?s)(.{24,400}?)(?:\1){2,}") | triple)
+    return ~is_json(text) & (text.rlike(r"(?s)(.{24,400}?)(?:\1){2,}") | triple)
 
 
 def undecorated(text: Column) -> Column:
@@ -105,7 +105,7 @@ def decision_error(text: Column) -> Column:
     whole = F.json_object_keys(text)
     sums = F.abs(F.aggregate(r["b"], F.lit(0.0), lambda s, x: s + x) - 1) <= 1e-5
     return (
-        F.when(text.isNull() | ~F.coalesce(is_json(text), F.lit(False)) | whole.isNull(), "not_an_object")
+        F.when(text.isNull() | ~is_json(text) | whole.isNull(), "not_an_object")
         .when(F.array_sort(whole) != F.array(*map(F.lit, KEYS)), "keys")
         .when(~F.coalesce(_whole(r["e"], 0, 7, (0, 8)), F.lit(False)), "e")
         .when(~F.coalesce((F.size(r["b"]) == 6) & F.forall(r["b"], lambda x: x.between(0, 1)) & sums, F.lit(False)), "b")

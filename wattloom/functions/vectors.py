@@ -98,3 +98,9 @@ def chance_all_vary(p: Column, draws: int) -> Column:
 def at_hour_ending(a: Column, he: Column) -> Column:
     """The element of an hour ending in 1..n; null outside."""
     return F.when((he >= 1) & (he <= F.size(a)), F.element_at(a, F.when((he >= 1) & (he <= F.size(a)), he).otherwise(1)))
+
+
+def first_difference(a: Column, b: Column, tolerance: float = 1e-7) -> Column:
+    """1-based position of the first elements that differ (a missing one does); 0 where the vectors are alike, null where one is null."""
+    apart = F.zip_with(a, b, lambda x, y: x.isNull() | y.isNull() | (F.abs(x - y) > tolerance * (1 + F.abs(y))))
+    return F.array_position(apart, F.lit(True))

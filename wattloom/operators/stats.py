@@ -82,3 +82,17 @@ def pivot_deltas(rows: DataFrame, keys: list[str], case: str, cases: list[str],
     """Per key the value of each case side by side and its difference to the first case."""
     wide = rows.groupBy(*keys).pivot(case, cases).agg(F.first(value))
     return wide.select(*keys, *[F.col(c).alias(f"v_{c}") for c in cases], *[(F.col(c) - F.col(cases[0])).alias(f"d_{c}") for c in cases[1:]])
+
+
+def table_hash(rows: DataFrame) -> DataFrame:
+    """One row (n_rows, digest) that doesn't depend on the order of rows or of columns; equal tables have equal digests."""
+    cols = sorted(rows.columns)
+    h = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in cols]).cast("decimal(38,0)")
+    return rows.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest"))
+
+
+def metric_changes(recorded: DataFrame, computed: DataFrame, key: str, value: str, rel: float = 1e-9) -> DataFrame:
+    """(key, recorded, computed, same) of two tables of metrics; a metric of one side only isn't the same."""
+    a, b = recorded.select(key, F.col(value).alias("recorded")), computed.select(key, F.col(value).alias("computed"))
+    same = F.coalesce(F.abs(F.col("recorded") - F.col("computed")) <= rel * (1 + F.abs("recorded")), F.col("recorded").isNull() & F.col("computed").isNull())
+    return a.join(b, key, "full_outer").withColumn("same", same)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -544,6 +545,53 @@ def ranked_orders(spark, sf):
     return A.rank_by(table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), [F.col("o_orderpriority"), F.desc("o_totalprice"), F.col("o_orderkey")], 25)
 
 
+_ANSWERED = """SELECT c.temperature, json_extract_string(c.raw_output, '$.a') ca, json_extract_string(t.target_json, '$.a') ta, json_extract_string(c.raw_output, '$.i') ci, json_extract_string(t.target_json, '$.i') ti
+ FROM t45_k4_free_candidates c JOIN (SELECT example_id, arg_min(target_json, sft_row_id) target_json FROM public_state_v1_sft WHERE example_id IS NOT NULL GROUP BY 1) t ON c.example_id = t.example_id WHERE c.raw_output LIKE '{%' AND json_valid(c.raw_output)"""
+
+
+@query(f"SELECT temperature, count(*) AS n_rows, count_if(ca = ta) AS same_action, count_if(ci = ti) AS same_intent FROM ({_ANSWERED}) GROUP BY 1")
+def field_agreement(spark, sf):
+    """Answers that are JSON objects against the first recorded target of their example, field by field."""
+    t = table(spark, sf, "public_state_v1_sft").where("example_id IS NOT NULL").groupBy("example_id").agg(F.min_by("target_json", "sft_row_id").alias("target_json"))
+    c = table(spark, sf, "t45_k4_free_candidates").where(F.col("raw_output").startswith("{") & R.is_json(F.col("raw_output")))
+    same = lambda k: F.count_if(F.get_json_object("raw_output", f"$.{k}") == F.get_json_object("target_json", f"$.{k}"))
+    return c.select("example_id", "temperature", "raw_output").join(t, "example_id").groupBy("temperature").agg(F.count("*").alias("n_rows"), same("a").alias("same_action"), same("i").alias("same_intent"))
+
+
+@query()
+def first_divergence(spark, sf):
+    """Where each answer's belief first leaves that of its example's target: position of the vector, 0 for none."""
+    t = table(spark, sf, "public_state_v1_sft").where("example_id IS NOT NULL").groupBy("example_id").agg(F.min_by("target_json", "sft_row_id").alias("target_json"))
+    c = table(spark, sf, "t45_k4_free_candidates").select("example_id", R.first_object(F.col("raw_output")).alias("answer"))
+    belief = lambda c: F.from_json(c, R.DECISION)["b"]
+    d = c.join(t, "example_id").select(V.first_difference(belief("answer"), belief("target_json")).alias("position"))
+    return d.groupBy("position").agg(F.count("*").alias("n_rows"))
+
+
+@query()
+def table_digests(spark, sf):
+    """Order-free digest of each domain table."""
+    names = ["public_energy_state", "load_forecast", "own_generator", "t45_k4_free_candidates"]
+    parts = [A.table_hash(table(spark, sf, n)).select(F.lit(n).alias("table_name"), "n_rows", "digest") for n in names]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("""SELECT group_index, arg_min(candidate_row_id, candidate_row_id) AS first_candidate, count(DISTINCT physical_state_id) AS n_states FROM t45_k4_free_candidates GROUP BY 1""")
+def first_per_group(spark, sf):
+    """First candidate of each group in an explicit order (the reference took file order, which Spark has not)."""
+    d = table(spark, sf, "t45_k4_free_candidates")
+    first = J.keep_one(d, ["group_index"], [F.col("candidate_row_id")]).select("group_index", F.col("candidate_row_id").alias("first_candidate"))
+    n = d.groupBy("group_index").agg(F.countDistinct("physical_state_id").alias("n_states"))
+    return first.join(n, "group_index")
+
+
+@query("""SELECT state_row_id, round(total * 0.2857142857142857, 6) AS bus5_mw, round(total * 0.31746031746031744, 6) AS bus7_mw, round(total * 0.3968253968253968, 6) AS bus9_mw FROM (SELECT state_row_id, current_load_mw total FROM public_energy_state)""")
+def bus_loads(spark, sf):
+    """Each state's load spread over the network's load buses by their base shares."""
+    d, s = table(spark, sf, "public_energy_state"), D.bus_shares()
+    return d.select("state_row_id", *[F.round(F.col("current_load_mw") * s[b], 6).alias(f"bus{b}_mw") for b in D.LOAD_BUSES])
+
+
 # Dispatch
 
 _BASIS = ", ".join(f"({', '.join(repr(float(x)) for x in m)})" for _, m, _ in D.basis_table())
