@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.tables import cut_table
+from wattloom.llm.tables import cut_table, spread
 
 # Words that stand for no value.
 NO_VALUE = {"na", "n a", "null", "none", "nil", "nan", "undefined", "tbd", "nothing", "no answer", "no value", "no data", "missing", "void", "blank", "empty", "json", "text", "unknown", "not available", "not applicable", "keine", "keine angabe", "ninguno", "ninguna", "nada", "sin datos", "无", "空", "没有", "暂无"}
@@ -208,20 +208,24 @@ def _context(word: Column, number: Column) -> tuple[Column, Column]:
 
 def terminal_contexts(answers: DataFrame, text: str) -> DataFrame:
     """(context, p): how often a full stop after a number ended a sentence inside the answers, by word and shape and by shape alone."""
-    inside = r"(\p{L}{1,8})[^\p{L}\p{Nd}]{0,3}((?:[\p{Nd}]+[:,-])*\p{Nd}+(?:\.\p{Nd}+)?\.?)(?=(\p{Nd}|\s+\p{L}))"
-    d = answers.select(F.regexp_replace(text, r"[{\[][^{}\[\]]*[}\]]?|[\"{}\[\],]+", " ").alias(text)).where(F.col(text).isNotNull())  # prose only
-    # a number's full stop is inside the number where digits follow it, and at its end where a blank and a letter do
-    seen = d.select(F.explode(F.arrays_zip(F.regexp_extract_all(text, F.lit(inside), F.lit(1)).alias("w"), F.regexp_extract_all(text, F.lit(inside), F.lit(2)).alias("n"))).alias("x")).select("x.w", "x.n")
-    inner = seen.where(F.col("n").rlike(r"\.\p{Nd}")).select("w", F.regexp_extract("n", r"^(.*?)\.", 1).alias("n"), F.lit(0).alias("end"))
-    final = seen.where(F.col("n").endswith(".")).select("w", F.regexp_extract("n", r"^(.*)\.$", 1).alias("n"), F.lit(1).alias("end"))
-    both = inner.unionByName(final)
-    context, shape = _context(F.col("w"), F.col("n"))
-    keys = both.select(F.explode(F.array(context, shape)).alias("context"), "end")
-    return keys.groupBy("context").agg(F.avg("end").alias("p"), F.count("*").alias("n")).where("n >= 3")
+    bare = F.regexp_replace(text, r"[{\[][^{}\[\]]*[}\]]?|[\"{}\[\],]+", " ")  # prose only
+    shapes = F.regexp_replace(bare, r"\p{Nd}+", "9")
+    # a number with a stop inside it, or with a stop after it and then a blank and a letter; shapes and words are few
+    seen = r"\p{L}{1,8}[^\p{L}9]{0,3}(?:9[:-])*9(?:\.9)?(?:\.(?=\s+\p{L}))?"
+    d = answers.select(F.explode(F.regexp_extract_all(shapes, F.lit(seen), F.lit(0))).alias("m")).where(F.col("m").contains(".")).groupBy("m").agg(F.count("*").alias("n"))
+    word, number = F.regexp_extract("m", r"^\p{L}+", 0), F.regexp_extract("m", r"(?:9[:-])*9(?:\.9)?\.?$", 0)
+    evidence = F.array(
+        F.when(number.contains(".9"), F.struct(F.split_part(number, F.lit("."), F.lit(1)).alias("s"), F.lit(0).alias("end"))),
+        F.when(number.endswith("."), F.struct(F.rtrim(number, F.lit(".")).alias("s"), F.lit(1).alias("end"))),
+    )
+    d = d.select(word.alias("w"), "n", F.explode(F.array_compact(evidence)).alias("x"))
+    d = d.select(F.explode(F.array(_context(F.col("w"), F.col("x.s"))[0], F.col("x.s"))).alias("context"), "n", "x.end")
+    return d.groupBy("context").agg((F.sum(F.col("n") * F.col("end")) / F.sum("n")).alias("p"), F.sum("n").alias("n")).where("n >= 3")
 
 
 def defects(pairs: DataFrame, row_id: str, prompt: str, answer: str) -> DataFrame:
     """(row_id, defect_type) of every row that is no proper answer."""
+    pairs = spread(pairs.select(row_id, prompt, answer))
     model = cut_table(terminal_contexts(pairs, answer))
     d = pairs.select(F.col(row_id).alias("row_id"), F.col(prompt).alias("prompt"), F.col(answer).alias("answer"))
     word, number = F.regexp_extract("answer", _LAST, 1), F.regexp_extract("answer", _LAST, 2)

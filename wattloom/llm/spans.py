@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattloom.llm.tables import cut_table
+from wattloom.llm.tables import cut_table, spread
 
 SPAN, GRAM, GROUP_ROWS = 200, 16, 200_000
 SAMPLE, SEEN, MOST_FREQUENT, SALTS = 0.01, 10, 1000, 256  # of finding prefixes that many documents share, see _frequent
@@ -184,6 +184,7 @@ def _frequent(d: DataFrame, span: int) -> list[int]:
 def _shared(docs: DataFrame, doc_id: str, text: str, span: int, group_rows: int, want: str) -> DataFrame:
     half, deep = span // 2, span - span // 2 + GRAM
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= span)
+    d = spread(d)
     suffixes = d.mapInArrow(partial(_suffixes, span), "prefix bigint, doc_id bigint, pos int")
     frequent = F.col("prefix").isin(_frequent(d, span))
     w = Window.partitionBy("prefix", F.when(frequent, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0))

@@ -19,6 +19,12 @@ def cut_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer partitions than there are cores; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def split_name(split: Column) -> Column:
     """A split without case and surrounding white space; null and blank are no split."""
     s = F.upper(F.regexp_replace(split, r"^\s+|\s+$", ""))

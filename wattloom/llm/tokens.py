@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattloom.llm.tables import spread
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the vocabulary's pattern of pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,6 +37,6 @@ def _count(ranks: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def token_counts(df: DataFrame, text: str, keep: list[Column], ranks: str = RANKS) -> DataFrame:
     """``keep`` and n_tokens of whole texts (null and empty: 0); the text itself goes no further."""
-    d = df.select(F.col(text).alias("_text"), *keep)
+    d = spread(df.select(F.col(text).alias("_text"), *keep))
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[1:])
     return d.mapInArrow(partial(_count, ranks), f"n_tokens int, {rest}")
