@@ -110,13 +110,16 @@ def dispatch(d5: pd.Series, d7: pd.Series, d9: pd.Series, k1: pd.Series, k3: pd.
     names, const, per, slope, net = _tables()
     x = np.stack([c.to_numpy(dtype=float, na_value=np.nan) for c in (d5, d7, d9, k1, k3)], 1)
     n, out = len(x), {c: [] for c in RESULT.names}
-    for lo in range(0, n, 2000):  # the table times so many hours is what is held at a time
-        load, bid = x[lo : lo + 2000, :3], x[lo : lo + 2000, 3:]
-        price = np.stack([GENERATORS[0][4] * bid[:, 0], np.full(len(bid), GENERATORS[1][4]), GENERATORS[2][4] * bid[:, 1]], 1)
-        p = const[None] + np.einsum("brd,nd->nbr", per, load)
-        room = net.bound - load @ net.on_load.T
-        ok = (np.einsum("kr,nbr->nbk", net.on_gen, p) <= room[:, None, :] + TOLERANCE).all(2)
-        cost = np.where(ok, np.einsum("nbr,nr->nb", p, price), np.inf)
+    flat = np.concatenate([const.reshape(-1, 1), per.reshape(-1, 3)], 1).T  # (1 + loads) x (table rows * outputs)
+    for lo in range(0, n, 256):  # the table times so many hours is what is held at a time
+        load, bid = x[lo : lo + 256, :3], x[lo : lo + 256, 3:]
+        m = len(load)
+        price = np.stack([GENERATORS[0][4] * bid[:, 0], np.full(m, GENERATORS[1][4]), GENERATORS[2][4] * bid[:, 1]], 1)
+        p = (np.concatenate([np.ones((m, 1)), load], 1) @ flat).reshape(m, -1, 3)
+        room = net.bound - load @ net.on_load.T + TOLERANCE
+        used = (p.reshape(-1, 3) @ net.on_gen.T).reshape(m, -1, len(net.bound))
+        ok = (used <= room[:, None, :]).all(2)
+        cost = np.where(ok, (p @ price[:, :, None])[:, :, 0], np.inf)
         best = cost.argmin(1)
         rows = np.arange(len(best))
         has = np.isfinite(cost[rows, best])
@@ -125,7 +128,7 @@ def dispatch(d5: pd.Series, d7: pd.Series, d9: pd.Series, k1: pd.Series, k3: pd.
         at1 = np.where(has, lmp[:, 0], np.nan)
         cols = (np.where(has, cost[rows, best], np.nan), q[:, 0], q[:, 1], q[:, 2], at1, (at1 - GENERATORS[0][4]) * q[:, 0], np.where(has, lmp.mean(1), np.nan))
         for c, v in zip(out, cols):
-            out[c] += [None if np.isnan(y) else float(y) for y in v]
+            out[c] += np.where(np.isnan(v), None, v).tolist()
         out["basis"] += [names[b] if h else None for b, h in zip(best, has)]
     return pd.DataFrame(out)
 
