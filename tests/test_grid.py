@@ -28,13 +28,13 @@ def test_filling_beats_the_mean(spark):
             truth[f"s{s}", t] = math.exp(level + amp * math.sin(2 * math.pi * t / 24 + phase) + 0.01 * rnd.gauss(0, 1))
             if t in (0, 239) or rnd.random() > 0.15:
                 rows.append((f"s{s}", t * HOUR_US, truth[f"s{s}", t]))
-    out = regular_series(spark.createDataFrame(rows, SCHEMA), rank=4, iterations=6).collect()
+    out = regular_series(spark.createDataFrame(rows, SCHEMA), rank=4, iterations=8).collect()
     seen = {(r[0], r[1] // HOUR_US): r[2] for r in rows}
     assert len(out) == 25 * 240 and {r.how for r in out} == {"observed", "filled"}
     assert all(abs(r.load_mw - seen[r.source, r.hour]) < 1e-9 for r in out if r.how == "observed")
     mean = {s: sum(math.log(v) for (k, _), v in seen.items() if k == s) / sum(k == s for k, _ in seen) for s in {k for k, _ in seen}}
     err = lambda f: math.sqrt(sum((f(r) - math.log(truth[r.source, r.hour])) ** 2 for r in out if r.how == "filled"))
-    assert err(lambda r: math.log(r.load_mw)) < 0.5 * err(lambda r: mean[r.source])
+    assert err(lambda r: math.log(r.load_mw)) < 0.3 * err(lambda r: mean[r.source])
 
 
 def test_unsupported_cells_stay_marked(spark):

@@ -1,11 +1,13 @@
 """Irregular readings onto an hourly grid, with missing hours filled by low-rank factorisation or marked.
 
-Readings become hourly means per source. Every source's hours from its first to its last form the grid. The matrix of
-sources by hours (each source's loads as logarithms less their own mean) is factorised by alternating least squares;
-a missing cell takes the product of its source's and its hour's factors. Observed cells stay as they are. A cell whose
-hour no other source has seen, or whose source has too few readings, is not supported by any factor and stays marked.
+Readings become hourly means per source. Every source's hours from its first to its last form the grid. The matrix has
+a row for each week of each source and a column for each hour of the week; its cells are loads as logarithms less
+their source's mean. Alternating least squares factorises it, so all sources and weeks share the shapes of a week; a
+missing cell takes the product of its row's and its column's factors. Observed cells stay as they are. A cell whose
+week has too few readings of its source, or whose hour of the week no row has, is not supported and stays marked.
+(Rows of sources and columns of absolute hours fit far worse: sources rarely report at the same time.)
 
-Bounds: the grid is exploded per source, so one source's span costs rows, not memory. Source numbers come from a
+Bounds: the grid is exploded per source, so one source's span costs rows, not memory. Row numbers come from a
 distributed ranking; nothing is collected. Empty input gives an empty result. Readings that don't count: null, NaN,
 infinite or non-positive loads and readings without an instant. Repeats count once per row in the hour's mean.
 """
@@ -34,36 +36,40 @@ def gaps(cells: DataFrame) -> DataFrame:
     return d.select("source", F.explode(F.sequence(F.col("hour") + 1, F.col("_next") - 1)).alias("hour"))
 
 
-def numbered(names: DataFrame, name: str) -> DataFrame:
-    """(name, number): distinct values numbered from 0 without a gap, by ranges of the sorted values."""
-    d = cut(names.select(name).distinct().repartitionByRange(name).withColumn("_p", F.spark_partition_id()))
+def numbered(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """(cols, number): distinct rows numbered from 0 without a gap, by ranges of the sorted values."""
+    d = cut(rows.select(*cols).distinct().repartitionByRange(*cols).withColumn("_p", F.spark_partition_id()))
     sizes = d.groupBy("_p").count()
     start = sizes.select("_p", (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_start"))  # one row per partition
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(name)) - 1
-    return d.withColumn("_i", within).join(start, "_p").select(name, (F.col("_start") + F.col("_i")).cast("int").alias("number"))
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(*cols)) - 1
+    return d.withColumn("_i", within).join(start, "_p").select(*cols, (F.col("_start") + F.col("_i")).cast("int").alias("number"))
 
 
-def regular_series(readings: DataFrame, rank: int = 6, iterations: int = 8, ridge: float = 0.05, min_readings: int = 24, seed: int = 11) -> DataFrame:
+def regular_series(readings: DataFrame, rank: int = 4, iterations: int = 8, ridge: float = 0.002, min_readings: int = 12, period: int = 168, seed: int = 11) -> DataFrame:
     """(source, hour, load_mw, how): the hourly series of (source, utc_micros, load_mw).
 
-    ``how`` is ``observed``, ``filled`` or ``marked`` (load_mw null: no factor supports the cell).
+    ``how`` is ``observed``, ``filled`` or ``marked`` (load_mw null: no factor supports the cell). ``period`` is the
+    number of columns: a row of the matrix is a source's stretch of so many hours.
     """
     cells = cut(hourly(readings))
     missing = gaps(cells)
     ensure_checkpoint_dir(cells.sparkSession)
-    ids = numbered(cells, "source")
-    level = cells.groupBy("source").agg(F.avg(F.ln("load_mw")).alias("_level"), F.count("*").alias("_seen"))
-    known = level.where(F.col("_seen") >= min_readings).join(ids, "source")
-    x = cut(cells.join(known, "source").select(F.col("number"), F.col("hour"), (F.ln("load_mw") - F.col("_level")).cast("float").alias("x")))
+    place = {"_row": F.floor(F.col("hour") / F.lit(period)).cast("int"), "_col": F.pmod("hour", F.lit(period)).cast("int")}
+    placed = cells.withColumns(place)
+    level = cells.groupBy("source").agg(F.avg(F.ln("load_mw")).alias("_level"))
+    full = placed.groupBy("source", "_row").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_readings).select("source", "_row")
+    known = full.join(numbered(full, ["source", "_row"]), ["source", "_row"]).join(level, "source")
+    x = cut(placed.join(known, ["source", "_row"]).select("number", "_col", (F.ln("load_mw") - F.col("_level")).cast("float").alias("x")))
     seen = cells.select("source", "hour", "load_mw", F.lit("observed").alias("how"))
     if x.isEmpty():
         return seen.unionByName(missing.select("source", "hour", F.lit(None).cast("double").alias("load_mw"), F.lit("marked").alias("how")))
-    model = ALS(rank=rank, maxIter=iterations, regParam=ridge, userCol="number", itemCol="hour", ratingCol="x", coldStartStrategy="nan", seed=seed, checkpointInterval=5, intermediateStorageLevel="MEMORY_AND_DISK_2", finalStorageLevel="MEMORY_AND_DISK_2").fit(x)
-    # A cell is supported if at least one other source has a reading in its hour: the hour then has a factor.
-    asked = missing.join(known, "source", "left")
+    both = "MEMORY_AND_DISK_2"
+    als = ALS(rank=rank, maxIter=iterations, regParam=ridge, userCol="number", itemCol="_col", ratingCol="x", seed=seed, checkpointInterval=5, intermediateStorageLevel=both, finalStorageLevel=both)
+    model = als.fit(x)
     users = model.userFactors.select(F.col("id").alias("number"), F.col("features").alias("_u"))
-    items = model.itemFactors.select(F.col("id").alias("hour"), F.col("features").alias("_v"))
+    items = model.itemFactors.select(F.col("id").alias("_col"), F.col("features").alias("_v"))
     dot = F.aggregate(F.zip_with("_u", "_v", lambda a, b: a * b), F.lit(0.0).cast("double"), lambda s, y: s + y)
-    filled = asked.join(users, "number", "left").join(items, "hour", "left").withColumn("load_mw", F.exp(F.col("_level") + dot))
+    asked = missing.withColumns(place).join(known, ["source", "_row"], "left")
+    filled = asked.join(users, "number", "left").join(items, "_col", "left").withColumn("load_mw", F.exp(F.col("_level") + dot))
     filled = filled.select("source", "hour", "load_mw", F.when(F.col("load_mw").isNull(), "marked").otherwise("filled").alias("how"))
     return seen.unionByName(filled)

@@ -51,7 +51,7 @@ def hourly_resample(spark, sf):
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """States with the forecast known at their cutoff, scaled to the network and dispatched at least cost."""
+    """Every state's load, scaled to the network and dispatched at least cost."""
     return dispatch_of_states(spark, sf)
 
 
