@@ -40,3 +40,28 @@ def test_sql(spark, con, name):
 def test_runs(spark, name):
     part = core_queries if name in core_queries.QUERIES else data_queries
     assert part.QUERIES[name](spark, SF).count() > 0
+
+
+@here
+def test_scan_is_pruned_and_pushed_down(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = core_queries.scan_pruned(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(split,TRAIN)" in plan and "GreaterThanOrEqual(target_hour_utc" in plan and "In(region" in plan
+    assert "prompt" not in plan and "public_state_hash" not in plan
+
+
+@here
+def test_naive_times_are_utc_in_any_session(spark):
+    from pyspark.sql import functions as F
+
+    from wattloom.sources.tables import table
+
+    def total():
+        return table(spark, SF, "public_energy_state").agg(F.sum(F.unix_micros("target_hour_utc"))).first()[0]
+
+    want = total()
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert total() == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, TimestampNTZType, TimestampType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one table. Naive timestamp columns become UTC timestamps, so later steps meet one type only."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    naive = {c for c, t in df.dtypes if t == "timestamp_ntz"}
-    if not naive:
-        return df
-    return df.select(*[as_utc(F.col(f"`{c}`")).alias(c) if c in naive else F.col(f"`{c}`") for c in df.columns])
+    """Scan one table under an explicit schema in which naive timestamps are UTC instants.
 
-
-def as_utc(ntz):
-    """A zoneless timestamp as the UTC instant of the same reading, whatever the session's zone is."""
-    return F.to_utc_timestamp(ntz.cast("timestamp"), F.current_timezone())
+    The scan itself reads them so, whatever the session's zone is: later steps meet one type only, and filters on
+    times are pushed down to the files.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    found = spark.read.parquet(path)
+    utc = [StructField(f.name, TimestampType() if isinstance(f.dataType, TimestampNTZType) else f.dataType, f.nullable) for f in found.schema.fields]
+    return spark.read.schema(StructType(utc)).parquet(path) if found.schema.fields != utc else found
