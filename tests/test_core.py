@@ -43,6 +43,13 @@ def test_vectors(spark):
     assert one(spark, a=V.differences(F.array(F.lit(1.0))), b=V.at_hour_ending(p, F.lit(5)), c=V.at_hour_ending(p, F.lit(1)), d=V.mean(F.array().cast("array<double>"))) == ([], None, 0.5, None)
 
 
+def test_draws(spark):
+    p = F.array(*map(F.lit, [0.5, 0.25, 0.25, 0.0]))
+    assert one(spark, **{f"c{i}": V.draw(p, F.lit(u)) for i, u in enumerate([0.0, 0.49, 0.5, 0.74, 0.75, 0.9999])}) == (0, 0, 1, 1, 2, 2)
+    n = spark.range(8000).select(V.draw(p, V.uniform(F.col("id"), F.lit(3))).alias("c")).groupBy("c").count().collect()
+    assert {r.c: round(r["count"] / 8000, 1) for r in n} in ({0: 0.5, 1: 0.2, 2: 0.3}, {0: 0.5, 1: 0.3, 2: 0.2}, {0: 0.5, 1: 0.3, 2: 0.3}, {0: 0.5, 1: 0.2, 2: 0.2})
+
+
 GOOD = {"e": [], "b": [1, 0, 0, 0, 0, 0], "g": [0, 0, 0, 0], "cf": [0, 0], "i": 0, "a": 5, "p": [0, 0, 0], "q": 0.5}
 
 

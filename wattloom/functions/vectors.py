@@ -104,3 +104,19 @@ def first_difference(a: Column, b: Column, tolerance: float = 1e-7) -> Column:
     """1-based position of the first elements that differ (a missing one does); 0 where the vectors are alike, null where one is null."""
     apart = F.zip_with(a, b, lambda x, y: x.isNull() | y.isNull() | (F.abs(x - y) > tolerance * (1 + F.abs(y))))
     return F.array_position(apart, F.lit(True))
+
+
+def draw(p: Column, u: Column) -> Column:
+    """0-based class drawn from probabilities ``p`` by a uniform number in [0, 1): the first whose cumulated probability exceeds it, else the last."""
+    state = F.struct(F.lit(0.0).alias("c"), F.lit(-1).alias("at"), F.lit(0).alias("k"))
+
+    def step(s, x):
+        c = s["c"] + x
+        return F.struct(c.alias("c"), F.when((s["at"] < 0) & (c > u), s["k"]).otherwise(s["at"]).alias("at"), (s["k"] + 1).alias("k"))
+
+    return F.aggregate(p, state, step, lambda s: F.when(s["at"] >= 0, s["at"]).otherwise(s["k"] - 1))
+
+
+def uniform(*keys: Column) -> Column:
+    """A reproducible number in [0, 1) from a hash of the keys, whatever the partitioning."""
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << 52)) / F.lit(float(1 << 52))

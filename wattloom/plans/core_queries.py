@@ -516,6 +516,15 @@ def belief_top_mass(spark, sf):
     return d.select("sft_row_id", F.size(F.filter("top", lambda x: x > 0)).alias("n_kept"), F.round(V.total_variation(F.col("b"), F.col("top")), 9).alias("distance"))
 
 
+@query()
+def belief_draws(spark, sf):
+    """Seeded draws from each target's belief: how often each class came up, and what was to be expected."""
+    d = table(spark, sf, "public_state_v1_sft").select("sft_row_id", F.from_json("target_json", R.DECISION)["b"].alias("b")).where(F.size("b") > 0)
+    drawn = d.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: V.draw(F.col("b"), V.uniform(F.col("sft_row_id"), k)))).alias("class")).groupBy("class").agg(F.count("*").alias("n_drawn"))
+    due = d.select(F.posexplode("b").alias("class", "p")).groupBy("class").agg(F.round(F.sum("p") * 16, 3).alias("n_expected"))
+    return due.join(drawn, "class", "left").select("class", "n_expected", F.coalesce("n_drawn", F.lit(0)).alias("n_drawn"))
+
+
 _SPLIT = "upper(trim(split, ' ' || chr(10) || chr(9) || chr(13)))"
 
 
