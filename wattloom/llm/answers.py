@@ -198,7 +198,8 @@ def judge(answer: str | None, prompt: str | None, ends: float | None) -> str | N
     return None
 
 
-_LAST = r"(\p{L}{1,8})?[^\p{L}\p{Nd}]{0,3}([\p{Nd}:,.-]*\p{Nd})\.[\s\p{P}`]*$"
+# the last number before a closing full stop and the word before it, read from the end of the text backwards
+_LAST = r"^[\s\p{P}`]*?\.(\p{Nd}[\p{Nd}:,.-]*)[^\p{L}\p{Nd}]{0,3}(\p{L}{1,8})?"
 
 
 def _context(word: Column, number: Column) -> tuple[Column, Column]:
@@ -228,7 +229,8 @@ def defects(pairs: DataFrame, row_id: str, prompt: str, answer: str) -> DataFram
     pairs = spread(pairs.select(row_id, prompt, answer))
     model = cut_table(terminal_contexts(pairs, answer))
     d = pairs.select(F.col(row_id).alias("row_id"), F.col(prompt).alias("prompt"), F.col(answer).alias("answer"))
-    word, number = F.regexp_extract("answer", _LAST, 1), F.regexp_extract("answer", _LAST, 2)
+    last = lambda k: F.reverse(F.regexp_extract(F.reverse("answer"), _LAST, k))
+    number, word = last(1), last(2)
     context, shape = _context(word, number)
     d = d.withColumns({"_context": F.when(number != "", context), "_shape": F.when(number != "", shape)})
     d = d.join(model.select(F.col("context").alias("_context"), F.col("p").alias("_p")), "_context", "left")
