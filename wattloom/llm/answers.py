@@ -50,7 +50,7 @@ WORDS = {
 _WORD_SETS = {k: set(v.split()) for k, v in WORDS.items()}
 _ENDS = ".!?。！？…"
 _CLOSERS = "\"'”’»)]}」』）*_` \t\r\n"
-NOVELTY = 0.6  # compressed size against the prompt, relative to the size alone, above which a text is no copy
+NOVELTY = 0.5  # compressed size against the prompt, relative to the size alone, above which a text is no copy
 
 _CONTROL = re.compile(r"<\|[^<>|]*\|>|</?s>|\[/?INST\]|<(?:eos|bos|pad|unk|end_of_turn|start_of_turn)>|[​-‏⁠﻿\x00-\x08\x0b\x0c\x0e-\x1f]", re.IGNORECASE)
 _FENCE = re.compile(r"```[a-zA-Z]*")
@@ -134,18 +134,20 @@ def novelty(answer: str, prompt: str) -> float:
 
 
 def copied(answer: str, prompt: str) -> bool:
-    """Nothing but whole sentences of the prompt, apart from a short lead-in and closing words."""
-    rest = f" {flat(answer)} "
-    taken = 0
+    """Nothing but whole sentences of the prompt, apart from a short lead-in and closing words.
+
+    What the prompt's dictionary doesn't shorten to half its size is no copy; of the rest the prompt's sentences are
+    taken out, and what is left must be a few words without numbers or a decision.
+    """
+    if novelty(answer, prompt) > NOVELTY:
+        return False
+    rest, taken = f" {flat(answer)} ", False
     for s in sorted({flat(x) for x in [*sentences(prompt), prompt]}, key=len, reverse=True):
         if len(s) >= 4 and s in rest:
-            taken += rest.count(s) * len(s)
-            rest = rest.replace(s, " ")
-    if not taken or novelty(answer, prompt) > NOVELTY and taken < 2 * len(rest):
-        return False
+            taken, rest = True, rest.replace(s, " ")
     words = rest.split()
     wide = sum(len(re.findall(r"[㐀-鿿]", w)) for w in words)
-    return len(words) + wide // 2 <= 16 and not _DECISION.search(rest) and not re.search(r"\d\D*\d", rest)
+    return taken and len(words) + wide // 2 <= 16 and not _DECISION.search(rest) and not re.search(r"\d\D*\d", rest)
 
 
 def language(text: str) -> str | None:
