@@ -3,8 +3,6 @@
 import math
 import random
 
-from pyspark.sql import functions as F
-
 from wattloom.functions.times import HOUR_US
 from wattloom.operators.grid import gaps, hourly, regular_series
 
@@ -46,4 +44,3 @@ def test_unsupported_cells_stay_marked(spark):
 def test_empty(spark):
     assert regular_series(spark.createDataFrame([], SCHEMA)).count() == 0
     assert regular_series(spark.createDataFrame([("a", 1, 1.0), ("a", 5 * HOUR_US, 1.0)], SCHEMA)).groupBy("how").count().count() == 2
-    assert F is not None
