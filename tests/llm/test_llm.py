@@ -216,6 +216,35 @@ def test_suffix_array_edges(spark, seed, monkeypatch):
         assert n == max((len(t) if u == t else common(t, u) for u in other), default=0)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_coverage_against_brute_force(spark, seed, monkeypatch):
+    """Shared runs count wherever they start: inside a line, at a short line, or in a list with one differing number."""
+    monkeypatch.setattr(overlap, "SAMPLE", 1.0)
+    rnd = random.Random(seed)
+    numbers = lambda n: [f"{rnd.uniform(100, 9999):.1f}" for _ in range(n)]
+    lists = [numbers(24) for _ in range(4)]
+    rows = [(900, "T", ["x" * 80]), (901, "E", ["x" * 50]), (902, "T", ["short"]), (903, "E", ["short"]), (904, "T", ["é語𝄞" * 20]), (905, "E", ["b" + "é語𝄞" * 20])]
+    for i in range(40):
+        of = list(rnd.choice(lists))
+        of[rnd.randrange(24)] = numbers(1)[0]
+        rows.append((i, rnd.choice("TE"), [f"e={i};a={rnd.randrange(3)}", "hourly load mw=" + ",".join(of), *[f"zone {k} mw={v}" for k, v in zip("abc", numbers(3))]]))
+    rows += [(i + 100, s, x) for i, s, x in rows[-6:]] + [(i + 200, "T", x) for i, _, x in rows[-6:]]
+    df = spark.createDataFrame([(i, s, 0.5, x) for i, s, x in rows], "id bigint, side string, q double, lines array<string>")
+    text = {i: "\n".join(x) + "\n" for i, _, x in rows}
+    for span in (24, 48):
+        has = {s: {text[i][p : p + span] for i, t, _ in rows if t == s for p in range(len(text[i]) - span + 1)} for s in "TE"}
+        want = {}
+        for i, s, _ in rows:
+            m = np.zeros(len(text[i]), bool)
+            for p in range(len(m) - span + 1):
+                if text[i][p : p + span] in has["TE".replace(s, "")]:
+                    m[p : p + span] = True
+            want[i] = (int(m.sum()), len(m))
+        for size in (50_000, 2):
+            assert {r.id: (r.covered_chars, r.n_chars) for r in overlap.coverage(df, span=span, group_rows=size).collect()} == want
+    assert overlap.coverage(df.where("false"), span=24).count() == 0
+
+
 def test_tokens_and_packing(spark):
     assert token_counts(spark.createDataFrame([("hello world", 1), ("", 2), (None, 3), ("汉字 emoji 🎉", 4)], "t string, n_other int"), "t", [F.col("n_other")], RANKS).where("n_tokens > 0").count() == 2
     rnd = random.Random(5)

@@ -4,9 +4,13 @@ Each record becomes one text: a line of its target's values, then one line per l
 in the order of the labels and with numbers in one spelling. Exact copies of a text are one class. The suffix array
 holds the suffixes that start at lines of at least ``LINE`` characters. Suffixes whose first line only one side has
 are dropped; the rest are range-partitioned, sorted, and the longest common prefix with the nearest suffix of the
-other side is taken in both directions (the few suffixes at the partitions' edges are compared by the driver). These
-prefixes, merged per record, are its coverage by the other side; suffixes that agree on the target's whole line form
-the runs from which pairs come.
+other side is taken in both directions (the few suffixes at the partitions' edges are compared by the driver). The
+runs from which pairs come are the suffixes that agree on the target's whole line.
+
+Coverage has a path of its own, which keeps every run of ``span`` characters wherever it starts: the windows of a text
+are gathered into pieces whose windows have the same smallest key of ``GRAM`` characters, so equal windows of two texts
+lie in pieces of the same key. Pieces whose key one side only has are dropped before any text moves; the distinct pieces
+of each other key are compared window by window, large groups by Spark.
 
 Pairs of a run are checked number by number. Candidates are joined on the labels that have to agree first: if four
 fifths of all numbers agree, one of the first fifth (plus one) of either record's numbers does, so each record enters
@@ -20,17 +24,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
+from itertools import groupby
 from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattloom.llm.spans import _slide
 from wattloom.llm.tables import cut_table, spread
 
 LINE, PART_SUFFIXES = 48, 50_000
+SPAN, GRAM, GROUP_ROWS = 100, 12, 50_000  # of coverage: shortest shared run unless the caller states one, characters of a key, distinct pieces compared in one task
+SAMPLE, SAMPLE_TEXTS, SEEN, MOST_FREQUENT = 0.1, 2000, 20, 4000  # of finding keys that many texts have, see _frequent
 TARGET = "e array<double>, b array<double>, g array<double>, cf array<double>, i double, a double, p array<double>, q double"
 _LABELLED = r"(?m)^[ \t]*([\p{L}][\p{L}\p{Nd} ]*?)[ \t]*[:=][ \t]*(\[[^\]\n]*\]|[+-]?[0-9][0-9,]*(?:\.[0-9]+)?)"
 
@@ -175,11 +185,115 @@ def pairs(rows: DataFrame, near: float = 0.06, share: float = 0.8, q_near: float
     return good.join(t, "a").join(e, "b").select("train_id", "eval_id")
 
 
-def coverage(rows: DataFrame) -> DataFrame:
-    """(id, side, kept columns, covered_chars, n_chars): per record how much of its text the other side has, in spans that start at a long line."""
-    o = Overlap(rows)
-    w = Window.partitionBy("id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    s = o.array().where("covered > 0").withColumn("stop", F.col("start") + F.col("covered")).withColumn("_end", F.coalesce(F.max("stop").over(w), F.lit(0)))
-    per = s.groupBy(F.col("id").alias("rep")).agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest("start", "_end"))).cast("int").alias("covered_chars"))
-    n = rows.select("id", (F.aggregate("lines", F.lit(0), lambda t, x: t + F.length(x) + 1)).alias("n_chars"))
-    return o.members.join(per, "rep", "left").join(n, "id").withColumn("covered_chars", F.coalesce("covered_chars", F.lit(0))).drop("rep")
+def _grams(codes: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """A key per run of ``GRAM`` characters, by content only; keys of ``often`` come after all others."""
+    mix, mix2, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(32)
+    levels = [codes.astype(np.uint64) * mix]
+    for size in (1, 2, 4):
+        h = levels[-1]
+        h = ((h[:-size] * mix2) ^ h[size:]) * mix
+        levels.append(h ^ (h >> shift))
+    h = ((levels[3][: len(codes) - GRAM + 1] * mix2) ^ levels[2][8 : len(codes) - 3]) * mix
+    h = (h ^ (h >> shift)) >> np.uint64(1)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+        h |= (often[at] == h).astype(np.uint64) << np.uint64(63)
+    return h
+
+
+def _pieces(span: int, often: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, rep, sides, start, stop): each text cut into pieces of successive windows of ``span`` characters whose smallest key is the same; every window lies in one piece."""
+    hot = np.array(sorted(often), np.uint64)
+    for batch in batches:
+        ids, sides, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+        chunk: list[int] = []
+        size = 0
+        for i, t in enumerate([*texts, None]):
+            if t is not None and len(t) >= span:
+                chunk.append(i)
+                size += len(t)
+            if chunk and (size >= 60_000 or i == len(texts)):
+                codes = np.frombuffer("".join(texts[j] for j in chunk).encode("utf-32-le", "surrogatepass"), np.uint32)
+                lengths = np.array([len(texts[j]) for j in chunk])
+                low = _slide(_grams(codes, hot), span - GRAM + 1, np.minimum)
+                k = np.repeat(np.arange(len(chunk)), lengths)[: len(low)]
+                at = np.arange(len(codes))[: len(low)] - (np.cumsum(lengths) - lengths)[k]
+                inside = at + span <= lengths[k]
+                low, k, at = low[inside], k[inside], at[inside]
+                new = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (k[1:] != k[:-1])]))
+                last = np.append(new[1:], len(low)) - 1
+                of = np.array(chunk)[k[new]]
+                yield pa.record_batch({"gram": pa.array(low[new].view(np.int64)), "rep": pa.array(ids[of], pa.int64()), "sides": pa.array(sides[of], pa.int32()), "start": pa.array(at[new].astype(np.int32)), "stop": pa.array((at[last] + span).astype(np.int32))})
+                chunk, size = [], 0
+
+
+def _frequent(texts: DataFrame, span: int) -> list[int]:
+    """Keys of a small sample that many texts have. They only shape the pieces: rare keys make small groups."""
+    seen = texts.sample(SAMPLE, seed=5).limit(SAMPLE_TEXTS).mapInArrow(_sampled, "gram bigint")
+    often = seen.groupBy("gram").count().where(F.col("count") >= SEEN).orderBy(F.desc("count"), "gram").limit(MOST_FREQUENT)
+    return [r["gram"] for r in often.collect()]
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every text's keys, each once."""
+    for batch in batches:
+        for t in batch.column(2).to_pylist():
+            if len(t) >= GRAM:
+                yield pa.record_batch({"gram": pa.array(np.unique(_grams(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), np.empty(0, np.uint64))).view(np.int64))})
+
+
+def _shared_windows(span: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(piece, start, stop) of the stretches both sides have, of distinct pieces sorted by gram (a gram may run over several batches)."""
+    rows = (r for b in batches for r in zip(b["gram"].tolist(), b["piece"].tolist(), b["sides"].tolist()))
+    out: list[tuple[str, int, int]] = []
+    for _, group in groupby(rows, key=lambda r: r[0]):
+        members = list(group)
+        seen: dict[str, int] = {}
+        for _, piece, sides in members:
+            for i in range(len(piece) - span + 1):
+                w = piece[i : i + span]
+                seen[w] = seen.get(w, 0) | sides
+        for _, piece, _ in members:
+            shared = [i for i in range(len(piece) - span + 1) if seen[piece[i : i + span]] == 3]
+            first = 0
+            for k, i in enumerate(shared):
+                if k + 1 == len(shared) or shared[k + 1] > i + 1:
+                    out.append((piece, shared[first], i + span))
+                    first = k + 1
+        if len(out) > 50_000:
+            yield pd.DataFrame(out, columns=["piece", "start", "stop"])
+            out = []
+    if out:
+        yield pd.DataFrame(out, columns=["piece", "start", "stop"])
+
+
+def coverage(rows: DataFrame, span: int = SPAN, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(id, side, kept columns, covered_chars, n_chars): per record how many characters of its text lie in runs of ``span`` characters or more that a text of the other side has too, wherever they start."""
+    if span < GRAM:
+        raise ValueError(f"span is under {GRAM}")
+    text = F.concat(F.array_join("lines", "\n"), F.lit("\n"))
+    base = cut_table(rows.withColumns({"_text": text, "_class": F.unhex(F.md5(text)), "n_chars": F.length(text)}).drop("lines", "q"))
+    members = base.drop("_text")
+    classes = cut_table(base.groupBy("_class").agg(F.min("id").alias("rep"), F.bit_or(F.when(F.col("side") == "T", 1).otherwise(2)).alias("sides"), F.any_value("_text").alias("_text")))
+    sized = spread(classes.select("rep", "sides", F.col("_text").alias("text")))
+    pieces = cut_table(sized.mapInArrow(partial(_pieces, span, _frequent(sized, span)), "gram bigint, rep bigint, sides int, start int, stop int"))
+    # narrow rows decide which pieces can have a counterpart; only then do texts move
+    both = pieces.groupBy("gram").agg(F.bit_or("sides").alias("_s")).where("_s = 3").select("gram")
+    kept = pieces.join(both, "gram").groupBy("rep").agg(F.collect_list(F.struct("gram", "start", "stop")).alias("_p"))  # at most one text's pieces
+    kept = kept.join(classes.select("rep", "sides", "_text"), "rep").select("rep", "sides", "_text", F.explode("_p").alias("p"))
+    kept = kept.select("rep", "sides", "p.gram", F.col("p.start").alias("at"), F.substring("_text", F.col("p.start") + 1, F.col("p.stop") - F.col("p.start")).alias("piece"))
+    kept = cut_table(kept)
+    distinct = cut_table(kept.groupBy("gram", "piece").agg(F.bit_or("sides").alias("sides")))
+    large = distinct.groupBy("gram").count().where(F.col("count") > group_rows).select("gram")
+    schema = "piece string, start int, stop int"
+    found = distinct.join(large, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram").mapInPandas(partial(_shared_windows, span), schema)
+    wide = distinct.join(large, "gram", "left_semi").select("piece", "sides", F.explode(F.sequence(F.lit(0), F.length("piece") - span)).alias("start"))
+    wide = wide.withColumn("_w", F.unhex(F.md5(F.substring("piece", F.col("start") + 1, F.lit(span)))))
+    twice = wide.groupBy("_w").agg(F.bit_or("sides").alias("_s")).where("_s = 3").select("_w")
+    found = found.unionByName(wide.join(twice, "_w").select("piece", "start", (F.col("start") + span).alias("stop")))
+    s = kept.select("rep", "at", "piece").join(found, "piece").select("rep", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("stop")).alias("stop"))
+    w = Window.partitionBy("rep").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("_end", F.coalesce(F.max("stop").over(w), F.lit(0)))
+    per = s.groupBy("rep").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest("start", "_end"))).cast("int").alias("covered_chars"))
+    done = members.join(classes.select("_class", "rep"), "_class").join(per, "rep", "left").drop("rep", "_class")
+    return done.withColumns({"covered_chars": F.coalesce("covered_chars", F.lit(0))}).select(*[c for c in done.columns if c not in ("covered_chars", "n_chars")], "covered_chars", "n_chars")

@@ -77,8 +77,8 @@ def p6_overlap_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Share of the characters of each split and provenance that the other side has too."""
-    d = coverage(_sides(spark, sf))
+    """Characters of each split and provenance in runs of 24 or more that the other side has too."""
+    d = coverage(_sides(spark, sf), span=24)
     return d.groupBy("split", "provenance").agg(F.sum("covered_chars").alias("covered_chars"), F.sum("n_chars").alias("n_chars"), F.count_if(F.col("covered_chars") > 0).alias("n_records"))
 
 
