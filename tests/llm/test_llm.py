@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +151,22 @@ def test_spans(spark, seed):
     assert spans.shared_pairs(df.where("false")).count() == 0 and spans.shared_coverage(df.where("false")).count() == 0
 
 
+def test_span_of_many_documents(spark):
+    """A span's task gives a row per document, not per pair; the pairs come from blocks."""
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    footer, copy = word(70), word(150)
+    rows = [(i, word(40) + footer + word(40)) for i in range(2000)]
+    suffixes = [{"prefix": 1, "doc_id": i, "pos": 50, "left": t[36:50], "right": t[50:110]} for i, t in rows]
+    assert sum(len(f) for f in spans._tree(60, "pairs", iter([pd.DataFrame(suffixes)]))) <= 10 * len(rows)
+    rows = rows[:300] + [(1000 + i, copy) for i in range(100)] + [(2000, copy + footer)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for size in (200_000, 50):
+        got = [tuple(r) for r in spans.shared_pairs(df, span=60, group_rows=size, block=20).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, 60)[0]
+        assert len(got) == 300 * 299 // 2 + 100 * 99 // 2 + 400
+
+
 def test_same_id_twice(spark):
     t = "".join(random.Random(1).choice("abcdef") for _ in range(250))
     df = spark.createDataFrame([(1, t), (1, t)], "doc_id bigint, text string")

@@ -7,7 +7,9 @@ characters. The suffixes at anchors are partitioned by a hash of that prefix; a
 dropped before any text moves. The suffixes of each remaining prefix form a subtree: they are sorted, the common
 prefixes of neighbours give its internal nodes, and at a node of depth d the suffixes that also agree on the
 ``span - d`` characters to their left share a span. Each suffix carries only its own context, so a group's size in
-memory is its number of suffixes times ``span * 3 // 2`` characters. A prefix with more than ``group_rows`` suffixes
+memory is its number of suffixes times ``span * 3 // 2`` characters. No pairs are built there: the documents of a shared
+span are its class, classes of the same documents count once, and Spark pairs the documents of a class in blocks of at
+most about ``BLOCK`` on either side, so that a span of very many documents is spread over many tasks. A prefix with more than ``group_rows`` suffixes
 is split further: each of its suffixes gets one row per window of ``span`` characters around the anchor, and equal
 windows are grouped by Spark.
 
@@ -18,6 +20,8 @@ result; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import groupby
@@ -33,6 +37,7 @@ from pyspark.sql import functions as F
 from wattloom.llm.tables import cut_table, spread
 
 SPAN, GRAM, GROUP_ROWS = 200, 16, 200_000
+BLOCK, PART_PAIRS, MOST_PARTS = 1000, 1_000_000, 20_000  # of pairing a class: documents in a block, pairs in a task and tasks at most
 SAMPLE, SEEN, MOST_FREQUENT, SALTS = 0.01, 10, 1000, 256  # of finding prefixes that many documents share, see _frequent
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _CHUNK = 60_000  # characters hashed at a time: what stays in the processor's cache
@@ -116,13 +121,12 @@ def _nodes(rights: list[str], deep: int, span: int) -> Iterator[tuple[int, list[
 
 
 def _tree(span: int, want: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs or shared stretches of the subtrees in rows sorted by prefix (a prefix may run over several batches)."""
+    """Members of the classes of equal spans, or shared stretches, of the subtrees in rows sorted by prefix (a prefix may run over several batches)."""
     deep = span - span // 2 + GRAM
     rows = (r for b in batches for r in zip(b["prefix"].tolist(), b["doc_id"].tolist(), b["pos"].tolist(), b["left"].tolist(), b["right"].tolist()))
     out: list[tuple] = []
     for _, group in groupby(rows, key=lambda r: r[0]):
         members = sorted(((r[4], r[3][::-1], r[1], r[2]) for r in group))
-        found: set[tuple[int, int]] = set()
         for depth, starts in _nodes([m[0] for m in members], deep, span):
             need = span - depth
             child = {i: c for c, (a, b) in enumerate(zip(starts, starts[1:])) for i in range(a, b)}
@@ -131,19 +135,15 @@ def _tree(span: int, want: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.
             cuts = [0, *[k + 1 for k, n in enumerate(left) if n < need], len(order)]
             for a, b in zip(cuts, cuts[1:]):
                 same = order[a:b]
-                if len({members[i][2] for i in same}) < 2:
+                docs = {members[i][2] for i in same}
+                if len(docs) < 2:
                     continue
                 if want == "pairs":
-                    by_child: dict[int, set[int]] = {}
-                    if depth == span:
-                        by_child = {k: {members[i][2]} for k, i in enumerate(same)}
-                    else:
-                        for i in same:
-                            by_child.setdefault(child[i], set()).add(members[i][2])
-                    seen: set[int] = set()
-                    for docs in by_child.values():
-                        found |= {(min(x, y), max(x, y)) for x in docs for y in seen if x != y}
-                        seen |= docs
+                    if depth < span and len({child[i] for i in same}) == 1:
+                        continue  # the child's own class holds them all
+                    window = members[same[0]][1][:need][::-1] + members[same[0]][0][:depth]
+                    name = hashlib.sha256(window.encode("utf-8", "surrogatepass")).hexdigest()
+                    out += [(name, x) for x in docs]
                 else:
                     for k, i in enumerate(same):
                         reach = need
@@ -156,19 +156,18 @@ def _tree(span: int, want: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.
                                     reach = max(reach, low)
                                     break
                         out.append((members[i][2], members[i][3] - reach, members[i][3] + depth))
-        out += list(found)
-        if len(out) > 50_000:
-            yield _frame(out, want)
-            out = []
+            if len(out) > 50_000:
+                yield _frame(out, want)
+                out = []
     if out:
         yield _frame(out, want)
 
 
 def _frame(out: list[tuple], want: str) -> pd.DataFrame:
-    return pd.DataFrame(out, columns=["doc_id_a", "doc_id_b"] if want == "pairs" else ["doc_id", "start", "stop"])
+    return pd.DataFrame(out, columns=["span_hash", "doc_id"] if want == "pairs" else ["doc_id", "start", "stop"])
 
 
-_SCHEMAS = {"pairs": "doc_id_a bigint, doc_id_b bigint", "stretches": "doc_id bigint, start int, stop int"}
+_SCHEMAS = {"pairs": "span_hash string, doc_id bigint", "stretches": "doc_id bigint, start int, stop int"}
 
 
 def _frequent(d: DataFrame, span: int) -> list[int]:
@@ -204,16 +203,32 @@ def _shared(docs: DataFrame, doc_id: str, text: str, span: int, group_rows: int,
     both = wide.groupBy("_w").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo <> _hi").select("_w")
     wide = wide.join(both, "_w")
     if want == "pairs":
-        a, b = (wide.select("_w", F.col("doc_id").alias(n)).distinct() for n in ("doc_id_a", "doc_id_b"))
-        large = a.join(b, "_w").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
+        large = wide.select(F.col("_w").alias("span_hash"), "doc_id")
     else:
         large = wide.select("doc_id", "start", (F.col("start") + span).alias("stop"))
     return small.unionByName(large)
 
 
-def shared_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, group_rows: int = GROUP_ROWS) -> DataFrame:
+def _paired(members: DataFrame, block: int) -> DataFrame:
+    """(doc_id_a, doc_id_b): all pairs of the documents of each class, joined in blocks; classes of the same documents are joined once."""
+    members = cut_table(members.distinct())
+    h = F.xxhash64("doc_id")
+    classes = members.groupBy("span_hash").agg(F.count("*").alias("n"), F.bit_xor(h).alias("_x"), F.sum(h.cast("decimal(20,0)")).alias("_y"), F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"))
+    once = classes.groupBy("n", "_x", "_y", "_lo", "_hi").agg(F.min("span_hash").alias("span_hash")).select("span_hash", "n", F.ceil(F.col("n") / block).cast("int").alias("_n"))
+    # few members make many pairs: parts are set by the pairs, else adaptive execution would join small tables in one task
+    parts = math.ceil((once.agg(F.sum(F.col("n").cast("double") * F.col("n") / 2)).first()[0] or 0) / PART_PAIRS) + 1
+    parts = min(max(parts, members.sparkSession.sparkContext.defaultParallelism), MOST_PARTS)
+    m = cut_table(members.join(once.drop("n"), "span_hash").withColumn("_b", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("_n")).cast("int")))
+    a = m.select("span_hash", F.col("_b").alias("i"), F.explode(F.sequence("_b", F.col("_n") - 1)).alias("j"), F.col("doc_id").alias("x"))
+    b = m.select("span_hash", F.explode(F.sequence(F.lit(0), "_b")).alias("i"), F.col("_b").alias("j"), F.col("doc_id").alias("y"))
+    key = ["span_hash", "i", "j"]
+    both = a.repartition(parts, *key).join(b.repartition(parts, *key).hint("merge"), key).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).repartition(parts, "doc_id_a", "doc_id_b").distinct()
+
+
+def shared_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, group_rows: int = GROUP_ROWS, block: int = BLOCK) -> DataFrame:
     """(doc_id_a, doc_id_b): all pairs of documents with a common run of ``span`` characters or more, smaller id first."""
-    return _shared(docs, doc_id, text, span, group_rows, "pairs").distinct()
+    return _paired(_shared(docs, doc_id, text, span, group_rows, "pairs"), block)
 
 
 def shared_coverage(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, group_rows: int = GROUP_ROWS) -> DataFrame:
