@@ -111,6 +111,17 @@ def test_defects(answer, defect):
     assert answers.judge(answer, PROMPT, None) == defect
 
 
+@pytest.mark.parametrize(
+    "sentence,lead,close",
+    [
+        ("Give a reason.", "Here is what you asked: ", ""), ("Return the decision record now.", "You asked me the following: ", " That is the question."),
+        ("Bitte begründen Sie die Wahl.", "Sie haben mich Folgendes gefragt: ", " Das ist die Frage."), ("Explique el motivo.", "Usted me preguntó lo siguiente: ", " Esa es la pregunta."), ("请说明理由。", "", ""), ("请说明理由。", "您的问题是：", "谢谢。"),
+    ],
+)
+def test_one_short_sentence_is_a_copy(sentence, lead, close):
+    assert answers.judge(lead + sentence + close, f"{PROMPT} {sentence}", None) == "copied"
+
+
 def test_terminal_contexts(spark):
     tails = ["hold action 2, since Fenham keeps 81.5 MW and more. Take action 4. Look again at 09:15. Fine it is."] * 4
     rows = [(i, PROMPT, t) for i, t in enumerate(tails)] + [(10, PROMPT, "Take action 1, since Dunham keeps 81."), (11, PROMPT, "Wait for it. Take action 4."), (12, None, None), (13, None, ANSWER), (10, PROMPT, "Take action 1, since Dunham keeps 81.")]

@@ -2,7 +2,7 @@
 
 Order of the tests: empty, an unfinished JSON object, copied, refusal, an unfinished sentence, language; the first
 that holds names the row. Copies are found by compressing the answer with its prompt as the zstandard dictionary:
-what the prompt hardly shortens is no copy; of the rest whole sentences of the prompt are taken out, and a copy leaves
+what the prompt hardly shortens, apart from the few words a copy may add, is no copy; of the rest whole sentences of the prompt are taken out, and a copy leaves
 next to nothing. Refusals and languages come from dictionaries. Whether a last full stop ends a sentence or a number
 is told by a terminal-context model: how often, over all answers of the table, a number with that shape after that
 word was followed by a new sentence or by more digits.
@@ -50,7 +50,8 @@ WORDS = {
 _WORD_SETS = {k: set(v.split()) for k, v in WORDS.items()}
 _ENDS = ".!?。！？…"
 _CLOSERS = "\"'”’»)]}」』）*_` \t\r\n"
-NOVELTY = 0.5  # compressed size against the prompt, relative to the size alone, above which a text is no copy
+NOVELTY = 0.5  # compressed size against the prompt, relative to the size alone, above which a text is no copy, see novelty
+OWN_WORDS, FRAME = 16, 32  # words that a copy may have beside the prompt's sentences, bytes of a compressed frame and its first matches
 
 _CONTROL = re.compile(r"<\|[^<>|]*\|>|</?s>|\[/?INST\]|<(?:eos|bos|pad|unk|end_of_turn|start_of_turn)>|[​-‏⁠﻿\x00-\x08\x0b\x0c\x0e-\x1f]", re.IGNORECASE)
 _FENCE = re.compile(r"```[a-zA-Z]*")
@@ -124,20 +125,23 @@ def _no_value(text: str) -> bool:
 
 
 def novelty(answer: str, prompt: str) -> float:
-    """Compressed size of the answer with its prompt as the dictionary, relative to its size alone."""
-    a, p = flat(answer).encode(), flat(prompt).encode()
+    """Compressed size of the answer with its prompt as the dictionary, without what the words allowed beside a copy and the frame can cost, relative to its size alone."""
+    flat_answer = flat(answer)
+    a, p = flat_answer.encode(), flat(prompt).encode()
     if len(p) < 8:
-        return 1.0
+        return 0.0  # too short for a dictionary: left to the sentence check
+    own = sum(len(w.encode()) + 1 for w in sorted(flat_answer.split(), key=lambda w: len(w.encode()))[-OWN_WORDS:])
     alone = len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(a))
     given = zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(p, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-    return len(given.compress(a)) / max(alone, 1)
+    return (len(given.compress(a)) - own - FRAME) / max(alone, 1)
 
 
 def copied(answer: str, prompt: str) -> bool:
     """Nothing but whole sentences of the prompt, apart from a short lead-in and closing words.
 
-    What the prompt's dictionary doesn't shorten to half its size is no copy; of the rest the prompt's sentences are
-    taken out, and what is left must be a few words without numbers or a decision.
+    What the prompt's dictionary doesn't shorten to half its size, even if its ``OWN_WORDS`` longest words cost nothing,
+    is no copy; of the rest the prompt's sentences are taken out, and what is left must be a few words without numbers
+    or a decision.
     """
     if novelty(answer, prompt) > NOVELTY:
         return False
@@ -147,7 +151,7 @@ def copied(answer: str, prompt: str) -> bool:
             taken, rest = True, rest.replace(s, " ")
     words = rest.split()
     wide = sum(len(re.findall(r"[㐀-鿿]", w)) for w in words)
-    return taken and len(words) + wide // 2 <= 16 and not _DECISION.search(rest) and not re.search(r"\d\D*\d", rest)
+    return taken and len(words) + wide // 2 <= OWN_WORDS and not _DECISION.search(rest) and not re.search(r"\d\D*\d", rest)
 
 
 def language(text: str) -> str | None:
