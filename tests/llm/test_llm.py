@@ -244,6 +244,19 @@ def test_suffix_array_edges(spark, seed, monkeypatch):
         assert n == max((len(t) if u == t else common(t, u) for u in other), default=0)
 
 
+def test_runs_come_from_common_prefixes(spark, monkeypatch):
+    """Every text is in the array; those that agree with the other side past the target's line form the runs."""
+    monkeypatch.setattr(overlap, "PART_SUFFIXES", 7)
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice("TE"), 0.5, [f"e={rnd.randrange(25)};a={rnd.randrange(2)}", f"load={i}"]) for i in range(60)]
+    o = overlap.Overlap(spark.createDataFrame(rows, "id bigint, side string, q double, lines array<string>"))
+    sides = defaultdict(set)
+    for _, s, _, x in rows:
+        sides[x[0]].add(s)
+    assert {r.id for r in o.array().collect()} == {r[0] for r in rows}
+    assert {r.id for r in o.runs().collect()} == {i for i, _, _, x in rows if len(sides[x[0]]) == 2}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_coverage_against_brute_force(spark, seed, monkeypatch):
     """Shared runs count wherever they start: inside a line, at a short line, or in a list with one differing number."""

@@ -2,10 +2,10 @@
 
 Each record becomes one text: a line of its target's values, then one line per labelled list or number of its prompt,
 in the order of the labels and with numbers in one spelling. Exact copies of a text are one class. The suffix array
-holds the suffixes that start at lines of at least ``LINE`` characters. Suffixes whose first line only one side has
-are dropped; the rest are range-partitioned, sorted, and the longest common prefix with the nearest suffix of the
-other side is taken in both directions (the few suffixes at the partitions' edges are compared by the driver). The
-runs from which pairs come are the suffixes that agree on the target's whole line.
+holds each class's suffix that starts at the target's line, which is its whole text. They are range-partitioned, sorted,
+and the longest common prefix with the nearest suffix of the other side is taken in both directions (the few suffixes at
+the partitions' edges are compared by the driver). A common prefix that goes past the target's line puts a record into
+the run of that line, from which pairs come.
 
 Coverage has a path of its own, which keeps every run of ``span`` characters wherever it starts: the windows of a text
 are gathered into pieces whose windows have the same smallest key of ``GRAM`` characters, so equal windows of two texts
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from wattloom.llm.spans import _slide
 from wattloom.llm.tables import cut_table, spread
 
-LINE, PART_SUFFIXES = 48, 50_000
+PART_SUFFIXES = 50_000
 SPAN, GRAM, GROUP_ROWS = 100, 12, 50_000  # of coverage: shortest shared run unless the caller states one, characters of a key, distinct pieces compared in one task
 SAMPLE, SAMPLE_TEXTS, SEEN, MOST_FREQUENT = 0.1, 2000, 20, 4000  # of finding keys that many texts have, see _frequent
 TARGET = "e array<double>, b array<double>, g array<double>, cf array<double>, i double, a double, p array<double>, q double"
@@ -62,33 +62,20 @@ def texts(records: DataFrame, row_id: str, prompt: str, target: str, side: Colum
     return d.withColumn("lines", F.concat(F.array("_head"), F.coalesce(lines, F.array().cast("array<string>")))).drop("_p", "_t", "_head", "_l", "_v")
 
 
-def _starts(lines: str) -> Column:
-    """array of (start, first): where the target's line and the long lines begin in the joined text, and a hash of each such line."""
-    at = F.aggregate(lines, F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<start:int,first:binary>>").alias("a")), lambda s, x: F.struct(
-        (s["n"] + F.length(x) + 1).alias("n"),
-        F.when((F.length(x) >= LINE) | (s["n"] == 0), F.concat(s["a"], F.array(F.struct(s["n"].alias("start"), F.unhex(F.md5(x)).alias("first"))))).otherwise(s["a"]).alias("a"),
-    ))
-    return at["a"]
-
-
 class Overlap:
-    """Written steps shared by the pairs and the coverage of one table of ``texts``."""
+    """Written steps of the pairs of one table of ``texts``."""
 
     def __init__(self, rows: DataFrame) -> None:
         text = F.concat(F.array_join("lines", "\n"), F.lit("\n"))
-        base = cut_table(rows.withColumns({"_class": F.unhex(F.md5(F.concat_ws("\n", F.col("q").cast("string"), text))), "_text": text, "_starts": _starts("lines")}).drop("lines"))
+        base = cut_table(rows.withColumns({"_class": F.unhex(F.md5(F.concat_ws("\n", F.col("q").cast("string"), text))), "_text": text, "_first": F.unhex(F.md5(F.col("lines")[0]))}).drop("lines"))
         classes = base.groupBy("_class").agg(F.min("id").alias("rep"), F.max(F.col("side") == "T").alias("t"), F.max(F.col("side") == "E").alias("e"))
         keep = [c for c in base.columns if c not in ("id", "side", "q") and c[0] != "_"]
         self.members = base.select("id", "side", *keep, "_class").join(classes, "_class").select("id", "side", "rep", *keep)
-        # narrow rows decide which suffixes have a counterpart; only then do texts move, once
-        starts = base.select("id", F.explode("_starts").alias("s")).select("id", "s.start", "s.first")
-        starts = starts.join(classes.select(F.col("rep").alias("id"), "t", "e"), "id")
-        both = starts.groupBy("first").agg(F.max("t").alias("_t"), F.max("e").alias("_e")).where("_t AND _e").select("first")
-        found = starts.join(both, "first")
-        self.suffixes = cut_table(found.join(base.select("id", "q", "_text"), "id").select("id", "t", "e", "start", "first", "q", F.substring("_text", F.col("start") + 1, F.length("_text")).alias("suffix")))
+        one = classes.select(F.col("rep").alias("id"), "t", "e").join(base.select("id", "q", "_text", "_first"), "id")
+        self.suffixes = cut_table(one.select("id", "t", "e", F.lit(0).alias("start"), F.col("_first").alias("first"), "q", F.col("_text").alias("suffix")))
 
     def array(self) -> DataFrame:
-        """(id, start, first, covered): of each kept suffix, the characters of its beginning that a suffix of the other side has too."""
+        """(id, start, first, covered): of each text, the characters of its beginning that a suffix of the other side has too."""
         # a class on both sides is its own counterpart
         d = self.suffixes.select("id", "start", "first", "suffix", F.when(F.col("t") & F.col("e"), "B").when(F.col("t"), "T").otherwise("E").alias("side"))
         parts = max(1, math.ceil(d.count() / PART_SUFFIXES))
