@@ -96,12 +96,15 @@ def test_load_and_blocks(spark):
     rows = [(i, "S", "N", t.strftime("%Y-%m-%d %H:%M:%S")) for i, t in enumerate(local)]
     rows += [(100, "T", "D", "05/06/2022 10:00"), (101, "T", "Y", "2022/06/05 10:00"), (102, "T", "Y", "05/06/2022 10:00"), (103, "T", "?", "2022-01-01 00:00"), (104, "T", None, "2022-01-01T00:00Z"), (105, None, "N", None)]
     df = spark.createDataFrame(rows, LOAD)
-    for width in (250_000, 5):  # any blocks: the same exact rows
-        got = {r.row_id: r for r in load_instants(df, clock, width).collect()}
+    picks = []
+    for parts in (None, 1, 3, 24):  # however rows are cut: the same rows
+        got = {r.row_id: r for r in load_instants(df, clock, parts=parts).collect()}
+        picks.append({k: r.utc_micros for k, r in got.items()})
         assert got[100].utc_micros == micros(2022, 6, 5, 10) and got[101].utc_micros == micros(2022, 6, 5, 16)
         assert got[102].status == got[103].status == got[105].status == "undecidable" and got[104].status == "exact"
         twice = {i for i, t in enumerate(local) if t.hour == 1}
         assert {i for i in range(18) if got[i].status == "likely"} == twice
+    assert all(p == picks[0] for p in picks)
     # in record order the doubled hour is told apart: the path doesn't jump back
     got = {r.row_id: r.utc_micros for r in load_instants(df, clock).collect()}
     assert [got[i] for i in range(18)] == [int((start + timedelta(minutes=20 * i)).timestamp()) * 1_000_000 for i in range(18)]

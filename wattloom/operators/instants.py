@@ -6,8 +6,9 @@ ones. A Viterbi pass over each source's record order then picks one of what is l
 convention, a jump back in time and, slightly, a long jump ahead. Rows with a single interpretation fix the path,
 so only the runs between them are searched.
 
-Rows of a source are searched in blocks of its record ids; the path starts anew at each block. A block is bounded by
-the width of its id range, so a source with any share of all rows is spread over many tasks.
+Tasks hold ranges of (source, record id), so a source with any share of all rows is spread over many of them, however
+its ids lie. Runs inside a task are searched there; of runs at its first and last source's ends the open rows and the
+nearest settled ones are handed to a second pass, which sees nothing else, so the path is the same however rows are cut.
 
 Result: one row per row id (repeated ids give one each) with ``utc_micros``, ``n_instants`` (how many instants are
 possible), ``alternatives`` (all of them, where there are several) and ``status``: ``exact`` (one instant),
@@ -26,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.functions import time_texts as T
+from wattloom.session import cut_table
 
-BLOCK_IDS = 250_000
+GOAL, START, HABIT, OPEN, DONE = range(5)  # rows of the first pass, in the order they have at one record
 SWITCH_COST, BACK_COST = 1.0, 2.0
 NEW_YORK = "America/New_York"
 
@@ -66,27 +68,18 @@ def interpretations(p: T.Parsed, zones: list[tuple[str, np.ndarray]]) -> Reading
     return r
 
 
-def choose(df: DataFrame, read: Callable[[pa.Table], Readings], id_width: int = BLOCK_IDS) -> DataFrame:
-    """The path's choice per row of ``df`` (source, row_id, and what ``read`` needs); see the module."""
-    d = df.withColumn("_block", F.floor(F.col("row_id") / F.lit(id_width)))
-    d = d.repartition("source", "_block").sortWithinPartitions("source", "_block", "row_id")
-    return d.mapInArrow(partial(_map, read), _OUT)
-
-
-def _map(read: Callable[[pa.Table], Readings], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: pa.Table | None = None  # the rows since the last one that is settled
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        if held is not None and held.num_rows:
-            t = pa.concat_tables([held, t]).combine_chunks()
-        r = read(t)
-        settled = np.flatnonzero(sum(x.astype(np.int8) for x in r.ok) == 1)
-        end = int(settled[-1]) if len(settled) else 0
-        if end:
-            yield from _solve(t, r, end)
-        held = t.slice(end)
-    if held is not None and held.num_rows:
-        yield from _solve(held, read(held), held.num_rows)
+def choose(df: DataFrame, read: Callable[[pa.Table], Readings], keep: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """The path's choice per row of ``df`` (source, row_id, what ``read`` needs, and ``keep``, which is carried along); see the module."""
+    keep = keep or []
+    kept = "".join(f", `{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
+    order = ["source", "row_id"]
+    d = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    first = cut_table(d.sortWithinPartitions(*order).mapInArrow(partial(_first_pass, read, keep), f"kind tinyint, source string, {_OUT}, codes array<int>{kept}"))
+    done = first.where(F.col("kind") == DONE)
+    rest = first.where(F.col("kind") != DONE).repartition("source").sortWithinPartitions("source", "row_id", "kind")
+    rest = rest.mapInArrow(partial(_second_pass, keep), f"{_OUT}{kept}")
+    names = [f.split()[0] for f in _OUT.split(", ")] + keep
+    return done.select(*names).unionByName(rest.select(*names))
 
 
 def _changes(x: pa.ChunkedArray) -> np.ndarray:
@@ -96,49 +89,136 @@ def _changes(x: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([[True], i[1:] != i[:-1]])
 
 
-def _solve(t: pa.Table, r: Readings, end: int) -> Iterator[pa.RecordBatch]:
-    u, ok = np.stack(r.u, 1)[: end + 1], np.stack(r.ok, 1)[: end + 1]
-    code = np.stack([np.broadcast_to(c, len(r.unsure)) for c in r.code], 1)[: end + 1]
-    distinct = ok.copy()
-    for j in range(1, ok.shape[1]):
-        for i in range(j):
-            distinct[:, j] &= ~(ok[:, i] & (u[:, i] == u[:, j]))
-    size = distinct.sum(1)
-    n = np.where(r.unsure[: end + 1] & (size > 0), np.maximum(size, 2), size)
-    first = distinct.argmax(1)
-    rows = np.arange(len(u))
-    pick, conv = u[rows, first], code[rows, first]
-    chain = np.cumsum(_changes(t["source"]) | _changes(t["_block"]))[: end + 1]
-    known = np.flatnonzero(size == 1)
-    told = np.flatnonzero((size == 1) & (conv != 0))
-    loose = np.flatnonzero(size[:end] > 1)
-    before, told_before = np.searchsorted(known, loose) - 1, np.searchsorted(told, loose) - 1
-    choices = [(u[x][distinct[x]].tolist(), code[x][distinct[x]].tolist()) for x in loose]
-    i = 0
-    while i < len(loose):
-        j = i + 1
-        while j < len(loose) and before[j] == before[i] and chain[loose[j]] == chain[loose[i]]:
-            j += 1
-        here, b, c = chain[loose[i]], before[i], told_before[i]
-        start = pick[known[b]] if b >= 0 and chain[known[b]] == here else None
-        goal = pick[known[b + 1]] if b + 1 < len(known) and chain[known[b + 1]] == here else None
-        habit = int(conv[told[c]]) if c >= 0 and chain[told[c]] == here else 0
-        pick[loose[i:j]] = path(choices[i:j], start, habit, goal)
-        i = j
-    alternatives = [None] * end
-    for x, (us, _) in zip(loose, choices):
-        alternatives[x] = sorted(us)
-    n, size, pick = n[:end], size[:end], pick[:end]
-    status = np.array(["undecidable", "exact", "likely"])[np.minimum(n, 2)]
-    yield from pa.table(
-        {
-            "row_id": t["row_id"].slice(0, end),
-            "utc_micros": pa.array(pick, pa.int64(), mask=size == 0),
-            "n_instants": pa.array(n.astype(np.int32)),
-            "alternatives": pa.array(alternatives, pa.list_(pa.int64())),
-            "status": pa.array(status, pa.string()),
-        }
-    ).combine_chunks().to_batches()
+class _Chain:
+    """A source's rows inside one task: the run of open rows since the last settled one, and what is known before it."""
+
+    def __init__(self, source: str | None, first: bool) -> None:
+        self.source, self.first = source, first  # the first chain of a task may go on from an earlier task
+        self.start: tuple[int, int] | None = None  # row and instant of the last settled row
+        self.habit: tuple[int, int] | None = None  # row and convention of the last row that told one
+        self.run: list[tuple] = []  # (row_id, instants, conventions, n, kept values)
+        self.settled = False
+
+    def close(self, goal: tuple[int, int] | None, last: bool, out: list[tuple]) -> None:
+        """End the run at a settled row, or at the chain's end (``goal`` null); what an earlier or later task has a say in is handed on."""
+        before = self.first and (self.start is None or self.habit is None)
+        if self.run and not before and not (goal is None and last):
+            choices = [(us, cs) for _, us, cs, _, _ in self.run]
+            picked = path(choices, self.start and self.start[1], self.habit[1] if self.habit else 0, goal and goal[1])
+            out += [(DONE, self.source, row, u, n, sorted(us), "likely", None, *kept) for u, (row, us, _, n, kept) in zip(picked, self.run)]
+        elif self.run:
+            if self.start:
+                out.append(self._edge(START, *self.start))
+            out += [(OPEN, self.source, row, None, n, us, "likely", cs, *kept) for row, us, cs, n, kept in self.run]
+            if goal:
+                out.append(self._edge(GOAL, *goal))
+        elif goal and self.first and not self.settled:
+            out.append(self._edge(GOAL, *goal))
+        if goal is None and last:
+            out += [self._edge(START, *self.start)] if self.start else []
+            out += [self._edge(HABIT, *self.habit)] if self.habit else []
+        self.run, self.settled = [], self.settled or goal is not None
+
+    def _edge(self, kind: int, row: int, value: int) -> tuple:
+        return (kind, self.source, row, value, None, None, None, None)
+
+
+def _first_pass(read: Callable[[pa.Table], Readings], keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with one instant or none at once; runs of others once the next settled row is seen; the ends of the task's first and last source for the second pass."""
+    chain: _Chain | None = None
+    kinds: dict[str, pa.DataType] = {}
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if not t.num_rows:
+            continue
+        kinds = {k: t.schema.field(k).type for k in keep}
+        r = read(t)
+        u, ok = np.stack(r.u, 1), np.stack(r.ok, 1)
+        code = np.stack([np.broadcast_to(c, len(r.unsure)) for c in r.code], 1)
+        distinct = ok.copy()
+        for j in range(1, ok.shape[1]):
+            for i in range(j):
+                distinct[:, j] &= ~(ok[:, i] & (u[:, i] == u[:, j]))
+        size = distinct.sum(1)
+        n = np.where(r.unsure & (size > 0), np.maximum(size, 2), size)
+        at, rows = distinct.argmax(1), np.arange(len(u))
+        pick, conv = u[rows, at], code[rows, at]
+        ids = t["row_id"].to_numpy()
+        out: list[tuple] = []
+        bounds = [*np.flatnonzero(_changes(t["source"])).tolist(), len(u)]
+        for a, b in zip(bounds, bounds[1:]):
+            source = t["source"][a].as_py()
+            if chain is None or chain.source != source:
+                if chain is not None:
+                    chain.close(None, False, out)
+                chain = _Chain(source, chain is None)
+            known = a + np.flatnonzero(size[a:b] == 1)
+            told = known[conv[known] != 0]
+            loose = a + np.flatnonzero(size[a:b] > 1)
+            done = 0  # settled rows of the segment that the chain has seen
+            for x in [*loose.tolist(), b]:
+                upto = int(np.searchsorted(known, x))
+                if upto > done:
+                    chain.close((int(ids[known[done]]), int(pick[known[done]])), False, out)
+                    chain.start, done = (int(ids[known[upto - 1]]), int(pick[known[upto - 1]])), upto
+                    k = int(np.searchsorted(told, x)) - 1
+                    if k >= 0:
+                        chain.habit = (int(ids[told[k]]), int(conv[told[k]]))
+                if x < b:
+                    d = distinct[x]
+                    chain.run.append((int(ids[x]), u[x][d].tolist(), code[x][d].tolist(), int(n[x]), tuple(t[k][x].as_py() for k in keep)))
+        whole = np.flatnonzero(size <= 1)
+        take = t.take(pa.array(whole))
+        fixed = {
+            "kind": pa.array(np.full(len(whole), DONE, np.int8)), "source": take["source"], "row_id": take["row_id"], "utc_micros": pa.array(pick[whole], pa.int64(), mask=size[whole] == 0),
+            "n_instants": pa.array(n[whole].astype(np.int32)), "alternatives": pa.nulls(len(whole), pa.list_(pa.int64())),
+            "status": pa.array(np.array(["undecidable", "exact", "likely"])[np.minimum(n[whole], 2)], pa.string()), "codes": pa.nulls(len(whole), pa.list_(pa.int32())), **{k: take[k] for k in keep},
+        }
+        yield from pa.table(fixed).combine_chunks().to_batches()
+        yield from _rows(out, kinds)
+    if chain is not None:
+        out = []
+        chain.close(None, True, out)
+        yield from _rows(out, kinds)
+
+
+def _rows(out: list[tuple], kinds: dict[str, pa.DataType]) -> list[pa.RecordBatch]:
+    if not out:
+        return []
+    types = [("kind", pa.int8()), ("source", pa.string()), ("row_id", pa.int64()), ("utc_micros", pa.int64()), ("n_instants", pa.int32()), ("alternatives", pa.list_(pa.int64())), ("status", pa.string()), ("codes", pa.list_(pa.int32())), *kinds.items()]
+    filled = [(*r, *[None] * (len(types) - len(r))) for r in out]
+    return pa.table({name: pa.array(column, kind) for (name, kind), column in zip(types, zip(*filled))}).to_batches()
+
+
+def _second_pass(keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs that reach over tasks, between the ends that the first pass has left; rows come sorted by source and row."""
+    source, start, habit = object(), None, 0
+    run: list[dict] = []
+    kinds: dict[str, pa.DataType] = {}
+
+    def solve(goal: int | None) -> list[pa.RecordBatch]:
+        if not run:
+            return []
+        picked = path([(r["alternatives"], r["codes"]) for r in run], start, habit, goal)
+        out = [(DONE, r["source"], r["row_id"], u, r["n_instants"], sorted(r["alternatives"]), "likely", None, *[r[k] for k in keep]) for r, u in zip(run, picked)]
+        run.clear()
+        return [b.select([*[f.split()[0] for f in _OUT.split(", ")], *keep]) for b in _rows(out, kinds)]
+
+    for batch in batches:
+        kinds = {k: batch.schema.field(k).type for k in keep}
+        for r in batch.to_pylist():
+            if r["source"] != source:
+                yield from solve(None)
+                source, start, habit = r["source"], None, 0
+            if r["kind"] == OPEN:
+                run.append(r)
+            elif r["kind"] == GOAL:
+                yield from solve(r["utc_micros"])
+            elif r["kind"] == START:
+                start = r["utc_micros"]
+            else:
+                habit = r["utc_micros"]
+    yield from solve(None)
 
 
 def _step(a: int, b: int) -> float:
@@ -165,7 +245,7 @@ def path(choices: list[tuple[list[int], list[int]]], first: int | None, habit: i
     return out[::-1]
 
 
-def lmp_instants(lmp: DataFrame, id_width: int = BLOCK_IDS) -> DataFrame:
+def lmp_instants(lmp: DataFrame, parts: int | None = None) -> DataFrame:
     """Instants of ``lmp_hourly_hub.interval_start_utc`` by the row's New York date and hour ending.
 
     A bare wall time is in UTC or New York time, whichever gives the target fields; so is the order of a slash date.
@@ -174,7 +254,7 @@ def lmp_instants(lmp: DataFrame, id_width: int = BLOCK_IDS) -> DataFrame:
     """
     day = F.unix_date(F.col("target_local_date").try_cast("date"))
     d = lmp.select(F.col("lmp_row_id").alias("row_id"), F.col("location").alias("source"), F.col("interval_start_utc").alias("text"), day.alias("day"), F.col("target_he").alias("he"))
-    return choose(d, _read_lmp, id_width)
+    return choose(d, _read_lmp, parts=parts)
 
 
 def _column(t: pa.Table, name: str) -> pa.Array:
@@ -203,14 +283,15 @@ def _read_lmp(t: pa.Table) -> Readings:
     return r
 
 
-def load_instants(load: DataFrame, clock: DataFrame, id_width: int = BLOCK_IDS) -> DataFrame:
+def load_instants(load: DataFrame, clock: DataFrame, keep: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """Instants of ``hourlysysload.timestamp_utc`` by each feed's clock: zone of bare texts, order of slash dates.
 
-    A feed the clock table doesn't name can't date bare texts; its slash dates stay open in order.
+    A feed the clock table doesn't name can't date bare texts; its slash dates stay open in order. ``keep``: further
+    columns of ``load`` to carry along.
     """
     c = clock.groupBy(F.col("feed_id").alias("_feed")).agg(F.min("bare_zone").alias("zone"), F.min("date_order").alias("rule"))
-    d = load.select(F.col("reading_id").alias("row_id"), F.col("load_source").alias("source"), F.col("timestamp_utc").alias("text"), "feed_id")
-    return choose(d.join(c, F.col("feed_id") == F.col("_feed"), "left").drop("feed_id", "_feed"), _read_load, id_width)
+    d = load.select(F.col("reading_id").alias("row_id"), F.col("load_source").alias("source"), F.col("timestamp_utc").alias("text"), "feed_id", *(keep or []))
+    return choose(d.join(c, F.col("feed_id") == F.col("_feed"), "left").drop("feed_id", "_feed"), _read_load, keep, parts)
 
 
 def _read_load(t: pa.Table) -> Readings:
