@@ -1,9 +1,9 @@
 """Irregular readings onto an hourly grid, with missing hours filled by low-rank factorisation or marked.
 
 Readings become hourly means per source. Every source's hours from its first to its last form the grid. The matrix has
-a row for each week of each source and a column for each hour of the week; its cells are loads as logarithms less
-their source's mean. Alternating least squares factorises it, so all sources and weeks share the shapes of a week; a
-missing cell takes the product of its row's and its column's factors. Observed cells stay as they are. A cell whose
+a row for each week of each source and a column for each hour of the week in each band of 52 weeks, so rows and
+columns both grow with time; its cells are loads as logarithms less their source's mean. Alternating least squares
+factorises it, so all sources and weeks of a band share the shapes of a week; a missing cell takes the product of its row's and its column's factors. Observed cells stay as they are. A cell whose
 week has too few readings of its source, or whose hour of the week no row has, is not supported and stays marked.
 (Rows of sources and columns of absolute hours fit far worse: sources rarely report at the same time.)
 
@@ -14,6 +14,8 @@ infinite or non-positive loads and readings without an instant. Repeats count on
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,26 +47,30 @@ def numbered(rows: DataFrame, cols: list[str]) -> DataFrame:
     return d.withColumn("_i", within).join(start, "_p").select(*cols, (F.col("_start") + F.col("_i")).cast("int").alias("number"))
 
 
-def regular_series(readings: DataFrame, rank: int = 4, iterations: int = 8, ridge: float = 0.002, min_readings: int = 12, period: int = 168, seed: int = 11) -> DataFrame:
+def regular_series(readings: DataFrame, rank: int = 4, iterations: int = 8, ridge: float = 0.002, min_readings: int = 12, period: int = 168, band: int = 52, seed: int = 11, block_cells: int = 250_000) -> DataFrame:
     """(source, hour, load_mw, how): the hourly series of (source, utc_micros, load_mw).
 
     ``how`` is ``observed``, ``filled`` or ``marked`` (load_mw null: no factor supports the cell). ``period`` is the
-    number of columns: a row of the matrix is a source's stretch of so many hours.
+    width of a row: a source's stretch of so many hours; each ``band`` of so many stretches has columns of its own.
+    ``block_cells`` sets the blocks of the factorisation: about so many readings go to a task.
     """
     cells = cut(hourly(readings))
     missing = gaps(cells)
     ensure_checkpoint_dir(cells.sparkSession)
-    place = {"_row": F.floor(F.col("hour") / F.lit(period)).cast("int"), "_col": F.pmod("hour", F.lit(period)).cast("int")}
+    row = F.floor(F.col("hour") / F.lit(period)).cast("int")
+    place = {"_row": row, "_col": (F.floor(row / F.lit(band)) * period + F.pmod("hour", F.lit(period))).cast("int")}
     placed = cells.withColumns(place)
     level = cells.groupBy("source").agg(F.avg(F.ln("load_mw")).alias("_level"))
     full = placed.groupBy("source", "_row").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_readings).select("source", "_row")
     known = full.join(numbered(full, ["source", "_row"]), ["source", "_row"]).join(level, "source")
     x = cut(placed.join(known, ["source", "_row"]).select("number", "_col", (F.ln("load_mw") - F.col("_level")).cast("float").alias("x")))
     seen = cells.select("source", "hour", "load_mw", F.lit("observed").alias("how"))
-    if x.isEmpty():
+    n_cells = x.count()
+    if not n_cells:
         return seen.unionByName(missing.select("source", "hour", F.lit(None).cast("double").alias("load_mw"), F.lit("marked").alias("how")))
     both = "MEMORY_AND_DISK_2"
-    als = ALS(rank=rank, maxIter=iterations, regParam=ridge, userCol="number", itemCol="_col", ratingCol="x", seed=seed, checkpointInterval=5, intermediateStorageLevel=both, finalStorageLevel=both)
+    blocks = max(2, math.ceil(n_cells / block_cells))
+    als = ALS(numUserBlocks=blocks, numItemBlocks=blocks, rank=rank, maxIter=iterations, regParam=ridge, userCol="number", itemCol="_col", ratingCol="x", seed=seed, checkpointInterval=5, intermediateStorageLevel=both, finalStorageLevel=both)
     model = als.fit(x)
     users = model.userFactors.select(F.col("id").alias("number"), F.col("features").alias("_u"))
     items = model.itemFactors.select(F.col("id").alias("_col"), F.col("features").alias("_v"))

@@ -20,7 +20,7 @@ def _all_instants(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Rows whose time text denotes exactly one instant."""
-    return _all_instants(spark, sf).where("status = 'exact'").select("table_name", "row_id", "utc_micros").distinct()
+    return _all_instants(spark, sf).where("status = 'exact'").select("table_name", "row_id", "utc_micros")
 
 
 def p3_normalised(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,7 +38,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     states = table(spark, sf, "public_energy_state")
     own = generator_state(states, table(spark, sf, "own_generator")).select("state_row_id", F.lit("own_generator").alias("attribute_table"), F.col("record_id").alias("attribute_row_id"))
     fc = forecast_state(states, table(spark, sf, "load_forecast")).select("state_row_id", F.lit("load_forecast").alias("attribute_table"), F.col("forecast_id").alias("attribute_row_id"))
-    return own.unionByName(fc).distinct()
+    return own.unionByName(fc)
 
 
 _P4_OWN = """SELECT state_row_id, record_id, own_lmp, utilization FROM (
@@ -60,15 +60,14 @@ def p4_forecast_state(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _readings(spark: SparkSession, sf: str) -> DataFrame:
-    load = table(spark, sf, "hourlysysload")
-    exact = load_instants(load, table(spark, sf, "feed_clock")).where("status = 'exact'").select("row_id", "utc_micros")
-    return exact.join(load.select(F.col("reading_id").alias("row_id"), F.col("load_source").alias("source"), "load_mw"), "row_id")
+    d = load_instants(table(spark, sf, "hourlysysload"), table(spark, sf, "feed_clock"), ["load_mw", "load_source"])
+    return d.where("status = 'exact'").select(F.col("load_source").alias("source"), "utc_micros", "load_mw")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Missing hours of every source's series."""
     series = regular_series(_readings(spark, sf))
-    return series.where("how <> 'observed'").select(F.col("source").alias("load_source"), hour_text(F.col("hour").cast("bigint") * HOUR_US).alias("hour_utc")).distinct()
+    return series.where("how <> 'observed'").select(F.col("source").alias("load_source"), hour_text(F.col("hour").cast("bigint") * HOUR_US).alias("hour_utc"))
 
 
 def p5_series(spark: SparkSession, sf: str) -> DataFrame:
