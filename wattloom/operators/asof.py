@@ -5,7 +5,8 @@ order, and a running count of the changes of "the best record known so far" numb
 the count at its own time; the wide attributes are then joined by plain equality of entity and version.
 
 An entity with any share of all rows is no hot spot: order is kept per (entity, time bucket), and the best record and
-the number of changes of all earlier buckets come from per-bucket aggregates, which are as few as the buckets.
+the number of changes of all earlier buckets come from per-bucket aggregates, which are as few as the buckets. The
+numbered narrow rows are written once; versions and events are read from there.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattloom.session import cut_table
+
 
 def known_at(
     events: DataFrame,
@@ -41,7 +44,7 @@ def known_at(
     narrow = a.select("_key", "_t", "_rank", F.lit(None).cast(e.schema["_event"].dataType).alias("_event")).unionByName(e.select("_key", "_t", F.lit(None).cast(a.schema["_rank"].dataType).alias("_rank"), "_event"))
     narrow = narrow.withColumn("_b", bucket(F.col("_t")))
 
-    # The best record of all earlier buckets, carried into each bucket.
+    # The best record of all earlier buckets, carried into each bucket: one row per bucket.
     per = narrow.groupBy("_key", "_b").agg(F.max("_rank").alias("_top"))
     earlier = Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = per.select("_key", "_b", F.max("_top").over(earlier).alias("_carried"))
@@ -54,12 +57,14 @@ def known_at(
     best = F.greatest(F.max("_rank").over(before), F.col("_carried"))
     d = d.withColumn("_change", F.when(F.col("_rank").isNotNull() & (best.isNull() | (F.col("_rank") > best)), 1).otherwise(0))
     d = d.withColumn("_n", F.sum("_change").over(upto))
+    # written once: events, and the records that were a change
+    d = cut_table(d.where(F.col("_event").isNotNull() | (F.col("_change") == 1)).select("_key", "_b", "_n", "_rank", "_event"))
 
-    # Versions count on from bucket to bucket.
-    counts = d.groupBy("_key", "_b").agg(F.sum("_change").alias("_changes"))
-    base = counts.select("_key", "_b", F.coalesce(F.sum("_changes").over(earlier), F.lit(0)).alias("_base"))
+    # Versions count on from bucket to bucket; only changes raise a bucket's count.
+    buckets = d.groupBy("_key", "_b").agg(F.coalesce(F.max(F.when(F.col("_event").isNull(), F.col("_n"))), F.lit(0)).alias("_changes"))
+    base = buckets.select("_key", "_b", F.coalesce(F.sum("_changes").over(earlier), F.lit(0)).alias("_base"))
     d = d.join(base, ["_key", "_b"]).withColumn("_version", F.col("_base") + F.col("_n"))
-    version = d.where("_change = 1").select("_key", "_version", "_rank")
+    version = d.where("_event IS NULL").select("_key", "_version", "_rank")
     numbered = a.join(version, ["_key", "_rank"]).dropDuplicates(["_key", "_version"])
     asked = d.where(F.col("_event").isNotNull() & (F.col("_version") > 0)).select("_key", "_version", F.col("_event").alias(event_id))
     return asked.join(numbered, ["_key", "_version"]).select(event_id, *wide)
