@@ -3,15 +3,23 @@
 A span of at least ``span`` characters that two texts share is found without looking at every suffix: in every
 window of ``span // 2`` characters the k-gram with the smallest hash is an anchor, so both texts have the same anchor
 in the first half of the span, and the suffixes that start there agree for at least ``span - span // 2 + k``
-characters. The suffixes at anchors are partitioned by a hash of that prefix; a prefix only one document has is
-dropped before any text moves. The suffixes of each remaining prefix form a subtree: they are sorted, the common
-prefixes of neighbours give its internal nodes, and at a node of depth d the suffixes that also agree on the
-``span - d`` characters to their left share a span. Each suffix carries only its own context, so a group's size in
-memory is its number of suffixes times ``span * 3 // 2`` characters. No pairs are built there: the documents of a shared
-span are its class, classes of the same documents count once, and Spark pairs the documents of a class in blocks of at
-most about ``BLOCK`` on either side, so that a span of very many documents is spread over many tasks. A prefix with more than ``group_rows`` suffixes
-is split further: each of its suffixes gets one row per window of ``span`` characters around the anchor, and equal
-windows are grouped by Spark.
+characters. The suffixes at anchors are partitioned by a hash of that prefix; a prefix only one party has is dropped
+before any text moves. The suffixes of each remaining prefix form a subtree: they are sorted, the common prefixes of
+neighbours give its internal nodes, and at a node of depth d the suffixes that also agree on the ``span - d``
+characters to their left share a span; those that agree on more to the left are a class of their own, so classes are
+repeats that can't be made longer inside the context. Each suffix carries only its own context, so a group's size in
+memory is its number of suffixes times ``span * 3 // 2`` characters.
+
+Prefixes have no fixed length: a group of more than ``group_rows`` suffixes is split by longer ones. Its range of
+depths is halved, and for the lower depths the prefix grows to the left by what those depths need there (it is then a
+prefix of an earlier suffix), for the upper ones to the right. Halves that are still too large are halved again, down
+to prefixes of ``span`` characters, whose suffixes are one class and need no tree. So no task holds more than
+``group_rows`` suffixes of a prefix, and nothing that is shared is missed.
+
+No pairs are built in the trees: the documents of a shared span are its class, classes of the same documents count
+once, and Spark pairs the documents of a class in blocks of at most about ``BLOCK`` on either side, so that a span of
+very many documents is spread over many tasks. Spans come from the classes too: overlapping classes with the same
+documents at the same distances are one longer span.
 
 Characters are code points and nothing is normalised. Null and short texts share nothing. A document id that occurs
 in several rows counts as one document (its rows are told apart by their texts only). An empty table gives an empty
@@ -31,12 +39,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattloom.llm.tables import cut_table, spread
+from wattloom.llm.tables import spread
+from wattloom.session import cut_table
 
-SPAN, GRAM, GROUP_ROWS = 200, 16, 200_000
+SPAN, GRAM, GROUP_ROWS = 200, 16, 50_000
 BLOCK, PART_PAIRS, MOST_PARTS = 1000, 1_000_000, 20_000  # of pairing a class: documents in a block, pairs in a task and tasks at most
 SAMPLE, SEEN, MOST_FREQUENT, SALTS = 0.01, 10, 1000, 256  # of finding prefixes that many documents share, see _frequent
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -69,12 +78,13 @@ def anchors(codes: np.ndarray, window: int, gram: int = GRAM) -> np.ndarray:
 
 
 def _suffixes(span: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(prefix, doc_id, pos) of the suffixes at anchors; texts are hashed many at a time, anchors of seams do no harm."""
+    """(prefix, doc_id, party, pos) of the suffixes at anchors; texts are hashed many at a time, anchors of seams do no harm."""
     window, deep = span // 2, span - span // 2 + GRAM
     for batch in batches:
-        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        ids, texts, parties = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
         keys: list[int] = []
         docs: list[np.ndarray] = []
+        sides: list[np.ndarray] = []
         at: list[np.ndarray] = []
         chunk: list[int] = []
         size = 0
@@ -92,22 +102,24 @@ def _suffixes(span: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
                 ok = p + deep <= ends[k]
                 p, k = p[ok], k[ok]
                 keys += [xxhash.xxh3_64_intdigest(raw[4 * a : 4 * (a + deep)]) for a in p.tolist()]
-                docs.append(ids[np.array(chunk)[k]])
+                of = np.array(chunk)[k]
+                docs.append(ids[of])
+                sides.append(parties[of])
                 at.append(p - (ends - lengths)[k])
                 chunk, size = [], 0
         if keys:
-            yield pa.record_batch({"prefix": pa.array(np.array(keys, np.uint64).view(np.int64)), "doc_id": pa.array(np.concatenate(docs), pa.int64()), "pos": pa.array(np.concatenate(at).astype(np.int32))})
+            yield pa.record_batch({"prefix": pa.array(np.array(keys, np.uint64).view(np.int64)), "doc_id": pa.array(np.concatenate(docs), pa.int64()), "party": pa.array(np.concatenate(sides), pa.int32()), "pos": pa.array(np.concatenate(at).astype(np.int32))})
 
 
 def _common(a: str, b: str) -> int:
     return len(commonprefix((a, b)))
 
 
-def _nodes(rights: list[str], deep: int, span: int) -> Iterator[tuple[int, list[int]]]:
-    """Internal nodes of the tree of sorted suffixes, as (depth, starts of the node's children and its end); depth is at least ``deep``, and ``span`` at most."""
-    lcp = [min(_common(a, b), span) for a, b in zip(rights, rights[1:])]
+def _nodes(rights: list[str], deep: int, most: int) -> Iterator[tuple[int, list[int]]]:
+    """Internal nodes of the tree of sorted suffixes, as (depth, starts of the node's children and its end); depth is at least ``deep``, and ``most`` at most."""
+    lcp = [min(_common(a, b), most) for a, b in zip(rights, rights[1:])]
     stack: list[tuple[int, list[int]]] = []  # (depth, child starts)
-    for i, d in enumerate([*lcp, 0]):
+    for i, d in enumerate([*lcp, -1]):
         start = i
         while stack and stack[-1][0] > d:
             depth, starts = stack.pop()
@@ -120,54 +132,36 @@ def _nodes(rights: list[str], deep: int, span: int) -> Iterator[tuple[int, list[
                 stack.append((d, [start, i + 1]))
 
 
-def _tree(span: int, want: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Members of the classes of equal spans, or shared stretches, of the subtrees in rows sorted by prefix (a prefix may run over several batches)."""
-    deep = span - span // 2 + GRAM
-    rows = (r for b in batches for r in zip(b["prefix"].tolist(), b["doc_id"].tolist(), b["pos"].tolist(), b["left"].tolist(), b["right"].tolist()))
+_MEMBERS = "span_hash string, doc_id bigint, start int, stop int"
+
+
+def _tree(span: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Members of the classes of equal spans of the subtrees in rows sorted by prefix and depths (a prefix may run over several batches)."""
+    names = ["prefix", "lo", "hi", "doc_id", "party", "pos", "left", "right"]
+    rows = (r for b in batches for r in zip(*[b[c].tolist() for c in names]))
     out: list[tuple] = []
-    for _, group in groupby(rows, key=lambda r: r[0]):
-        members = sorted(((r[4], r[3][::-1], r[1], r[2]) for r in group))
-        for depth, starts in _nodes([m[0] for m in members], deep, span):
-            need = span - depth
+    for (_, lo, hi), group in groupby(rows, key=lambda r: r[:3]):
+        members = sorted((r[7], r[6][::-1], r[3], r[4], r[5]) for r in group)
+        for depth, starts in _nodes([m[0] for m in members], lo, hi - 1):
             child = {i: c for c, (a, b) in enumerate(zip(starts, starts[1:])) for i in range(a, b)}
             order = sorted(child, key=lambda i: members[i][1])
-            left = [_common(members[a][1], members[b][1]) for a, b in zip(order, order[1:])]
-            cuts = [0, *[k + 1 for k, n in enumerate(left) if n < need], len(order)]
-            for a, b in zip(cuts, cuts[1:]):
-                same = order[a:b]
-                docs = {members[i][2] for i in same}
-                if len(docs) < 2:
+            for left, cuts in _nodes([members[i][1] for i in order], span - depth, span):
+                same = order[cuts[0] : cuts[-1]]
+                if len({members[i][3] for i in same}) < 2:
                     continue
-                if want == "pairs":
-                    if depth < span and len({child[i] for i in same}) == 1:
-                        continue  # the child's own class holds them all
-                    window = members[same[0]][1][:need][::-1] + members[same[0]][0][:depth]
-                    name = hashlib.sha256(window.encode("utf-8", "surrogatepass")).hexdigest()
-                    out += [(name, x) for x in docs]
-                else:
-                    for k, i in enumerate(same):
-                        reach = need
-                        for step in (-1, 1):  # the nearest neighbour of another document on either side
-                            low, j = span, k
-                            while 0 <= j + step < len(same) and low > reach:
-                                low = min(low, left[a + (j if step > 0 else j - 1)])
-                                j += step
-                                if members[same[j]][2] != members[i][2]:
-                                    reach = max(reach, low)
-                                    break
-                        out.append((members[i][2], members[i][3] - reach, members[i][3] + depth))
+                if depth < hi - 1 and len({child[i] for i in same}) == 1:
+                    continue  # the child's own class holds them all
+                text, before, _, _, _ = members[same[0]]
+                name = hashlib.sha256((before[:left][::-1] + text[:depth]).encode("utf-8", "surrogatepass")).hexdigest()
+                out += [(name, members[i][2], members[i][4] - left, members[i][4] + depth) for i in same]
             if len(out) > 50_000:
-                yield _frame(out, want)
+                yield pd.DataFrame(out, columns=["span_hash", "doc_id", "start", "stop"])
                 out = []
     if out:
-        yield _frame(out, want)
-
-
-def _frame(out: list[tuple], want: str) -> pd.DataFrame:
-    return pd.DataFrame(out, columns=["span_hash", "doc_id"] if want == "pairs" else ["doc_id", "start", "stop"])
+        yield pd.DataFrame(out, columns=["span_hash", "doc_id", "start", "stop"])
 
 
-_SCHEMAS = {"pairs": "span_hash string, doc_id bigint", "stretches": "doc_id bigint, start int, stop int"}
+_SUFFIX = "prefix bigint, doc_id bigint, party int, pos int"
 
 
 def _frequent(d: DataFrame, span: int) -> list[int]:
@@ -175,38 +169,58 @@ def _frequent(d: DataFrame, span: int) -> list[int]:
 
     The sample only balances the work: every suffix of any other prefix is compared as well.
     """
-    seen = d.sample(SAMPLE, seed=5).mapInArrow(partial(_suffixes, span), "prefix bigint, doc_id bigint, pos int")
+    seen = d.sample(SAMPLE, seed=5).mapInArrow(partial(_suffixes, span), _SUFFIX)
     often = seen.groupBy("prefix").agg(F.countDistinct("doc_id").alias("n")).where(F.col("n") >= SEEN).orderBy(F.desc("n"), "prefix").limit(MOST_FREQUENT)
     return [r["prefix"] for r in often.select("prefix").collect()]
 
 
-def _shared(docs: DataFrame, doc_id: str, text: str, span: int, group_rows: int, want: str) -> DataFrame:
+def shared(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, group_rows: int = GROUP_ROWS, party: Column | None = None) -> DataFrame:
+    """(span_hash, doc_id, start, stop): the members of every class of equal spans that at least two parties have; each document is its own party unless ``party`` (an int) says otherwise."""
     half, deep = span // 2, span - span // 2 + GRAM
-    d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= span)
+    own = party is None
+    d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), (F.lit(0) if own else party).cast("int").alias("party")).where(F.length("text") >= span)
     d = spread(d)
-    suffixes = d.mapInArrow(partial(_suffixes, span), "prefix bigint, doc_id bigint, pos int")
+    suffixes = d.mapInArrow(partial(_suffixes, span), _SUFFIX)
     frequent = F.col("prefix").isin(_frequent(d, span))
     w = Window.partitionBy("prefix", F.when(frequent, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0))
-    several = suffixes.withColumns({"_a": F.min("doc_id").over(w), "_b": F.max("doc_id").over(w)}).where(frequent | (F.col("_a") != F.col("_b")))
-    kept = cut_table(several.select("prefix", "doc_id", "pos"))
+    who = "doc_id" if own else "party"
+    several = suffixes.withColumns({"_a": F.min(who).over(w), "_b": F.max(who).over(w)}).where(frequent | (F.col("_a") != F.col("_b")))
+    kept = cut_table(several.select("prefix", "doc_id", "party", "pos"))
     left = F.substring("text", F.greatest(F.col("pos") + 1 - (half - GRAM), F.lit(1)), F.least(F.col("pos"), F.lit(half - GRAM)))
-    context = kept.join(d, "doc_id").select("prefix", "doc_id", "pos", left.alias("left"), F.substring("text", F.col("pos") + 1, F.lit(span)).alias("right"))
-    sizes = kept.groupBy("prefix").count().where(F.col("count") > group_rows).select("prefix")
-    if sizes.isEmpty():
-        return context.repartition("prefix").sortWithinPartitions("prefix").mapInPandas(partial(_tree, span, want), _SCHEMAS[want])
-    context = cut_table(context)
-    small = context.join(sizes, "prefix", "left_anti").repartition("prefix").sortWithinPartitions("prefix").mapInPandas(partial(_tree, span, want), _SCHEMAS[want])
-    reach = F.sequence(F.greatest(F.lit(0), F.lit(span) - F.length("right")), F.length("left"))
-    wide = context.join(sizes, "prefix", "left_semi").select("doc_id", "pos", "left", "right", F.explode(F.when(F.length("left") + F.length("right") >= span, reach)).alias("o"))
-    around = F.concat(F.substring("left", F.length("left") - F.col("o") + 1, F.col("o")), F.substring("right", F.lit(1), F.lit(span) - F.col("o")))
-    wide = wide.select("doc_id", (F.col("pos") - F.col("o")).cast("int").alias("start"), F.sha2(around, 256).alias("_w"))
-    both = wide.groupBy("_w").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo <> _hi").select("_w")
-    wide = wide.join(both, "_w")
-    if want == "pairs":
-        large = wide.select(F.col("_w").alias("span_hash"), "doc_id")
-    else:
-        large = wide.select("doc_id", "start", (F.col("start") + span).alias("stop"))
-    return small.unionByName(large)
+    at = [F.col(who).alias("party"), "pos", left.alias("left"), F.substring("text", F.col("pos") + 1, F.lit(span)).alias("right")]
+    level = kept.join(d.drop("party"), "doc_id").select("prefix", F.lit(deep).alias("lo"), F.lit(span + 1).alias("hi"), "doc_id", *at)
+    large = kept.groupBy("prefix").count().where(F.col("count") > group_rows).select("prefix")
+    if large.isEmpty():
+        return _trees(level, span)
+    found, level, large = None, cut_table(level), large.withColumn("lo", F.lit(deep))
+    while True:
+        done = _trees(level.join(large, ["prefix", "lo"], "left_anti"), span)
+        found = done if found is None else found.unionByName(done)
+        level = cut_table(_longer(level.join(large, ["prefix", "lo"], "left_semi"), span))
+        one = level.where("hi = lo + 1")  # prefixes of the whole span: what has it is a class
+        name = F.sha2(F.concat(F.right("left", F.lit(span) - F.col("lo")), F.left("right", F.col("lo"))), 256)
+        one = cut_table(one.select(name.alias("span_hash"), "doc_id", "party", (F.col("pos") - (F.lit(span) - F.col("lo"))).cast("int").alias("start"), (F.col("pos") + F.col("lo")).cast("int").alias("stop")))
+        both = one.groupBy("span_hash").agg(F.min("party").alias("_a"), F.max("party").alias("_b")).where("_a <> _b").select("span_hash")
+        found = found.unionByName(one.join(both, "span_hash").select("span_hash", "doc_id", "start", "stop"))
+        level = level.where("hi > lo + 1")
+        large = cut_table(level.groupBy("prefix", "lo").count().where(F.col("count") > group_rows).select("prefix", "lo"))
+        if large.isEmpty():
+            return found.unionByName(_trees(level, span))
+
+
+def _trees(level: DataFrame, span: int) -> DataFrame:
+    key = ["prefix", "lo", "hi"]
+    return level.repartition(*key).sortWithinPartitions(*key).mapInPandas(partial(_tree, span), _MEMBERS)
+
+
+def _longer(level: DataFrame, span: int) -> DataFrame:
+    """Each suffix under the prefixes of the lower and of the upper half of its depths, where its context reaches so far."""
+    middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    halves = F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct(middle.alias("lo"), F.col("hi").alias("hi")))
+    d = level.withColumn("_h", F.explode(halves)).select("doc_id", "party", "pos", "left", "right", "_h.*")
+    need = F.lit(span + 1) - F.col("hi")
+    d = d.where((F.length("left") >= need) & (F.length("right") >= F.col("lo")))
+    return d.select(F.xxhash64("lo", F.right("left", need), F.left("right", F.col("lo"))).alias("prefix"), "lo", "hi", "doc_id", "party", "pos", "left", "right")
 
 
 def _paired(members: DataFrame, block: int) -> DataFrame:
@@ -228,16 +242,39 @@ def _paired(members: DataFrame, block: int) -> DataFrame:
 
 def shared_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, group_rows: int = GROUP_ROWS, block: int = BLOCK) -> DataFrame:
     """(doc_id_a, doc_id_b): all pairs of documents with a common run of ``span`` characters or more, smaller id first."""
-    return _paired(_shared(docs, doc_id, text, span, group_rows, "pairs"), block)
+    return _paired(shared(docs, doc_id, text, span, group_rows).select("span_hash", "doc_id"), block)
 
 
-def shared_coverage(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(doc_id, n_spans, shared_chars, n_chars): per document the stretches that other documents share, merged, and their length."""
-    s = _shared(docs, doc_id, text, span, group_rows, "stretches")
+def covered(members: DataFrame) -> DataFrame:
+    """(doc_id, n_spans, shared_chars): per document the stretches of its classes, merged, and their length."""
     w = Window.partitionBy("doc_id").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.distinct().withColumn("_end", F.max("stop").over(w))
+    s = members.select("doc_id", "start", "stop").distinct().withColumn("_end", F.max("stop").over(w))
     new = F.col("_end").isNull() | (F.col("start") > F.col("_end"))
     s = s.withColumns({"_new": F.when(new, 1).otherwise(0), "_add": F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce("_end", "start")))})
-    per = s.groupBy("doc_id").agg(F.sum("_new").cast("int").alias("n_spans"), F.sum("_add").cast("int").alias("shared_chars"))
+    return s.groupBy("doc_id").agg(F.sum("_new").cast("int").alias("n_spans"), F.sum("_add").cast("int").alias("shared_chars"))
+
+
+def shared_coverage(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(doc_id, n_spans, shared_chars, n_chars): per document the stretches that other documents share, merged, and their length."""
+    per = covered(shared(docs, doc_id, text, span, group_rows))
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.length(text).alias("n_chars"))
     return own.join(per, "doc_id", "left").select("doc_id", F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
+
+
+def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(span_id, doc_id, start, n_chars): the verbatim spans of ``span`` characters or more that several documents have, one row per occurrence; ``start`` counts from 0.
+
+    Occurrences of a span have the same text. Overlapping classes that the same documents have at the same distances are
+    one span. A part of a span that further documents have as well is a span of its own.
+    """
+    m = cut_table(shared(docs, doc_id, text, span, group_rows).distinct())
+    h = F.xxhash64("doc_id")
+    per = m.groupBy("span_hash").agg(F.count("*").alias("n"), F.bit_xor(h).alias("_x"), F.sum(h.cast("decimal(20,0)")).alias("_y"), F.min(F.struct("doc_id", "start")).alias("_c"))
+    d = m.join(per, "span_hash").withColumn("_shift", F.col("start") - F.col("_c.start"))
+    key = ["n", "_x", "_y", F.col("_c.doc_id"), "doc_id", "_shift"]
+    w = Window.partitionBy(*key).orderBy("start", "stop")
+    d = d.withColumn("_end", F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.withColumn("_island", F.sum(F.when(F.col("_end") > F.col("start"), 0).otherwise(1)).over(w))
+    d = d.groupBy("n", "_x", "_y", F.col("_c.doc_id").alias("_first"), "doc_id", "_shift", "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    name = F.sha2(F.concat_ws("|", "n", "_x", "_y", "_first", F.col("start") - F.col("_shift"), F.col("stop") - F.col("_shift")), 256)
+    return d.select(name.alias("span_id"), "doc_id", "start", (F.col("stop") - F.col("start")).alias("n_chars"))

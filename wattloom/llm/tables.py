@@ -1,22 +1,10 @@
-"""Shared steps of the training-data operators: written intermediate tables and spellings of ids and splits."""
+"""Shared steps of the training-data operators: spreading of rows and spellings of ids and splits."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.session import ensure_checkpoint_dir
-
-
-def cut_table(df: DataFrame) -> DataFrame:
-    """``df`` written as parquet under the shared checkpoint folder and read again: lineage ends, columns stay prunable."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
