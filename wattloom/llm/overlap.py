@@ -1,46 +1,44 @@
 """The same or nearly the same record on two sides of a split, by a partitioned suffix array.
 
 Each record becomes one text: a line of its target's values, then one line per labelled list or number of its prompt,
-in the order of the labels and with numbers in one spelling. Exact copies of a text are one class. The suffix array
-holds each class's suffix that starts at the target's line, which is its whole text. They are range-partitioned, sorted,
-and the longest common prefix with the nearest suffix of the other side is taken in both directions (the few suffixes at
-the partitions' edges are compared by the driver). A common prefix that goes past the target's line puts a record into
-the run of that line, from which pairs come.
-
-Coverage has a path of its own, which keeps every run of ``span`` characters wherever it starts: the windows of a text
-are gathered into pieces whose windows have the same smallest key of ``GRAM`` characters, so equal windows of two texts
-lie in pieces of the same key. Pieces whose key one side only has are dropped before any text moves; the distinct pieces
-of each other key are compared window by window, large groups by Spark.
-
-Pairs of a run are checked number by number. Candidates are joined on the labels that have to agree first: if four
-fifths of all numbers agree, one of the first fifth (plus one) of either record's numbers does, so each record enters
-the join with these only, by value in steps a little wider than the tolerance.
-
-Records with a null or unreadable target take part in no pair; numbers may be missing or repeated (the first of a
-label counts); without any number two prompts aren't alike. Repeated rows count each; an empty table gives an empty result.
+in the order of the labels and with numbers in one spelling. Exact copies of a text are one class.
+
+Pairs: the texts, each as the suffix that starts at its target's line, are range-partitioned into parts of about
+``PART_CHARS`` characters and sorted; the longest common prefix of neighbours tells where it goes past the target's
+line, and neighbours joined by such prefixes form a run. A run that ends inside its part is judged there; the runs at a
+part's ends are kept and counted with those of the other parts, so nothing is stitched by the driver and a run of any
+size may lie over many parts. Only the runs with texts of both sides give candidates.
+
+Inside a run, candidates are joined on numbers that have to agree: if four fifths of all numbers agree, one of the first
+fifth (plus one) of either record's numbers does, in any order of the labels that holds for all. The labels whose
+values tell records apart best come first (by the runs' own value counts), so a run that holds a third of all records
+meets in small buckets. Numbers are compared by value in steps a little wider than the tolerance, and every candidate
+is checked number by number.
+
+Coverage: the suffixes of whole texts as they are written, in the groups of ``spans.shared``; what neighbours of two
+sides have in common, ``span`` characters or more, is merged per record.
+
+Records with a null or unreadable target take part in no pair; numbers may be missing or repeated (of a label's values
+the smallest counts); without any number two prompts aren't alike. Repeated rows count each; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
-from itertools import groupby
 from os.path import commonprefix
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.spans import _slide
-from wattloom.llm.tables import cut_table, spread
+from wattloom.llm.spans import GROUP_ROWS, covered, shared
+from wattloom.llm.tables import spread
+from wattloom.session import cut_table
 
-PART_SUFFIXES = 50_000
-SPAN, GRAM, GROUP_ROWS = 100, 12, 50_000  # of coverage: shortest shared run unless the caller states one, characters of a key, distinct pieces compared in one task
-SAMPLE, SAMPLE_TEXTS, SEEN, MOST_FREQUENT = 0.1, 2000, 20, 4000  # of finding keys that many texts have, see _frequent
+PART_CHARS = 8_000_000  # of texts sorted in one task
+SPAN = 100  # of coverage: the shortest shared run; labels that unrelated records have are shorter
 TARGET = "e array<double>, b array<double>, g array<double>, cf array<double>, i double, a double, p array<double>, q double"
 _LABELLED = r"(?m)^[ \t]*([\p{L}][\p{L}\p{Nd} ]*?)[ \t]*[:=][ \t]*(\[[^\]\n]*\]|[+-]?[0-9][0-9,]*(?:\.[0-9]+)?)"
 
@@ -67,98 +65,72 @@ class Overlap:
 
     def __init__(self, rows: DataFrame) -> None:
         text = F.concat(F.array_join("lines", "\n"), F.lit("\n"))
-        base = cut_table(rows.withColumns({"_class": F.unhex(F.md5(F.concat_ws("\n", F.col("q").cast("string"), text))), "_text": text, "_first": F.unhex(F.md5(F.col("lines")[0]))}).drop("lines"))
+        base = cut_table(rows.withColumns({"_class": F.unhex(F.md5(F.concat_ws("\n", F.col("q").cast("string"), text))), "_text": text}).drop("lines"))
         classes = base.groupBy("_class").agg(F.min("id").alias("rep"), F.max(F.col("side") == "T").alias("t"), F.max(F.col("side") == "E").alias("e"))
-        keep = [c for c in base.columns if c not in ("id", "side", "q") and c[0] != "_"]
-        self.members = base.select("id", "side", *keep, "_class").join(classes, "_class").select("id", "side", "rep", *keep)
-        one = classes.select(F.col("rep").alias("id"), "t", "e").join(base.select("id", "q", "_text", "_first"), "id")
-        self.suffixes = cut_table(one.select("id", "t", "e", F.lit(0).alias("start"), F.col("_first").alias("first"), "q", F.col("_text").alias("suffix")))
-
-    def array(self) -> DataFrame:
-        """(id, start, first, covered): of each text, the characters of its beginning that a suffix of the other side has too."""
-        # a class on both sides is its own counterpart
-        d = self.suffixes.select("id", "start", "first", "suffix", F.when(F.col("t") & F.col("e"), "B").when(F.col("t"), "T").otherwise("E").alias("side"))
-        parts = max(1, math.ceil(d.count() / PART_SUFFIXES))
-        out = cut_table(d.repartitionByRange(parts, "suffix", "id", "start").sortWithinPartitions("suffix", "id", "start").mapInPandas(_neighbours, _EDGED))
-        edges = sorted(out.where("edge IS NOT NULL").select("part", "edge", "side", "suffix").collect())  # six rows per partition
-        fix = _across(edges)
-        bounds = out.sparkSession.createDataFrame(fix, "part int, side string, _head int, _tail int")
-        d = out.where("edge IS NULL").join(F.broadcast(bounds), ["part", "side"], "left")  # two rows per partition
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-        return d.select("id", "start", "first", F.greatest("covered", F.least(F.col("head"), zero("_head")), F.least(F.col("tail"), zero("_tail"))).alias("covered"))
-
-    def runs(self) -> DataFrame:
-        """(id, run): representatives whose target line a record of the other side has as well, by the suffix array."""
-        whole = self.suffixes.where("start = 0").select("id", "t", "e", "q", F.split(F.rtrim("suffix", F.lit("\n")), "\n").alias("lines"))
-        return self.array().where("start = 0").join(whole, "id").where(F.col("covered") > F.length(F.col("lines")[0])).select("id", F.col("first").alias("run"), "t", "e", "q", "lines")
-
-
-_EDGED = "part int, edge string, side string, suffix string, id bigint, start int, first binary, covered int, head int, tail int"
-
-
-def _common(a: str, b: str) -> int:
-    return len(commonprefix((a, b)))
-
-
-def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One sorted partition (its size is set by the range partitioning): common prefixes with the nearest suffix of the other side."""
-    frames = [b for b in batches if len(b)]
-    if not frames:
-        return
-    d = pd.concat(frames, ignore_index=True)
-    part, text, side = TaskContext.get().partitionId(), d["suffix"].tolist(), d["side"].tolist()
-    n = len(text)
-    lcp = [_common(a, b) for a, b in zip(text, text[1:])]
-    covered = np.array([len(t) if s == "B" else 0 for t, s in zip(text, side)])
-    for order, links in ((range(n), [0, *lcp]), (range(n - 1, -1, -1), [*lcp, 0])):
-        reach = {"T": 0, "E": 0}
-        for i in order:
-            reach = {s: min(r, links[i]) for s, r in reach.items()}
-            for mine, other in (("T", "E"), ("E", "T")):
-                if side[i] == mine:
-                    covered[i] = max(covered[i], reach[other])
-            for s in reach:
-                if side[i] in (s, "B"):
-                    reach[s] = len(text[i])
-    head, tail = [_common(t, text[0]) for t in text], [_common(t, text[-1]) for t in text]
-    yield d.assign(part=part, edge=None, suffix=None, covered=covered, head=head, tail=tail)[["part", "edge", "side", "suffix", "id", "start", "first", "covered", "head", "tail"]]
-    rows = [(part, "first", "", text[0]), (part, "last", "", text[-1])]
-    for s in "TE":
-        at = [i for i in range(n) if side[i] in (s, "B")]
-        rows += [(part, "first", s, text[at[0]]), (part, "last", s, text[at[-1]])] if at else []
-    yield pd.DataFrame(rows, columns=["part", "edge", "side", "suffix"]).assign(id=0, start=0, first=None, covered=0, head=0, tail=0)
-
-
-def _across(edges: list) -> list[tuple[int, str, int, int]]:
-    """Per partition and side of a row: the common prefix of the partition's first (last) suffix with the nearest one of the other side before (after) it."""
-    at = {(r[0], r[1], r[2]): r[3] for r in edges}
-    parts = sorted({r[0] for r in edges})
-    bound: dict[tuple[int, str], list[int]] = {(p, s): [0, 0] for p in parts for s in "TE"}
-    for k, order, near, far in ((0, parts, "first", "last"), (1, parts[::-1], "last", "first")):
-        seen: dict[str, str] = {}
-        for p in order:
-            for mine, other in (("T", "E"), ("E", "T")):
-                if other in seen:
-                    bound[p, mine][k] = _common(at[p, near, ""], seen[other])
-            for s in "TE":
-                seen |= {s: at[p, far, s]} if (p, far, s) in at else {}
-    return [(p, s, a, b) for (p, s), (a, b) in bound.items()]
-
-
-def pairs(rows: DataFrame, near: float = 0.06, share: float = 0.8, q_near: float = 0.05) -> DataFrame:
-    """(train_id, eval_id) of all records of the two sides with equal targets but for q, and ``share`` of all numbers in both and close."""
+        self.keep = [c for c in base.columns if c not in ("id", "side", "q") and c[0] != "_"]
+        self.members = base.select("id", "side", *self.keep, "_class").join(classes, "_class").select("id", "side", "rep", *self.keep)
+        one = classes.select(F.col("rep").alias("id"), "t", "e").join(base.select("id", "q", "_text"), "id")
+        self.suffixes = cut_table(one.select("id", "t", "e", "q", F.col("_text").alias("suffix")))
+
+    def array(self, part_chars: int = PART_CHARS) -> DataFrame:
+        """(id, t, e, run): the texts of runs, by the common prefixes of neighbours in the sorted suffixes; texts that no neighbour goes along with past its target's line are left out unless they lie at a part's end."""
+        d = self.suffixes.select("id", "t", "e", "suffix")
+        parts = math.ceil((d.agg(F.sum(F.length("suffix"))).first()[0] or 0) / part_chars)
+        d = d.repartitionByRange(max(1, parts), "suffix", "id").sortWithinPartitions("suffix", "id")
+        return cut_table(d.mapInPandas(_runs, "id bigint, t boolean, e boolean, run string"))
+
+    def runs(self, part_chars: int = PART_CHARS) -> DataFrame:
+        """(id, run, t, e, q, lines): the texts of the runs that have both sides."""
+        a = self.array(part_chars)
+        both = a.groupBy("run").agg(F.max("t").alias("_t"), F.max("e").alias("_e")).where("_t AND _e").select("run")
+        lines = F.split(F.rtrim("suffix", F.lit("\n")), "\n")
+        return a.join(both, "run").select("id", "run").join(self.suffixes, "id").select("id", "run", "t", "e", "q", lines.alias("lines"))
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One sorted part, as a stream: neighbours whose common prefix goes past the target's line share a run. Runs of one side that end inside the part go no further."""
+    before, run, first = "", [], True
+    out: list[tuple] = []
+
+    def close(inside: bool) -> None:
+        if run and (not inside or any(r[1] for r in run) and any(r[2] for r in run)):
+            name = before[: before.index("\n") + 1]
+            out.extend((*r, name) for r in run)
+        run.clear()
+
+    for b in batches:
+        for suffix, i, t, e in zip(b["suffix"].tolist(), b["id"].tolist(), b["t"].tolist(), b["e"].tolist()):
+            if run and len(commonprefix((before, suffix))) <= before.index("\n"):
+                close(not first)
+                first = False
+            run.append((i, t, e))
+            before = suffix
+        yield pd.DataFrame(out, columns=["id", "t", "e", "run"])
+        out.clear()
+    close(False)
+    yield pd.DataFrame(out, columns=["id", "t", "e", "run"])
+
+
+def pairs(rows: DataFrame, near: float = 0.06, share: float = 0.8, q_near: float = 0.05, part_chars: int = PART_CHARS, kept: bool = False) -> DataFrame:
+    """(train_id, eval_id; with ``kept`` also what the evaluation record keeps) of all records of the two sides with equal targets but for q, and ``share`` of all numbers in both and close."""
     o = Overlap(rows)
-    r = o.runs()
+    r = o.runs(part_chars)
     pair = F.flatten(F.transform(F.slice("lines", 2, F.size("lines")), lambda x: F.transform(F.split(F.coalesce(F.try_element_at(F.split(x, "="), F.lit(2)), F.lit("")), ","), lambda v, i: F.struct(F.concat_ws("#", F.element_at(F.split(x, "="), 1), F.lpad(i.cast("string"), 6, "0")).alias("k"), v.try_cast("double").alias("v")))))
     r = r.withColumn("_n", F.array_sort(F.filter(pair, lambda x: x["v"].isNotNull())))
     r = cut_table(r.withColumn("n", F.filter("_n", lambda x, i: (i == 0) | (x["k"] != F.try_element_at(F.col("_n"), i)["k"]))).select("id", "run", "t", "e", "q", "n"))
-    lead = F.slice("n", 1, F.floor(F.size("n") * F.lit(1 - share) + 1e-9).cast("int") + 1)
-    probe = r.select("id", "run", "t", "e", F.explode(lead).alias("x")).select("id", "run", "t", "e", F.col("x.k").alias("k"), F.floor(F.col("x.v") / F.lit(near * 1.2)).alias("bin"))
+    # which labels come first: those whose values have the fewest records of a run in common
+    each = r.select("id", "run", "t", "e", F.size("n").alias("_size"), F.explode("n").alias("x"))
+    each = each.select("id", F.xxhash64("run").alias("run"), "t", "e", "_size", F.col("x.k").alias("k"), F.floor(F.col("x.v") / F.lit(near * 1.2)).alias("bin"))
+    held = each.groupBy("k", "run", "bin").agg(F.count("*").alias("_c"))
+    score = held.groupBy("k").agg((F.sum(F.col("_c").cast("double") * F.col("_c")) / F.sum("_c")).alias("_score"))
+    most = F.floor(F.col("_size") * F.lit(1 - share) + 1e-9).cast("int") + 1
+    ranked = each.join(score, "k").groupBy("id", "run", "t", "e", "_size").agg(F.array_sort(F.collect_list(F.struct("_score", "k", "bin"))).alias("_a"))  # one record's numbers
+    probe = ranked.select("id", "run", "t", "e", F.explode(F.slice("_a", F.lit(1), most)).alias("x")).select("id", "run", "t", "e", "x.k", "x.bin")
     left = probe.where("t").select(F.col("id").alias("a"), "run", "k", "bin")
     right = probe.where("e").select(F.col("id").alias("b"), "run", "k", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
     asked = left.join(right, ["run", "k", "bin"]).select("a", "b").distinct()
-    side = lambda p: r.select(F.col("id").alias(p), F.col("q").alias(f"q{p}"), F.col("n").alias(f"n{p}"))
-    both = asked.join(side("a"), "a").join(side("b"), "b")
+    side = lambda p: r.select(F.col("id").alias(p), F.col("run").alias(f"r{p}"), F.col("q").alias(f"q{p}"), F.col("n").alias(f"n{p}"))
+    both = asked.join(side("a"), "a").join(side("b"), "b").where("ra = rb")
     keys = lambda c: F.transform(c, lambda x: x["k"])
     close = lambda u, v: F.abs(u - v) <= near + 1e-9
     aligned = F.size(F.filter(F.zip_with("na", "nb", lambda x, y: close(x["v"], y["v"])), lambda z: z))
@@ -166,121 +138,21 @@ def pairs(rows: DataFrame, near: float = 0.06, share: float = 0.8, q_near: float
     agree = F.when(keys("na") == keys("nb"), aligned).otherwise(sought)
     union = F.size(F.array_union(keys("na"), keys("nb")))
     good = both.where((agree >= union * share - 1e-9) & (F.col("qa").eqNullSafe(F.col("qb")) | (F.abs(F.col("qa") - F.col("qb")) <= q_near + 1e-9))).select("a", "b")
-    m = o.members
+    m, keep = o.members, o.keep if kept else []
     t = m.where("side = 'T'").select(F.col("rep").alias("a"), F.col("id").alias("train_id"))
-    e = m.where("side = 'E'").select(F.col("rep").alias("b"), F.col("id").alias("eval_id"))
-    return good.join(t, "a").join(e, "b").select("train_id", "eval_id")
-
-
-def _grams(codes: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """A key per run of ``GRAM`` characters, by content only; keys of ``often`` come after all others."""
-    mix, mix2, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(32)
-    levels = [codes.astype(np.uint64) * mix]
-    for size in (1, 2, 4):
-        h = levels[-1]
-        h = ((h[:-size] * mix2) ^ h[size:]) * mix
-        levels.append(h ^ (h >> shift))
-    h = ((levels[3][: len(codes) - GRAM + 1] * mix2) ^ levels[2][8 : len(codes) - 3]) * mix
-    h = (h ^ (h >> shift)) >> np.uint64(1)
-    if len(often):
-        at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-        h |= (often[at] == h).astype(np.uint64) << np.uint64(63)
-    return h
-
-
-def _pieces(span: int, often: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, rep, sides, start, stop): each text cut into pieces of successive windows of ``span`` characters whose smallest key is the same; every window lies in one piece."""
-    hot = np.array(sorted(often), np.uint64)
-    for batch in batches:
-        ids, sides, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-        chunk: list[int] = []
-        size = 0
-        for i, t in enumerate([*texts, None]):
-            if t is not None and len(t) >= span:
-                chunk.append(i)
-                size += len(t)
-            if chunk and (size >= 60_000 or i == len(texts)):
-                codes = np.frombuffer("".join(texts[j] for j in chunk).encode("utf-32-le", "surrogatepass"), np.uint32)
-                lengths = np.array([len(texts[j]) for j in chunk])
-                low = _slide(_grams(codes, hot), span - GRAM + 1, np.minimum)
-                k = np.repeat(np.arange(len(chunk)), lengths)[: len(low)]
-                at = np.arange(len(codes))[: len(low)] - (np.cumsum(lengths) - lengths)[k]
-                inside = at + span <= lengths[k]
-                low, k, at = low[inside], k[inside], at[inside]
-                new = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (k[1:] != k[:-1])]))
-                last = np.append(new[1:], len(low)) - 1
-                of = np.array(chunk)[k[new]]
-                yield pa.record_batch({"gram": pa.array(low[new].view(np.int64)), "rep": pa.array(ids[of], pa.int64()), "sides": pa.array(sides[of], pa.int32()), "start": pa.array(at[new].astype(np.int32)), "stop": pa.array((at[last] + span).astype(np.int32))})
-                chunk, size = [], 0
-
-
-def _frequent(texts: DataFrame, span: int) -> list[int]:
-    """Keys of a small sample that many texts have. They only shape the pieces: rare keys make small groups."""
-    seen = texts.sample(SAMPLE, seed=5).limit(SAMPLE_TEXTS).mapInArrow(_sampled, "gram bigint")
-    often = seen.groupBy("gram").count().where(F.col("count") >= SEEN).orderBy(F.desc("count"), "gram").limit(MOST_FREQUENT)
-    return [r["gram"] for r in often.collect()]
-
-
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every text's keys, each once."""
-    for batch in batches:
-        for t in batch.column(2).to_pylist():
-            if len(t) >= GRAM:
-                yield pa.record_batch({"gram": pa.array(np.unique(_grams(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), np.empty(0, np.uint64))).view(np.int64))})
-
+    e = m.where("side = 'E'").select(F.col("rep").alias("b"), F.col("id").alias("eval_id"), *keep)
+    return good.join(t, "a").join(e, "b").select("train_id", "eval_id", *keep)
 
-def _shared_windows(span: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(piece, start, stop) of the stretches both sides have, of distinct pieces sorted by gram (a gram may run over several batches)."""
-    rows = (r for b in batches for r in zip(b["gram"].tolist(), b["piece"].tolist(), b["sides"].tolist()))
-    out: list[tuple[str, int, int]] = []
-    for _, group in groupby(rows, key=lambda r: r[0]):
-        members = list(group)
-        seen: dict[str, int] = {}
-        for _, piece, sides in members:
-            for i in range(len(piece) - span + 1):
-                w = piece[i : i + span]
-                seen[w] = seen.get(w, 0) | sides
-        for _, piece, _ in members:
-            shared = [i for i in range(len(piece) - span + 1) if seen[piece[i : i + span]] == 3]
-            first = 0
-            for k, i in enumerate(shared):
-                if k + 1 == len(shared) or shared[k + 1] > i + 1:
-                    out.append((piece, shared[first], i + span))
-                    first = k + 1
-        if len(out) > 50_000:
-            yield pd.DataFrame(out, columns=["piece", "start", "stop"])
-            out = []
-    if out:
-        yield pd.DataFrame(out, columns=["piece", "start", "stop"])
 
+def coverage(records: DataFrame, row_id: str, text: Column, side: Column, keep: list[Column], span: int = SPAN, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(id, side, keep..., covered_chars, n_chars): per record how many characters of its whole text lie in runs of ``span`` characters or more that a text of the other side has too, wherever they start.
 
-def coverage(rows: DataFrame, span: int = SPAN, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(id, side, kept columns, covered_chars, n_chars): per record how many characters of its text lie in runs of ``span`` characters or more that a text of the other side has too, wherever they start."""
-    if span < GRAM:
-        raise ValueError(f"span is under {GRAM}")
-    text = F.concat(F.array_join("lines", "\n"), F.lit("\n"))
-    base = cut_table(rows.withColumns({"_text": text, "_class": F.unhex(F.md5(text)), "n_chars": F.length(text)}).drop("lines", "q"))
-    members = base.drop("_text")
+    ``side`` is 'T', 'E' or null (left out); a null text has no characters.
+    """
+    base = records.select(F.col(row_id).cast("bigint").alias("id"), side.alias("side"), *keep, F.coalesce(text, F.lit("")).alias("_text")).where(F.col("side").isNotNull())
+    base = base.withColumns({"_class": F.unhex(F.md5("_text")), "n_chars": F.length("_text")})
     classes = cut_table(base.groupBy("_class").agg(F.min("id").alias("rep"), F.bit_or(F.when(F.col("side") == "T", 1).otherwise(2)).alias("sides"), F.any_value("_text").alias("_text")))
-    sized = spread(classes.select("rep", "sides", F.col("_text").alias("text")))
-    pieces = cut_table(sized.mapInArrow(partial(_pieces, span, _frequent(sized, span)), "gram bigint, rep bigint, sides int, start int, stop int"))
-    # narrow rows decide which pieces can have a counterpart; only then do texts move
-    both = pieces.groupBy("gram").agg(F.bit_or("sides").alias("_s")).where("_s = 3").select("gram")
-    kept = pieces.join(both, "gram").groupBy("rep").agg(F.collect_list(F.struct("gram", "start", "stop")).alias("_p"))  # at most one text's pieces
-    kept = kept.join(classes.select("rep", "sides", "_text"), "rep").select("rep", "sides", "_text", F.explode("_p").alias("p"))
-    kept = kept.select("rep", "sides", "p.gram", F.col("p.start").alias("at"), F.substring("_text", F.col("p.start") + 1, F.col("p.stop") - F.col("p.start")).alias("piece"))
-    kept = cut_table(kept)
-    distinct = cut_table(kept.groupBy("gram", "piece").agg(F.bit_or("sides").alias("sides")))
-    large = distinct.groupBy("gram").count().where(F.col("count") > group_rows).select("gram")
-    schema = "piece string, start int, stop int"
-    found = distinct.join(large, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram").mapInPandas(partial(_shared_windows, span), schema)
-    wide = distinct.join(large, "gram", "left_semi").select("piece", "sides", F.explode(F.sequence(F.lit(0), F.length("piece") - span)).alias("start"))
-    wide = wide.withColumn("_w", F.unhex(F.md5(F.substring("piece", F.col("start") + 1, F.lit(span)))))
-    twice = wide.groupBy("_w").agg(F.bit_or("sides").alias("_s")).where("_s = 3").select("_w")
-    found = found.unionByName(wide.join(twice, "_w").select("piece", "start", (F.col("start") + span).alias("stop")))
-    s = kept.select("rep", "at", "piece").join(found, "piece").select("rep", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("stop")).alias("stop"))
-    w = Window.partitionBy("rep").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("_end", F.coalesce(F.max("stop").over(w), F.lit(0)))
-    per = s.groupBy("rep").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest("start", "_end"))).cast("int").alias("covered_chars"))
-    done = members.join(classes.select("_class", "rep"), "_class").join(per, "rep", "left").drop("rep", "_class")
-    return done.withColumns({"covered_chars": F.coalesce("covered_chars", F.lit(0))}).select(*[c for c in done.columns if c not in ("covered_chars", "n_chars")], "covered_chars", "n_chars")
+    per = covered(shared(classes, "rep", "_text", span, group_rows, F.col("sides")))
+    own = F.when(F.col("sides") == 3, F.col("n_chars")).otherwise(F.coalesce("shared_chars", F.lit(0)))  # a text on both sides is its own counterpart
+    d = base.drop("_text").join(classes.select("_class", "rep", "sides"), "_class").join(per.withColumnRenamed("doc_id", "rep"), "rep", "left")
+    return d.withColumn("covered_chars", own).select(*[c for c in base.columns if c[0] != "_" and c != "n_chars"], "covered_chars", "n_chars")

@@ -9,9 +9,10 @@ from wattloom.llm.answers import defects
 from wattloom.llm.mixing import mix, mix_report
 from wattloom.llm.overlap import coverage, pairs, texts
 from wattloom.llm.packing import pack
-from wattloom.llm.spans import shared_coverage, shared_pairs
+from wattloom.llm.spans import shared_coverage, shared_pairs, shared_spans
 from wattloom.llm.splits import assign_splits, leaks
-from wattloom.llm.tables import cut_table, split_name, state_key
+from wattloom.llm.tables import split_name, state_key
+from wattloom.session import cut_table
 from wattloom.llm.tokens import token_counts
 from wattloom.sources.tables import table
 
@@ -58,27 +59,30 @@ def p2_defects_per_prompt(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sides(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "public_state_v1_sft")
+    return texts(d, "sft_row_id", "prompt", "target_json", _side(), [split_name(F.col("split")).alias("split"), F.col("provenance")])
+
+
+def _side():
     split = split_name(F.col("split"))
-    side = F.when(split == "TRAIN", "T").when(split.isin("DEV", "HOLDOUT"), "E")
-    return texts(d, "sft_row_id", "prompt", "target_json", side, [split.alias("split"), F.col("provenance")])
+    return F.when(split == "TRAIN", "T").when(split.isin("DEV", "HOLDOUT"), "E")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of a TRAIN record and a DEV or HOLDOUT record that are the same or nearly so."""
     d = pairs(_sides(spark, sf))
-    return d.select(F.least("train_id", "eval_id").alias("sft_row_id_a"), F.greatest("train_id", "eval_id").alias("sft_row_id_b")).distinct()
+    return d.select(F.least("train_id", "eval_id").alias("sft_row_id_a"), F.greatest("train_id", "eval_id").alias("sft_row_id_b"))
 
 
 def p6_overlap_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Evaluation records with a counterpart in TRAIN, and pairs, per split and provenance."""
-    sides = _sides(spark, sf)
-    d = pairs(sides).join(sides.select(F.col("id").alias("eval_id"), "split", "provenance"), "eval_id")
-    return d.groupBy("split", "provenance").agg(F.countDistinct("eval_id").alias("n_records"), F.count("*").alias("n_pairs"))
+    return pairs(_sides(spark, sf), kept=True).groupBy("split", "provenance").agg(F.countDistinct("eval_id").alias("n_records"), F.count("*").alias("n_pairs"))
 
 
 def p6_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Characters of each split and provenance in runs of 24 or more that the other side has too."""
-    d = coverage(_sides(spark, sf), span=24)
+    """Characters of each split and provenance, of whole prompts and targets as written, in runs of 100 or more that the other side has too."""
+    d = table(spark, sf, "public_state_v1_sft")
+    text = F.concat_ws("\n", "prompt", "target_json")
+    d = coverage(d, "sft_row_id", text, _side(), [split_name(F.col("split")).alias("split"), F.col("provenance")])
     return d.groupBy("split", "provenance").agg(F.sum("covered_chars").alias("covered_chars"), F.sum("n_chars").alias("n_chars"), F.count_if(F.col("covered_chars") > 0).alias("n_records"))
 
 
@@ -125,5 +129,10 @@ def p9_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return shared_coverage(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_balance, p2_found, p2_defects_per_prompt, p6_found, p6_overlap_counts, p6_coverage, p7_containers, p7_fill, p8_selection, p8_shares, p9_found, p9_coverage)}
+def p9_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """The spans of 200 characters or more that several documents have, one row per occurrence."""
+    return shared_spans(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_balance, p2_found, p2_defects_per_prompt, p6_found, p6_overlap_counts, p6_coverage, p7_containers, p7_fill, p8_selection, p8_shares, p9_found, p9_coverage, p9_spans)}
 SQL: dict[str, str] = {}
