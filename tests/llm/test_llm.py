@@ -81,6 +81,20 @@ def test_leaks_and_new_splits(spark):
                 assert abs(n[k, s] / total - share) < 0.03, (shard, k, s)
 
 
+def test_rare_labels_reach_every_split(spark):
+    """50 records of a rare label over 50 shards, and a label with a record or two in each of many shards."""
+    rows = [(i, f"s{i}", None, None, "rare" if i % 100 == 0 else "few" if i % 10 == 1 else "x") for i in range(5000)]
+    got = splits.assign_splits(spark.createDataFrame(rows, ROWS), "id", ["s", "e"], ["label"], shard_rows=100).collect()
+    label = {r[0]: r[4] for r in rows}
+    n = Counter((label[r.row_id], r.new_split) for r in got)
+    assert [n["rare", s] for s in splits.NAMES] == [40, 5, 5]
+    for k, total in (("few", 500), ("x", 4450)):
+        assert all(abs(n[k, s] / total - share) < 0.03 for s, share in zip(splits.NAMES, splits.SHARES)), n
+    many = spark.createDataFrame([(i, None, None, None, f"v{i}") for i in range(300)], ROWS)
+    with pytest.raises(ValueError):
+        splits.assign_splits(many, "id", ["s", "e"], ["label"])
+
+
 def test_splits_edges(spark):
     empty = spark.createDataFrame([], ROWS)
     assert splits.assign_splits(empty, "id", ["s", "e"], ["label"]).count() == 0 and splits.leaks(empty, "id", ["s", "e"], "split").count() == 0
@@ -156,9 +170,18 @@ def test_spans(spark, seed):
     rows += [(100, rows[3][1]), (101, rows[3][1]), (102, None), (103, ""), (104, "a" * 300), (105, "a" * 100)]
     want, cover = brute_pairs(rows, 60)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, prefix string")
-    for size in (200_000, 2):
+    text = dict(rows)
+    for size in (200_000, (7, 2, 30, 100)[seed]):
         assert {tuple(r) for r in spans.shared_pairs(df, span=60, group_rows=size).collect()} == want
         assert {r.doc_id: r.shared_chars for r in spans.shared_coverage(df, span=60, group_rows=size).collect()} == cover
+        found, masks = defaultdict(set), {i: np.zeros(len(t or ""), bool) for i, t in rows}
+        for r in spans.shared_spans(df, span=60, group_rows=size).collect():
+            assert r.n_chars >= 60 and r.start >= 0
+            found[r.span_id].add((r.doc_id, text[r.doc_id][r.start : r.start + r.n_chars]))
+            masks[r.doc_id][r.start : r.start + r.n_chars] = True
+        assert all(len({t for _, t in v}) == 1 and len({i for i, _ in v}) > 1 for v in found.values())
+        assert {i: int(m.sum()) for i, m in masks.items()} == cover
+    assert spans.shared_spans(df.where("false")).count() == 0
     assert spans.shared_pairs(df.where("false")).count() == 0 and spans.shared_coverage(df.where("false")).count() == 0
 
 
@@ -168,8 +191,8 @@ def test_span_of_many_documents(spark):
     word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
     footer, copy = word(70), word(150)
     rows = [(i, word(40) + footer + word(40)) for i in range(2000)]
-    suffixes = [{"prefix": 1, "doc_id": i, "pos": 50, "left": t[36:50], "right": t[50:110]} for i, t in rows]
-    assert sum(len(f) for f in spans._tree(60, "pairs", iter([pd.DataFrame(suffixes)]))) <= 10 * len(rows)
+    suffixes = [{"prefix": 1, "lo": 46, "hi": 61, "doc_id": i, "party": i, "pos": 50, "left": t[36:50], "right": t[50:110]} for i, t in rows]
+    assert sum(len(f) for f in spans._tree(60, iter([pd.DataFrame(suffixes)]))) <= 10 * len(rows)
     rows = rows[:300] + [(1000 + i, copy) for i in range(100)] + [(2000, copy + footer)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     for size in (200_000, 50):
@@ -178,6 +201,18 @@ def test_span_of_many_documents(spark):
         assert len(got) == 300 * 299 // 2 + 100 * 99 // 2 + 400
 
 
+def test_long_spans_are_whole(spark):
+    """A span far longer than the context comes out as one row per document, and a part that a third document has as another."""
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    long = word(900)
+    rows = [(1, word(70) + "<" + long + ">" + word(90)), (2, word(20) + "[" + long + "]"), (3, word(60) + "(" + long[300:520] + ")" + word(40))]
+    got = {(r.doc_id, r.start, r.n_chars, r.span_id) for r in spans.shared_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    whole = {(i, a, n) for i, a, n, _ in got if n == 900}
+    assert whole == {(1, 71, 900), (2, 21, 900)}
+    assert {(3, 61, 220)} <= {(i, a, n) for i, a, n, _ in got}
+
+
 def test_same_id_twice(spark):
     t = "".join(random.Random(1).choice("abcdef") for _ in range(250))
     df = spark.createDataFrame([(1, t), (1, t)], "doc_id bigint, text string")
@@ -218,61 +253,56 @@ def test_overlap(spark):
     got = {tuple(r) for r in overlap.pairs(texts).collect()}
     want = {(k, 100 + k) for k in range(20)} | {(304, 100), (25, 203)}
     assert got == want
-    cov = {r.id: (r.covered_chars, r.n_chars) for r in overlap.coverage(texts).collect()}
-    assert cov[0][0] == cov[0][1] > 0 and cov[28][0] == 0 and all(a <= b for a, b in cov.values())
-    none = texts.where("false")
-    assert overlap.pairs(none).count() == 0 and overlap.coverage(none).count() == 0
+    whole = F.concat_ws("\n", "prompt", "target")
+    cov = {r.id: (r.covered_chars, r.n_chars) for r in overlap.coverage(df, "id", whole, side, []).collect()}
+    assert cov[2][0] > 0 and cov[28][0] == 0 and all(a <= b for a, b in cov.values())
+    assert overlap.pairs(texts.where("false")).count() == 0 and overlap.coverage(df.where("false"), "id", whole, side, []).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_suffix_array_edges(spark, seed, monkeypatch):
-    """However the sorted suffixes are cut into partitions, the common prefixes are those of all pairs."""
-    monkeypatch.setattr(overlap, "PART_SUFFIXES", 7)
+def test_runs_come_from_common_prefixes(spark, seed):
+    """However the sorted suffixes are cut into parts, texts that agree with the other side past the target's line form the runs."""
     rnd = random.Random(seed)
-    head = ["x" * 50 + rnd.choice("ab") for _ in range(3)]
-    rows = [(i, rnd.choice("TE"), 0.5, [rnd.choice(head), *["".join(rnd.choice("ab") for _ in range(3)) for _ in range(rnd.randrange(4))]]) for i in range(40)]
-    o = overlap.Overlap(spark.createDataFrame(rows, "id bigint, side string, q double, lines array<string>"))
-    text = {i: "\n".join(x) + "\n" for i, _, _, x in rows}
-    sides = defaultdict(set)
-    for i, s, _, _ in rows:
-        sides[text[i]] |= {s}
-    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    got = {text[r.id]: r.covered for r in o.array().collect() if r.start == 0}
-    for t, n in got.items():
-        mine = sides[t]
-        other = [u for u in sides if (len(mine) == 2 and u == t) or any(s not in mine or len(mine) == 2 for s in sides[u]) and (u != t)]
-        assert n == max((len(t) if u == t else common(t, u) for u in other), default=0)
-
-
-def test_runs_come_from_common_prefixes(spark, monkeypatch):
-    """Every text is in the array; those that agree with the other side past the target's line form the runs."""
-    monkeypatch.setattr(overlap, "PART_SUFFIXES", 7)
-    rnd = random.Random(9)
-    rows = [(i, rnd.choice("TE"), 0.5, [f"e={rnd.randrange(25)};a={rnd.randrange(2)}", f"load={i}"]) for i in range(60)]
+    rows = [(i, rnd.choice("TTTE"), 0.5, [f"e={'0,' * 12}{min(rnd.randrange(25), rnd.randrange(25))};a={rnd.randrange(2)}", f"load={i}"]) for i in range(90)]
+    rows += [(100 + i, "TE"[i == 7], 0.5, ["e=hot;b=0.1,0.2", f"load={i}"]) for i in range(40)]
     o = overlap.Overlap(spark.createDataFrame(rows, "id bigint, side string, q double, lines array<string>"))
     sides = defaultdict(set)
     for _, s, _, x in rows:
         sides[x[0]].add(s)
-    assert {r.id for r in o.array().collect()} == {r[0] for r in rows}
-    assert {r.id for r in o.runs().collect()} == {i for i, _, _, x in rows if len(sides[x[0]]) == 2}
+    want = {i: x[0] for i, _, _, x in rows if len(sides[x[0]]) == 2}
+    for chars in (10_000_000, 900, 60):
+        assert {r.id: r.run.strip() for r in o.runs(chars).collect()} == want
+    assert set(want) <= {r.id for r in o.array().collect()} < {r[0] for r in rows}
+
+
+def test_pairs_come_from_the_array(spark, monkeypatch):
+    """Without the array's common prefixes there are no pairs; a target that very many records have meets in small buckets."""
+    rows = [(i, "TE"[i % 5 == 0], 0.5, ["e=hot;b=0.1,0.2", "branches=2", "load=" + ",".join(f"{1000 * (i // 5 * 5 if i % 10 < 6 else i) + 7 * k:.1f}" for k in range(12))]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, side string, q double, lines array<string>")
+    numbers = {i: [x[1], *x[2][5:].split(",")] for i, _, _, x in rows}
+    want = {(a, b) for a, s, _, _ in rows for b, u, _, _ in rows if s == "T" and u == "E" and sum(p == q for p, q in zip(numbers[a], numbers[b])) >= 0.8 * 13}
+    for chars in (10_000_000, 2000):
+        assert {(r.train_id, r.eval_id) for r in overlap.pairs(df, part_chars=chars).collect()} == want
+    array = overlap.Overlap.array
+    monkeypatch.setattr(overlap.Overlap, "array", lambda self, n: array(self, n).withColumn("run", F.col("id").cast("string")))
+    assert overlap.pairs(df).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_coverage_against_brute_force(spark, seed, monkeypatch):
+def test_coverage_against_brute_force(spark, seed):
     """Shared runs count wherever they start: inside a line, at a short line, or in a list with one differing number."""
-    monkeypatch.setattr(overlap, "SAMPLE", 1.0)
     rnd = random.Random(seed)
     numbers = lambda n: [f"{rnd.uniform(100, 9999):.1f}" for _ in range(n)]
     lists = [numbers(24) for _ in range(4)]
-    rows = [(900, "T", ["x" * 80]), (901, "E", ["x" * 50]), (902, "T", ["short"]), (903, "E", ["short"]), (904, "T", ["é語𝄞" * 20]), (905, "E", ["b" + "é語𝄞" * 20])]
+    rows = [(900, "T", ["x" * 80]), (901, "E", ["x" * 50]), (902, "T", ["short"]), (903, "E", ["short"]), (904, "T", ["é語𝄞" * 20]), (905, "E", ["b" + "é語𝄞" * 20]), (906, "E", None)]
     for i in range(40):
         of = list(rnd.choice(lists))
         of[rnd.randrange(24)] = numbers(1)[0]
         rows.append((i, rnd.choice("TE"), [f"e={i};a={rnd.randrange(3)}", "hourly load mw=" + ",".join(of), *[f"zone {k} mw={v}" for k, v in zip("abc", numbers(3))]]))
     rows += [(i + 100, s, x) for i, s, x in rows[-6:]] + [(i + 200, "T", x) for i, _, x in rows[-6:]]
-    df = spark.createDataFrame([(i, s, 0.5, x) for i, s, x in rows], "id bigint, side string, q double, lines array<string>")
-    text = {i: "\n".join(x) + "\n" for i, _, x in rows}
-    for span in (24, 48):
+    text = {i: "\n".join(x or "") for i, _, x in rows}
+    df = spark.createDataFrame([(i, s, text[i] if x else None, 7) for i, s, x in rows] + [(999, None, "x" * 80, 7)], "id bigint, side string, text string, sides int")
+    for span in (48, 80):
         has = {s: {text[i][p : p + span] for i, t, _ in rows if t == s for p in range(len(text[i]) - span + 1)} for s in "TE"}
         want = {}
         for i, s, _ in rows:
@@ -281,9 +311,11 @@ def test_coverage_against_brute_force(spark, seed, monkeypatch):
                 if text[i][p : p + span] in has["TE".replace(s, "")]:
                     m[p : p + span] = True
             want[i] = (int(m.sum()), len(m))
-        for size in (50_000, 2):
-            assert {r.id: (r.covered_chars, r.n_chars) for r in overlap.coverage(df, span=span, group_rows=size).collect()} == want
-    assert overlap.coverage(df.where("false"), span=24).count() == 0
+        short = {i for i in want if want[i][1] < span}  # copies of a short text on both sides are whole copies
+        for size in (50_000, 3):
+            got = {r.id: (r.covered_chars, r.n_chars) for r in overlap.coverage(df, "id", F.col("text"), F.col("side"), [], span, size).collect()}
+            assert {i: v for i, v in got.items() if i not in short} == {i: v for i, v in want.items() if i not in short} and set(got) == set(want)
+    assert overlap.coverage(df.where("false"), "id", F.col("text"), F.col("side"), []).count() == 0
 
 
 def test_tokens_and_packing(spark):

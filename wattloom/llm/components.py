@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.tables import cut_table
+
+from wattloom.session import cut_table
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -41,9 +42,12 @@ def related(rows: DataFrame, row_id: str, keys: list[str]) -> DataFrame:
     has the value, so edges run between such representatives only.
     """
     d = rows.select(F.col(row_id).cast("bigint").alias("row_id"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    d = cut_table(d)
     for i in range(len(keys)):
         first = d.where(F.col(f"k{i}").isNotNull()).groupBy(f"k{i}").agg(F.min("row_id").alias(f"r{i}"), F.count("*").alias(f"n{i}"))
-        d = d.join(first, f"k{i}", "left")
+        # a null key meets nothing; the row's id beside it keeps such rows from meeting in one task
+        apart = F.when(F.col(f"k{i}").isNull(), F.col("row_id")).otherwise(F.lit(0))
+        d = d.withColumn("_apart", apart).join(first.withColumn("_apart", F.lit(0).cast("bigint")), [f"k{i}", "_apart"], "left").drop("_apart")
     reps = [F.when(F.col(f"n{i}") > 1, F.col(f"r{i}")) for i in range(len(keys))]  # a value of one row ties nothing
     d = cut_table(d.select("row_id", F.coalesce(*reps, F.col("row_id")).alias("home"), *[r.alias(f"r{i}") for i, r in enumerate(reps)]))
     edges = None

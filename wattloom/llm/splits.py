@@ -4,10 +4,13 @@ Related records (same key value, passed on) form components; each component carr
 counts. Components are placed whole: the label with the fewest records still to place goes first, each of its
 components (largest share first) into the split that lacks most of that label, then most records, then by order.
 
-At scale the placement runs in shards. Components of at least ``1 / BIG`` of all rows, of which there can be no more
-than BIG, are placed first against the global targets; what they leave open sets the split shares of each label for
-the rest, which is dealt to shards of about ``shard_rows`` rows by a hash of the component, each shard placing its
-components by the same rule. No group, and no list of all components, goes to one task or the driver.
+One component that holds more than ``COARSE`` of what the smallest split wants of a label decides that label's balance.
+There can't be more such components than labels / (COARSE x the smallest share), whatever the size of the table (for a
+rare label all of its components are such), so they are placed first, all together, against the global wants. The rest
+is fine-grained in every label. It is dealt to shards of about ``shard_rows`` rows by a hash, and each shard places its
+components by the same rule against its quotas: a label's open wants run through all shards in their order and each
+shard gets the whole records between the rounded sums before and after it, so the quotas add up to the wants even where
+a shard has one record of a label. No group, and no list of all components, goes to one task or the driver.
 
 Nulls: a null key relates nothing, a null label counts as its own label. Repeated rows tie by their keys or stand
 alone. An empty table gives an empty result; further columns are ignored.
@@ -19,13 +22,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.llm.components import related
-from wattloom.llm.tables import cut_table
+from wattloom.session import cut_table
 
-BIG = 1000
+COARSE, MOST_LABELS = 0.05, 200
 NAMES, SHARES = ("train", "validation", "test"), (0.8, 0.1, 0.1)
 
 
@@ -55,45 +58,65 @@ def place(counts: np.ndarray, want: np.ndarray) -> np.ndarray:
 def assign_splits(rows: DataFrame, row_id: str, keys: list[str], labels: list[str], shares: tuple[float, ...] = SHARES, names: tuple[str, ...] = NAMES, shard_rows: int = 100_000) -> DataFrame:
     """(row_id, component, new_split) of every row; records tied by ``keys`` share a split, labels are spread by ``shares``.
 
-    ``labels`` are columns whose values together stay few (their totals are read by the driver).
+    ``labels`` are columns with at most ``MOST_LABELS`` values together; more raise an error (their totals and the
+    vectors of coarse components are read by the driver).
     """
     comp = related(rows, row_id, keys)
     tags = F.array(*[F.concat_ws("=", F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("(null)"))) for c in labels])
     tagged = rows.select(F.col(row_id).cast("bigint").alias("row_id"), tags.alias("_tags")).join(comp, "row_id")
     long = tagged.select("root", F.explode(F.concat("_tags", F.array(F.lit("")))).alias("label"))
     per = cut_table(long.groupBy("root", "label").agg(F.count("*").alias("n")))
-    totals = {r["label"]: r["n"] for r in per.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    sums = per.groupBy("label").agg(F.sum("n").alias("n")).limit(MOST_LABELS + 2).collect()
+    totals = {r["label"]: r["n"] for r in sums}
+    if len(totals) > MOST_LABELS + 1:
+        raise ValueError(f"{labels} have more than {MOST_LABELS} values")
     order = sorted(k for k in totals if k) + [""]
     if not totals:
         return comp.select("row_id", F.col("root").alias("component"), F.lit(names[0]).alias("new_split"))
-    index = F.create_map(*[x for i, k in enumerate(order) for x in (F.lit(k), F.lit(i))])
-    vectors = per.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct(index[F.col("label")].alias("k"), "n"))).alias("v"), F.max(F.when(F.col("label") == "", F.col("n"))).alias("size"))
-    vectors = vectors.withColumn("v", F.array(*[F.coalesce(F.try_element_at("v", F.lit(i)), F.lit(0)) for i in range(len(order))]))
-    total = totals[""]
     share = np.array(shares, float)
     want = share[:, None] * np.array([totals[k] for k in order], float)[None, :]
 
-    big = vectors.where(F.col("size") * BIG >= total).orderBy(F.desc("size"), "root").collect()  # at most BIG rows
+    of_label = lambda values: F.create_map(*[x for k, v in zip(order, values) for x in (F.lit(k), F.lit(v))])[F.col("label")]
+    number = of_label(range(len(order))).alias("k")
+    coarse = per.where(F.col("n") >= of_label([COARSE * float(share.min()) * totals[k] for k in order])).select("root").distinct()
+    long_rows = per.join(coarse, "root").select("root", number, "n").collect()  # at most labels / (COARSE x smallest share) components
     fixed = {}
-    if big:
-        counts = np.array([r["v"] for r in big])
+    if long_rows:
+        roots = sorted({r["root"] for r in long_rows})
+        at = {r: i for i, r in enumerate(roots)}
+        counts = np.zeros((len(roots), len(order)), np.int64)
+        for r in long_rows:
+            counts[at[r["root"]], r["k"]] = r["n"]
         to = place(counts, want)
         for s, v in zip(to, counts):
             want[s] -= v
-        fixed = {r["root"]: names[s] for r, s in zip(big, to)}
+        fixed = {r: names[s] for r, s in zip(roots, to)}
     need = np.maximum(want, 0)
-    sums = need.sum(0)
-    ratio = np.where(sums > 0, need / np.where(sums > 0, sums, 1), share[:, None])
-
-    shards = max(1, math.ceil(total / shard_rows))
-    rest = vectors.where(F.col("size") * BIG < total).withColumn("_shard", F.pmod(F.xxhash64("root"), F.lit(shards)))
+    total = need.sum(0)
+    ratio = np.where(total > 0, need / np.where(total > 0, total, 1), share[:, None])
+
+    shards = max(1, math.ceil(totals[""] / shard_rows))
+    rest = per.join(coarse, "root", "left_anti").withColumn("_shard", F.pmod(F.xxhash64("root"), F.lit(shards)))
+    # a label's quotas of a shard: the records of the running sums, rounded for each split with an offset of its own so that splits take turns
+    sizes = rest.groupBy("_shard", "label").agg(F.sum("n").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("label").orderBy("_shard"))  # one row per shard and label
+    quota = []
+    for j in range(len(names)):
+        r, turn = of_label([float(x) for x in ratio[j]]), F.lit((j + 0.5) / len(names))
+        quota.append((F.floor(F.col("_upto") * r + turn) - F.floor((F.col("_upto") - F.col("_n")) * r + turn)).cast("double"))
+    quotas = sizes.withColumn("_upto", upto).select("_shard", number, F.array(*quota).alias("q")).groupBy("_shard").agg(F.collect_list(F.struct("k", "q")).alias("quotas"))  # labels
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("root")
-        counts = np.array(pdf["v"].tolist(), dtype=np.int64)
-        return pd.DataFrame({"root": pdf["root"], "new_split": [names[s] for s in place(counts, ratio * counts.sum(0)[None, :])]})
-
-    placed = rest.select("root", "v", "_shard").groupBy("_shard").applyInPandas(shard, "root bigint, new_split string")
+        roots, row = np.unique(pdf["root"].to_numpy(), return_inverse=True)
+        counts = np.zeros((len(roots), len(order)), np.int64)
+        counts[row, pdf["k"].to_numpy()] = pdf["n"].to_numpy()
+        mine = np.zeros((len(names), len(order)))
+        for x in pdf["quotas"].iloc[0]:
+            mine[:, x["k"]] = x["q"]
+        return pd.DataFrame({"root": roots, "new_split": [names[s] for s in place(counts, mine)]})
+
+    dealt = rest.select("_shard", "root", number, "n").join(quotas, "_shard")
+    placed = dealt.groupBy("_shard").applyInPandas(shard, "root bigint, new_split string")
     if fixed:
         placed = placed.unionByName(rows.sparkSession.createDataFrame(list(fixed.items()), "root bigint, new_split string"))
     return comp.join(cut_table(placed), "root").select("row_id", F.col("root").alias("component"), "new_split")
