@@ -136,6 +136,30 @@ def test_one_short_sentence_is_a_copy(sentence, lead, close):
     assert answers.judge(lead + sentence + close, f"{PROMPT} {sentence}", None) == "copied"
 
 
+@pytest.mark.parametrize("answer", ["Hold steady and keep output unchanged today.", "Keep the markup where it is. The spread is narrow.", "Lieber abwarten, bis die Last sinkt.", "Zone Sedby is quiet. Wait for the next hour."])
+def test_proper_answers_without_digits(answer):
+    assert answers.judge(answer, PROMPT, None) == ("language" if answer.startswith("Lieber") else None)
+
+
+def test_compression_decides_copies():
+    """Sentences of the prompt in another order are copies; parts of an own answer, however much of the prompt it takes up, are none."""
+    a, b, c = answers.sentences(PROMPT)
+    assert answers.judge(f"{c} {a} {b}", PROMPT, None) == "copied" and answers.judge(f"Sure: {b.upper()}", PROMPT, None) == "copied"
+    assert answers.judge(f"{a} {b} So take action 3.", PROMPT, None) is None
+    assert answers.judge(f"{a} {b} The reserve margin looks thin, imports are falling fast, and waiting until evening would hardly cost anything at all.", PROMPT, None) is None
+
+
+def test_terminal_words(spark):
+    """A full stop after an abbreviation doesn't end the sentence; only the other answers tell."""
+    tails = ["Take action 2, reserve is approx. half of it. Fine. Go on.", "Take action 1, so approx. nothing is lost. Fine."] * 3
+    rows = [(i, PROMPT, t) for i, t in enumerate(tails)] + [(10, PROMPT, "Take action 1, since reserve is approx."), (11, PROMPT, "Take action 1, since all is fine.")]
+    df = spark.createDataFrame(rows, "id bigint, prompt string, text string")
+    assert [tuple(r) for r in answers.defects(df, "id", "prompt", "text").collect()] == [(10, "truncated")]
+    assert answers.judge(rows[-2][2], PROMPT, None) is None
+    few = df.where("id IN (0, 10, 11)")  # one observation is drawn to the prior
+    assert answers.defects(few, "id", "prompt", "text").count() == 0
+
+
 def test_terminal_contexts(spark):
     tails = ["hold action 2, since Fenham keeps 81.5 MW and more. Take action 4. Look again at 09:15. Fine it is."] * 4
     rows = [(i, PROMPT, t) for i, t in enumerate(tails)] + [(10, PROMPT, "Take action 1, since Dunham keeps 81."), (11, PROMPT, "Wait for it. Take action 4."), (12, None, None), (13, None, ANSWER), (10, PROMPT, "Take action 1, since Dunham keeps 81.")]
@@ -265,6 +289,7 @@ def test_runs_come_from_common_prefixes(spark, seed):
     rnd = random.Random(seed)
     rows = [(i, rnd.choice("TTTE"), 0.5, [f"e={'0,' * 12}{min(rnd.randrange(25), rnd.randrange(25))};a={rnd.randrange(2)}", f"load={i}"]) for i in range(90)]
     rows += [(100 + i, "TE"[i == 7], 0.5, ["e=hot;b=0.1,0.2", f"load={i}"]) for i in range(40)]
+    rows += [(200 + i, "TE"[i % 9 == 0], 0.5, [f"e={'7,' * 70}{rnd.randrange(12)}", f"load={i}"]) for i in range(40)]  # the line is longer than what sets the part
     o = overlap.Overlap(spark.createDataFrame(rows, "id bigint, side string, q double, lines array<string>"))
     sides = defaultdict(set)
     for _, s, _, x in rows:
@@ -276,7 +301,7 @@ def test_runs_come_from_common_prefixes(spark, seed):
 
 
 def test_pairs_come_from_the_array(spark, monkeypatch):
-    """Without the array's common prefixes there are no pairs; a target that very many records have meets in small buckets."""
+    """Without the array's runs pairs are lost; a target that very many records have meets in small buckets."""
     rows = [(i, "TE"[i % 5 == 0], 0.5, ["e=hot;b=0.1,0.2", "branches=2", "load=" + ",".join(f"{1000 * (i // 5 * 5 if i % 10 < 6 else i) + 7 * k:.1f}" for k in range(12))]) for i in range(400)]
     df = spark.createDataFrame(rows, "id bigint, side string, q double, lines array<string>")
     numbers = {i: [x[1], *x[2][5:].split(",")] for i, _, _, x in rows}
@@ -285,7 +310,7 @@ def test_pairs_come_from_the_array(spark, monkeypatch):
         assert {(r.train_id, r.eval_id) for r in overlap.pairs(df, part_chars=chars).collect()} == want
     array = overlap.Overlap.array
     monkeypatch.setattr(overlap.Overlap, "array", lambda self, n: array(self, n).withColumn("run", F.col("id").cast("string")))
-    assert overlap.pairs(df).count() == 0
+    assert overlap.pairs(df).count() < len(want)  # copies of one text need no run
 
 
 @pytest.mark.parametrize("seed", range(3))

@@ -1,14 +1,17 @@
 """Broken prompt and response pairs, each with its defect: empty, truncated, refusal, copied or language.
 
 Order of the tests: empty, an unfinished JSON object, copied, refusal, an unfinished sentence, language; the first
-that holds names the row. Copies are found by compressing the answer with its prompt as the zstandard dictionary:
-what the prompt hardly shortens, apart from the few words a copy may add, is no copy; of the rest whole sentences of the prompt are taken out, and a copy leaves
-next to nothing. Refusals and languages come from dictionaries. Whether a last full stop ends a sentence or a number
-is told by a terminal-context model: how often, over all answers of the table, a number with that shape after that
-word was followed by a new sentence or by more digits.
+that holds names the row. Copies are found by compression: each sentence of the answer is compressed with its prompt as
+the zstandard dictionary. What the prompt holds costs next to nothing, whatever its length; an answer is a copy if it
+has such a sentence and all the rest costs no more than a short lead-in and closing words do. Refusals and languages
+come from dictionaries. Whether a last full stop ends a sentence, an abbreviation or half a number is told by a
+terminal-context model: how often, over all answers of the table, a full stop after such a word, or after a number of
+that shape after that word, was followed by a new sentence; rare contexts are drawn towards their shape's figure and
+that towards a fixed prior, so there is no least number of observations.
 
 Nulls and blanks are ``empty``; a null prompt can't be copied and has no language. Rows are judged one by one, so
-repeated rows count each; very long texts are read whole. An empty table gives an empty result.
+repeated rows count each; very long texts are read whole. An empty table gives an empty result. Rows whose whole text
+is a JSON record with a decision in it are proper answers and stay in the JVM.
 """
 
 from __future__ import annotations
@@ -16,12 +19,14 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattloom.functions.records import is_json
 from wattloom.llm.tables import spread
 from wattloom.session import cut_table
 
@@ -29,7 +34,7 @@ from wattloom.session import cut_table
 NO_VALUE = {"na", "n a", "null", "none", "nil", "nan", "undefined", "tbd", "nothing", "no answer", "no value", "no data", "missing", "void", "blank", "empty", "json", "text", "unknown", "not available", "not applicable", "keine", "keine angabe", "ninguno", "ninguna", "nada", "sin datos", "无", "空", "没有", "暂无"}
 # Phrases of refusal by language.
 REFUSALS = {
-    "en": r"\b(can ?not|can't|can’t|unable to|not able to|won't|won’t|will not|not going to|may not|must not|must decline|have to decline|must refuse|decline to|refuse to|not (?:be )?(?:appropriate|allowed|permitted|in a position|comfortable)|against my|outside (?:of )?(?:my|what)|beyond (?:my|what)|keep(?:s)? me from|prevent(?:s)? me|do not have permission|not authori[sz]ed|rather not|would prefer not|let us talk about something else|guidelines|policy|cannot answer|no (?:advice|recommendation) from me|as an ai|as a language model)\b",
+    "en": r"\b(can ?not|can't|can’t|unable to|not able to|won't|won’t|will not|not going to|may not|must not|must decline|have to decline|must refuse|decline to|refuse to|not (?:be )?(?:appropriate|allowed|permitted|in a position|comfortable)|against my|outside (?:of )?(?:my|what)|beyond (?:my|what)|keep(?:s)? me from|prevent(?:s)? me|do not have permission|not authori[sz]ed|rather not|would prefer not|let us talk about something else|guidelines|policy|cannot answer|no (?:advice|recommendation) from me|no [\w ]{1,40} (?:will|can|shall|may) be (?:issued|given|made|provided|offered)|not (?:for|to|up to) me|as an ai|as a language model)\b",
     "de": r"(kann ich nicht|kann (?:das|dies|dazu|hier|ihnen)\b.*\bnicht|nicht helfen|nicht möglich|möchte ich nicht|möchte .* nicht|darf (?:ich|das|dazu|hier)?.*nicht|darf ich (?:keine|nicht)|keine (?:empfehlung|auskunft|entscheidung)|lehne .* ab|ablehnen|nicht beantworten|lassen .* nicht zu|nicht erlaubt|nicht befugt|nicht in der lage|tut mir leid|muss ich .*verzichten|verweiger|leider)",
     "es": r"(no puedo|no podemos|no me (?:es posible|permiten?|corresponde|está permitido)|no (?:estoy|tengo) (?:autorizad|permiso|en condiciones)|no debo|no (?:voy a|quiero|deseo|sería apropiado|es apropiado)|lo siento|lamento|me niego|debo (?:rechazar|declinar)|prefiero no|rechazo|disculp|no responderé|no daré)",
     "fr": r"(je ne (?:peux|puis|suis|dois|vais|souhaite|saurais)|désolé|je refuse|je préfère ne pas|impossible de|ne me permettent? pas|je regrette|malheureusement)",
@@ -37,22 +42,22 @@ REFUSALS = {
 }
 _REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS.values()), re.IGNORECASE | re.DOTALL)
 # An answer's decision, in any of the languages.
-_DECISION = re.compile(r"(?:\bactions?|\baktion(?:en)?|\bacci(?:ó|o)n(?:es)?|动作|行动|\bazione|\bação|\bactie)\s*(?:n[°o.]\s*)?\d|\bbelief puts\b", re.IGNORECASE)
+_DECISION = re.compile(r"(?:\bactions?|\baktion(?:en)?|\bacci(?:ó|o)n(?:es)?|动作|行动|\bazione|\bação|\bactie)\s*(?:n[°o.]\s*)?\d", re.IGNORECASE)
 # Frequent short words by language.
 WORDS = {
-    "en": "the of and to in is that it for with as was on are be this by at from or an not but which before would what you your i my there should card load stays near while since so only best used per cent percent hold take choose play down below when where why if please",
-    "de": "der die das und ist nicht ein eine einen von zu mit den dem des im für auf sich es wird bei aus auch als an nach so wie ich sie aber noch nur vor weil denn dass würde mir ihnen bleiben last preis karte uhr zu beträgt wählen spricht am besten reicht kann keine warum",
-    "es": "el la los las de del que y en un una es no se por con para como más pero su al lo porque si ya sobre antes cerca sigue está ser muy sin qué cuál debe carga precio ficha ahora solo hora puedo",
-    "fr": "le la les de des du et en un une est que qui dans pour pas sur au par avec ce il elle je ne se plus mais ou car si nous vous cette aucune avant près reste charge fiche serait",
-    "it": "il lo la i gli le di del della e in un una è che non per con come più ma si al sono da nel questa carico prezzo",
-    "pt": "o a os as de do da e em um uma é que não por com para como mais mas se ao são no na esta carga preço",
-    "nl": "de het een en van is dat niet in op te met voor zijn die er aan ook als maar om bij nog naar dan wordt belasting prijs",
+    "en": "the of and to in is that it for with as was on are be this by at from or an not but which before would what you your i my there should while since so only than when where why if please more most other some such can will all has have had do does about into over after also just because until here we they he she him her his their them could",
+    "de": "der die das und ist nicht ein eine einen einem einer von zu mit den dem des im für auf sich es wird bei aus auch als an nach so wie ich sie aber noch nur vor weil denn dass würde mir ihnen am kann keine warum über unter zum zur sind war hat haben wenn oder bis durch um mehr sehr doch jetzt hier ihr wir uns",
+    "es": "el la los las de del que y en un una es no se por con para como más pero su al lo porque si ya sobre antes está ser muy sin qué cuál debe ahora solo también entre hasta desde donde cuando ha han son fue este esta eso esto mi me le les nos yo usted unos unas",
+    "fr": "le la les de des du et en un une est que qui dans pour pas sur au aux par avec ce cette il elle je ne se plus mais ou car si nous vous aucune avant serait sont ont été être comme tout sans leur leurs même très bien donc alors son sa ses",
+    "it": "il lo la i gli le di del della dello dei delle e in un una è che non per con come più ma si al alla sono da dal nel nella questa questo anche o se ha hanno essere",
+    "pt": "o a os as de do da dos das e em um uma é que não por com para como mais mas se ao à são no na nos nas esta este também ou ser foi sem sua seu",
+    "nl": "de het een en van is dat niet in op te met voor zijn die er aan ook als maar om bij nog naar dan wordt dit deze door over of zou kan heeft",
 }
 _WORD_SETS = {k: set(v.split()) for k, v in WORDS.items()}
 _ENDS = ".!?。！？…"
 _CLOSERS = "\"'”’»)]}」』）*_` \t\r\n"
-NOVELTY = 0.5  # compressed size against the prompt, relative to the size alone, above which a text is no copy, see novelty
-OWN_WORDS, FRAME = 16, 32  # words that a copy may have beside the prompt's sentences, bytes of a compressed frame and its first matches
+SAME, OWN, LEAST = 8, 72, 12  # bytes that a sentence of the prompt costs at most when compressed with it, bytes that all a copy's own words may cost, bytes of a sentence that tell
+PRIOR, LIKE = (2.0, 3.0), 4.0  # ends and observations a shape begins with, observations of its shape a context begins with
 
 _CONTROL = re.compile(r"<\|[^<>|]*\|>|</?s>|\[/?INST\]|<(?:eos|bos|pad|unk|end_of_turn|start_of_turn)>|[​-‏⁠﻿\x00-\x08\x0b\x0c\x0e-\x1f]", re.IGNORECASE)
 _FENCE = re.compile(r"```[a-zA-Z]*")
@@ -64,8 +69,8 @@ def flat(text: str) -> str:
 
 
 def sentences(text: str) -> list[str]:
-    """Sentences of a text; a full stop inside a number ends nothing."""
-    return [s for s in re.split(r"(?<=[.!?])\s+|(?<=[。！？])|[\r\n]+", text) if s.strip()]
+    """Sentences of a text, a lead-in up to its colon counts as one; a full stop or colon inside a number ends nothing."""
+    return [s for s in re.split(r"(?<=[.!?:])\s+|(?<=[。！？：])|[\r\n]+", text) if s.strip()]
 
 
 def json_parts(text: str) -> tuple[list[object], str, bool]:
@@ -125,34 +130,47 @@ def _no_value(text: str) -> bool:
     return not f or f in NO_VALUE
 
 
-def novelty(answer: str, prompt: str) -> float:
-    """Compressed size of the answer with its prompt as the dictionary, without what the words allowed beside a copy and the frame can cost, relative to its size alone."""
-    flat_answer = flat(answer)
-    a, p = flat_answer.encode(), flat(prompt).encode()
-    if len(p) < 8:
-        return 0.0  # too short for a dictionary: left to the sentence check
-    own = sum(len(w.encode()) + 1 for w in sorted(flat_answer.split(), key=lambda w: len(w.encode()))[-OWN_WORDS:])
-    alone = len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(a))
-    given = zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(p, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-    return (len(given.compress(a)) - own - FRAME) / max(alone, 1)
+class Prompt:
+    """What judging the answers of one prompt needs of it."""
 
+    def __init__(self, text: str) -> None:
+        self.parts = [x.strip() for x in sentences(text)]
+        self.language = language(text)
+        flat_text = flat(text).encode()
+        # shorter than the format's least dictionary there is nothing to copy from
+        self.zstd = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, dict_data=zstandard.ZstdCompressionDict(flat_text, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) if len(flat_text) >= 8 else None
+        self.frame = len(self.zstd.compress(b"")) if self.zstd else 0
 
-def copied(answer: str, prompt: str) -> bool:
-    """Nothing but whole sentences of the prompt, apart from a short lead-in and closing words.
+    def cost(self, sentence: str) -> tuple[int, int]:
+        """Bytes of a flat sentence, and what it costs given the prompt."""
+        raw = sentence.encode()
+        return len(raw), len(self.zstd.compress(raw)) - self.frame
 
-    What the prompt's dictionary doesn't shorten to half its size, even if its ``OWN_WORDS`` longest words cost nothing,
-    is no copy; of the rest the prompt's sentences are taken out, and what is left must be a few words without numbers
-    or a decision.
-    """
-    if novelty(answer, prompt) > NOVELTY:
+
+@lru_cache(maxsize=512)
+def _prompt(text: str) -> Prompt:
+    return Prompt(text)
+
+
+def copied(answer: str, prompt: Prompt) -> bool:
+    """Nothing but sentences of the prompt, apart from a short lead-in and closing words, by what each sentence costs given the prompt."""
+    if prompt.zstd is None:
         return False
-    rest, taken = f" {flat(answer)} ", False
-    for s in sorted({flat(x) for x in [*sentences(prompt), prompt]}, key=len, reverse=True):
-        if len(s) >= 4 and s in rest:
-            taken, rest = True, rest.replace(s, " ")
-    words = rest.split()
-    wide = sum(len(re.findall(r"[㐀-鿿]", w)) for w in words)
-    return taken and len(words) + wide // 2 <= OWN_WORDS and not _DECISION.search(rest) and not re.search(r"\d\D*\d", rest)
+    taken, own = False, 0
+    for s in sentences(answer):
+        f = flat(s)
+        size, cost = prompt.cost(f)
+        if size >= LEAST and cost <= SAME:
+            taken = True
+        elif size >= LEAST and cost * 2 <= size:  # a lead-in and a sentence of the prompt
+            taken, own = True, own + cost - SAME
+        elif _DECISION.search(s) or re.search(r"\d", f):
+            return False
+        else:
+            own += cost
+        if own > OWN:
+            return False
+    return taken
 
 
 def language(text: str) -> str | None:
@@ -167,7 +185,7 @@ def language(text: str) -> str | None:
 
 
 def judge(answer: str | None, prompt: str | None, ends: float | None) -> str | None:
-    """The defect of one pair; ``ends`` is the model's probability that a last full stop after a number ends the sentence."""
+    """The defect of one pair; ``ends`` is the model's probability that the answer's last full stop ends a sentence."""
     if answer is None:
         return "empty"
     text = _CONTROL.sub(" ", answer)
@@ -175,75 +193,84 @@ def judge(answer: str | None, prompt: str | None, ends: float | None) -> str | N
     if _no_value(bare):
         return "empty"
     values, prose, unfinished = json_parts(bare)
-    if not unfinished and not re.search(r"\w", prose) and not any(map(_scalars, values)):
+    spoken = re.search(r"\w", prose)
+    if not unfinished and not spoken and not any(map(_scalars, values)):
         return "empty"
     if unfinished:
         return "truncated"
-    prompt = prompt or ""
     record = any(isinstance(v, dict) and ("a" in v or "b" in v or "e" in v) for v in values)
     inner = " ".join(s for v in values for s in _strings(v))
-    said = f"{prose} {inner}".strip()
-    if not re.search(r"\w", said):
+    own = f"{prose} {inner}".strip()
+    if not re.search(r"\w", own):
         return None
-    own = said
-    if prompt and not record and copied(said, prompt):
+    asked = _prompt(prompt or "")
+    if not record and copied(own, asked):
         return "copied"
-    for s in sentences(prompt):
-        own = own.replace(s.strip(), " ")
-    decided = record or bool(_DECISION.search(own))
-    if not decided and (_REFUSAL.search(own) or not re.search(r"\d", own) and own.strip()[-1:] in _ENDS):
+    for s in asked.parts:
+        own = own.replace(s, " ")
+    if not record and not _DECISION.search(own) and _REFUSAL.search(own):
         return "refusal"
     # the text stops with the prose: is the last sentence complete?
     tail = bare.rstrip(_CLOSERS)
-    if re.search(r"\w", prose) and not (values and bare.rstrip()[-1:] in "}]"):
-        if tail[-1:] not in _ENDS or (re.search(r"\d\.$", tail) and ends is not None and ends < 0.5):
+    if spoken and not (values and bare.rstrip()[-1:] in "}]"):
+        if tail[-1:] not in _ENDS or (tail[-1:] == "." and ends is not None and ends < 0.5):
             return "truncated"
-    if re.search(r"\w", prose):
-        mine, theirs = language(" ".join(own.replace(inner, " ").split()) if inner else own), language(prompt)
-        if mine and theirs and mine != theirs:
+    if spoken:
+        mine = language(" ".join(own.replace(inner, " ").split()) if inner else own)
+        if mine and asked.language and mine != asked.language:
             return "language"
     return None
 
 
-# the last number before a closing full stop and the word before it, read from the end of the text backwards
-_LAST = r"^[\s\p{P}`]*?\.(\p{Nd}[\p{Nd}:,.-]*)[^\p{L}\p{Nd}]{0,3}(\p{L}{1,8})?"
+# a word or number before a full stop: the number's last word before it, and what follows
+_NUMBER = r"(?:\p{Nd}+[:-])*\p{Nd}+(?:\.\p{Nd}+)?"
+_PROSE = r"[{\[][^{}\[\]]*[}\]]?|[\"{}\[\],]+"  # what is no prose
+_SEEN = rf"(?:\p{{L}}{{1,12}}[^\p{{L}}\p{{Nd}}]{{0,3}})?{_NUMBER}(?:\.(?=\s+\p{{L}}))?|\p{{L}}{{1,12}}\.(?=\s)\s+[\p{{L}}\p{{Nd}}]"
+# the same at the end of an answer, read backwards
+_LAST = r"^[\s\p{P}`]*?\.(\p{Nd}[\p{Nd}:,.-]*)?[^\p{L}\p{Nd}]{0,3}(\p{L}{1,12})?"
 
 
-def _context(word: Column, number: Column) -> tuple[Column, Column]:
-    shape = F.regexp_replace(F.regexp_replace(number, r"\p{Nd}+", "9"), r"^-", "")
-    return F.concat_ws("|", F.lower(word), shape), shape
+def _shape(number: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(number, r"\p{Nd}+", "9"), r"^-", "")
 
 
 def terminal_contexts(answers: DataFrame, text: str) -> DataFrame:
-    """(context, p): how often a full stop after a number ended a sentence inside the answers, by word and shape and by shape alone."""
-    bare = F.regexp_replace(text, r"[{\[][^{}\[\]]*[}\]]?|[\"{}\[\],]+", " ")  # prose only
-    shapes = F.regexp_replace(bare, r"\p{Nd}+", "9")
-    # a number with a stop inside it, or with a stop after it and then a blank and a letter; shapes and words are few
-    seen = r"\p{L}{1,8}[^\p{L}9]{0,3}(?:9[:-])*9(?:\.9)?(?:\.(?=\s+\p{L}))?"
-    d = answers.select(F.explode(F.regexp_extract_all(shapes, F.lit(seen), F.lit(0))).alias("m")).where(F.col("m").contains(".")).groupBy("m").agg(F.count("*").alias("n"))
-    word, number = F.regexp_extract("m", r"^\p{L}+", 0), F.regexp_extract("m", r"(?:9[:-])*9(?:\.9)?\.?$", 0)
+    """(context, p): the probability that a full stop in a context ends a sentence.
+
+    A context is a word before the full stop, or a number's shape with the word before it. A sentence has ended if a
+    word with a capital (or of a script without capitals) follows; a small letter or a number goes on, as do digits
+    after a number's full stop.
+    """
+    bare = F.regexp_replace(text, _PROSE, " ")
+    found = F.explode(F.regexp_extract_all(F.regexp_replace(bare, r"\p{Nd}+", "9"), F.lit(_SEEN), F.lit(0)))  # shapes and words are few
+    d = answers.select(found.alias("m")).where(F.col("m").contains(".")).groupBy("m").agg(F.count("*").alias("n"))
+    number = F.regexp_extract("m", r"(?:9[:-])*9(?:\.9)?\.?$", 0)
+    after = F.regexp_extract("m", r"\.\s+(\S)$", 1)
+    word = F.lower(F.regexp_extract("m", r"^\p{L}+", 0))
+    goes_on = after.rlike(r"[\p{Ll}\p{Nd}]")
     evidence = F.array(
-        F.when(number.contains(".9"), F.struct(F.split_part(number, F.lit("."), F.lit(1)).alias("s"), F.lit(0).alias("end"))),
-        F.when(number.endswith("."), F.struct(F.rtrim(number, F.lit(".")).alias("s"), F.lit(1).alias("end"))),
+        F.when(after != "", F.struct(word.alias("w"), F.lit("").alias("s"), F.when(goes_on, 0).otherwise(1).alias("end"))),
+        F.when((after == "") & number.contains(".9"), F.struct(word.alias("w"), F.split_part(number, F.lit("."), F.lit(1)).alias("s"), F.lit(0).alias("end"))),
+        F.when((after == "") & number.endswith("."), F.struct(word.alias("w"), F.rtrim(number, F.lit(".")).alias("s"), F.lit(1).alias("end"))),
     )
-    d = d.select(word.alias("w"), "n", F.explode(F.array_compact(evidence)).alias("x"))
-    d = d.select(F.explode(F.array(_context(F.col("w"), F.col("x.s"))[0], F.col("x.s"))).alias("context"), "n", "x.end")
-    return d.groupBy("context").agg((F.sum(F.col("n") * F.col("end")) / F.sum("n")).alias("p"), F.sum("n").alias("n")).where("n >= 3")
+    d = d.select("n", F.explode(F.array_compact(evidence)).alias("x")).groupBy("x.w", "x.s").agg(F.sum(F.col("n") * F.col("x.end")).alias("ends"), F.sum("n").alias("n"))
+    shape = d.groupBy("s").agg(((F.sum("ends") + PRIOR[0]) / (F.sum("n") + PRIOR[1])).alias("_q"))
+    one = d.join(shape, "s").select(F.concat_ws("|", "w", "s").alias("context"), ((F.col("ends") + LIKE * F.col("_q")) / (F.col("n") + LIKE)).alias("p"))
+    return one.unionByName(shape.where("s <> ''").select(F.concat(F.lit("*|"), "s").alias("context"), F.col("_q").alias("p")))
 
 
 def defects(pairs: DataFrame, row_id: str, prompt: str, answer: str) -> DataFrame:
     """(row_id, defect_type) of every row that is no proper answer."""
-    pairs = spread(pairs.select(row_id, prompt, answer))
-    model = cut_table(terminal_contexts(pairs, answer))
-    d = pairs.select(F.col(row_id).alias("row_id"), F.col(prompt).alias("prompt"), F.col(answer).alias("answer"))
+    pairs = spread(pairs.select(F.col(row_id).alias("row_id"), F.col(prompt).alias("prompt"), F.col(answer).alias("answer")))
+    model = cut_table(terminal_contexts(pairs, "answer"))
+    whole = is_json(F.col("answer")) & F.coalesce(F.get_json_object("answer", "$.a").rlike(r"\p{Nd}"), F.lit(False))
     last = lambda k: F.reverse(F.regexp_extract(F.reverse("answer"), _LAST, k))
-    number, word = last(1), last(2)
-    context, shape = _context(word, number)
-    d = d.withColumns({"_context": F.when(number != "", context), "_shape": F.when(number != "", shape)})
+    d = pairs.where(F.col("answer").isNull() | ~whole).withColumns({"_s": _shape(last(1)), "_w": F.lower(last(2))})
+    d = d.withColumns({"_context": F.concat_ws("|", "_w", "_s"), "_any": F.when(F.col("_s") != "", F.concat(F.lit("*|"), "_s"))})
     d = d.join(model.select(F.col("context").alias("_context"), F.col("p").alias("_p")), "_context", "left")
-    d = d.join(model.select(F.col("context").alias("_shape"), F.col("p").alias("_q")), "_shape", "left")
+    d = d.join(model.select(F.col("context").alias("_any"), F.col("p").alias("_q")), "_any", "left")
     d = d.select("row_id", "prompt", "answer", F.coalesce("_p", "_q").alias("ends"))
-    return d.mapInPandas(_judge_all, f"row_id {pairs.schema[row_id].dataType.simpleString()}, defect_type string").where("defect_type IS NOT NULL")
+    return d.mapInPandas(_judge_all, f"row_id {pairs.schema['row_id'].dataType.simpleString()}, defect_type string").where("defect_type IS NOT NULL")
 
 
 def _judge_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
