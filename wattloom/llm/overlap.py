@@ -37,7 +37,7 @@ from wattloom.llm.spans import GROUP_ROWS, covered, shared
 from wattloom.llm.tables import spread
 from wattloom.session import cut_table
 
-PART_CHARS = 8_000_000  # of texts sorted in one task
+PART_CHARS, BEGIN = 8_000_000, 128  # of texts sorted in one task, of the beginning of a text that sets its part
 SPAN = 100  # of coverage: the shortest shared run; labels that unrelated records have are shorter
 TARGET = "e array<double>, b array<double>, g array<double>, cf array<double>, i double, a double, p array<double>, q double"
 _LABELLED = r"(?m)^[ \t]*([\p{L}][\p{L}\p{Nd} ]*?)[ \t]*[:=][ \t]*(\[[^\]\n]*\]|[+-]?[0-9][0-9,]*(?:\.[0-9]+)?)"
@@ -76,7 +76,8 @@ class Overlap:
         """(id, t, e, run): the texts of runs, by the common prefixes of neighbours in the sorted suffixes; texts that no neighbour goes along with past its target's line are left out unless they lie at a part's end."""
         d = self.suffixes.select("id", "t", "e", "suffix")
         parts = math.ceil((d.agg(F.sum(F.length("suffix"))).first()[0] or 0) / part_chars)
-        d = d.repartitionByRange(max(1, parts), "suffix", "id").sortWithinPartitions("suffix", "id")
+        # parts are told apart by the beginnings of texts only: the ranges' bounds are found on the driver
+        d = d.withColumn("begin", F.left("suffix", F.lit(BEGIN))).repartitionByRange(max(1, parts), "begin", "id").drop("begin").sortWithinPartitions("suffix", "id")
         return cut_table(d.mapInPandas(_runs, "id bigint, t boolean, e boolean, run string"))
 
     def runs(self, part_chars: int = PART_CHARS) -> DataFrame:
@@ -88,26 +89,42 @@ class Overlap:
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One sorted part, as a stream: neighbours whose common prefix goes past the target's line share a run. Runs of one side that end inside the part go no further."""
-    before, run, first = "", [], True
+    """One sorted part, as a stream: neighbours whose common prefix goes past the target's line share a run.
+
+    Only texts with the beginning of the part's first or last text can have others of their run in another part; all
+    other runs are whole here, and those of one side go no further.
+    """
+    before, run = "", []
+    first: str | None = None
+    held: list[tuple[str, list[tuple]]] = []  # beginning and rows of runs that may lie at the part's end
     out: list[tuple] = []
 
-    def close(inside: bool) -> None:
-        if run and (not inside or any(r[1] for r in run) and any(r[2] for r in run)):
+    def close() -> None:
+        if run:
             name = before[: before.index("\n") + 1]
-            out.extend((*r, name) for r in run)
-        run.clear()
+            held.append((run[0][3], [(*r[:3], name) for r in run]))
+            run.clear()
+
+    def release(at_end: bool) -> None:
+        for begin, r in held:
+            if at_end or begin == first or any(x[1] for x in r) and any(x[2] for x in r):
+                out.extend(r)
+        held.clear()
 
     for b in batches:
         for suffix, i, t, e in zip(b["suffix"].tolist(), b["id"].tolist(), b["t"].tolist(), b["e"].tolist()):
+            begin = suffix[:BEGIN]
+            first = begin if first is None else first
             if run and len(commonprefix((before, suffix))) <= before.index("\n"):
-                close(not first)
-                first = False
-            run.append((i, t, e))
+                close()
+            if held and before[:BEGIN] != begin:
+                release(False)
+            run.append((i, t, e, begin))
             before = suffix
         yield pd.DataFrame(out, columns=["id", "t", "e", "run"])
         out.clear()
-    close(False)
+    close()
+    release(True)
     yield pd.DataFrame(out, columns=["id", "t", "e", "run"])
 
 
