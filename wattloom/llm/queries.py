@@ -87,9 +87,8 @@ def p6_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _placements(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    items = token_counts(docs, "text", [F.col("doc_id")])
-    return pack(items, table(spark, sf, "container_specs"), docs.count())
+    items = cut_table(token_counts(table(spark, sf, "documents"), "text", [F.col("doc_id")]))
+    return pack(items, table(spark, sf, "container_specs"))
 
 
 def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
