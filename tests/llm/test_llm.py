@@ -349,7 +349,7 @@ def test_tokens_and_packing(spark):
     items = [(i, int(rnd.expovariate(1 / 60))) for i in range(800)] + [(900, 1000), (901, 100), (902, 0), (902, 0)]
     kinds = spark.createDataFrame([("a", 100), ("b", 256)], "container_kind string, capacity_tokens int")
     for shard in (4000, 200):
-        got = packing.pack(spark.createDataFrame(items, "doc_id bigint, n_tokens int"), kinds, len(items), shard).collect()
+        got = packing.pack(spark.createDataFrame(items, "doc_id bigint, n_tokens int"), kinds, shard).collect()
         for kind, cap in (("a", 100), ("b", 256)):
             mine = [r for r in got if r.container_kind == kind]
             used = Counter()
@@ -362,18 +362,36 @@ def test_tokens_and_packing(spark):
             assert all(len(pieces[i]) == max(1, -(-n // cap)) for i, n in items if i != 902) and len(pieces[902]) == 2
             assert all(a + n == b for p in pieces.values() if len(p) > 1 and p[0][1] for (a, n), (b, _) in zip(sorted(p), sorted(p)[1:]))
             assert sum(used.values()) / cap / len(used) > 0.93
-    assert packing.pack(spark.createDataFrame([], "doc_id bigint, n_tokens int"), kinds, 0).count() == 0
+    assert packing.pack(spark.createDataFrame([], "doc_id bigint, n_tokens int"), kinds).count() == 0
 
 
 def test_best_fit_respects_every_capacity():
+    """Tokens, places and attention cost each hold, and each changes where items go."""
     rng = np.random.default_rng(0)
-    n = np.sort(rng.integers(1, 60, 3000))[::-1]
-    need = np.stack([n, np.ones(len(n)), n**2], 1).astype(float)
-    cap = np.array([100.0, 4.0, 5000.0])
-    where = packing.best_fit(need, cap, np.array([1.0, 0.1, 0.1]))
-    for j in range(3):
-        assert np.bincount(where, need[:, j]).max() <= cap[j]
-    assert where.min() == 0 and len(set(where)) == where.max() + 1
+    n = np.sort(np.minimum(rng.lognormal(2.5, 1.2, 3000).astype(int) + 1, 100))[::-1]
+    w = np.array([1.0, 0.1, 0.1])
+    rate = 1.5 * float((n**2).sum() / n.sum())
+    free = packing.best_fit(n, 100, 1e9, 1e9, w)
+    for places, limit in ((4, 1e9), (1e9, rate), (4, rate)):
+        where = packing.best_fit(n, 100, places, limit, w)
+        assert np.bincount(where, n).max() <= 100 and np.bincount(where).max() <= places
+        opened = np.unique(where, return_index=True)[1]
+        beside = np.bincount(where, n.astype(float) ** 2) - n[opened].astype(float) ** 2
+        assert (beside <= (100 - n[opened]) * limit + 1e-9).all()
+        assert where.min() == 0 and len(set(where)) == where.max() + 1 and (where != free).any()
+
+
+def test_every_constraint_binds_on_documents(spark):
+    """With the production parameters, places and attention each change placements of texts with a long tail."""
+    rnd = random.Random(2)
+    items = spark.createDataFrame([(i, int(rnd.lognormvariate(5, 1.3)) + 1) for i in range(4000)], "doc_id bigint, n_tokens int")
+    kinds = spark.createDataFrame([("a", 4096)], "container_kind string, capacity_tokens int")
+    run = lambda **x: {(r.doc_id, r.piece_no): r.container_no for r in packing.pack(items, kinds, **x).collect()}
+    both = run()
+    assert both != run(places=1e9) and both != run(attention=1e9)
+    many = spark.createDataFrame([(f"k{i}", 100) for i in range(packing.MOST_KINDS + 1)], "container_kind string, capacity_tokens int")
+    with pytest.raises(ValueError):
+        packing.pack(items, many)
 
 
 def test_sainte_lague():
@@ -412,3 +430,7 @@ def test_mixing(spark):
     assert sum(r.n_tokens * r.n_uses for r in out) > 0.99 * goal
     assert sorted(map(tuple, mixing.mix(df, targets, shard_tokens=100_000).collect())) == sorted(map(tuple, out))
     assert mixing.mix(df.where("false"), targets).count() == 0
+    fine = {r.source: r.reached_share for r in mixing.mix_report(mixing.mix(df, targets, shard_tokens=600), targets).collect()}  # thousands of shards
+    assert all(abs(fine[s] - x) < 0.02 for s, x in (("big", 0.5), ("mid", 0.3), ("small", 0.2)))
+    with pytest.raises(ValueError):
+        mixing.mix(df, spark.createDataFrame([(f"s{i}", 0.1, 1) for i in range(mixing.MOST_SOURCES + 1)], "source string, target_share double, max_repeats int"))

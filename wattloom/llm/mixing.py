@@ -1,14 +1,16 @@
 """Records of several sources mixed to target shares of all tokens, by Sainte-Lague apportionment.
 
 The total is the largest at which no source needs a record more often than allowed. It is cut into blocks of equal
-tokens; the blocks go to the sources by their highest quotients, and each source's blocks to its shards in the same
-way, by the tokens a shard holds. Within a shard the records are taken in the order of a seeded hash, all of them as
-many times as the quota allows and then once more as far as the rest of the quota reaches; one record of the size
-closest to what is still open completes it.
-
-The driver sees one row per source and shard, at most ``max_shards`` per source. A source with any share of all rows
-is spread over the shards. Records without tokens, of a null source, or of a source without a target are not chosen;
-a source with a target but no tokens gets no blocks and its share goes to the rest. Ties in the hash go by id.
+tokens; the blocks go to the sources by their highest quotients. A source's blocks go to its shards by the same rounding
+of the running sums of their tokens, so the shards' quotas add up to the source's. Within a shard the records are taken
+in the order of a seeded hash, all of them as many times as the quota allows and then once more as far as the rest of
+the quota reaches, a record too long for it not stopping the next; one record of the size closest to what is still
+open completes it.
+
+The driver sees one row per source. A source with any share of all rows is spread over shards of about
+``shard_tokens`` tokens, as many as it takes. Records without tokens, of a null source, or of a source without a target
+are not chosen; a source with a target but no tokens gets no blocks and its share goes to the rest. Ties in the hash go
+by id.
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ from __future__ import annotations
 import heapq
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-PASSES = 4
+MOST_SOURCES = 1000
 
 
 def sainte_lague(seats: int, votes: list[float], most: list[int]) -> list[int]:
@@ -47,53 +50,49 @@ def sainte_lague(seats: int, votes: list[float], most: list[int]) -> list[int]:
     return got
 
 
-def mix(records: DataFrame, targets: DataFrame, block_tokens: int = 256, shard_tokens: int = 2_000_000, max_shards: int = 1024, seed: int = 17) -> DataFrame:
+def mix(records: DataFrame, targets: DataFrame, block_tokens: int = 256, shard_tokens: int = 2_000_000, seed: int = 17) -> DataFrame:
     """(doc_id, source, n_tokens, n_uses) of the chosen records of (doc_id, source, n_tokens).
 
-    ``targets``: (source, target_share, max_repeats), a table of a few rows.
+    ``targets``: (source, target_share, max_repeats), a table of a few rows; more than ``MOST_SOURCES`` raise an error.
     """
-    want = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.dropna().take(1000) if r["target_share"] > 0 and r["max_repeats"] > 0}
+    listed = targets.select("source", "target_share", "max_repeats").dropna().where("target_share > 0 AND max_repeats > 0").limit(MOST_SOURCES + 1).collect()
+    if len(listed) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources have a target")
+    want = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in listed}
     known = records.where((F.col("n_tokens") > 0) & F.col("source").isin(list(want)))
-    fine = known.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(max_shards)).cast("int"))
-    held = fine.groupBy("source", "_shard").agg(F.sum("n_tokens").alias("tokens")).collect()  # at most sources x max_shards rows
-    supply = dict.fromkeys(want, 0)
-    for r in held:
-        supply[r["source"]] += r["tokens"]
-    shards = {s: min(max_shards, max(1, math.ceil(n / shard_tokens))) for s, n in supply.items()}
-    sums: dict[tuple[str, int], int] = {}
-    for r in held:
-        k = (r["source"], r["_shard"] % shards[r["source"]])
-        sums[k] = sums.get(k, 0) + r["tokens"]
-    names = sorted(s for s in want if supply[s])
+    supply = {r["source"]: r["tokens"] for r in known.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).collect()}  # one row per target
+    names = sorted(supply)
     share = sum(want[s][0] for s in names)
     goal = min((supply[s] * want[s][1] * share / want[s][0] for s in names), default=0)
-    most = [supply[s] * want[s][1] // block_tokens for s in names]
-    quota = sainte_lague(int(goal // block_tokens), [want[s][0] for s in names], most)
-    rows = []
-    for s, blocks in zip(names, quota):
-        parts = sorted(k for a, k in sums if a == s)
-        for k, b in zip(parts, sainte_lague(blocks, [float(sums[s, k]) for k in parts], [sums[s, k] * want[s][1] // block_tokens for k in parts])):
-            rows.append((s, k, b * block_tokens // sums[s, k], b * block_tokens % sums[s, k], want[s][1]))
-    plan = records.sparkSession.createDataFrame(rows, "source string, _shard int, _full long, _rest long, _most int")
-    of_source = F.create_map(*[F.lit(x) for s in names for x in (s, shards[s])]) if names else F.create_map().cast("map<string,int>")
-    d = fine.withColumn("_shard", F.pmod("_shard", F.try_element_at(of_source, "source")))
-    group = Window.partitionBy("source", "_shard")
-    order = F.struct(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    d = d.join(plan, ["source", "_shard"]).withColumn("_order", order)
-    upto = group.orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumns({"_taken": F.lit(False), "_gap": F.col("_rest")})
-    for _ in range(PASSES):  # what fits the open rest of the quota, in order; a record too long for it doesn't stop the next
-        d = d.withColumn("_fits", ~F.col("_taken") & (F.col("n_tokens") <= F.col("_gap")))
-        d = d.withColumn("_upto", F.sum(F.when(F.col("_fits"), F.col("n_tokens")).otherwise(0)).over(upto))
-        d = d.withColumn("_now", F.col("_fits") & (F.col("_upto") <= F.col("_gap")))
-        d = d.withColumns({"_taken": F.col("_taken") | F.col("_now"), "_gap": F.col("_gap") - F.coalesce(F.max(F.when(F.col("_now"), F.col("_upto"))).over(group), F.lit(0))})
-    # and what is still open goes to the one record whose size comes closest to it
-    off = F.abs(F.col("n_tokens") - F.col("_gap"))
-    d = d.withColumn("_last", F.when(~F.col("_taken") & (off < F.col("_gap")), F.struct(off, "_order")))
-    last = F.col("_last").isNotNull() & (F.col("_last") == F.min("_last").over(group))
-    extra = (F.col("_taken") | F.coalesce(last, F.lit(False))) & (F.col("_full") < F.col("_most"))
-    uses = (F.least("_full", F.col("_most")) + F.when(extra, 1).otherwise(0)).cast("int")
-    return d.withColumn("n_uses", uses).where("n_uses > 0").select("doc_id", "source", "n_tokens", "n_uses")
+    quota = sainte_lague(int(goal // block_tokens), [want[s][0] for s in names], [supply[s] * want[s][1] // block_tokens for s in names])
+    of = lambda values: F.try_element_at(F.create_map(*[F.lit(x) for s, v in zip(names, values) for x in (s, v)]) if names else F.create_map().cast("map<string,bigint>"), "source").cast("bigint")
+
+    shards = of([max(1, math.ceil(supply[s] / shard_tokens)) for s in names])
+    fine = known.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), shards))
+    held = fine.groupBy("source", "_shard").agg(F.sum("n_tokens").alias("_tokens"))
+    upto = F.sum("_tokens").over(Window.partitionBy("source").orderBy("_shard"))  # one row per shard
+    seats = lambda tokens: F.floor((2 * of(quota) * tokens + of([supply[s] for s in names])) / (2 * of([supply[s] for s in names])))
+    plan = held.withColumn("_upto", upto).withColumn("_quota", (seats(F.col("_upto")) - seats(F.col("_upto") - F.col("_tokens"))) * block_tokens)
+    plan = plan.select("source", "_shard", F.floor(F.col("_quota") / F.col("_tokens")).alias("_full"), (F.col("_quota") % F.col("_tokens")).alias("_rest"))
+    d = fine.withColumns({"_hash": F.xxhash64("doc_id", F.lit(seed)), "_most": of([want[s][1] for s in names])}).join(plan, ["source", "_shard"])
+    kinds = ", ".join(f"{c} {records.schema[c].dataType.simpleString()}" for c in ("doc_id", "source", "n_tokens"))
+    return d.groupBy("source", "_shard").applyInPandas(_fill, f"{kinds}, n_uses int")
+
+
+def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The records of one shard that its quota takes, and how often."""
+    pdf = pdf.sort_values(["_hash", "doc_id"])
+    n, full, most = pdf["n_tokens"].to_numpy(), int(pdf["_full"].iloc[0]), int(pdf["_most"].iloc[0])
+    gap, taken = int(pdf["_rest"].iloc[0]), np.zeros(len(n), bool)
+    while (fits := ~taken & (n <= gap)).any():  # each round takes one record at least
+        now = fits & (np.cumsum(np.where(fits, n, 0)) <= gap)
+        taken |= now
+        gap -= int(n[now].sum())
+    off = np.where(taken, gap, np.abs(n - gap))
+    if gap and off.min() < gap:
+        taken[off.argmin()] = True
+    uses = min(full, most) + (taken if full < most else 0)
+    return pdf.assign(n_uses=np.broadcast_to(uses, len(n)).astype(np.int32))[["doc_id", "source", "n_tokens", "n_uses"]].query("n_uses > 0")
 
 
 def mix_report(chosen: DataFrame, targets: DataFrame) -> DataFrame:
