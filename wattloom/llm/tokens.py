@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ def encoding(ranks: str):
 
 
 def _count(ranks: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encode = encoding(ranks).encode_ordinary
+    encode = encoding(SparkFiles.get(ranks)).encode_ordinary
     for b in batches:
         n = [0 if t is None else len(encode(t)) for t in b.column(0).to_pylist()]
         names = ["n_tokens", *b.schema.names[1:]]
@@ -36,7 +38,8 @@ def _count(ranks: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def token_counts(df: DataFrame, text: str, keep: list[Column], ranks: str = RANKS) -> DataFrame:
-    """``keep`` and n_tokens of whole texts (null and empty: 0); the text itself goes no further."""
+    """``keep`` and n_tokens of whole texts (null and empty: 0); the text itself goes no further. The file at ``ranks`` is sent to the executors."""
+    df.sparkSession.sparkContext.addFile(ranks)
     d = spread(df.select(F.col(text).alias("_text"), *keep))
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[1:])
-    return d.mapInArrow(partial(_count, ranks), f"n_tokens int, {rest}")
+    return d.mapInArrow(partial(_count, os.path.basename(ranks)), f"n_tokens int, {rest}")
