@@ -13,7 +13,6 @@ from wattloom.functions import cards as K
 from wattloom.functions import numbers as N
 from wattloom.functions import records as R
 from wattloom.functions import vectors as V
-from wattloom.operators import dispatch as D
 from wattloom.operators import joins as J
 from wattloom.operators import series as S
 from wattloom.operators import stats as A
@@ -130,29 +129,96 @@ def test_stats(spark):
     assert (w.d_C1, w.d_C2) == (-2.0, None)
 
 
-def test_dispatch(spark):
-    d = spark.createDataFrame([(157.5,), (315.0,), (472.5,), (10.0,), (None,), (5000.0,)], "t double")
-    got = [r.d for r in D.dispatch_rows(d, "t").collect()]
-    assert [(round(x.cost, 6), round(x.g1, 6), round(x.g2, 6), round(x.g3, 6)) for x in got[:3]] == [(1875.0, 10.0, 137.5, 10.0), (3900.0, 55.0, 250.0, 10.0), (7050.0, 212.5, 250.0, 10.0)]
-    assert (round(got[0].profit_g1, 6), round(got[1].profit_g1, 6)) == (-100.0, 0.0)
-    assert all(x.cost is None for x in got[3:])
+@pytest.mark.parametrize(
+    "text,flags",
+    [
+        ("temperature is high\ntemperature is high\ntemperature is high", (False, True, True)), ("a\nb\na\nb\na", (False, False, False)), ("x y z x y z x y z end", (False, False, True)), ("x y z x y z x y end", (False, False, False)),
+        ("0123456789012345678901234" * 3, (True, False, False)), ("the unit at Sedby stays on   " * 3 + "x", (True, False, True)), ("the unit at Sedby stays on   " * 3, (False, False, True)), ("0123456789012345678901234" * 2, (False, False, False)), ("ab" * 40, (True, False, False)), ("z" * 71, (False, False, False)), ("z" * 72, (True, False, False)),
+        ("".join(map(str, range(150))) * 3, (True, False, False)), ("q" + "".join(map(str, range(900))) * 3 + "q", (True, False, False)), ('["' + "ab" * 40 + '"]', (False, False, False)), ("", (False, False, False)),
+    ],
+)
+def test_repetition(spark, text, flags):
+    r = one(spark, r=R.repetition(F.lit(text)))[0]
+    assert (r.chunk, r.line, r.ngram) == flags and r.any == any(flags)
+
+
+def test_repeated_stretch_like_brute_force():
+    import random
 
+    rnd = random.Random(3)
+    for _ in range(300):
+        t = "".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 9))) * rnd.randrange(1, 7) + rnd.choice(["", "c"])
+        t = t + "".join(rnd.choice("ab") for _ in range(rnd.randrange(6))) + t[: rnd.randrange(len(t) + 1)]
+        want = any(t[i : i + p] == t[i + p : i + 2 * p] == t[i + 2 * p : i + 3 * p] for p in range(4, len(t) // 3 + 1) for i in range(len(t) - 3 * p + 1))
+        assert R.repeated_stretch(t, 4) == want, t
 
-def test_dispatch_is_optimal():
-    rng = np.random.default_rng(1)
-    net = D.network()
-    for _ in range(60):
-        load = rng.uniform(0.3, 1.4) * np.array([90.0, 100.0, 125.0]) * rng.uniform(0.8, 1.2, 3)
-        bid = rng.uniform(1, 1.5, 2)
-        out = D.dispatch.func(*[__import__("pandas").Series([x]) for x in (*load, *bid)]).iloc[0]
-        price = np.array([20 * bid[0], 10, 30 * bid[1]])
-        p = np.array([out.g1, out.g2, out.g3])
-        assert abs(p.sum() - load.sum()) < 1e-6 and (net.on_gen @ p <= net.bound - net.on_load @ load + 1e-6).all()
-        for _ in range(200):  # no feasible point nearby is cheaper
-            step = rng.normal(0, 5, 3)
-            y = p + step - step.mean()
-            if (net.on_gen @ y <= net.bound - net.on_load @ load).all():
-                assert y @ price >= out.cost - 1e-6
+
+@pytest.mark.parametrize(
+    "text,want",
+    [("{}", (0, 0, 0, False, True)), ("}{", (1, 0, 1, False, False)), ("[{]}", (0, 1, 1, False, False)), ('{"a]": "\\"}"}', (0, 0, 0, False, True)), ('{"a', (1, 0, 0, True, False)), ("[[{", (1, 2, 0, False, False)), ("", (0, 0, 0, False, True)), ("[" * 3000 + "]" * 3000, (0, 0, 0, False, True))],
+)
+def test_brackets(spark, text, want):
+    assert tuple(one(spark, b=R.brackets(F.lit(text)))[0]) == want
+
+
+def test_json_names(spark):
+    d = spark.createDataFrame([('{"a": {"reward_x": [ {"c d": 1} ]}, "b": null}',), ("no json",), (None,), ("[1, 2]",)], "t string")
+    got = [(sorted(r[0]), r[1], sorted(r[2])) for r in d.select(R.json_names(F.col("t")), R.forbidden_names(F.col("t"), ["REWARD", "zz"]), R.unexpected_names(F.col("t"), ["a", "b"])).collect()]
+    assert got[0] == (["a", "b", "c d", "reward_x"], ["reward_x"], ["c d", "reward_x"]) and got[1:] == [([], [], [])] * 3
+
+
+def test_quantiles_over_many_ranges(spark):
+    rng = np.random.default_rng(5)
+    rows = [("hot", float(x)) for x in rng.normal(size=400).round(1)] + [("b", 1.0), (None, 2.0), (None, 4.0), ("c", None)]
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = {r.k: r for r in A.quantiles(spark.createDataFrame(rows, "k string, x double"), ["k"], F.col("x"), [0.0, 0.1, 0.5, 0.999, 1.0]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    hot = [x for k, x in rows if k == "hot"]
+    assert got["hot"].quantiles == pytest.approx(np.quantile(hot, [0.0, 0.1, 0.5, 0.999, 1.0])) and got["hot"].n == 400
+    assert got["b"].quantiles == [1.0] * 5 and got[None].quantiles[2] == 3.0 and set(got) == {"hot", "b", None}
+    empty = A.fit_quantiles(spark.createDataFrame([], "x double"), ["x"], [0.5]).collect()
+    assert [r.quantiles for r in empty] == [[]]
+
+
+def test_previous_row_over_ranges(spark):
+    rows = [("hot", i * 7 % 101, i) for i in range(101)] + [("b", 1, 1), (None, 3, 3), (None, None, 9)]
+    d = spark.createDataFrame(rows, "k string, o int, v int")
+    got = {(r.k, r.o): r.before and r.before.v for r in S.with_previous(d, ["k"], ["o"], ["v"]).collect()}
+    want = {}
+    for k in ("hot", "b", None):
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is None, r[1] or 0))
+        want |= {(k, r[1]): (mine[i - 1][2] if i else None) for i, r in enumerate(mine)}
+    assert got == want
+
+
+def test_pairs_of_a_hot_group(spark):
+    import random
+
+    rnd = random.Random(1)
+    rows = [(rnd.choice([1, 1, 1, 2]), rnd.randrange(5), rnd.choice([None, 1, 2, 3, 9])) for _ in range(300)] + [(None, 1, 2), (None, 2, 3), (3, 1, 1)]
+    got = {r.g: (r.n_pairs, r.n_rising) for r in J.pair_gaps(spark.createDataFrame(rows, "g int, m int, v int"), "g", "m", "v").collect()}
+    for g in (1, 2, 3):
+        mine = sorted((r[1], r[2] or -1) for r in rows if r[0] == g)
+        rising = sum(y[1] > x[1] > 0 for i, x in enumerate(mine) for y in mine[i + 1 :])
+        assert got[g] == (len(mine) * (len(mine) - 1) // 2, rising)
+    assert got[None] == (1, 0)
+
+
+def test_small_measures(spark):
+    p = F.array(*map(F.lit, [0.5, 0.25, 0.25]))
+    assert one(spark, a=V.log_loss(p, F.lit(1)), b=V.log_loss(p, F.lit(None).cast("int")), c=V.percent_change(F.array(F.lit(4.0), F.lit(9.0), F.lit(5.0))), d=V.percent_change(F.array(F.lit(0.0), F.lit(5.0)))) == (pytest.approx(np.log(4)), None, 25.0, None)
+    e = {r.k: (r.n_labels, round(r.entropy, 6)) for r in A.entropy(spark.createDataFrame([("a", "x"), ("a", "y"), ("b", None), ("b", None)], "k string, l string"), ["k"], "l").collect()}
+    assert e == {"a": (2, 0.693147), "b": (1, 0.0)}
+    w = A.largest_effects(spark.createDataFrame([(1, -5.0), (1, 3.0), (2, None)], "k int, d double"), ["k"], ["d"])
+    assert {r.k: r.max_abs_d for r in w.collect()} == {1: 5.0, 2: None}
+    m = A.metric_changes(spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", None)], "m string, v double"), spark.createDataFrame([("a", 1.0), ("b", 2.1), ("c", None), ("d", 1.0)], "m string, v double"), "m", "v")
+    assert {r.m: r.same for r in m.collect()} == {"a": True, "b": False, "c": True, "d": False}
+    with pytest.raises(ValueError):
+        A.rank_by(spark.range(3), [F.col("id")], 4, whole=True)
+    d = J.lookup(spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "x")], "k int, v string"), ["k"], default={"v": "none"})
+    assert {r.k: (r.v, r.found) for r in d.collect()} == {1: ("x", True), 2: ("none", False)}
 
 
 def test_files(spark, tmp_path):
@@ -163,9 +229,17 @@ def test_files(spark, tmp_path):
     (tmp_path / "n.json").write_text(json.dumps({"HourlySystemLoads": {"HourlySystemLoad": [{"BeginDate": "2022-01-01T00:00:00Z", "Load": "5.5"}, {"BeginDate": "x", "Load": "y"}]}}))
     assert [(r[0] is None, r[1]) for r in files.read_nested_loads(spark, f"{tmp_path}/n.json").collect()] == [(False, 5.5), (True, None)]
     with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
-        z.writestr("wind_20220102.csv", "C,note\nH,Hour,2022-01-02,2022-01-03\nD,1,10,11\nD,2,,x\n")
-    got = files.read_zipped_reports(spark, f"{tmp_path}/*.zip").select("report_date", "target_date", "target_he", "value").collect()
-    assert {tuple(r) for r in got} == {("2022-01-02", "2022-01-02", 1, 10.0), ("2022-01-02", "2022-01-03", 1, 11.0), ("2022-01-02", "2022-01-02", 2, None), ("2022-01-02", "2022-01-03", 2, None)}
+        z.writestr("wind_20220102.csv", 'C,note\nH,"Wind"\n"D","Date","","01/02/2022","01/03/2022"\nD,Hour,HE\n"D","",1,10,11\nD,,24,,x\n')
+    got = files.read_zipped_reports(spark, f"{tmp_path}/r.zip").select("report_date", "target_date", "target_he", "value").collect()
+    assert {tuple(r) for r in got} == {("2022-01-02", "2022-01-02", 1, 10.0), ("2022-01-02", "2022-01-03", 1, 11.0), ("2022-01-02", "2022-01-03", 24, None)}
+    assert [r.n_numbers for r in files.count_numeric_cells(spark, f"{tmp_path}/r.zip").collect()] == [2]
+    for name, text in (("nodate", "D,,1,5\n"), ("hour", "D,Date,,01/02/2022\nD,,25,5\n")):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("wind_20220102.csv", text)
+        with pytest.raises(Exception):
+            files.read_zipped_reports(spark, f"{tmp_path}/{name}.zip").collect()
+    (tmp_path / "l.jsonl").write_text('{"x": 1, "y": "a"}\n\n{"x": 2}\n')
+    assert sorted(map(tuple, files.read_jsonl(spark, f"{tmp_path}/l.jsonl", "x int, y string").where("x IS NOT NULL").collect())) == [(1, "a"), (2, None)]
     files.write_new(spark.range(3), f"{tmp_path}/out")
     with pytest.raises(Exception):
         files.write_new(spark.range(3), f"{tmp_path}/out")
@@ -181,3 +255,28 @@ def test_streams(spark, tmp_path):
     streams.run_to_table(s, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
     got = [(r.window_start.hour, r.k, r.mean_value, r.n_values) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
     assert got == [(0, "a", 2.0, 2)]  # the window at nine is still open
+
+
+def test_newest_and_distinct_streams(spark, tmp_path):
+    t = lambda h: datetime(2022, 1, 1, h)
+    schema = "id int, k string, published timestamp, cutoff timestamp, mw double"
+    one, two = [(1, "a", t(1), t(9), 1.0), (2, "a", t(3), t(9), 3.0), (3, "b", t(2), t(1), 9.0), (2, "a", t(3), t(9), 3.0)], [(4, "a", t(2), t(9), 2.0), (5, "b", t(1), t(1), 5.0), (6, "a", t(10), t(9), 10.0)]
+    run = lambda: streams.run_newest(streams.read_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema), f"{tmp_path}/out", f"{tmp_path}/cp", "published", "cutoff", ["k"], "id").awaitTermination(120)
+    spark.createDataFrame(one, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    run()
+    assert [(r.k, r.id) for r in streams.read_newest(spark, f"{tmp_path}/out").collect()] == [("a", 2)]
+    spark.createDataFrame(two, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    assert sorted((r.k, r.id) for r in streams.read_newest(spark, f"{tmp_path}/out").collect()) == [("a", 2), ("b", 5)]
+    d = streams.distinct_stream(streams.read_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema), "published", ["id"])
+    streams.run_to_table(d, f"{tmp_path}/once", f"{tmp_path}/cp2").awaitTermination(120)
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/once").collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_written_tables(spark):
+    from wattloom.session import clear_written, cut_table
+
+    d = cut_table(spark.range(5))
+    assert d.count() == 5 and clear_written(spark) >= 1
+    with pytest.raises(Exception):
+        d.count()

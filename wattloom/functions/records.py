@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import BooleanType, StringType
 
 DECISION = "e array<double>, b array<double>, g array<double>, cf array<double>, i double, a double, p array<double>, q double"
 KEYS = ("a", "b", "cf", "e", "g", "i", "p", "q")
@@ -52,29 +53,31 @@ def first_object(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf(IntegerType())
-def repeated_root_keys(text: pd.Series) -> pd.Series:
+def repeated_root_keys(text: Column) -> Column:
     """How many keys of the root object are repeats; null for anything but an object."""
-
-    def one(t: str | None) -> int | None:
-        try:
-            pairs = None if t is None else json.loads(t, object_pairs_hook=lambda p: p)
-        except ValueError:
-            return None
-        if not isinstance(pairs, list) or not all(isinstance(p, tuple) for p in pairs):
-            return None
-        return len(pairs) - len({k for k, _ in pairs})
-
-    return text.map(one).astype("Int32")
+    keys = F.when(is_json(text), F.json_object_keys(text))
+    return F.size(keys) - F.size(F.array_distinct(keys))
 
 
 def brackets(text: Column) -> Column:
-    """struct(open, close, quotes, balanced): a structural scan outside of strings."""
-    bare = F.regexp_replace(F.regexp_replace(text, r'\\.', ""), r'"[^"]*"', "")
-    count = lambda chars: F.length(F.regexp_replace(bare, rf"[^{chars}]", ""))
-    opened, closed = count(r"\[{"), count(r"\]}")
-    quotes = F.length(F.regexp_replace(F.regexp_replace(text, r"\\.", ""), r'[^"]', ""))
-    return F.struct(opened.alias("opened"), closed.alias("closed"), quotes.alias("quotes"), ((opened == closed) & (quotes % 2 == 0)).alias("balanced"))
+    """struct(open_braces, open_brackets, unmatched_close, unclosed_string, balanced): brackets outside of strings, matched last opened first closed."""
+    bare = F.regexp_replace(text, r'(?s)"(?:[^"\\]++|\\.)*+"', "")
+    unclosed = bare.contains('"')
+    only = F.regexp_replace(F.regexp_replace(bare, r'(?s)".*$', ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("bad"))
+
+    def step(s: Column, c: Column) -> Column:
+        top = F.right(s["open"], F.lit(1))
+        fits = ((top == "{") & (c == "}")) | ((top == "[") & (c == "]"))
+        opened = F.struct(F.concat(s["open"], c).alias("open"), s["bad"].alias("bad"))
+        closed = F.struct(F.left(s["open"], F.length(s["open"]) - 1).alias("open"), s["bad"].alias("bad"))
+        return F.when(c.isin("{", "["), opened).when(fits, closed).otherwise(F.struct(s["open"].alias("open"), (s["bad"] + 1).alias("bad")))
+
+    end = F.aggregate(F.filter(F.split(only, ""), lambda c: c != ""), start, step)
+    left = lambda c: F.length(F.regexp_replace(end["open"], rf"[^{c}]", ""))
+    return F.struct(
+        left("{").alias("open_braces"), left(r"\[").alias("open_brackets"), end["bad"].alias("unmatched_close"), unclosed.alias("unclosed_string"), ((end["open"] == "") & (end["bad"] == 0) & ~unclosed).alias("balanced")
+    )
 
 
 def is_json(text: Column) -> Column:
@@ -82,11 +85,61 @@ def is_json(text: Column) -> Column:
     return F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
 
 
-def repeats(text: Column) -> Column:
-    """The text repeats itself: a stretch of 24 characters or more three times in a row, or three equal lines; valid JSON doesn't count."""
+def _in_a_row(a: Column, step: int, n: int) -> Column:
+    """``n`` elements in a row equal the ones ``step`` further on."""
+    m = F.size(a) - step
+    same = F.zip_with(F.slice(a, F.lit(1), F.greatest(m, F.lit(0))), F.slice(a, F.lit(step + 1), F.greatest(m, F.lit(0))), lambda x, y: F.when(x == y, "1").otherwise("0"))
+    return (m >= n) & F.array_join(same, "").contains("1" * n)
+
+
+@F.pandas_udf(BooleanType())
+def _repeated_chunk(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t is not None and repeated_stretch(t))
+
+
+def repeated_stretch(text: str, least: int = 24) -> bool:
+    """A stretch of at least ``least`` characters comes three times in a row; white space counts as one blank.
+
+    Such a run has a position that is a multiple of ``least`` in its first stretch, whose next ``least`` characters come
+    again one stretch later: only the distances of such repeats are tried, each by how far the text agrees with itself.
+    """
+    text = " ".join(text.split())
+    at: dict[str, list[int]] = {}
+    for i in range(0, len(text) - 2 * least + 1, least):
+        at.setdefault(text[i : i + least], []).append(i)
+    seen: set[tuple[int, int]] = set()  # (distance, end of the agreement) already tried
+    for j in range(least, len(text) - least + 1):
+        for i in at.get(text[j : j + least], ()):
+            d = j - i
+            if d < least or (d, i) in seen:
+                continue
+            low, high = i, j + least
+            while low > 0 and text[low - 1] == text[low - 1 + d]:
+                low -= 1
+            while high < len(text) and text[high] == text[high - d]:
+                high += 1
+            if high - low >= 3 * d:
+                return True
+            seen.update((d, k) for k in range(i, high - d - least + 1, least))
+    return False
+
+
+def repetition(text: Column) -> Column:
+    """struct(chunk, line, ngram, any): 24 characters or more three times in a row, three equal lines in a row, or three to eight words three times in a row; valid JSON objects and lists don't count."""
     lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
-    triple = F.exists(lines, lambda x: F.size(F.filter(lines, lambda y: y == x)) >= 3)
-    return ~is_json(text) & (text.rlike(r"(?s)(.{24,400}?)(?:\1){2,}") | triple)
+    words = F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    json_text = is_json(text) & F.trim(text).rlike(r"^[\[{]")
+    line, ngram = _in_a_row(lines, 1, 2), F.lit(False)
+    for n in range(3, 9):
+        ngram = ngram | _in_a_row(words, n, 2 * n)
+    flags = {"chunk": _repeated_chunk(text), "line": line, "ngram": ngram}
+    flags["any"] = flags["chunk"] | flags["line"] | flags["ngram"]
+    return F.struct(*[(~json_text & c).alias(k) for k, c in flags.items()])
+
+
+def repeats(text: Column) -> Column:
+    """The text repeats itself, in any of the ways of ``repetition``."""
+    return repetition(text)["any"]
 
 
 def undecorated(text: Column) -> Column:
@@ -131,3 +184,19 @@ def leaf_paths(schema, prefix: str = "") -> list[str]:
         name = f"{prefix}{f.name}"
         out += leaf_paths(f.dataType, f"{name}.") if hasattr(f.dataType, "fields") else [name]
     return out
+
+
+def json_names(text: Column) -> Column:
+    """All key names of a JSON text, at any depth, each once; empty for what is no JSON."""
+    schema = F.schema_of_variant(F.try_parse_json(text))
+    return F.array_distinct(F.coalesce(F.regexp_extract_all(schema, F.lit(r"[<,]\s*`?([^<>,`:]+?)`?: "), F.lit(1)), F.array().cast("array<string>")))
+
+
+def forbidden_names(text: Column, tokens: list[str]) -> Column:
+    """Key names of a JSON text, at any depth, that contain one of the tokens; values aren't looked at."""
+    return F.filter(json_names(text), lambda n: F.lower(n).rlike("|".join(re.escape(t.lower()) for t in tokens)))
+
+
+def unexpected_names(text: Column, allowed: list[str]) -> Column:
+    """Key names of a JSON text that a registry doesn't list."""
+    return F.array_except(json_names(text), F.array(*map(F.lit, allowed)))

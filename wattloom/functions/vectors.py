@@ -90,6 +90,18 @@ def brier(p: Column, hit: Column) -> Column:
     return total(F.transform(p, lambda x, i: F.pow(x - F.when(i == hit, 1.0).otherwise(0.0), F.lit(2.0))))
 
 
+def log_loss(p: Column, hit: Column, least: float = 1e-12) -> Column:
+    """Negative log of the probability of the 0-based class ``hit``, at least ``least``; null where there is no such class."""
+    x = F.try_element_at(p, hit.cast("int") + 1)
+    return F.when(x.isNotNull(), -F.ln(F.greatest(x, F.lit(least))))
+
+
+def percent_change(a: Column) -> Column:
+    """Change from the first to the last element in percent of the first; null where that is 0."""
+    first = F.try_element_at(a, F.lit(1))
+    return F.when(first != 0, (F.try_element_at(a, F.lit(-1)) - first) / first * 100)
+
+
 def chance_all_vary(p: Column, draws: int) -> Column:
     """Probability that ``draws`` independent draws aren't all alike."""
     return 1 - total(F.transform(p, lambda x: F.pow(x, F.lit(float(draws)))))

@@ -42,9 +42,10 @@ def strict_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return left.join(right, keys)
 
 
-def lookup(facts: DataFrame, table: DataFrame, keys: list[str], found: str = "found") -> DataFrame:
-    """Left many-to-one join with a flag of the facts that found their row; the table's keys must be unique."""
-    return facts.join(table.withColumn(found, F.lit(True)), keys, "left").withColumn(found, F.coalesce(F.col(found), F.lit(False)))
+def lookup(facts: DataFrame, table: DataFrame, keys: list[str], found: str = "found", default: dict | None = None) -> DataFrame:
+    """Left many-to-one join with a flag of the facts that found their row, and ``default`` values where they didn't; the table's keys must be unique."""
+    d = facts.join(table.withColumn(found, F.lit(True)), keys, "left").withColumn(found, F.coalesce(F.col(found), F.lit(False)))
+    return d.withColumns({c: F.when(F.col(found), F.col(c)).otherwise(F.lit(v)) for c, v in (default or {}).items()})
 
 
 def tail_as_of(asked: DataFrame, asked_key: str, entity: str, cutoff: str, series: DataFrame, time: str, value: str, n: int, inclusive: bool = True) -> DataFrame:
@@ -83,11 +84,18 @@ def missing_from(expected: DataFrame, present: DataFrame, cols: list[str]) -> Da
 
 
 def pair_gaps(rows: DataFrame, group: str, member: str, value: str) -> DataFrame:
-    """Per group the number of ordered member pairs (first before second) and of pairs in which the value rises; groups are small by nature (a prompt's few candidates)."""
-    a = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(member, value))).alias("_a"))
-    later = lambda x, i: F.slice("_a", i + 2, F.size("_a"))
-    pairs = F.flatten(F.transform("_a", lambda x, i: F.transform(later(x, i), lambda y: y[value] > x[value])))
-    return a.select(group, F.size(pairs).alias("n_pairs"), F.size(F.filter(pairs, lambda z: z)).alias("n_rising"))
+    """Per group the number of ordered member pairs (by member, then value) and of those in which the value rises.
+
+    Rows are counted by (group, member, value) first; a running count per group and member then replaces the pairs, so
+    a group of any size is as cheap as its distinct values. Null members and values rise nowhere.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_c")).select(F.col(group).alias("_g"), F.floor(F.col("_c") * (F.col("_c") - 1) / 2).alias("n_pairs"))
+    n = rows.dropna(subset=[group, member, value]).groupBy(group, member, value).agg(F.count("*").alias("_n"))
+    last = n.select(F.col(group).alias("_h"), F.col(member).alias("_last")).distinct()
+    d = n.join(last, (F.col(group) == F.col("_h")) & (F.col(member) <= F.col("_last"))).groupBy(group, "_last", value).agg(F.sum("_n").alias("_any"), F.sum(F.when(F.col(member) == F.col("_last"), F.col("_n"))).alias("_own"))
+    below = F.sum("_any").over(Window.partitionBy(group, "_last").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    rising = d.withColumn("_below", below).groupBy(group).agg(F.sum(F.col("_own") * F.col("_below")).alias("n_rising"))
+    return sizes.join(rising, F.col("_g") == F.col(group), "left").select(F.col("_g").alias(group), "n_pairs", F.coalesce("n_rising", F.lit(0)).alias("n_rising"))
 
 
 def first_known(rows: DataFrame, key: str, order: str, cols: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattloom.session import cut_table
+
 
 def resample(rows: DataFrame, keys: list[str], time: str, value: str, unit: str = "hour") -> DataFrame:
     """Mean and count per key and time unit; combined before the shuffle."""
@@ -41,10 +43,28 @@ def interpolate_inside(rows: DataFrame, keys: list[str], time: str, value: str)
     return d.withColumn("imputed", F.col(value).isNull() & filled.isNotNull()).withColumn(value, filled).drop("_a", "_b")
 
 
+def with_previous(rows: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:
+    """The rows with ``before``, a struct of ``cols`` of the row before in (order) of the same key, null for the first; nulls of ``order`` come last, ``order`` is total.
+
+    Rows are range-partitioned by key and order; each range carries the last row of the range before, so a key with any
+    share of all rows is spread.
+    """
+    last_null = [F.asc_nulls_last(c) for c in order]
+    d = cut_table(rows.repartitionByRange(*keys, *last_null).withColumn("_p", F.spark_partition_id()))
+    place = F.struct(*[x.alias(f"o{i}") for i, x in enumerate(y for c in order for y in (F.col(c).isNull(), F.col(c)))])
+    ends = d.groupBy(*keys, "_p").agg(F.max_by(F.struct(*cols), place).alias("_end"))
+    ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_p").alias("_q"), F.lag("_end").over(Window.partitionBy(*keys).orderBy("_p")).alias("_carried"))  # one row per range and key
+    on = F.col("_p") == F.col("_q")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    w = Window.partitionBy(*keys, "_p").orderBy(*last_null)
+    d = d.join(ends, on).withColumn("before", F.coalesce(F.lag(F.struct(*cols)).over(w), F.col("_carried")))
+    return d.select(*rows.columns, "before")
+
+
 def rising_times(rows: DataFrame, keys: list[str], order: str, time: str) -> DataFrame:
     """Per key: rows, whether times rise strictly in the given order, and whether they are unique."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    d = rows.withColumn("_up", F.col(time) > F.lag(time).over(w))
+    d = with_previous(rows.select(*keys, order, time), keys, [order], [time]).withColumn("_up", F.col(time) > F.col(f"before.{time}"))
     return d.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.every(F.coalesce("_up", F.lit(True))).alias("rising"), (F.countDistinct(time) == F.count(time)).alias("unique_times"))
 
 

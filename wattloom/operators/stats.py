@@ -8,19 +8,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.functions.numbers import is_finite
+from wattloom.session import cut_table
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: Column, at: list[float]) -> DataFrame:
+    """(keys, quantiles, n, low, high): exact, linearly interpolated quantiles of the values that aren't null, per key.
+
+    Counts of equal values are range-partitioned by key and value; running counts inside the ranges plus those of the
+    ranges before pick the ranks. So no key's values meet in one buffer, however many there are.
+    """
+    v = rows.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    d = cut_table(v.repartitionByRange(*keys, "_v").withColumn("_p", F.spark_partition_id()))
+    part = d.groupBy(*keys, "_p").agg(F.sum("_n").alias("_m"))
+    w = Window.partitionBy(*keys)  # one row per range and key
+    part = part.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_p").alias("_q"), (F.sum("_m").over(w.orderBy("_p")) - F.col("_m")).alias("_before"), F.sum("_m").over(w).alias("_all"))
+    on = F.col("_p") == F.col("_q")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    d = d.join(part, on).withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_p").orderBy("_v")))
+    holds = lambda rank: (rank >= F.col("_upto") - F.col("_n")) & (rank < F.col("_upto"))
+    ends = []
+    for x in at:
+        rank = F.lit(x) * (F.col("_all") - 1)
+        ends += [F.max(F.when(holds(F.floor(rank)), F.col("_v"))), F.max(F.when(holds(F.ceil(rank)), F.col("_v"))), F.max(rank - F.floor(rank))]
+    d = d.groupBy(*keys).agg(F.max("_all").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"), *[e.alias(f"_e{i}") for i, e in enumerate(ends)])
+    e = lambda i: F.col(f"_e{i}")
+    return d.select(*keys, F.array(*[e(3 * i) + (e(3 * i + 1) - e(3 * i)) * e(3 * i + 2) for i in range(len(at))]).alias("quantiles"), "n", "low", "high")
 
 
 def fit_quantiles(rows: DataFrame, cols: list[str], at: list[float], where: Column | None = None) -> DataFrame:
-    """(column_name, quantiles): exact, linearly interpolated quantiles of the finite values, fitted on ``where`` only."""
+    """(column_name, quantiles): exact quantiles of the finite values of each column, fitted on ``where`` only; empty where a column has none."""
     d = rows if where is None else rows.where(where)
-    aggs = [F.percentile(F.when(is_finite(F.col(c)), F.col(c)), F.array(*[F.lit(x) for x in at])).alias(c) for c in cols]
-    return d.agg(*aggs).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, cols)), F.array(*[F.coalesce(F.col(c), F.array().cast("array<double>")) for c in cols]))).alias("column_name", "quantiles"))
+    long = d.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.when(is_finite(F.col(c)), F.col(c).cast("double")).alias("_x")) for c in cols])).alias("s")).select("s.*")
+    names = rows.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+    got = quantiles(long, ["column_name"], F.col("_x"), at).select("column_name", "quantiles")
+    return names.join(got, "column_name", "left").select("column_name", F.coalesce("quantiles", F.array().cast("array<double>")).alias("quantiles"))
 
 
 def six_numbers(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """min, mean, median, p10, p90, max of the finite values."""
     v = F.when(is_finite(F.col(value)), F.col(value))
-    return rows.groupBy(*keys).agg(F.min(v).alias("low"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.1).alias("p10"), F.percentile(v, 0.9).alias("p90"), F.max(v).alias("high"))
+    means = rows.groupBy(*keys).agg(F.avg(v).alias("mean")).select(*[F.col(k).alias(f"_m{i}") for i, k in enumerate(keys)], "mean")
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(f"_m{i}").eqNullSafe(F.col(k))
+    d = means.join(quantiles(rows, keys, v, [0.5, 0.1, 0.9]), on, "left")
+    q = lambda i, name: F.try_element_at("quantiles", F.lit(i)).alias(name)
+    return d.select(*[F.col(f"_m{i}").alias(k) for i, k in enumerate(keys)], "low", "mean", q(1, "median"), q(2, "p10"), q(3, "p90"), "high")
 
 
 def null_rates(rows: DataFrame, cols: list[str]) -> DataFrame:
@@ -47,6 +81,12 @@ def feature_ladder(rows: DataFrame, levels: dict[str, list[str]], label: str) ->
     return reduce(DataFrame.unionByName, [conditional_entropy(rows, cols, label).select(F.lit(n).alias("level"), "*") for n, cols in levels.items()])
 
 
+def entropy(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """(keys, n_labels, entropy): H(label) in nats per key; a null label counts as a label."""
+    n = rows.groupBy(*keys, label).agg(F.count("*").alias("_n"))
+    return n.groupBy(*keys).agg(F.count("*").alias("n_labels"), (F.ln(F.sum("_n")) - F.sum(F.col("_n") * F.ln("_n")) / F.sum("_n")).alias("entropy"))
+
+
 def group_advantage(rows: DataFrame, group: str, value: str, eps: float = 1e-8) -> DataFrame:
     """Adds ``advantage``: the value's distance from its group's mean in population standard deviations, 0 where all tie."""
     w = Window.partitionBy(group)
@@ -73,9 +113,12 @@ def checks(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return d.withColumn("status", F.when(F.col("n_failed") == 0, "PASS").otherwise("FAIL"))
 
 
-def rank_by(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
-    """The first ``n`` rows in a total order."""
-    return rows.orderBy(*order).limit(n)
+def rank_by(rows: DataFrame, order: list[Column], n: int, whole: bool = False) -> DataFrame:
+    """The first ``n`` rows in a total order; with ``whole`` fewer than ``n`` are an error."""
+    d = rows.orderBy(*order).limit(n)
+    if whole and (got := d.count()) < n:
+        raise ValueError(f"{got} rows instead of {n}")
+    return d
 
 
 def pivot_deltas(rows: DataFrame, keys: list[str], case: str, cases: list[str], value: str) -> DataFrame:
@@ -84,6 +127,11 @@ def pivot_deltas(rows: DataFrame, keys: list[str], case: str, cases: list[str],
     return wide.select(*keys, *[F.col(c).alias(f"v_{c}") for c in cases], *[(F.col(c) - F.col(cases[0])).alias(f"d_{c}") for c in cases[1:]])
 
 
+def largest_effects(deltas: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """(keys, largest absolute value of each column)."""
+    return deltas.groupBy(*keys).agg(*[F.max(F.abs(F.col(c))).alias(f"max_abs_{c}") for c in cols])
+
+
 def table_hash(rows: DataFrame) -> DataFrame:
     """One row (n_rows, digest) that doesn't depend on the order of rows or of columns; equal tables have equal digests."""
     cols = sorted(rows.columns)

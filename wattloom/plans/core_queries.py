@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.functions import cards as K
@@ -13,10 +14,11 @@ from wattloom.functions import numbers as N
 from wattloom.functions import records as R
 from wattloom.functions import vectors as V
 from wattloom.functions.times import decision_cutoff, hour_ending, local_date_text
-from wattloom.operators import dispatch as D
 from wattloom.operators import joins as J
 from wattloom.operators import series as S
 from wattloom.operators import stats as A
+from wattloom.session import ensure_checkpoint_dir
+from wattloom.sources import files
 from wattloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,8 +53,8 @@ def hourly_resample(spark, sf):
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """Every state's load, scaled to the network and dispatched at least cost."""
-    return dispatch_of_states(spark, sf)
+    """Per area, date, hour and region the newest forecast known by the decision."""
+    return newest_vintages(spark, sf)
 
 
 @query("SELECT state_row_id, region, target_he, current_load_mw FROM public_energy_state WHERE split = 'TRAIN' AND target_hour_utc >= TIMESTAMP '2022-11-03 00:00:00' AND target_hour_utc < TIMESTAMP '2022-11-09 00:00:00' AND region IN ('MAINE', 'VERMONT', 'SEMASS')")
@@ -116,7 +118,7 @@ def clipped_scale(spark, sf):
 
 def _scaled(spark, sf):
     d = table(spark, sf, "public_energy_state").where(N.is_finite(F.col("current_load_mw")))
-    fit = d.where("split = 'TRAIN'").agg(F.median("current_load_mw").alias("_m"))  # one row
+    fit = A.fit_quantiles(d, ["current_load_mw"], [0.5], F.col("split") == "TRAIN").select(F.try_element_at("quantiles", F.lit(1)).alias("_m"))  # one row
     raw = F.col("current_load_mw") / F.col("_m")
     return d.join(F.broadcast(fit)).withColumn("raw", raw).withColumn("alpha", N.clip(F.col("raw"), 0.5, 1.5)).drop("_m")
 
@@ -133,9 +135,9 @@ def step_labels(spark, sf):
  FROM (SELECT generator_id, dispatch_mw - lag(dispatch_mw) OVER (PARTITION BY generator_id ORDER BY observation_timestamp, record_id) x FROM own_generator)) GROUP BY 1, 2""")
 def trends(spark, sf):
     """Change to the record before, as a label with a dead band."""
-    w = Window.partitionBy("generator_id").orderBy(F.asc_nulls_last("observation_timestamp"), "record_id")
-    x = F.col("dispatch_mw") - F.lag("dispatch_mw").over(w)
-    return table(spark, sf, "own_generator").select("generator_id", N.trend_label(x).alias("trend")).groupBy("generator_id", "trend").agg(F.count("*").alias("n_rows"))
+    d = table(spark, sf, "own_generator").select("generator_id", "observation_timestamp", "record_id", "dispatch_mw")
+    x = F.col("dispatch_mw") - F.col("before.dispatch_mw")
+    return S.with_previous(d, ["generator_id"], ["observation_timestamp", "record_id"], ["dispatch_mw"]).select("generator_id", N.trend_label(x).alias("trend")).groupBy("generator_id", "trend").agg(F.count("*").alias("n_rows"))
 
 
 TERMS = ["deterministic interpretation", "payoff", "network stress", "reward", "future"]
@@ -180,7 +182,8 @@ def decision_errors(spark, sf):
 def answer_forms(spark, sf):
     """Structure of each answer's text: JSON or not, balanced, repeated, decorated."""
     x = F.col("raw_output")
-    d = table(spark, sf, "t45_k4_free_candidates").select(R.is_json(x).alias("whole_json"), R.brackets(x)["balanced"].alias("balanced"), R.repeats(x).alias("repeats"), (R.undecorated(x) != x).alias("decorated"), R.repeated_root_keys(R.first_object(x)).alias("repeated_keys"))
+    d = table(spark, sf, "t45_k4_free_candidates").select(R.is_json(x).alias("whole_json"), R.brackets(x)["balanced"].alias("balanced"), R.repetition(x).alias("_r"), (R.undecorated(x) != x).alias("decorated"), R.repeated_root_keys(R.first_object(x)).alias("repeated_keys"))
+    d = d.select("whole_json", "balanced", F.col("_r.chunk").alias("repeated_chunk"), F.col("_r.line").alias("repeated_line"), F.col("_r.ngram").alias("repeated_words"), "decorated", "repeated_keys")
     return d.groupBy(*d.columns).agg(F.count("*").alias("n_rows"))
 
 
@@ -191,17 +194,27 @@ def canonical_targets(spark, sf):
     return d.groupBy("target_hash").agg(F.count("*").alias("n_rows"), F.countDistinct("target_json").alias("n_spellings"))
 
 
-@query("""SELECT state_row_id, 'STATE' || chr(10) || 'load:' || chr(10) || '  current load mw: ' || current_load_mw::VARCHAR || chr(10) || '  peak load mw: ' || peak_load_mw::VARCHAR || chr(10) || 'place:' || chr(10) || '  region: ' || region || chr(10) || '  hour: ' || target_he::VARCHAR AS card
- FROM public_energy_state WHERE current_load_mw IS NOT NULL AND peak_load_mw IS NOT NULL AND region IS NOT NULL AND target_he IS NOT NULL""")
+_LINES = lambda *parts: f"array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL), chr(10))"
+
+
+@query("SELECT state_row_id, " + _LINES("'STATE'", f"'load:' || chr(10) || nullif({_LINES("'  current load mw: ' || current_load_mw::VARCHAR", "'  peak load mw: ' || peak_load_mw::VARCHAR")}, '')", f"'place:' || chr(10) || nullif({_LINES("'  region: ' || region", "'  hour: ' || target_he::VARCHAR")}, '')") + " AS card FROM public_energy_state")
 def card_texts(spark, sf):
-    """Nested state cards as text."""
+    """Nested state cards as text; what is absent is left out."""
     c = F.col
-    d = table(spark, sf, "public_energy_state").where("current_load_mw IS NOT NULL AND peak_load_mw IS NOT NULL AND region IS NOT NULL AND target_he IS NOT NULL")
+    d = table(spark, sf, "public_energy_state")
     text = K.card_text({"load": {"current_load_mw": c("current_load_mw"), "peak_load_mw": c("peak_load_mw")}, "place": {"region": c("region"), "hour": c("target_he")}}, "STATE")
     return d.select("state_row_id", text.alias("card"))
 
 
-@query()
+_OBJECT = lambda *parts: f"'{{' || nullif(array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL), ','), '') || '}}'"
+_CARD = _OBJECT(
+    f"""'"load":' || {_OBJECT("'\"current_load_mw\":' || current_load_mw::VARCHAR", "'\"load_factor\":' || load_factor::VARCHAR", "'\"peak_load_mw\":' || peak_load_mw::VARCHAR")}""",
+    f"""'"own":' || {_OBJECT("'\"generator_id\":\"' || generator_id || '\"'")}""",
+    f"""'"target":' || {_OBJECT("'\"local_date\":\"' || target_local_date || '\"'", "'\"he\":' || target_he::VARCHAR", "'\"region\":\"' || region || '\"'")}""",
+)
+
+
+@query(f"SELECT state_row_id, card_json, sha256(card_json) AS card_hash FROM (SELECT state_row_id, {_CARD} AS card_json FROM public_energy_state)")
 def state_cards(spark, sf):
     """State cards as JSON without absent fields, with the hash of their text."""
     c = F.col
@@ -284,8 +297,7 @@ def newest_vintages(spark, sf):
  SELECT a.g AS group_index, (max(a.n) * (max(a.n) - 1)) // 2 AS n_pairs, coalesce(max(p.r), 0) AS n_rising FROM (SELECT g, count(*) n FROM c GROUP BY 1) a LEFT JOIN (SELECT x.g, count(*) r FROM c x JOIN c y ON x.g = y.g AND x.i < y.i AND y.v > x.v GROUP BY 1) p ON a.g = p.g GROUP BY 1""")
 def ordered_pairs(spark, sf):
     """Ordered pairs of a prompt's candidates, and those in which the answer gets longer."""
-    d = J.pair_gaps(table(spark, sf, "t45_k4_free_candidates"), "group_index", "candidate_index", "generated_tokens")
-    return d.select("group_index", F.col("n_pairs").cast("long").alias("n_pairs"), F.col("n_rising").cast("long").alias("n_rising"))
+    return J.pair_gaps(table(spark, sf, "t45_k4_free_candidates"), "group_index", "candidate_index", "generated_tokens")
 
 
 @query("SELECT prompt_hash, target_json FROM public_state_v1_sft WHERE upper(trim(split, ' ' || chr(10) || chr(9) || chr(13))) = 'TRAIN' INTERSECT SELECT prompt_hash, target_json FROM public_state_v1_sft WHERE upper(trim(split, ' ' || chr(10) || chr(9) || chr(13))) IN ('DEV', 'HOLDOUT')")
@@ -339,11 +351,11 @@ def generator_gaps(spark, sf):
 @query(f"""WITH h AS ({_HOURLY}), g AS (SELECT generator_id, unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) t FROM h GROUP BY 1), x AS (SELECT g.generator_id, g.t, h.v FROM g LEFT JOIN h ON g.generator_id = h.generator_id AND g.t = h.h),
  y AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER p ta, last_value(v IGNORE NULLS) OVER p va, first_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER q tb, first_value(v IGNORE NULLS) OVER q vb FROM x
  WINDOW p AS (PARTITION BY generator_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS (PARTITION BY generator_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
- SELECT generator_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS hour_utc, v IS NULL AND va IS NOT NULL AND vb IS NOT NULL AS imputed, round(coalesce(v, va + (vb - va) * (epoch(t) - epoch(ta)) / (epoch(tb) - epoch(ta))) + 1e-7, 3) AS dispatch_mw FROM y""")
+ SELECT generator_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS hour_utc, v IS NULL AND va IS NOT NULL AND vb IS NOT NULL AS imputed, round(coalesce(v, va + (vb - va) * (epoch(t) - epoch(ta)) / (epoch(tb) - epoch(ta)))::DECIMAL(30, 9), 3)::DOUBLE AS dispatch_mw FROM y""")
 def interpolated(spark, sf):
     """Hourly generator series with inner gaps filled on straight lines."""
     d = S.with_empty_hours(_generator_hours(spark, sf), ["generator_id"], "h")
-    return S.interpolate_inside(d, ["generator_id"], "h", "v").select("generator_id", _text("h", "hour_utc"), "imputed", F.round(F.col("v") + 1e-7, 3).alias("dispatch_mw"))
+    return S.interpolate_inside(d, ["generator_id"], "h", "v").select("generator_id", _text("h", "hour_utc"), "imputed", F.round(F.col("v").cast("decimal(30,9)"), 3).cast("double").alias("dispatch_mw"))
 
 
 @query("""SELECT generator_id, count(*) AS n_rows, bool_and(coalesce(up, true)) AS rising, count(DISTINCT observation_timestamp) = count(observation_timestamp) AS unique_times FROM (SELECT *, observation_timestamp > lag(observation_timestamp) OVER (PARTITION BY generator_id ORDER BY record_id) up FROM own_generator) GROUP BY 1""")
@@ -487,8 +499,10 @@ def usual_language(spark, sf):
 @query("SELECT split, round(quantile_cont(generated_tokens, 0.9), 6) AS p90, round(quantile_cont(generated_tokens, 0.95), 6) AS p95, round(quantile_cont(generated_tokens, 0.99), 6) AS p99, count(*) AS n_rows FROM t45_k4_free_candidates GROUP BY 1")
 def length_percentiles(spark, sf):
     """Upper percentiles of answer lengths."""
-    p = lambda q, n: F.round(F.percentile("generated_tokens", q), 6).alias(n)
-    return table(spark, sf, "t45_k4_free_candidates").groupBy("split").agg(p(0.9, "p90"), p(0.95, "p95"), p(0.99, "p99"), F.count("*").alias("n_rows"))
+    d = table(spark, sf, "t45_k4_free_candidates")
+    p = lambda i, n: F.round(F.try_element_at("quantiles", F.lit(i)), 6).alias(n)
+    q = A.quantiles(d, ["split"], F.col("generated_tokens"), [0.9, 0.95, 0.99]).select(F.col("split").alias("_s"), p(1, "p90"), p(2, "p95"), p(3, "p99"))
+    return d.groupBy("split").agg(F.count("*").alias("n_rows")).join(q, F.col("split").eqNullSafe(F.col("_s")), "left").drop("_s")
 
 
 @query("""SELECT sft_row_id, round(list_sum(list_transform(b, lambda x: CASE WHEN x > 0 THEN -x * ln(x) ELSE 0.0 END)), 9) AS entropy, round(exp(list_sum(list_transform(b, lambda x: CASE WHEN x > 0 THEN -x * ln(x) ELSE 0.0 END))), 9) AS support,
@@ -508,7 +522,9 @@ def belief_softmax(spark, sf):
     return d.select("sft_row_id", F.array_join(F.transform(V.softmax(F.col("b")), lambda x: F.round(x, 6).cast("string")), ",").alias("weights"))
 
 
-@query()
+@query("""WITH d AS (SELECT sft_row_id, json_extract(target_json, '$.b')::DOUBLE[] b FROM public_state_v1_sft), r AS (SELECT *, list_sort(list_transform(b, lambda x, i: {'n': -x, 'i': i})) r FROM d),
+ k AS (SELECT *, list_filter(r, lambda y, j: j = 1 OR list_reduce(list_transform(r[1:j - 1], lambda z: -z.n), lambda s, z: s + z, 0.0::DOUBLE) < 0.9) k FROM r), m AS (SELECT *, list_reduce(list_transform(k, lambda z: -z.n), lambda s, z: s + z, 0.0::DOUBLE) m FROM k)
+ SELECT sft_row_id, len(list_filter(k, lambda z: -z.n > 0))::INT AS n_kept, round(list_sum(list_transform(b, lambda x, i: abs(x - CASE WHEN list_contains(list_transform(k, lambda z: z.i), i) THEN x / m ELSE 0.0 END))) / 2, 9) AS distance FROM m""")
 def belief_top_mass(spark, sf):
     """Each belief cut to its likeliest nine tenths, and how far that moves it."""
     d = table(spark, sf, "public_state_v1_sft").select("sft_row_id", F.from_json("target_json", R.DECISION)["b"].alias("b"))
@@ -567,7 +583,9 @@ def field_agreement(spark, sf):
     return c.select("example_id", "temperature", "raw_output").join(t, "example_id").groupBy("temperature").agg(F.count("*").alias("n_rows"), same("a").alias("same_action"), same("i").alias("same_intent"))
 
 
-@query()
+@query("""WITH t AS (SELECT example_id, arg_min(target_json, sft_row_id) j FROM public_state_v1_sft WHERE example_id IS NOT NULL GROUP BY 1), c AS (SELECT example_id, list_filter(regexp_extract_all(raw_output, '\\{[^{}]*\\}'), lambda x: json_valid(x))[1] o FROM t45_k4_free_candidates),
+ d AS (SELECT try_cast(json_extract(o, '$.b') AS DOUBLE[]) a, json_extract(j, '$.b')::DOUBLE[] b FROM c JOIN t ON c.example_id = t.example_id)
+ SELECT CASE WHEN a IS NULL OR b IS NULL THEN NULL ELSE coalesce(list_min(list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i: a[i] IS NULL OR b[i] IS NULL OR abs(a[i] - b[i]) > 1e-7 * (1 + abs(b[i])))), 0) END AS position, count(*) AS n_rows FROM d GROUP BY 1""")
 def first_divergence(spark, sf):
     """Where each answer's belief first leaves that of its example's target: position of the vector, 0 for none."""
     t = table(spark, sf, "public_state_v1_sft").where("example_id IS NOT NULL").groupBy("example_id").agg(F.min_by("target_json", "sft_row_id").alias("target_json"))
@@ -594,57 +612,221 @@ def first_per_group(spark, sf):
     return first.join(n, "group_index")
 
 
+BUS_LOAD = {5: 90.0, 7: 100.0, 9: 125.0}  # fixed values: base load in MW of the network's load buses
+
+
 @query("""SELECT state_row_id, round(total * 0.2857142857142857, 6) AS bus5_mw, round(total * 0.31746031746031744, 6) AS bus7_mw, round(total * 0.3968253968253968, 6) AS bus9_mw FROM (SELECT state_row_id, current_load_mw total FROM public_energy_state)""")
 def bus_loads(spark, sf):
     """Each state's load spread over the network's load buses by their base shares."""
-    d, s = table(spark, sf, "public_energy_state"), D.bus_shares()
-    return d.select("state_row_id", *[F.round(F.col("current_load_mw") * s[b], 6).alias(f"bus{b}_mw") for b in D.LOAD_BUSES])
+    d = table(spark, sf, "public_energy_state")
+    return d.select("state_row_id", *[F.round(F.col("current_load_mw") * (mw / sum(BUS_LOAD.values())), 6).alias(f"bus{b}_mw") for b, mw in BUS_LOAD.items()])
 
 
-# Dispatch
+# Further audits, expressions and readers
 
-_BASIS = ", ".join(f"({', '.join(repr(float(x)) for x in m)})" for _, m, _ in D.basis_table())
-_NET = D.network()
-_LIMITS = " AND ".join(
-    f"{g[0]!r} * p1 + {g[1]!r} * p2 + {g[2]!r} * p3 <= {b!r} - ({l[0]!r} * d5 + {l[1]!r} * d7 + {l[2]!r} * d9) + 1e-7" for g, l, b in zip(_NET.on_gen.tolist(), _NET.on_load.tolist(), _NET.bound.tolist())
-)
-_SHARES = D.bus_shares()
 
+_FIELDS = ("b", "g", "cf", "i", "a", "p", "q")
+_SIGNS = ", ".join(f"count(DISTINCT coalesce(json_extract(target_json, '$.{k}')::{'DOUBLE[]' if k in ('b', 'g', 'cf', 'p') else 'DOUBLE'}::VARCHAR, '')) AS n_{k}" for k in _FIELDS)
+_CONFLICTS = f"SELECT prompt_hash, count(*) AS n_rows, {_SIGNS}, count(DISTINCT coalesce(json_extract(target_json, '$.a')::DOUBLE::VARCHAR, '') || '|' || coalesce(json_extract(target_json, '$.p')::DOUBLE[]::VARCHAR, '')) AS n_action_plan FROM public_state_v1_sft WHERE prompt_hash IS NOT NULL GROUP BY 1"
 
-def _dispatch_sql(states: str, keys: str) -> str:
-    rows = "SELECT *, " + ", ".join(f"c{r} + e{r}5 * d5 + e{r}7 * d7 + e{r}9 * d9 AS p{r}" for r in (1, 2, 3)) + f" FROM (SELECT {keys}, total * {_SHARES[5]!r} AS d5, total * {_SHARES[7]!r} AS d7, total * {_SHARES[9]!r} AS d9 FROM ({states})), (VALUES {_BASIS}) b(c1, e15, e17, e19, c2, e25, e27, e29, c3, e35, e37, e39)"
-    return f"SELECT {keys}, round(min(20.0 * p1 + 10.0 * p2 + 30.0 * p3) FILTER ({_LIMITS}), 4) AS cost FROM ({rows}) GROUP BY {keys}"
 
+def _signed(spark, sf):
+    r = table(spark, sf, "public_state_v1_sft").where("prompt_hash IS NOT NULL").select("sft_row_id", "prompt_hash", F.from_json("target_json", R.DECISION).alias("r"))
+    sign = lambda k: F.coalesce(F.col(f"r.{k}").cast("string"), F.lit(""))
+    return r.select("sft_row_id", "prompt_hash", *[sign(k).alias(k) for k in _FIELDS], F.concat(sign("a"), F.lit("|"), sign("p")).alias("action_plan"))
 
-_SCALED_SQL = "SELECT state_row_id, 315.0 * least(greatest(current_load_mw / (SELECT median(current_load_mw) FROM public_energy_state WHERE split = 'TRAIN' AND isfinite(current_load_mw)), 0.5), 1.5) AS total, coalesce(load_factor, 0.0) AS f FROM public_energy_state WHERE isfinite(current_load_mw)"
 
+@query(_CONFLICTS)
+def target_conflicts(spark, sf):
+    """Per prompt the distinct values of each field of its targets, and of action and plan together."""
+    return A.conflicts(_signed(spark, sf), ["prompt_hash"], {k: F.col(k) for k in (*_FIELDS, "action_plan")})
 
-@query(_dispatch_sql(_SCALED_SQL, "state_row_id"))
-def dispatch_of_states(spark, sf):
-    """Least-cost dispatch of every state's load, scaled to the network."""
-    d = D.dispatch_rows(_scaled(spark, sf).select("state_row_id", (F.col("alpha") * sum(D.BASE_LOAD.values())).alias("total")), "total")
-    return d.select("state_row_id", F.round("d.cost", 4).alias("cost"))
 
+_H = lambda k: f"(SELECT round(sum(m * ln(m) - s) / sum(m), 9) FROM (SELECT sum(c) m, sum(c * ln(c)) s FROM (SELECT prompt_hash, coalesce(json_extract(target_json, '$.{k}')::VARCHAR, '') v, count(*) c FROM public_state_v1_sft WHERE prompt_hash IS NOT NULL GROUP BY 1, 2) GROUP BY prompt_hash))"
 
-_CASES_SQL = f"SELECT state_row_id, case_id, greatest(total - 60.0 * f * share, 30.0) AS total, greatest(30.0 - (total - 60.0 * f * share), 0.0) AS surplus FROM ({_SCALED_SQL}), (VALUES ('C0', 0.0), ('C1', 0.5), ('C2', 1.0)) c(case_id, share)"
 
+@query(f"SELECT count(*) AS n_classes, count_if(greatest({', '.join(f'n_{k}' for k in _FIELDS)}) > 1) AS n_conflicts, {', '.join(f'max(n_{k}) AS most_{k}' for k in _FIELDS)}, {_H('a')} AS entropy_action, {_H('i')} AS entropy_intent FROM ({_CONFLICTS})")
+def identifiability(spark, sf):
+    """Whether a prompt tells its target: classes, classes with conflicts, the most values of a field, what is left open."""
+    d = _signed(spark, sf)
+    per = target_conflicts(spark, sf)
+    most = per.agg(F.count("*").alias("n_classes"), F.count_if(F.greatest(*[F.col(f"n_{k}") for k in _FIELDS]) > 1).alias("n_conflicts"), *[F.max(f"n_{k}").alias(f"most_{k}") for k in _FIELDS])
+    for k, name in (("a", "entropy_action"), ("i", "entropy_intent")):
+        most = most.join(A.conditional_entropy(d, ["prompt_hash"], k).select(F.round("entropy", 9).alias(name)))  # one row each
+    return most
 
-@query(f"""WITH d AS ({_dispatch_sql(_CASES_SQL, 'state_row_id, case_id')}) SELECT state_row_id, round(max(cost) FILTER (case_id = 'C1') - max(cost) FILTER (case_id = 'C0') + 1e-6, 2) AS delta_half, round(max(cost) FILTER (case_id = 'C2') - max(cost) FILTER (case_id = 'C0') + 1e-6, 2) AS delta_full FROM d GROUP BY 1""")
-def renewable_deltas(spark, sf):
-    """Cost of each hour with none, half and all of a renewable output, as differences to none."""
-    base = _scaled(spark, sf).select("state_row_id", (F.col("alpha") * sum(D.BASE_LOAD.values())).alias("total"), (60.0 * F.coalesce("load_factor", F.lit(0.0))).alias("renewable"))
-    cases = base.select("state_row_id", F.inline(D.residual_loads(F.col("total"), F.col("renewable"))))
-    cost = D.dispatch_rows(cases, "residual_mw").select("state_row_id", "case_id", F.round("d.cost", 4).alias("cost"))
-    wide = A.pivot_deltas(cost, ["state_row_id"], "case_id", ["C0", "C1", "C2"], "cost")
-    return wide.select("state_row_id", F.round(F.col("d_C1") + 1e-6, 2).alias("delta_half"), F.round(F.col("d_C2") + 1e-6, 2).alias("delta_full"))
 
+@query("SELECT s.prompt_hash, s.sft_row_id FROM public_state_v1_sft s JOIN (SELECT prompt_hash FROM public_state_v1_sft WHERE prompt_hash IS NOT NULL GROUP BY 1 HAVING count(DISTINCT target_json) > 1) b ON s.prompt_hash = b.prompt_hash")
+def collision_rows(spark, sf):
+    """Rows of the prompts whose targets differ, one by one: no group is gathered."""
+    d = table(spark, sf, "public_state_v1_sft").where("prompt_hash IS NOT NULL").select("prompt_hash", "sft_row_id", "target_json")
+    bad = d.groupBy("prompt_hash").agg(F.min("target_json").alias("_a"), F.max("target_json").alias("_b")).where("_a <> _b").select("prompt_hash")
+    return d.join(bad, "prompt_hash", "left_semi").select("prompt_hash", "sft_row_id")
 
-@query()
-def dispatch_audit(spark, sf):
-    """Balance, zero-output and limit checks of the dispatch, with its largest effects."""
-    base = _scaled(spark, sf).select("state_row_id", (F.col("alpha") * sum(D.BASE_LOAD.values())).alias("total"))
-    d = D.dispatch_rows(base, "total").select("total", "d.*")
-    return d.agg(
-        F.count("*").alias("n_hours"), F.count_if(F.col("cost").isNull()).alias("n_infeasible"), F.max(F.abs(F.col("g1") + F.col("g2") + F.col("g3") - F.col("total"))).alias("max_residual_mw"),
-        F.min("price_g1").alias("min_price"), F.max("price_g1").alias("max_price"), F.min("profit_g1").alias("min_profit"), F.countDistinct("basis").alias("n_regimes"),
+
+@query("""WITH t AS (SELECT example_id, count(*) n, count(DISTINCT prompt) p, min(prompt) x FROM public_state_v1_sft WHERE example_id IS NOT NULL GROUP BY 1)
+ SELECT c.split, count(*) AS n_rows, count_if(t.n IS NOT NULL) AS n_id_found, count_if(t.p > 1) AS n_id_ambiguous, count_if(t.p = 1 AND t.x = c.prompt) AS n_same_prompt, count_if(t.p = 1 AND sha256(t.x) = sha256(c.prompt)) AS n_same_hash FROM t45_k4_free_candidates c LEFT JOIN t ON c.example_id = t.example_id GROUP BY 1""")
+def identity_guard(spark, sf):
+    """Candidates whose example id is recorded, is recorded with one prompt, and has the very prompt they answer."""
+    t = table(spark, sf, "public_state_v1_sft").where("example_id IS NOT NULL").groupBy("example_id").agg(F.count("*").alias("n"), F.countDistinct("prompt").alias("p"), F.min("prompt").alias("x"))
+    d = table(spark, sf, "t45_k4_free_candidates").select("split", "example_id", "prompt").join(t, "example_id", "left")
+    one = F.col("p") == 1
+    return d.groupBy("split").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("n").isNotNull()).alias("n_id_found"), F.count_if(F.col("p") > 1).alias("n_id_ambiguous"),
+        F.count_if(one & (F.col("x") == F.col("prompt"))).alias("n_same_prompt"), F.count_if(one & (R.sha256(F.col("x")) == R.sha256(F.col("prompt")))).alias("n_same_hash"),
     )
+
+
+_KNOWN = ["k", "a", "b", "e", "g", "i", "p", "q"]
+
+
+@query(f"""WITH d AS (SELECT 'events' AS origin, props AS j FROM events UNION ALL SELECT 'targets', target_json FROM public_state_v1_sft), k AS (SELECT origin, coalesce(CASE WHEN json_valid(j) THEN json_keys(j) END, []) k FROM d)
+ SELECT origin, count(*) AS n_rows, count_if(len(list_filter(k, lambda x: x NOT IN ({', '.join(repr(x) for x in _KNOWN)}))) > 0) AS n_unexpected, count_if(len(list_filter(k, lambda x: contains(lower(x), 'cf'))) > 0) AS n_forbidden FROM k GROUP BY 1""")
+def json_key_audit(spark, sf):
+    """Key names inside JSON texts, at any depth, against a registry and a list of forbidden parts."""
+    d = table(spark, sf, "events").select(F.lit("events").alias("origin"), F.col("props").alias("j")).unionByName(table(spark, sf, "public_state_v1_sft").select(F.lit("targets").alias("origin"), F.col("target_json").alias("j")))
+    return d.groupBy("origin").agg(F.count("*").alias("n_rows"), F.count_if(F.size(R.unexpected_names(F.col("j"), _KNOWN)) > 0).alias("n_unexpected"), F.count_if(F.size(R.forbidden_names(F.col("j"), ["cf"])) > 0).alias("n_forbidden"))
+
+
+@query(f"""SELECT 'rows' AS check_name, count(*) AS n FROM public_state_v1_sft UNION ALL SELECT 'split_not_listed', count_if(coalesce({_SPLIT}, '') NOT IN ('TRAIN', 'DEV', 'HOLDOUT')) FROM public_state_v1_sft UNION ALL SELECT 'columns_missing', 0
+ UNION ALL SELECT 'ids_on_both_sides', count(*) FROM (SELECT example_id FROM public_state_v1_sft WHERE example_id IS NOT NULL AND {_SPLIT} = 'TRAIN' INTERSECT SELECT example_id FROM public_state_v1_sft WHERE example_id IS NOT NULL AND {_SPLIT} = 'DEV')""")
+def dataset_manifest(spark, sf):
+    """Rows, missing columns, rows of no listed split, and ids that two splits share."""
+    d = table(spark, sf, "public_state_v1_sft")
+    need = {"sft_row_id", "example_id", "split", "prompt", "target_json", "prompt_hash"}
+    s = F.upper(F.regexp_replace("split", r"^\s+|\s+$", ""))
+    counts = d.agg(F.count("*").alias("rows"), F.count_if(~F.coalesce(s, F.lit("")).isin("TRAIN", "DEV", "HOLDOUT")).alias("split_not_listed"), F.lit(len(need - set(d.columns))).cast("bigint").alias("columns_missing"))
+    ids = d.where("example_id IS NOT NULL").withColumn("s", s)
+    both = J.present_on_both(ids.where("s = 'TRAIN'"), ids.where("s = 'DEV'"), ["example_id"]).agg(F.lit("ids_on_both_sides").alias("check_name"), F.count("*").alias("n"))
+    return counts.unpivot([], counts.columns, "check_name", "n").unionByName(both)
+
+
+@query("SELECT control_area, target_local_date, target_he, region FROM public_energy_state WHERE target_he IS NOT NULL EXCEPT SELECT control_area, forecast_date, forecast_hour, region FROM load_forecast WHERE vintage = 'day_ahead' AND forecast_mw > 1000")
+def hours_without_forecast(spark, sf):
+    """Decision hours that no large day-ahead forecast covers (a difference with rows in it)."""
+    f = table(spark, sf, "load_forecast").where("vintage = 'day_ahead' AND forecast_mw > 1000").select("control_area", F.col("forecast_date").alias("target_local_date"), F.col("forecast_hour").alias("target_he"), "region")
+    keys = ["control_area", "target_local_date", "target_he", "region"]
+    return table(spark, sf, "public_energy_state").where("target_he IS NOT NULL").select(*keys).subtract(f.select(*keys))
+
+
+_PIVOT = "SELECT control_area, forecast_date, forecast_hour, region, avg(forecast_mw) FILTER (vintage = 'day_ahead') AS a, avg(forecast_mw) FILTER (vintage = 'in_day') AS b FROM load_forecast WHERE forecast_mw IS NOT NULL GROUP BY 1, 2, 3, 4"
+
+
+@query(f"SELECT region, count(a) AS n_first, round(max(abs(b - a)), 6) AS max_abs_change FROM ({_PIVOT}) GROUP BY 1")
+def vintage_changes(spark, sf):
+    """Vintages side by side, their difference, and the largest effect per region."""
+    k = ["control_area", "forecast_date", "forecast_hour", "region"]
+    d = table(spark, sf, "load_forecast").where("forecast_mw IS NOT NULL").groupBy(*k, "vintage").agg(F.avg("forecast_mw").alias("mw"))
+    wide = A.pivot_deltas(d, k, "vintage", ["day_ahead", "in_day"], "mw")
+    top = A.largest_effects(wide, ["region"], ["d_in_day"]).select(F.col("region").alias("_r"), F.round("max_abs_d_in_day", 6).alias("max_abs_change"))
+    return wide.groupBy("region").agg(F.count("v_day_ahead").alias("n_first")).join(top, F.col("region").eqNullSafe(F.col("_r"))).drop("_r")
+
+
+@query(f"SELECT {_SPLIT} AS split_name, count(DISTINCT coalesce(json_extract_string(target_json, '$.a'), '?')) AS n_labels, round(any_value(h), 9) AS entropy FROM public_state_v1_sft JOIN (SELECT s, ln(sum(c)) - sum(c * ln(c)) / sum(c) h FROM (SELECT {_SPLIT} s, json_extract_string(target_json, '$.a') a, count(*) c FROM public_state_v1_sft GROUP BY 1, 2) GROUP BY 1) x ON x.s IS NOT DISTINCT FROM {_SPLIT} GROUP BY 1")
+def action_entropy(spark, sf):
+    """Entropy of the action per split."""
+    d = table(spark, sf, "public_state_v1_sft").select(F.upper(F.regexp_replace("split", r"^\s+|\s+$", "")).alias("split_name"), F.get_json_object("target_json", "$.a").alias("a"))
+    return A.entropy(d, ["split_name"], "a").withColumn("entropy", F.round("entropy", 9))
+
+
+@query("SELECT region, count(*) AS n_rows, count_if(current_load_mw < q[1]) AS n_below, count_if(current_load_mw > q[2]) AS n_above, round(any_value(q[1]), 6) AS p01, round(any_value(q[2]), 6) AS p99 FROM public_energy_state, (SELECT quantile_cont(current_load_mw, [0.01, 0.99]) q FROM public_energy_state WHERE isfinite(current_load_mw)) GROUP BY 1")
+def outer_percent(spark, sf):
+    """Loads outside the first and the last percent of all."""
+    d = table(spark, sf, "public_energy_state")
+    fit = A.fit_quantiles(d, ["current_load_mw"], [0.01, 0.99]).select("quantiles")  # one row
+    lo, hi, x = F.try_element_at("quantiles", F.lit(1)), F.try_element_at("quantiles", F.lit(2)), F.col("current_load_mw")
+    return d.select("region", "current_load_mw").join(F.broadcast(fit)).groupBy("region").agg(F.count("*").alias("n_rows"), F.count_if(x < lo).alias("n_below"), F.count_if(x > hi).alias("n_above"), F.round(F.first(lo), 6).alias("p01"), F.round(F.first(hi), 6).alias("p99"))
+
+
+@query(f"""SELECT {_SPLIT} AS split_name, round(avg(-ln(greatest(b[a + 1], 1e-12))), 9) AS mean_loss, round(avg(CASE WHEN list_position(b, list_max(b)) = a + 1 THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM (SELECT split, json_extract(target_json, '$.b')::DOUBLE[] b, json_extract(target_json, '$.a')::INT a FROM public_state_v1_sft) WHERE b IS NOT NULL AND a IS NOT NULL GROUP BY 1""")
+def belief_scores(spark, sf):
+    """Mean log loss of each target's action under its belief, and how often the likeliest class is the action."""
+    d = table(spark, sf, "public_state_v1_sft").select(F.upper(F.regexp_replace("split", r"^\s+|\s+$", "")).alias("split_name"), F.from_json("target_json", R.DECISION).alias("r"))
+    b, a = F.col("r.b"), F.col("r.a")
+    hit = F.when(V.first_argmax(b) == a + 1, 1.0).otherwise(0.0)
+    return d.where(b.isNotNull() & a.isNotNull()).groupBy("split_name").agg(F.round(F.avg(V.log_loss(b, a)), 9).alias("mean_loss"), F.round(F.avg(hit), 9).alias("accuracy"))
+
+
+_BEST = "SELECT prompt_hash, arg_min(a, {'n': -n, 'a': a}) best FROM (SELECT prompt_hash, json_extract_string(target_json, '$.a') a, count(*) n FROM public_state_v1_sft WHERE prompt_hash IS NOT NULL AND json_extract_string(target_json, '$.a') IS NOT NULL GROUP BY 1, 2) GROUP BY 1"
+
+
+@query(f"SELECT sft_row_id, json_extract_string(target_json, '$.a') AS action, best AS best_action, regexp_replace(target_json, '(\"a\"\\s*:\\s*)\\d+', '\\1' || best) AS rewritten FROM public_state_v1_sft s JOIN ({_BEST}) b ON s.prompt_hash = b.prompt_hash WHERE json_extract_string(target_json, '$.a') <> best")
+def rewritten_targets(spark, sf):
+    """Targets whose action isn't the commonest one of their prompt, with that action put in."""
+    d = table(spark, sf, "public_state_v1_sft").where("prompt_hash IS NOT NULL").select("sft_row_id", "prompt_hash", "target_json", F.get_json_object("target_json", "$.a").alias("action"))
+    best = A.most_frequent(d, ["prompt_hash"], "action").select("prompt_hash", F.col("top_value").alias("best_action"))
+    new = F.regexp_replace(F.col("target_json"), F.lit(r'("a"\s*:\s*)\d+'), F.concat(F.lit("$1"), F.col("best_action")))
+    return d.join(best, "prompt_hash").where("action <> best_action").select("sft_row_id", "action", "best_action", new.alias("rewritten"))
+
+
+@query("SELECT state_row_id, regexp_replace(generator_id, '[0-9]+', '', 'g') AS kind, printf('%s_he%02d', region, target_he) AS state_id, 'recorded' AS origin FROM public_energy_state WHERE region IS NOT NULL AND target_he IS NOT NULL")
+def formatted_ids(spark, sf):
+    """Ids without their digits, ids put together by a format, and a literal column."""
+    d = table(spark, sf, "public_energy_state").where("region IS NOT NULL AND target_he IS NOT NULL")
+    return d.select("state_row_id", F.regexp_replace("generator_id", "[0-9]+", "").alias("kind"), F.format_string("%s_he%02d", "region", "target_he").alias("state_id"), F.lit("recorded").alias("origin"))
+
+
+@query(f"""SELECT s.state_row_id, CASE WHEN s.target_he BETWEEN 1 AND 24 THEN d.v[s.target_he] END AS hour_mw, round(100 * (d.v[24] - d.v[1]) / d.v[1], 6) AS percent_change FROM public_energy_state s JOIN ({_DAY}) d ON s.control_area = d.control_area AND s.target_local_date = d.forecast_date""")
+def hour_of_day(spark, sf):
+    """The decision's hour out of its day's forecast vector, and the day's change in percent."""
+    d = _days(spark, sf).withColumnRenamed("forecast_date", "target_local_date")
+    j = table(spark, sf, "public_energy_state").select("state_row_id", "control_area", "target_local_date", "target_he").join(d, ["control_area", "target_local_date"])
+    return j.select("state_row_id", V.at_hour_ending(F.col("day"), F.col("target_he")).alias("hour_mw"), F.round(V.percent_change(F.col("day")), 6).alias("percent_change"))
+
+
+@query(f"""SELECT control_area, forecast_date, round(list_max(n), 3) AS net_peak_mw, round(list_max(list_transform(range(1, 24), lambda i: abs(n[i + 1] - n[i]))), 3) AS max_ramp_mw FROM (SELECT control_area, forecast_date, list_transform(v, lambda x, i: x - v[1] * 0.1 * (i % 3)) n FROM ({_DAY}))""")
+def net_loads(spark, sf):
+    """A day's forecast less a second vector (a tenth of its first hour, by turns), its peak and largest ramp."""
+    second = F.transform("day", lambda x, i: F.col("day")[0] * 0.1 * ((i + 1) % 3))
+    d = _days(spark, sf).withColumn("net", V.subtract(F.col("day"), second))
+    return d.select("control_area", "forecast_date", F.round(F.array_max("net"), 3).alias("net_peak_mw"), F.round(V.max_abs(V.differences(F.col("net"))), 3).alias("max_ramp_mw"))
+
+
+_UTIL, _COUNT = r"max branch utilization\s*[:=]\s*([0-9.]+)", r"binding branch count\s*[:=]\s*([0-9]+)"
+
+
+@query(f"""SELECT CASE WHEN u < 0.8 THEN 'LOW' WHEN u < 0.95 THEN 'ELEVATED' WHEN u IS NOT NULL THEN 'HIGH' WHEN n = 0 THEN 'LOW' WHEN n <= 2 THEN 'ELEVATED' WHEN n IS NOT NULL THEN 'HIGH' END AS stress, CASE WHEN n = 0 THEN 'FREE' WHEN n IS NOT NULL THEN 'CONGESTED' END AS congestion, count(*) AS n_rows
+ FROM (SELECT try_cast(nullif(regexp_extract(lower(prompt), '{_UTIL}', 1), '') AS DOUBLE) u, try_cast(nullif(regexp_extract(lower(prompt), '{_COUNT}', 1), '') AS INT) n FROM public_state_v1_sft) GROUP BY 1, 2""")
+def branch_labels(spark, sf):
+    """Stress by utilization, by the number of binding branches where that is missing, and congestion by that number."""
+    found = lambda p, kind: F.nullif(F.regexp_extract(F.lower("prompt"), p, 1), F.lit("")).try_cast(kind)
+    d = table(spark, sf, "public_state_v1_sft").select(found(_UTIL, "double").alias("u"), found(_COUNT, "int").alias("n"))
+    stress = F.coalesce(N.step_label(F.col("u"), [(0.8, "LOW"), (0.95, "ELEVATED")], "HIGH"), N.step_label(F.col("n"), [(0, "LOW"), (2, "ELEVATED")], "HIGH", strict=False))
+    return d.select(stress.alias("stress"), N.step_label(F.col("n"), [(0, "FREE")], "CONGESTED", strict=False).alias("congestion")).groupBy("stress", "congestion").agg(F.count("*").alias("n_rows"))
+
+
+@query("SELECT coalesce(t.target_share, 0.0) AS target_share, d.source, count(*) AS n_rows, t.source IS NOT NULL AS found FROM documents d LEFT JOIN mix_targets t ON d.source = t.source GROUP BY ALL")
+def default_shares(spark, sf):
+    """Lookup with a default for what isn't listed."""
+    t = table(spark, sf, "mix_targets").select("source", "target_share")
+    return J.lookup(table(spark, sf, "documents").select("source"), t, ["source"], default={"target_share": 0.0}).groupBy("target_share", "source", "found").agg(F.count("*").alias("n_rows"))
+
+
+@query("SELECT group_index, first_candidate FROM (SELECT group_index, min(candidate_row_id) AS first_candidate FROM t45_k4_free_candidates WHERE group_index IS NOT NULL GROUP BY 1) ORDER BY first_candidate LIMIT 64")
+def first_entities(spark, sf):
+    """The first row of each group, of the first 64 groups in the order of their first rows."""
+    d = table(spark, sf, "t45_k4_free_candidates").where("group_index IS NOT NULL").groupBy("group_index").agg(F.min("candidate_row_id").alias("first_candidate"))
+    return A.rank_by(d, [F.col("first_candidate")], 64, whole=True)
+
+
+def _folder(spark) -> str:
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+
+
+@query("SELECT o_orderstatus, count(*) AS n_rows, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def through_csv(spark, sf):
+    """A table written as CSV where nothing was, and read back under a schema."""
+    at = _folder(spark)
+    d = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    files.write_new(d, at, "csv", header=True)
+    return files.read_csv(spark, [f"{at}/*.csv"], d.schema).groupBy("o_orderstatus").agg(F.count("*").alias("n_rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT event_type, count(*) AS n_rows, count(DISTINCT props) AS n_props, round(sum(value), 6) AS total FROM events GROUP BY 1")
+def through_jsonl(spark, sf):
+    """A table written as JSON lines where nothing was, and read back under a schema."""
+    at = _folder(spark)
+    d = table(spark, sf, "events").select("event_type", "props", "value")
+    files.write_new(d, at, "json")
+    return files.read_jsonl(spark, at, d.schema).groupBy("event_type").agg(F.count("*").alias("n_rows"), F.countDistinct("props").alias("n_props"), F.round(F.sum("value"), 6).alias("total"))

@@ -7,6 +7,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -45,28 +46,51 @@ _REPORT = "file string, member string, report_date string, target_date string, t
 
 
 def read_zipped_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Long rows of zipped report CSVs: rows tagged H hold dates per column, rows tagged D an hour and its values.
+    """Long rows of zipped report CSVs: the row ``D,Date,`` names a date (month/day/year) per column from the fourth on, other rows tagged D hold an hour ending in their third column and its values.
 
-    Each archive is read by one task; archives are split over the cluster as files.
+    Each archive is read by one task; archives are split over the cluster as files. A report without a date row or with
+    an hour outside 1..24 is an error; empty cells are left out.
     """
     d = spark.read.format("binaryFile").load(path).select("path", "content")
     return d.mapInPandas(_reports, _REPORT)
 
 
-def _reports(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def count_numeric_cells(spark: SparkSession, path: str) -> DataFrame:
+    """(file, member, n_numbers): cells of zipped report CSVs, in rows with an hour, that are numbers."""
+    d = spark.read.format("binaryFile").load(path).select("path", "content")
+    return d.mapInPandas(_numeric_cells, "file string, member string, n_numbers bigint")
+
+
+def _members(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, str, list[list[str]]]]:
     for b in batches:
         for path, content in zip(b["path"], b["content"]):
-            rows = []
             with zipfile.ZipFile(io.BytesIO(content)) as z:
                 for name in sorted(n for n in z.namelist() if n.lower().endswith(".csv")):
-                    stamp = re.search(r"(\d{4})-?(\d{2})-?(\d{2})", name)
-                    days: list[str] = []
-                    for r in csv.reader(io.TextIOWrapper(z.open(name), "utf-8-sig")):
-                        if r[:1] == ["H"]:
-                            days = [x.strip() for x in r[2:]]
-                        elif r[:1] == ["D"] and len(r) > 2 and r[1].strip().isdigit():
-                            rows += [(path, name, "-".join(stamp.groups()) if stamp else None, day, int(r[1]), _float(v)) for day, v in zip(days, r[2:]) if day]
-            yield pd.DataFrame(rows, columns=["file", "member", "report_date", "target_date", "target_he", "value"])
+                    yield path, name, list(csv.reader(io.TextIOWrapper(z.open(name), "utf-8-sig")))
+
+
+def _with_hour(rows: list[list[str]]) -> list[list[str]]:
+    return [r for r in rows if len(r) > 3 and r[0] == "D" and r[2].strip().isdigit()]
+
+
+def _reports(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for path, name, lines in _members(batches):
+        stamp = re.search(r"(\d{4})-?(\d{2})-?(\d{2})", name)
+        head = next((r for r in lines if r[:2] == ["D", "Date"]), None)
+        if head is None:
+            raise ValueError(f"no date row in {name}")
+        days = {k: datetime.strptime(x.strip(), "%m/%d/%Y").date().isoformat() for k, x in enumerate(head) if k >= 3 and x.strip()}
+        rows = []
+        for r in _with_hour(lines):
+            if not 1 <= int(r[2]) <= 24:
+                raise ValueError(f"hour {r[2]} in {name}")
+            rows += [(path, name, "-".join(stamp.groups()) if stamp else None, days[k], int(r[2]), _float(x)) for k, x in enumerate(r) if k in days and x.strip()]
+        yield pd.DataFrame(rows, columns=["file", "member", "report_date", "target_date", "target_he", "value"])
+
+
+def _numeric_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for path, name, lines in _members(batches):
+        yield pd.DataFrame([(path, name, sum(_float(x.strip()) is not None for r in _with_hour(lines) for x in r[3:]))], columns=["file", "member", "n_numbers"])
 
 
 def _float(text: str) -> float | None:
@@ -81,7 +105,7 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def write_new(df: DataFrame, path: str, kind: str = "parquet", partition_by: list[str] | None = None) -> None:
+def write_new(df: DataFrame, path: str, kind: str = "parquet", partition_by: list[str] | None = None, **options) -> None:
     """Write where nothing is yet; an existing path is an error and stays as it is."""
-    w = df.write.mode("errorifexists").format(kind)
+    w = df.write.mode("errorifexists").format(kind).options(**options)
     (w.partitionBy(*partition_by) if partition_by else w).save(path)
