@@ -18,15 +18,17 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.functions.records import is_json
+from wattloom.functions.records import is_json, undecorated
 from wattloom.llm.tables import spread
 from wattloom.session import cut_table
 
@@ -53,7 +55,10 @@ WORDS = {
     "pt": "o a os as de do da dos das e em um uma é que não por com para como mais mas se ao à são no na nos nas esta este também ou ser foi sem sua seu",
     "nl": "de het een en van is dat niet in op te met voor zijn die er aan ook als maar om bij nog naar dan wordt dit deze door over of zou kan heeft",
 }
-_WORD_SETS = {k: set(v.split()) for k, v in WORDS.items()}
+_LANGUAGES: dict[str, list[str]] = {}  # of each word
+for _k, _v in WORDS.items():
+    for _w in _v.split():
+        _LANGUAGES.setdefault(_w, []).append(_k)
 _ENDS = ".!?。！？…"
 _CLOSERS = "\"'”’»)]}」』）*_` \t\r\n"
 SAME, OWN, LEAST = 8, 72, 12  # bytes that a sentence of the prompt costs at most when compressed with it, bytes that all a copy's own words may cost, bytes of a sentence that tell
@@ -134,12 +139,23 @@ class Prompt:
     """What judging the answers of one prompt needs of it."""
 
     def __init__(self, text: str) -> None:
+        self.text = text
         self.parts = [x.strip() for x in sentences(text)]
-        self.language = language(text)
-        flat_text = flat(text).encode()
-        # shorter than the format's least dictionary there is nothing to copy from
-        self.zstd = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, dict_data=zstandard.ZstdCompressionDict(flat_text, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) if len(flat_text) >= 8 else None
-        self.frame = len(self.zstd.compress(b"")) if self.zstd else 0
+
+    @cached_property
+    def language(self) -> str | None:
+        return language(self.text)
+
+    @cached_property
+    def zstd(self) -> zstandard.ZstdCompressor | None:
+        words = flat(self.text).encode()
+        if len(words) < 8:  # the format's least dictionary: there is nothing to copy from
+            return None
+        return zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, dict_data=zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+
+    @cached_property
+    def frame(self) -> int:
+        return len(self.zstd.compress(b""))
 
     def cost(self, sentence: str) -> tuple[int, int]:
         """Bytes of a flat sentence, and what it costs given the prompt."""
@@ -179,9 +195,8 @@ def language(text: str) -> str | None:
     words = re.findall(r"[^\W\d_]+", re.sub(r"[㐀-鿿]+", " ", text.casefold()))
     if han >= 4 and han * 2 >= sum(map(len, words)) * 0.5:
         return "zh"
-    hits = {k: sum(w in s for w in words) for k, s in _WORD_SETS.items()}
-    best = max(hits, key=hits.get)
-    return best if hits[best] >= 2 and sorted(hits.values())[-2] < hits[best] else None
+    hits = Counter(chain.from_iterable(map(_LANGUAGES.__getitem__, filter(_LANGUAGES.__contains__, words)))).most_common(2)
+    return hits[0][0] if hits and hits[0][1] >= 2 and (len(hits) < 2 or hits[1][1] < hits[0][1]) else None
 
 
 def judge(answer: str | None, prompt: str | None, ends: float | None) -> str | None:
@@ -225,7 +240,7 @@ def judge(answer: str | None, prompt: str | None, ends: float | None) -> str | N
 # a word or number before a full stop: the number's last word before it, and what follows
 _NUMBER = r"(?:\p{Nd}+[:-])*\p{Nd}+(?:\.\p{Nd}+)?"
 _PROSE = r"[{\[][^{}\[\]]*[}\]]?|[\"{}\[\],]+"  # what is no prose
-_SEEN = rf"(?:\p{{L}}{{1,12}}[^\p{{L}}\p{{Nd}}]{{0,3}})?{_NUMBER}(?:\.(?=\s+\p{{L}}))?|\p{{L}}{{1,12}}\.(?=\s)\s+[\p{{L}}\p{{Nd}}]"
+_SEEN = rf"(?:\b\p{{L}}{{1,12}}[^\p{{L}}\p{{Nd}}]{{0,3}})?{_NUMBER}(?:\.(?=\s+\p{{L}}))?|\b\p{{L}}{{1,12}}\.\s+[\p{{L}}\p{{Nd}}]"
 # the same at the end of an answer, read backwards
 _LAST = r"^[\s\p{P}`]*?\.(\p{Nd}[\p{Nd}:,.-]*)?[^\p{L}\p{Nd}]{0,3}(\p{L}{1,12})?"
 
@@ -263,7 +278,7 @@ def defects(pairs: DataFrame, row_id: str, prompt: str, answer: str) -> DataFram
     """(row_id, defect_type) of every row that is no proper answer."""
     pairs = spread(pairs.select(F.col(row_id).alias("row_id"), F.col(prompt).alias("prompt"), F.col(answer).alias("answer")))
     model = cut_table(terminal_contexts(pairs, "answer"))
-    whole = is_json(F.col("answer")) & F.coalesce(F.get_json_object("answer", "$.a").rlike(r"\p{Nd}"), F.lit(False))
+    whole = is_json(undecorated(F.col("answer"))) & F.coalesce(F.get_json_object(undecorated(F.col("answer")), "$.a").rlike(r"\p{Nd}"), F.lit(False))
     last = lambda k: F.reverse(F.regexp_extract(F.reverse("answer"), _LAST, k))
     d = pairs.where(F.col("answer").isNull() | ~whole).withColumns({"_s": _shape(last(1)), "_w": F.lower(last(2))})
     d = d.withColumns({"_context": F.concat_ws("|", "_w", "_s"), "_any": F.when(F.col("_s") != "", F.concat(F.lit("*|"), "_s"))})
