@@ -21,9 +21,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
-from itertools import chain
+from itertools import chain, islice
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,11 +66,22 @@ PRIOR, LIKE = (2.0, 3.0), 4.0  # ends and observations a shape begins with, obse
 
 _CONTROL = re.compile(r"<\|[^<>|]*\|>|</?s>|\[/?INST\]|<(?:eos|bos|pad|unk|end_of_turn|start_of_turn)>|[​-‏⁠﻿\x00-\x08\x0b\x0c\x0e-\x1f]", re.IGNORECASE)
 _FENCE = re.compile(r"```[a-zA-Z]*")
+_HINT = re.compile("[<\x00-\x08\x0b\x0c\x0e-\x1f\u200b-\u200f\u2060\ufeff]|INST\\]|inst\\]")  # what control tokens have in them
+_DECODER = json.JSONDecoder()
+_WORD = re.compile(r"[^\W_]+")
+_HAN = re.compile("[㐀-鿿]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def bare_text(answer: str) -> str:
+    """The answer without control tokens and code fences."""
+    text = _CONTROL.sub(" ", answer) if _HINT.search(answer) else answer
+    return _FENCE.sub(" ", text) if "```" in text else text
 
 
 def flat(text: str) -> str:
     """Letters and digits only, case-folded, single blanks."""
-    return " ".join(re.sub(r"[\W_]+", " ", text.casefold()).split())
+    return " ".join(_WORD.findall(text.casefold()))
 
 
 def sentences(text: str) -> list[str]:
@@ -81,14 +92,13 @@ def sentences(text: str) -> list[str]:
 def json_parts(text: str) -> tuple[list[object], str, bool]:
     """The complete JSON objects and arrays of a text, what is left of it, and whether a last one is unfinished."""
     values, prose, at = [], [], 0
-    decoder = json.JSONDecoder()
     while True:
         k = min((x for x in (text.find("{", at), text.find("[", at)) if x >= 0), default=-1)
         if k < 0:
             return values, "".join([*prose, text[at:]]), False
         prose.append(text[at:k])
         try:
-            value, at = decoder.raw_decode(text, k)
+            value, at = _DECODER.raw_decode(text, k)
             values.append(value)
         except ValueError as error:
             cut = re.match(r"[{\[]\s*(?:[\"{\[\d\]}-]|$)", text[k:]) and not _balanced(text[k:])
@@ -131,8 +141,8 @@ def _scalars(value: object) -> int:
 
 
 def _no_value(text: str) -> bool:
-    f = flat(text)
-    return not f or f in NO_VALUE
+    words = [m[0] for m in islice(_WORD.finditer(text), 3)]  # words that stand for no value are two at most
+    return not words or (len(words) < 3 and " ".join(words).casefold() in NO_VALUE)
 
 
 class Prompt:
@@ -191,8 +201,9 @@ def copied(answer: str, prompt: Prompt) -> bool:
 
 def language(text: str) -> str | None:
     """The language most of the text's short words belong to, zh by its characters; null if there is too little to tell."""
-    han = len(re.findall(r"[㐀-鿿]", text))
-    words = re.findall(r"[^\W\d_]+", re.sub(r"[㐀-鿿]+", " ", text.casefold()))
+    runs = _HAN.findall(text)
+    han = sum(map(len, runs))
+    words = _LETTERS.findall((_HAN.sub(" ", text) if runs else text).casefold())
     if han >= 4 and han * 2 >= sum(map(len, words)) * 0.5:
         return "zh"
     hits = Counter(chain.from_iterable(map(_LANGUAGES.__getitem__, filter(_LANGUAGES.__contains__, words)))).most_common(2)
@@ -203,8 +214,7 @@ def judge(answer: str | None, prompt: str | None, ends: float | None) -> str | N
     """The defect of one pair; ``ends`` is the model's probability that the answer's last full stop ends a sentence."""
     if answer is None:
         return "empty"
-    text = _CONTROL.sub(" ", answer)
-    bare = _FENCE.sub(" ", text)
+    bare = bare_text(answer)
     if _no_value(bare):
         return "empty"
     values, prose, unfinished = json_parts(bare)
@@ -240,7 +250,7 @@ def judge(answer: str | None, prompt: str | None, ends: float | None) -> str | N
 # a word or number before a full stop: the number's last word before it, and what follows
 _NUMBER = r"(?:\p{Nd}+[:-])*\p{Nd}+(?:\.\p{Nd}+)?"
 _PROSE = r"[{\[][^{}\[\]]*[}\]]?|[\"{}\[\],]+"  # what is no prose
-_SEEN = rf"(?:\b\p{{L}}{{1,12}}[^\p{{L}}\p{{Nd}}]{{0,3}})?{_NUMBER}(?:\.(?=\s+\p{{L}}))?|\b\p{{L}}{{1,12}}\.\s+[\p{{L}}\p{{Nd}}]"
+_SEEN = rf"(?:\b\p{{L}}{{1,12}}[^\p{{L}}\p{{Nd}}]{{0,3}})?{_NUMBER}(?:\.(?=\s+\p{{L}}))?|\b\p{{L}}{{1,12}}\.(?=\s+[\p{{Ll}}\p{{Nd}}])|\b\p{{L}}{{1,12}}\.\s(?=\s*\p{{L}})"
 # the same at the end of an answer, read backwards
 _LAST = r"^[\s\p{P}`]*?\.(\p{Nd}[\p{Nd}:,.-]*)?[^\p{L}\p{Nd}]{0,3}(\p{L}{1,12})?"
 
@@ -260,13 +270,12 @@ def terminal_contexts(answers: DataFrame, text: str) -> DataFrame:
     found = F.explode(F.regexp_extract_all(F.regexp_replace(bare, r"\p{Nd}+", "9"), F.lit(_SEEN), F.lit(0)))  # shapes and words are few
     d = answers.select(found.alias("m")).where(F.col("m").contains(".")).groupBy("m").agg(F.count("*").alias("n"))
     number = F.regexp_extract("m", r"(?:9[:-])*9(?:\.9)?\.?$", 0)
-    after = F.regexp_extract("m", r"\.\s+(\S)$", 1)
     word = F.lower(F.regexp_extract("m", r"^\p{L}+", 0))
-    goes_on = after.rlike(r"[\p{Ll}\p{Nd}]")
+    ended, goes_on = F.col("m").rlike(r"\p{L}\.\s$"), F.col("m").rlike(r"\p{L}\.$")
     evidence = F.array(
-        F.when(after != "", F.struct(word.alias("w"), F.lit("").alias("s"), F.when(goes_on, 0).otherwise(1).alias("end"))),
-        F.when((after == "") & number.contains(".9"), F.struct(word.alias("w"), F.split_part(number, F.lit("."), F.lit(1)).alias("s"), F.lit(0).alias("end"))),
-        F.when((after == "") & number.endswith("."), F.struct(word.alias("w"), F.rtrim(number, F.lit(".")).alias("s"), F.lit(1).alias("end"))),
+        F.when(ended | goes_on, F.struct(word.alias("w"), F.lit("").alias("s"), F.when(ended, 1).otherwise(0).alias("end"))),
+        F.when(number.contains(".9"), F.struct(word.alias("w"), F.split_part(number, F.lit("."), F.lit(1)).alias("s"), F.lit(0).alias("end"))),
+        F.when(number.endswith("."), F.struct(word.alias("w"), F.rtrim(number, F.lit(".")).alias("s"), F.lit(1).alias("end"))),
     )
     d = d.select("n", F.explode(F.array_compact(evidence)).alias("x")).groupBy("x.w", "x.s").agg(F.sum(F.col("n") * F.col("x.end")).alias("ends"), F.sum("n").alias("n"))
     shape = d.groupBy("s").agg(((F.sum("ends") + PRIOR[0]) / (F.sum("n") + PRIOR[1])).alias("_q"))
@@ -285,11 +294,10 @@ def defects(pairs: DataFrame, row_id: str, prompt: str, answer: str) -> DataFram
     d = d.join(model.select(F.col("context").alias("_context"), F.col("p").alias("_p")), "_context", "left")
     d = d.join(model.select(F.col("context").alias("_any"), F.col("p").alias("_q")), "_any", "left")
     d = d.select("row_id", "prompt", "answer", F.coalesce("_p", "_q").alias("ends"))
-    return d.mapInPandas(_judge_all, f"row_id {pairs.schema['row_id'].dataType.simpleString()}, defect_type string").where("defect_type IS NOT NULL")
+    return d.mapInArrow(_judge_all, f"row_id {pairs.schema['row_id'].dataType.simpleString()}, defect_type string").where("defect_type IS NOT NULL")
 
 
-def _judge_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _judge_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ends = [None if pd.isna(x) else float(x) for x in b["ends"]]
-        text = lambda c: [None if x is None or x is pd.NA else x for x in b[c]]
-        yield pd.DataFrame({"row_id": b["row_id"], "defect_type": [judge(a, p, e) for a, p, e in zip(text("answer"), text("prompt"), ends)]})
+        rows = zip(b.column(2).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist())
+        yield pa.record_batch([b.column(0), pa.array([judge(*r) for r in rows], pa.string())], names=["row_id", "defect_type"])
