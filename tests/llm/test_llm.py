@@ -184,6 +184,21 @@ def brute_pairs(rows, span):
     return {p for v in seen.values() for p in itertools.combinations(sorted(v), 2)}, cover
 
 
+def check_spans(df, text, form, size, want, cover):
+    if form == "pairs":
+        assert {tuple(r) for r in spans.shared_pairs(df, span=60, group_rows=size).collect()} == want
+    elif form == "coverage":
+        assert {r.doc_id: r.shared_chars for r in spans.shared_coverage(df, span=60, group_rows=size).collect()} == cover
+    else:
+        found, masks = defaultdict(set), {i: np.zeros(len(t or ""), bool) for i, t in text.items()}
+        for r in spans.shared_spans(df, span=60, group_rows=size).collect():
+            assert r.n_chars >= 60 and r.start >= 0
+            found[r.span_id].add((r.doc_id, text[r.doc_id][r.start : r.start + r.n_chars]))
+            masks[r.doc_id][r.start : r.start + r.n_chars] = True
+        assert all(len({t for _, t in v}) == 1 and len({i for i, _ in v}) > 1 for v in found.values())
+        assert {i: int(m.sum()) for i, m in masks.items()} == cover
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_spans(spark, seed):
     rnd = random.Random(seed)
@@ -194,17 +209,10 @@ def test_spans(spark, seed):
     rows += [(100, rows[3][1]), (101, rows[3][1]), (102, None), (103, ""), (104, "a" * 300), (105, "a" * 100)]
     want, cover = brute_pairs(rows, 60)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, prefix string")
-    text = dict(rows)
-    for size in (200_000, (7, 2, 30, 100)[seed]):
-        assert {tuple(r) for r in spans.shared_pairs(df, span=60, group_rows=size).collect()} == want
-        assert {r.doc_id: r.shared_chars for r in spans.shared_coverage(df, span=60, group_rows=size).collect()} == cover
-        found, masks = defaultdict(set), {i: np.zeros(len(t or ""), bool) for i, t in rows}
-        for r in spans.shared_spans(df, span=60, group_rows=size).collect():
-            assert r.n_chars >= 60 and r.start >= 0
-            found[r.span_id].add((r.doc_id, text[r.doc_id][r.start : r.start + r.n_chars]))
-            masks[r.doc_id][r.start : r.start + r.n_chars] = True
-        assert all(len({t for _, t in v}) == 1 and len({i for i, _ in v}) > 1 for v in found.values())
-        assert {i: int(m.sum()) for i, m in masks.items()} == cover
+    small = (7, 30, 100, 2)[seed]  # suffixes of a prefix in one task: each form of the result is split further for some seed
+    for form in ("pairs", "coverage", "spans"):
+        for size in (200_000, small) if form == ("pairs", "coverage", "spans", "pairs")[seed] else (200_000,):
+            check_spans(df, dict(rows), form, size, want, cover)
     assert spans.shared_spans(df.where("false")).count() == 0
     assert spans.shared_pairs(df.where("false")).count() == 0 and spans.shared_coverage(df.where("false")).count() == 0
 
@@ -216,10 +224,10 @@ def test_span_of_many_documents(spark):
     footer, copy = word(70), word(150)
     rows = [(i, word(40) + footer + word(40)) for i in range(2000)]
     suffixes = [{"prefix": 1, "lo": 46, "hi": 61, "doc_id": i, "party": i, "pos": 50, "left": t[36:50], "right": t[50:110]} for i, t in rows]
-    assert sum(len(f) for f in spans._tree(60, iter([pd.DataFrame(suffixes)]))) <= 10 * len(rows)
+    assert sum(len(f) for f in spans._tree(60, True, iter([pd.DataFrame(suffixes)]))) <= 10 * len(rows)
     rows = rows[:300] + [(1000 + i, copy) for i in range(100)] + [(2000, copy + footer)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for size in (200_000, 50):
+    for size in (200_000, 150):
         got = [tuple(r) for r in spans.shared_pairs(df, span=60, group_rows=size, block=20).collect()]
         assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, 60)[0]
         assert len(got) == 300 * 299 // 2 + 100 * 99 // 2 + 400
@@ -337,7 +345,7 @@ def test_coverage_against_brute_force(spark, seed):
                     m[p : p + span] = True
             want[i] = (int(m.sum()), len(m))
         short = {i for i in want if want[i][1] < span}  # copies of a short text on both sides are whole copies
-        for size in (50_000, 3):
+        for size in ((50_000, 3) if seed == 0 and span == 48 else (50_000,)):
             got = {r.id: (r.covered_chars, r.n_chars) for r in overlap.coverage(df, "id", F.col("text"), F.col("side"), [], span, size).collect()}
             assert {i: v for i, v in got.items() if i not in short} == {i: v for i, v in want.items() if i not in short} and set(got) == set(want)
     assert overlap.coverage(df.where("false"), "id", F.col("text"), F.col("side"), []).count() == 0

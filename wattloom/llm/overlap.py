@@ -169,7 +169,7 @@ def coverage(records: DataFrame, row_id: str, text: Column, side: Column, keep:
     base = records.select(F.col(row_id).cast("bigint").alias("id"), side.alias("side"), *keep, F.coalesce(text, F.lit("")).alias("_text")).where(F.col("side").isNotNull())
     base = base.withColumns({"_class": F.unhex(F.md5("_text")), "n_chars": F.length("_text")})
     classes = cut_table(base.groupBy("_class").agg(F.min("id").alias("rep"), F.bit_or(F.when(F.col("side") == "T", 1).otherwise(2)).alias("sides"), F.any_value("_text").alias("_text")))
-    per = covered(shared(classes, "rep", "_text", span, group_rows, F.col("sides")))
+    per = covered(shared(classes, "rep", "_text", span, group_rows, F.col("sides"), named=False))
     own = F.when(F.col("sides") == 3, F.col("n_chars")).otherwise(F.coalesce("shared_chars", F.lit(0)))  # a text on both sides is its own counterpart
     d = base.drop("_text").join(classes.select("_class", "rep", "sides"), "_class").join(per.withColumnRenamed("doc_id", "rep"), "rep", "left")
     return d.withColumn("covered_chars", own).select(*[c for c in base.columns if c[0] != "_" and c != "n_chars"], "covered_chars", "n_chars")

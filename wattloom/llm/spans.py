@@ -135,13 +135,17 @@ def _nodes(rights: list[str], deep: int, most: int) -> Iterator[tuple[int, list[
 _MEMBERS = "span_hash string, doc_id bigint, start int, stop int"
 
 
-def _tree(span: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Members of the classes of equal spans of the subtrees in rows sorted by prefix and depths (a prefix may run over several batches)."""
+def _tree(span: int, named: bool, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Members of the classes of equal spans of the subtrees in rows sorted by prefix and depths (a prefix may run over several batches).
+
+    Without names a suffix's stretch is left out if a deeper class of the suffix covers it: deeper nodes come first.
+    """
     names = ["prefix", "lo", "hi", "doc_id", "party", "pos", "left", "right"]
     rows = (r for b in batches for r in zip(*[b[c].tolist() for c in names]))
     out: list[tuple] = []
     for (_, lo, hi), group in groupby(rows, key=lambda r: r[:3]):
         members = sorted((r[7], r[6][::-1], r[3], r[4], r[5]) for r in group)
+        reach = [-1] * len(members)
         for depth, starts in _nodes([m[0] for m in members], lo, hi - 1):
             child = {i: c for c, (a, b) in enumerate(zip(starts, starts[1:])) for i in range(a, b)}
             order = sorted(child, key=lambda i: members[i][1])
@@ -151,6 +155,12 @@ def _tree(span: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     continue
                 if depth < hi - 1 and len({child[i] for i in same}) == 1:
                     continue  # the child's own class holds them all
+                if not named:
+                    new = [i for i in same if reach[i] < left]
+                    for i in new:
+                        reach[i] = left
+                    out += [(None, members[i][2], members[i][4] - left, members[i][4] + depth) for i in new]
+                    continue
                 text, before, _, _, _ = members[same[0]]
                 name = hashlib.sha256((before[:left][::-1] + text[:depth]).encode("utf-8", "surrogatepass")).hexdigest()
                 out += [(name, members[i][2], members[i][4] - left, members[i][4] + depth) for i in same]
@@ -174,8 +184,11 @@ def _frequent(d: DataFrame, span: int) -> list[int]:
     return [r["prefix"] for r in often.select("prefix").collect()]
 
 
-def shared(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, group_rows: int = GROUP_ROWS, party: Column | None = None) -> DataFrame:
-    """(span_hash, doc_id, start, stop): the members of every class of equal spans that at least two parties have; each document is its own party unless ``party`` (an int) says otherwise."""
+def shared(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, group_rows: int = GROUP_ROWS, party: Column | None = None, named: bool = True) -> DataFrame:
+    """(span_hash, doc_id, start, stop): the members of every class of equal spans that at least two parties have; each document is its own party unless ``party`` (an int) says otherwise.
+
+    With ``named`` false only the stretches are meant, not the classes: those inside another one may be missing.
+    """
     half, deep = span // 2, span - span // 2 + GRAM
     own = party is None
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), (F.lit(0) if own else party).cast("int").alias("party")).where(F.length("text") >= span)
@@ -191,10 +204,10 @@ def shared(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, group_rows
     level = kept.join(d.drop("party"), "doc_id").select("prefix", F.lit(deep).alias("lo"), F.lit(span + 1).alias("hi"), "doc_id", *at)
     large = kept.groupBy("prefix").count().where(F.col("count") > group_rows).select("prefix")
     if large.isEmpty():
-        return _trees(level, span)
+        return _trees(level, span, named)
     found, level, large = None, cut_table(level), large.withColumn("lo", F.lit(deep))
     while True:
-        done = _trees(level.join(large, ["prefix", "lo"], "left_anti"), span)
+        done = _trees(level.join(large, ["prefix", "lo"], "left_anti"), span, named)
         found = done if found is None else found.unionByName(done)
         level = cut_table(_longer(level.join(large, ["prefix", "lo"], "left_semi"), span))
         one = level.where("hi = lo + 1")  # prefixes of the whole span: what has it is a class
@@ -205,12 +218,12 @@ def shared(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, group_rows
         level = level.where("hi > lo + 1")
         large = cut_table(level.groupBy("prefix", "lo").count().where(F.col("count") > group_rows).select("prefix", "lo"))
         if large.isEmpty():
-            return found.unionByName(_trees(level, span))
+            return found.unionByName(_trees(level, span, named))
 
 
-def _trees(level: DataFrame, span: int) -> DataFrame:
+def _trees(level: DataFrame, span: int, named: bool) -> DataFrame:
     key = ["prefix", "lo", "hi"]
-    return level.repartition(*key).sortWithinPartitions(*key).mapInPandas(partial(_tree, span), _MEMBERS)
+    return level.repartition(*key).sortWithinPartitions(*key).mapInPandas(partial(_tree, span, named), _MEMBERS)
 
 
 def _longer(level: DataFrame, span: int) -> DataFrame:
@@ -256,7 +269,7 @@ def covered(members: DataFrame) -> DataFrame:
 
 def shared_coverage(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc_id, n_spans, shared_chars, n_chars): per document the stretches that other documents share, merged, and their length."""
-    per = covered(shared(docs, doc_id, text, span, group_rows))
+    per = covered(shared(docs, doc_id, text, span, group_rows, named=False))
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.length(text).alias("n_chars"))
     return own.join(per, "doc_id", "left").select("doc_id", F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
 
