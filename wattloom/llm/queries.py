@@ -134,4 +134,16 @@ def p9_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_balance, p2_found, p2_defects_per_prompt, p6_found, p6_overlap_counts, p6_coverage, p7_containers, p7_fill, p8_selection, p8_shares, p9_found, p9_coverage, p9_spans)}
-SQL: dict[str, str] = {}
+_SPLIT = r"nullif(upper(regexp_replace(split, '^\s+|\s+$', '', 'g')), '')"
+_P1 = rf"""WITH RECURSIVE d AS (SELECT sft_row_id id, example_id e, {_SPLIT} split, nullif(array_to_string(list_transform(regexp_extract_all(lower(physical_state_id), '\p{{L}}+|\p{{Nd}}+'), lambda x: regexp_replace(x, '^0+(\d)', '\1')), '|'), '') s FROM public_state_v1_sft),
+ e AS (SELECT id a, min(id) OVER (PARTITION BY s) b FROM d WHERE s IS NOT NULL UNION SELECT id, min(id) OVER (PARTITION BY e) FROM d WHERE e IS NOT NULL), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+ r AS (SELECT id n, id m FROM d UNION SELECT r.n, u.b FROM r JOIN u ON r.m = u.a), root AS (SELECT n, min(m) root FROM r GROUP BY 1),
+ mixed AS (SELECT root FROM root JOIN d ON n = id GROUP BY 1 HAVING count(DISTINCT split) > 1)
+ SELECT root AS group_first_id, n AS sft_row_id FROM root WHERE root IN (SELECT root FROM mixed)"""
+_WINDOWS = "w AS (SELECT doc_id, i, md5(substr(text, i, 200)) h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) i FROM documents WHERE length(text) >= 200)), m AS (SELECT h FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) > 1)"
+SQL: dict[str, str] = {
+    "p1_found": _P1,
+    "p9_found": f"WITH {_WINDOWS}, x AS (SELECT DISTINCT doc_id, h FROM w WHERE h IN (SELECT h FROM m)) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p9_coverage": f"""WITH {_WINDOWS}, x AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) p FROM w WHERE h IN (SELECT h FROM m)), c AS (SELECT doc_id, count_if(p IS NULL OR i > p + 200)::INT n, sum(CASE WHEN p IS NULL THEN 200 ELSE least(200, i - p) END)::INT k FROM x GROUP BY 1)
+ SELECT d.doc_id, coalesce(n, 0) AS n_spans, coalesce(k, 0) AS shared_chars, coalesce(length(text), 0) AS n_chars FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id""",
+}
