@@ -83,8 +83,8 @@ def test_leaks_and_new_splits(spark):
 
 def test_rare_labels_reach_every_split(spark):
     """50 records of a rare label over 50 shards, and a label with a record or two in each of many shards."""
-    rows = [(i, f"s{i}", None, None, "rare" if i % 100 == 0 else "few" if i % 10 == 1 else "x") for i in range(5000)]
-    got = splits.assign_splits(spark.createDataFrame(rows, ROWS), "id", ["s", "e"], ["label"], shard_rows=100).collect()
+    rows = [(i, f"s{i}", None, "abcdef"[i * 7 % 6], "rare" if i % 100 == 0 else "few" if i % 10 == 1 else "x") for i in range(5000)]
+    got = splits.assign_splits(spark.createDataFrame(rows, ROWS), "id", ["s", "e"], ["label", "split"], shard_rows=100).collect()
     label = {r[0]: r[4] for r in rows}
     n = Counter((label[r.row_id], r.new_split) for r in got)
     assert [n["rare", s] for s in splits.NAMES] == [40, 5, 5]

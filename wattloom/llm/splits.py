@@ -32,9 +32,9 @@ COARSE, MOST_LABELS = 0.05, 200
 NAMES, SHARES = ("train", "validation", "test"), (0.8, 0.1, 0.1)
 
 
-def place(counts: np.ndarray, want: np.ndarray) -> np.ndarray:
-    """The split of each component (rows of ``counts``, one column per label, the last one all records), given the records each split wants of each label (splits x labels)."""
-    want, left = want.astype(float).copy(), counts.sum(0).astype(float)
+def place(counts: np.ndarray, want: np.ndarray, left: np.ndarray | None = None) -> np.ndarray:
+    """The split of each component (rows of ``counts``, one column per label, the last one all records), given the records each split wants of each label (splits x labels) and those still to place of each, here or elsewhere."""
+    want, left = want.astype(float).copy(), (counts.sum(0) if left is None else left).astype(float)
     done = np.full(len(counts), -1)
     by_label = [np.flatnonzero(counts[:, j]) for j in range(counts.shape[1])]
     by_label = [x[np.argsort(-counts[x, j], kind="stable")] for j, x in enumerate(by_label)]
@@ -87,7 +87,7 @@ def assign_splits(rows: DataFrame, row_id: str, keys: list[str], labels: list[st
         counts = np.zeros((len(roots), len(order)), np.int64)
         for r in long_rows:
             counts[at[r["root"]], r["k"]] = r["n"]
-        to = place(counts, want)
+        to = place(counts, want, want.sum(0))
         for s, v in zip(to, counts):
             want[s] -= v
         fixed = {r: names[s] for r, s in zip(roots, to)}
@@ -113,7 +113,7 @@ def assign_splits(rows: DataFrame, row_id: str, keys: list[str], labels: list[st
         mine = np.zeros((len(names), len(order)))
         for x in pdf["quotas"].iloc[0]:
             mine[:, x["k"]] = x["q"]
-        return pd.DataFrame({"root": roots, "new_split": [names[s] for s in place(counts, mine)]})
+        return pd.DataFrame({"root": roots, "new_split": [names[s] for s in place(counts, mine, total)]})
 
     dealt = rest.select("_shard", "root", number, "n").join(quotas, "_shard")
     placed = dealt.groupBy("_shard").applyInPandas(shard, "root bigint, new_split string")
