@@ -1,4 +1,4 @@
-"""Queries of the reference's own data operators, each with the SQL that checks it where SQL can."""
+"""Queries of the core data operators, each with the SQL that checks it where SQL can."""
 
 from __future__ import annotations
 
@@ -605,7 +605,7 @@ def table_digests(spark, sf):
 
 @query("""SELECT group_index, arg_min(candidate_row_id, candidate_row_id) AS first_candidate, count(DISTINCT physical_state_id) AS n_states FROM t45_k4_free_candidates GROUP BY 1""")
 def first_per_group(spark, sf):
-    """First candidate of each group in an explicit order (the reference took file order, which Spark has not)."""
+    """First candidate of each group in an explicit order (Spark has no order of files)."""
     d = table(spark, sf, "t45_k4_free_candidates")
     first = J.keep_one(d, ["group_index"], [F.col("candidate_row_id")]).select("group_index", F.col("candidate_row_id").alias("first_candidate"))
     n = d.groupBy("group_index").agg(F.countDistinct("physical_state_id").alias("n_states"))
