@@ -156,6 +156,10 @@ def test_terminal_words(spark):
     df = spark.createDataFrame(rows, "id bigint, prompt string, text string")
     assert [tuple(r) for r in answers.defects(df, "id", "prompt", "text").collect()] == [(10, "truncated")]
     assert answers.judge(rows[-2][2], PROMPT, None) is None
+    low = [(i, PROMPT, "load at fenham rises at harbury. state the action. wait at harbury. and so on.") for i in range(20, 30)] + [(40, PROMPT, "Take action 1, since all is fine in Harbury."), (41, PROMPT, "take action 1, since all is fine in harbury.")]
+    assert answers.defects(spark.createDataFrame(low, "id bigint, prompt string, text string"), "id", "prompt", "text").count() == 0  # texts without capitals tell nothing
+    record = [(i, PROMPT, f"Take action 1, since all is fine in Harbury.\n{RECORD}") for i in range(20, 30)] + [(40, PROMPT, "Take action 1, since all is fine in Harbury.")]
+    assert answers.defects(spark.createDataFrame(record, "id bigint, prompt string, text string"), "id", "prompt", "text").count() == 0  # keys of a record go on with no sentence
     few = df.where("id IN (0, 10, 11)")  # one observation is drawn to the prior
     assert answers.defects(few, "id", "prompt", "text").count() == 0
 
@@ -310,15 +314,15 @@ def test_runs_come_from_common_prefixes(spark, seed):
 
 def test_pairs_come_from_the_array(spark, monkeypatch):
     """Without the array's runs pairs are lost; a target that very many records have meets in small buckets."""
-    rows = [(i, "TE"[i % 5 == 0], 0.5, ["e=hot;b=0.1,0.2", "branches=2", "load=" + ",".join(f"{1000 * (i // 5 * 5 if i % 10 < 6 else i) + 7 * k:.1f}" for k in range(12))]) for i in range(400)]
+    rows = [(i, "TE"[i % 5 == 0], 0.5, ["e=hot;b=0.1,0.2", "branches=2", "load=" + ",".join(f"{1000 * (i // 5 * 5 if i % 10 < 6 else i) + 7 * k + (0.05 if k == 0 and i % 5 == 0 else 0):.2f}" for k in range(12))]) for i in range(400)]
     df = spark.createDataFrame(rows, "id bigint, side string, q double, lines array<string>")
-    numbers = {i: [x[1], *x[2][5:].split(",")] for i, _, _, x in rows}
-    want = {(a, b) for a, s, _, _ in rows for b, u, _, _ in rows if s == "T" and u == "E" and sum(p == q for p, q in zip(numbers[a], numbers[b])) >= 0.8 * 13}
+    numbers = {i: [2.0, *map(float, x[2][5:].split(","))] for i, _, _, x in rows}
+    want = {(a, b) for a, s, _, _ in rows for b, u, _, _ in rows if s == "T" and u == "E" and sum(abs(p - q) <= 0.06 for p, q in zip(numbers[a], numbers[b])) >= 0.8 * 13}
     for chars in (10_000_000, 2000):
         assert {(r.train_id, r.eval_id) for r in overlap.pairs(df, part_chars=chars).collect()} == want
     array = overlap.Overlap.array
     monkeypatch.setattr(overlap.Overlap, "array", lambda self, n: array(self, n).withColumn("run", F.col("id").cast("string")))
-    assert overlap.pairs(df).count() < len(want)  # copies of one text need no run
+    assert want and overlap.pairs(df).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(3))

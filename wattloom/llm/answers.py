@@ -249,7 +249,7 @@ def judge(answer: str | None, prompt: str | None, ends: float | None) -> str | N
 
 # a word or number before a full stop: the number's last word before it, and what follows
 _NUMBER = r"(?:\p{Nd}+[:-])*\p{Nd}+(?:\.\p{Nd}+)?"
-_PROSE = r"[{\[][^{}\[\]]*[}\]]?|[\"{}\[\],]+"  # what is no prose
+_PROSE = r"\{[^{}]*\}?|\[[^\[\]]*\]?|[\"{}\[\],]+"  # what is no prose: whole objects and lists, also unfinished ones
 _SEEN = rf"(?:\b\p{{L}}{{1,12}}[^\p{{L}}\p{{Nd}}]{{0,3}})?{_NUMBER}(?:\.(?=\s+\p{{L}}))?|\b\p{{L}}{{1,12}}\.(?=\s+[\p{{Ll}}\p{{Nd}}])|\b\p{{L}}{{1,12}}\.\s(?=\s*\p{{L}})"
 # the same at the end of an answer, read backwards
 _LAST = r"^[\s\p{P}`]*?\.(\p{Nd}[\p{Nd}:,.-]*)?[^\p{L}\p{Nd}]{0,3}(\p{L}{1,12})?"
@@ -266,11 +266,12 @@ def terminal_contexts(answers: DataFrame, text: str) -> DataFrame:
     word with a capital (or of a script without capitals) follows; a small letter or a number goes on, as do digits
     after a number's full stop.
     """
+    answers = answers.where(F.col(text).rlike(r"\p{Lu}") | ~F.col(text).rlike(r"\p{Ll}"))  # where no sentence begins with a capital, small letters tell nothing
     bare = F.regexp_replace(text, _PROSE, " ")
     found = F.explode(F.regexp_extract_all(F.regexp_replace(bare, r"\p{Nd}+", "9"), F.lit(_SEEN), F.lit(0)))  # shapes and words are few
     d = answers.select(found.alias("m")).where(F.col("m").contains(".")).groupBy("m").agg(F.count("*").alias("n"))
     number = F.regexp_extract("m", r"(?:9[:-])*9(?:\.9)?\.?$", 0)
-    word = F.lower(F.regexp_extract("m", r"^\p{L}+", 0))
+    word = F.regexp_extract("m", r"^\p{L}+", 0)
     ended, goes_on = F.col("m").rlike(r"\p{L}\.\s$"), F.col("m").rlike(r"\p{L}\.$")
     evidence = F.array(
         F.when(ended | goes_on, F.struct(word.alias("w"), F.lit("").alias("s"), F.when(ended, 1).otherwise(0).alias("end"))),
@@ -289,7 +290,7 @@ def defects(pairs: DataFrame, row_id: str, prompt: str, answer: str) -> DataFram
     model = cut_table(terminal_contexts(pairs, "answer"))
     whole = is_json(undecorated(F.col("answer"))) & F.coalesce(F.get_json_object(undecorated(F.col("answer")), "$.a").rlike(r"\p{Nd}"), F.lit(False))
     last = lambda k: F.reverse(F.regexp_extract(F.reverse("answer"), _LAST, k))
-    d = pairs.where(F.col("answer").isNull() | ~whole).withColumns({"_s": _shape(last(1)), "_w": F.lower(last(2))})
+    d = pairs.where(F.col("answer").isNull() | ~whole).withColumns({"_s": _shape(last(1)), "_w": last(2)})
     d = d.withColumns({"_context": F.concat_ws("|", "_w", "_s"), "_any": F.when(F.col("_s") != "", F.concat(F.lit("*|"), "_s"))})
     d = d.join(model.select(F.col("context").alias("_context"), F.col("p").alias("_p")), "_context", "left")
     d = d.join(model.select(F.col("context").alias("_any"), F.col("p").alias("_q")), "_any", "left")
